@@ -44,7 +44,8 @@ def frequent_digests(digests: DataFrame, least: int = 32) -> DataFrame:
         digests.select("digest", (F.spark_partition_id() % SHARDS).alias("shard")).groupBy("shard")
         .agg(F.expr(f"approx_top_k_accumulate(digest, {COUNTERS})").alias("sketch"))
     )
-    merged = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {COUNTERS})").alias("sketch"))
+    # grouped, if only by a constant: an empty partition then sends no sketch, which the merge couldn't read
+    merged = sketches.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_combine(sketch, {COUNTERS})").alias("sketch"))
     proposed = merged.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {MOST_HOT})")).alias("top")).select(F.col("top.item").alias("digest"))
     best = F.min(F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("n"), "doc_id"))
     return (
@@ -58,16 +59,13 @@ def exact_dedup(documents: DataFrame) -> DataFrame:
     """One row per row of documents: doc_id, keep_id (doc_id of the row that stays), group_size, kept, text_sha256."""
     text = text_or_empty()
     rows = pinned(documents.select("doc_id", digest(text).alias("digest"), F.char_length(text).alias("n_points")))
-    hot = pinned(frequent_digests(rows)) if not rows.isEmpty() else None
-    cold, parts = rows, []
-    if hot is not None:
-        cold = rows.join(F.broadcast(hot), "digest", "left_anti")
-        parts = [rows.join(F.broadcast(hot), "digest").select("doc_id", F.col("hot_id").alias("keep_id"), F.col("hot_size").alias("group_size"), "digest")]
+    hot = pinned(frequent_digests(rows))
+    settled = rows.join(F.broadcast(hot), "digest").select("doc_id", F.col("hot_id").alias("keep_id"), F.col("hot_size").alias("group_size"), "digest")
+    cold = rows.join(F.broadcast(hot), "digest", "left_anti")
     group = Window.partitionBy("digest")
     first = group.orderBy(*_rank()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    parts.append(cold.select("doc_id", F.first("doc_id").over(first).alias("keep_id"), F.count("*").over(group).alias("group_size"), "digest"))
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+    others = cold.select("doc_id", F.first("doc_id").over(first).alias("keep_id"), F.count("*").over(group).alias("group_size"), "digest")
+    return settled.unionByName(others).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def drop_copies(documents: DataFrame) -> DataFrame:
@@ -76,8 +74,6 @@ def drop_copies(documents: DataFrame) -> DataFrame:
     text = text_or_empty()
     facts = {"_digest": digest(text), "_points": F.char_length(text)}
     narrow = pinned(documents.select("doc_id", facts["_digest"].alias("digest"), facts["_points"].alias("n_points")))
-    if narrow.isEmpty():
-        return documents
     hot = pinned(frequent_digests(narrow))
     # the columns travel in one struct, so that no name of theirs can clash
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), facts["_digest"].alias("digest"), facts["_points"].alias("n_points"), "doc_id")
