@@ -1,8 +1,525 @@
-"""All queries over the given tables, by name, and their SQL."""
+"""All queries over the given tables, by name, and their SQL.
+
+Score maps are derived from `embeddings`: a label's vectors are the rows of one map, in the order of vec_id.
+Profiles come from `events`, intervals and losses from `lineitem`, boxes from `orders`, annotated grids from `part`.
+"""
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docgrid.functions import coords
+from docgrid.operators import cells, components, lines, raster, rotation, training
+from docgrid.plans.recovery import Limits, recover_tables
+from docgrid.sources import files, sinks
+from docgrid.sources.annotations import paired
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- score maps from embeddings
+
+RASTER = """WITH ranked AS (SELECT label AS doc_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS y, embedding FROM embeddings),
+    raster AS (SELECT doc_id, y, CAST(unnest(generate_series(0, len(embedding) - 1)) AS INT) AS x, unnest(embedding) AS score FROM ranked)"""
+CHANNELS = RASTER + ", maps AS (SELECT doc_id, y, x % 5 AS channel, x // 5 AS x, score FROM raster)"
+BINARY = RASTER + ", dots AS (SELECT doc_id, y, x FROM raster WHERE score > 0.2::FLOAT)"
+
+
+def _raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("label").orderBy("vec_id")
+    ranked = _table(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_id"), (F.row_number().over(order) - 1).alias("y"), "embedding")
+    return ranked.select("doc_id", "y", F.posexplode("embedding").alias("x", "score"))
+
+
+def _maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _raster(spark, sf_dir).select("doc_id", "y", (F.col("x") % 5).alias("channel"), F.floor(F.col("x") / 5).cast("int").alias("x"), "score")
+
+
+def _dots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _raster(spark, sf_dir).where(F.col("score") > F.lit(0.2).cast("float")).select("doc_id", "y", "x")
+
+
+@query(CHANNELS + " SELECT doc_id, channel, y, x, score FROM maps WHERE score > CASE WHEN channel IN (1, 2) THEN 0.3::FLOAT ELSE 0.2::FLOAT END")
+def threshold_pixels(spark, sf_dir):
+    return raster.above_threshold(_maps(spark, sf_dir)).select("doc_id", "channel", "y", "x", "score")
+
+
+@query(RASTER + " SELECT doc_id, y, x, score FROM raster WHERE y >= 2 AND y < 40 AND x >= 8 AND x < 56")
+def region_of_interest(spark, sf_dir):
+    return raster.inside(_raster(spark, sf_dir), 8, 2, 56, 40).select("doc_id", "y", "x", "score")
+
+
+@query(CHANNELS + " SELECT DISTINCT doc_id, y, x FROM maps WHERE channel <> 0 AND score > CASE WHEN channel IN (1, 2) THEN 0.3::FLOAT ELSE 0.2::FLOAT END")
+def edge_union(spark, sf_dir):
+    return raster.edge_union(raster.above_threshold(_maps(spark, sf_dir)))
+
+
+@query(BINARY + " SELECT doc_id, 'x' AS axis, x AS pos, count(*) AS v FROM dots GROUP BY ALL UNION ALL SELECT doc_id, 'y', y, count(*) FROM dots GROUP BY ALL")
+def projections(spark, sf_dir):
+    dots = _dots(spark, sf_dir)
+    return raster.projection(dots, "x", ["doc_id"]).select("doc_id", F.lit("x").alias("axis"), "pos", "v").unionByName(raster.projection(dots, "y", ["doc_id"]).select("doc_id", F.lit("y").alias("axis"), "pos", "v"))
+
+
+ISLANDS = """, runs AS (SELECT *, x - row_number() OVER (PARTITION BY doc_id, y ORDER BY x) AS run FROM dots),
+    lines AS (SELECT doc_id, y, min(x) AS s, max(x) + 1 AS e, CAST(round_even(sum(x + 1) / count(*), 0) AS INT) AS center FROM runs GROUP BY doc_id, y, run)"""
+
+
+@query(BINARY + ISLANDS + " SELECT doc_id, y, s, e, center, CAST(1 AS BIGINT) AS peak FROM lines")
+def line_islands(spark, sf_dir):
+    """Runs of pixels in each row of each map, with extent and centre."""
+    profile = raster.projection(_dots(spark, sf_dir), "x", ["doc_id", "y"])
+    return lines.islands(profile, ["doc_id", "y"], 0)
+
+
+PROFILE = """WITH profile AS (SELECT user_id, CAST(hour(ts) AS INT) AS pos, count(*) AS v FROM events GROUP BY ALL)"""
+
+
+def _profile(spark, sf_dir):
+    return _table(spark, sf_dir, "events").groupBy("user_id", F.hour("ts").alias("pos")).agg(F.count("*").alias("v"))
+
+
+@query(
+    PROFILE
+    + """, runs AS (SELECT *, pos - row_number() OVER (PARTITION BY user_id ORDER BY pos) AS run FROM profile)
+    SELECT user_id, min(pos) AS s, max(pos) + 1 AS e, CAST(round_even(sum(v * (pos + 1)) / sum(v), 0) AS INT) AS center, max(v) AS peak
+    FROM runs GROUP BY user_id, run HAVING max(v) > 2"""
+)
+def profile_islands(spark, sf_dir):
+    return lines.islands(_profile(spark, sf_dir), ["user_id"], 2)
+
+
+@query(
+    PROFILE
+    + """, kept AS (SELECT user_id, pos, v, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS n FROM profile WHERE v > 1),
+    walk AS (WITH RECURSIVE w AS (
+        SELECT user_id, n, pos AS last, 1 AS state, v AS prev, CAST(pos * v AS HUGEINT) AS total, CAST(v AS HUGEINT) AS mass, CAST(NULL AS INT) AS out FROM kept WHERE n = 1
+        UNION ALL
+        SELECT k.user_id, k.n, k.pos,
+            CASE WHEN w.state = 0 OR k.pos > w.last + 1 THEN 1 WHEN w.state = 2 AND k.v > w.prev THEN 0 WHEN w.state = 1 AND k.v < w.prev THEN 2 ELSE w.state END,
+            CASE WHEN w.state = 2 AND k.pos = w.last + 1 AND k.v > w.prev THEN 0 ELSE k.v END,
+            CASE WHEN w.state = 0 OR k.pos > w.last + 1 THEN k.pos * k.v WHEN w.state = 2 AND k.v > w.prev THEN 0 ELSE w.total + k.pos * k.v END,
+            CASE WHEN w.state = 0 OR k.pos > w.last + 1 THEN k.v WHEN w.state = 2 AND k.v > w.prev THEN 0 ELSE w.mass + k.v END,
+            CASE WHEN w.state > 0 AND (k.pos > w.last + 1 OR (w.state = 2 AND k.v > w.prev)) THEN CAST(floor(w.total / w.mass + 0.5) AS INT) END
+        FROM w JOIN kept k ON k.user_id = w.user_id AND k.n = w.n + 1) SELECT * FROM w)
+    SELECT user_id, out AS corner FROM walk WHERE out IS NOT NULL
+    UNION ALL
+    SELECT user_id, CAST(floor(total / mass + 0.5) AS INT) FROM walk WHERE state > 0 AND (user_id, n) IN (SELECT (user_id, max(n)) FROM kept GROUP BY user_id)"""
+)
+def corner_peaks(spark, sf_dir):
+    return lines.corner_peaks(_profile(spark, sf_dir), ["user_id"], 1)
+
+
+@query(
+    BINARY
+    + """, bands AS (SELECT doc_id, x // 8 AS band, x % 8 AS xo, y FROM dots),
+    found AS (SELECT DISTINCT doc_id, band, xo FROM bands),
+    runs AS (SELECT *, xo - row_number() OVER (PARTITION BY doc_id, band ORDER BY xo) AS run FROM found),
+    isl AS (SELECT doc_id, band, run, min(xo) AS s, max(xo) + 1 AS e FROM runs GROUP BY ALL),
+    prof AS (SELECT DISTINCT i.doc_id, i.band, i.s, b.y FROM isl i JOIN bands b ON i.doc_id = b.doc_id AND i.band = b.band AND b.xo >= i.s AND b.xo < i.e),
+    yr AS (SELECT *, y - row_number() OVER (PARTITION BY doc_id, band, s ORDER BY y) AS run FROM prof),
+    seg AS (SELECT doc_id, band, s, min(y) AS a, max(y) + 1 AS z FROM yr GROUP BY doc_id, band, s, run),
+    ext AS (SELECT *, max(z) OVER (PARTITION BY doc_id, band, s) - 1 AS re, min(a) OVER (PARTITION BY doc_id, band, s) AS rs FROM seg)
+    SELECT doc_id, band, s, rs, re, count(*) FILTER (a < least(z, re)) AS n_regions, CAST(coalesce(sum(least(z, re) - a) FILTER (a < least(z, re)), 0) AS BIGINT) AS covered
+    FROM ext GROUP BY ALL"""
+)
+def line_regions(spark, sf_dir):
+    """The extent and the regions of each island, in bands of eight columns."""
+    dots = _dots(spark, sf_dir).select("doc_id", F.floor(F.col("x") / 8).alias("band"), (F.col("x") % 8).alias("x"), "y")
+    found = lines.islands(raster.projection(dots, "x", ["doc_id", "band"]), ["doc_id", "band"], 0)
+    out = lines.regions(found, dots, "x", ["doc_id", "band"])
+    covered = F.aggregate("region_list", F.lit(0).cast("long"), lambda a, r: a + r["b"] - r["a"])
+    return out.select("doc_id", "band", "s", "rs", "re", F.size("region_list").cast("long").alias("n_regions"), covered.alias("covered"))
+
+
+@query(BINARY + " SELECT DISTINCT doc_id, y, CAST(x + d AS INT) AS x FROM dots, (SELECT unnest([-2, -1, 0, 1, 2]) AS d) WHERE x + d >= 0 AND x + d < 64")
+def dilated(spark, sf_dir):
+    return raster.dilate_x(_dots(spark, sf_dir), ["doc_id"], 2, 64)
+
+
+@query(CHANNELS + " SELECT doc_id, min(x) FILTER (channel IN (1, 3)) AS l, max(x) FILTER (channel IN (1, 3)) AS r, min(y) FILTER (channel IN (2, 4)) AS t, max(y) FILTER (channel IN (2, 4)) AS b FROM maps WHERE score > CASE WHEN channel IN (1, 2) THEN 0.3::FLOAT ELSE 0.2::FLOAT END GROUP BY doc_id")
+def table_rects(spark, sf_dir):
+    return raster.table_rect(raster.above_threshold(_maps(spark, sf_dir)), ["doc_id"])
+
+
+@query(
+    BINARY
+    + """, kernel AS (SELECT * FROM (VALUES (-1, -1, 1), (0, -1, 2), (1, -1, 1), (-1, 1, -1), (0, 1, -2), (1, 1, -1)) AS k(dy, dx, w))
+    SELECT doc_id, y + dy AS y, x + dx AS x, CAST(least(sum(w), 255) AS BIGINT) AS v FROM dots, kernel WHERE x + dx >= 0 AND y + dy >= 0 GROUP BY ALL HAVING sum(w) > 0"""
+)
+def sobel_edges(spark, sf_dir):
+    return raster.sobel(_dots(spark, sf_dir), "x", ["doc_id"])
+
+
+PAGES20 = ", small AS (SELECT doc_id, CAST(y // 50 AS INT) AS part, y % 50 AS y, x FROM dots)"
+
+
+@query(
+    BINARY
+    + PAGES20
+    + """, votes AS (SELECT doc_id, part, CAST(round(x * cos(radians(k * 5.0)) + y * sin(radians(k * 5.0))) AS INT) AS rho, CAST(k AS INT) AS k, count(*) AS v
+        FROM small, (SELECT unnest(generate_series(0, 35)) AS k) GROUP BY ALL)
+    SELECT a.doc_id, a.part, a.rho, a.k, a.v AS votes FROM votes a
+    LEFT JOIN votes l ON (l.doc_id, l.part, l.k, l.rho) = (a.doc_id, a.part, a.k, a.rho - 1) LEFT JOIN votes r ON (r.doc_id, r.part, r.k, r.rho) = (a.doc_id, a.part, a.k, a.rho + 1)
+    LEFT JOIN votes u ON (u.doc_id, u.part, u.rho, u.k) = (a.doc_id, a.part, a.rho, a.k - 1) LEFT JOIN votes d ON (d.doc_id, d.part, d.rho, d.k) = (a.doc_id, a.part, a.rho, a.k + 1)
+    WHERE a.v > 6 AND a.v > coalesce(l.v, 0) AND a.v >= coalesce(r.v, 0) AND a.v > coalesce(u.v, 0) AND a.v >= coalesce(d.v, 0)"""
+)
+def hough_lines(spark, sf_dir):
+    """Lines of each map in parts of fifty rows, at steps of five degrees."""
+    small = _dots(spark, sf_dir).select("doc_id", F.floor(F.col("y") / 50).cast("int").alias("part"), (F.col("y") % 50).alias("y"), "x")
+    return rotation.hough_lines(small, ["doc_id", "part"], 5.0, 6)
+
+
+@query("WITH t AS (SELECT user_id, value * 180 / 1000 % 180 AS theta FROM events) SELECT user_id, round(median(CASE WHEN theta - 90 > 90 THEN theta - 270 ELSE theta - 90 END), 6) AS angle FROM t GROUP BY user_id")
+def median_angles(spark, sf_dir):
+    theta = (F.col("value") * 180 / 1000) % 180
+    return _table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.median(rotation.line_angle(theta, True)), 6).alias("angle"))
+
+
+@query(
+    BINARY
+    + """, small AS (SELECT DISTINCT doc_id, CAST(y // 50 AS INT) AS part, CAST(y % 50 AS INT) AS y, x FROM dots),
+    tree AS (WITH RECURSIVE reach AS (SELECT doc_id, part, y, x, y * 2147483648 + x AS root FROM small
+        UNION SELECT s.doc_id, s.part, s.y, s.x, r.root FROM reach r JOIN small s ON s.doc_id = r.doc_id AND s.part = r.part AND abs(s.y - r.y) <= 1 AND abs(s.x - r.x) <= 1 AND s.y * 2147483648 + s.x > r.root)
+        SELECT doc_id, part, y, x, min(root) AS root FROM reach GROUP BY ALL)
+    SELECT doc_id, part, min(x) AS l, min(y) AS t, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS area FROM tree GROUP BY doc_id, part, root"""
+)
+def component_boxes(spark, sf_dir):
+    """Connected components of each map in parts of fifty rows."""
+    small = _dots(spark, sf_dir).select("doc_id", F.floor(F.col("y") / 50).cast("int").alias("part"), (F.col("y") % 50).cast("int").alias("y"), "x")
+    by = ["doc_id", "part"]
+    return components.component_stats(components.label_pixels(small, by), by).drop("comp")
+
+
+BOXES = """boxes AS (SELECT o_custkey AS doc_id, o_orderkey AS comp, CAST(o_orderkey % 40 + 5 AS INT) AS w, CAST(o_totalprice AS BIGINT) % 37 + 5 AS h,
+    CAST(o_orderkey % 11 AS INT) AS l, CAST(o_orderkey % 13 AS INT) AS t FROM orders)"""
+
+
+def _boxes(spark, sf_dir):
+    key = F.col("o_orderkey")
+    price = F.bround("o_totalprice").cast("long")
+    return _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), key.alias("comp"), (key % 40 + 5).cast("int").alias("w"), (price % 37 + 5).alias("h"), (key % 11).cast("int").alias("l"), (key % 13).cast("int").alias("t"))
+
+
+@query(
+    "WITH "
+    + BOXES.replace("CAST(o_totalprice AS BIGINT)", "CAST(round_even(o_totalprice, 0) AS BIGINT)")
+    + """, o AS (SELECT *, w * h AS area, row_number() OVER s AS rank, max(CASE WHEN least(w, h) < 10 THEN 1 ELSE 0 END) OVER s AS stopped FROM boxes WINDOW s AS (PARTITION BY doc_id ORDER BY w * h DESC, comp ROWS UNBOUNDED PRECEDING))
+    SELECT doc_id, comp, w, h, l, t, area, rank FROM o WHERE stopped = 0"""
+)
+def table_candidates(spark, sf_dir):
+    """Boxes by falling area up to the first small one, for each customer."""
+    stats = _boxes(spark, sf_dir).withColumn("area", F.col("w") * F.col("h"))
+    return components.table_candidates(stats, ["doc_id"], 10).select("doc_id", "comp", "w", "h", "l", "t", "area", F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    BINARY
+    + """, boxes AS (SELECT p_size % 10 AS doc_id, p_partkey AS comp, CAST(p_partkey % 30 AS INT) AS l, CAST(p_partkey % 7 AS INT) AS t, CAST(p_size % 9 + 2 AS INT) AS w, CAST(p_size % 5 + 2 AS INT) AS h FROM part WHERE p_size < 20)
+    SELECT doc_id, comp, count(*) AS n FROM dots JOIN boxes USING (doc_id) WHERE x >= l AND x < l + w AND y >= t AND y < t + h GROUP BY ALL"""
+)
+def pixels_in_boxes(spark, sf_dir):
+    size, key = F.col("p_size"), F.col("p_partkey")
+    boxes = _table(spark, sf_dir, "part").where(size < 20).select((size % 10).alias("doc_id"), key.alias("comp"), (key % 30).cast("int").alias("l"), (key % 7).cast("int").alias("t"), (size % 9 + 2).alias("w"), (size % 5 + 2).alias("h"))
+    return components.pixels_in_boxes(_dots(spark, sf_dir), boxes).groupBy("doc_id", "comp").agg(F.count("*").alias("n"))
+
+
+# ---- lines and cells from lineitem
+
+INTERVALS = """WITH lines AS (SELECT DISTINCT l_orderkey AS doc_id, CAST(l_quantity AS INT) AS s, CAST(l_quantity AS INT) + 4 * l_linenumber AS e FROM lineitem),
+    corners AS (SELECT DISTINCT l_orderkey AS doc_id, CAST(l_partkey % 60 AS INT) AS corner FROM lineitem)"""
+
+
+def _intervals(spark, sf_dir):
+    item = _table(spark, sf_dir, "lineitem")
+    s = F.col("l_quantity").cast("int")
+    found = item.select(F.col("l_orderkey").alias("doc_id"), s.alias("s"), (s + 4 * F.col("l_linenumber")).alias("e")).distinct()
+    return found, item.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 60).cast("int").alias("corner")).distinct()
+
+
+@query(
+    INTERVALS
+    + """, inner_ AS (SELECT l.*, corner, lag(corner) OVER w AS before, count(*) OVER (PARTITION BY l.doc_id, s, e) AS n FROM lines l JOIN corners c ON l.doc_id = c.doc_id AND s < corner AND corner < e WINDOW w AS (PARTITION BY l.doc_id, s, e ORDER BY corner)),
+    kept AS (SELECT * FROM inner_ WHERE n > 1 AND (before IS NULL OR corner - before >= 5))
+    SELECT l.doc_id, coalesce(corner - 1, l.s) AS s, coalesce(corner + 1, l.e) AS e, coalesce(corner, l.s) AS center FROM lines l LEFT JOIN kept k ON (l.doc_id, l.s, l.e) = (k.doc_id, k.s, k.e)"""
+)
+def split_lines(spark, sf_dir):
+    found, corners = _intervals(spark, sf_dir)
+    return lines.split_at_corners(found.withColumn("center", F.col("s")), corners, ["doc_id"])
+
+
+@query(INTERVALS + " SELECT doc_id, s, e, min(s) OVER (PARTITION BY doc_id) AS rs, max(e) OVER (PARTITION BY doc_id) AS re FROM lines")
+def aligned_lines(spark, sf_dir):
+    found, _ = _intervals(spark, sf_dir)
+    as_lines = found.withColumn("rs", F.col("s")).withColumn("re", F.col("e")).withColumn("region_list", F.array(F.struct(F.col("s").alias("a"), F.col("e").alias("b"))))
+    return lines.aligned(as_lines, ["doc_id"]).select("doc_id", "s", "e", "rs", "re")
+
+
+def _line_rows(spark, sf_dir):
+    """Lines of both kinds for each order: by turns explicit and implicit."""
+    item = _table(spark, sf_dir, "lineitem")
+    s = F.col("l_quantity").cast("int") * 10
+    rows = item.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_suppkey") % 2).cast("int").alias("comp"), s.alias("s"), (s + 6 + F.col("l_linenumber")).alias("e"), (s + 3).alias("center"), F.col("l_linenumber").alias("rs"), (F.col("l_linenumber") + 20).alias("re"), (F.col("l_partkey") % 2 == 0).alias("implicit")).distinct()
+    return rows.withColumn("region_list", F.array(F.struct(F.col("rs").alias("a"), F.col("re").alias("b"))))
+
+
+@query()
+def merged_lines(spark, sf_dir):
+    """Explicit and implicit lines of each order in one order; tested against a plain walk."""
+    return lines.merged(_line_rows(spark, sf_dir), ["doc_id"]).select("doc_id", "nth", "s", "e", "center", "rs", "re", "implicit", F.size("region_list").alias("n_regions"))
+
+
+EDGES = """WITH l AS (SELECT l_orderkey AS doc_id, CAST(l_quantity AS INT) * 10 AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_discount, l_tax) AS nth, l_linenumber % 2 = 0 AS implicit FROM lineitem),
+    r AS (SELECT *, min(nth) OVER (PARTITION BY doc_id) AS lo, max(nth) OVER (PARTITION BY doc_id) AS hi FROM l)"""
+
+
+@query(
+    EDGES
+    + """ SELECT doc_id, CAST(nth AS INT) AS nth, s, implicit FROM r
+    UNION ALL SELECT doc_id, 0, 50, true FROM r WHERE nth = lo AND s > 50 + CASE WHEN implicit THEN 20 ELSE 10 END
+    UNION ALL SELECT doc_id, CAST(hi + 1 AS INT), 480, true FROM r WHERE nth = hi AND s + 5 < 480 - CASE WHEN implicit THEN 20 ELSE 10 END"""
+)
+def edge_lines(spark, sf_dir):
+    """Lines of each order, completed to a table's sides at 50 and 480."""
+    item = _table(spark, sf_dir, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_quantity", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount", "l_tax")
+    s = F.col("l_quantity").cast("int") * 10
+    region = F.array(F.struct(F.lit(0).alias("a"), F.lit(9).alias("b")))
+    found = item.select(F.col("l_orderkey").alias("doc_id"), s.alias("s"), (s + 5).alias("e"), (s + 2).alias("center"), F.lit(0).alias("rs"), F.lit(9).alias("re"), region.alias("region_list"), (F.col("l_linenumber") % 2 == 0).alias("implicit"), F.row_number().over(order).alias("nth"))
+    ends = found.select("doc_id", F.lit(50).alias("start"), F.lit(480).alias("end")).distinct()
+    return lines.with_edges(found, ends, ["doc_id"]).select("doc_id", "nth", "s", "implicit")
+
+
+GRID = """WITH v AS (SELECT l_orderkey AS doc_id, CAST(row_number() OVER w AS INT) AS k, CAST(l_quantity AS INT) * 10 AS c, l_linenumber * 40 AS b FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_discount, l_tax)),
+    g AS (SELECT doc_id, k - 1 AS i, c AS s, lead(c) OVER w AS e, lead(b) OVER w AS b FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY k)), gaps AS (SELECT * FROM g WHERE e IS NOT NULL),
+    cells AS (SELECT a.doc_id, a.i, d.i AS j, a.s AS sx, d.s AS sy, a.e AS ex, d.e AS ey,
+        NOT ((0 < 0.25 * d.s + 0.75 * d.e AND 0.25 * d.s + 0.75 * d.e < a.b) OR (0 < 0.5 * d.s + 0.5 * d.e AND 0.5 * d.s + 0.5 * d.e < a.b) OR (0 < 0.75 * d.s + 0.25 * d.e AND 0.75 * d.s + 0.25 * d.e < a.b)) AS merge_col,
+        NOT ((0 < 0.25 * a.s + 0.75 * a.e AND 0.25 * a.s + 0.75 * a.e < d.b) OR (0 < 0.5 * a.s + 0.5 * a.e AND 0.5 * a.s + 0.5 * a.e < d.b) OR (0 < 0.75 * a.s + 0.25 * a.e AND 0.75 * a.s + 0.25 * a.e < d.b)) AS merge_row,
+        count(*) OVER (PARTITION BY a.doc_id) AS n FROM gaps a JOIN gaps d USING (doc_id))"""
+
+
+def _grid(spark, sf_dir):
+    item = _table(spark, sf_dir, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_quantity", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount", "l_tax")
+    region = F.array(F.struct(F.lit(0).alias("a"), (F.col("l_linenumber") * 40).alias("b")))
+    found = item.select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(order).alias("nth"), (F.col("l_quantity").cast("int") * 10).alias("center"), region.alias("region_list"))
+    return cells.grid(found, found, ["doc_id"])
+
+
+@query(GRID + " SELECT doc_id, i, j, sx, sy, ex, ey, merge_col, merge_row FROM cells WHERE n > 1")
+def grid_cells(spark, sf_dir):
+    return _grid(spark, sf_dir)
+
+
+@query()
+def merged_cells(spark, sf_dir):
+    """Cells after merging; tested against a plain sweep."""
+    return cells.merge_cells(_grid(spark, sf_dir), ["doc_id"])
+
+
+@query(
+    GRID
+    + """, t AS (SELECT doc_id, min(sx) AS l, min(sy) AS t, max(ex) AS r, max(ey) AS b, count(*) AS n_cells FROM cells WHERE n > 1 GROUP BY doc_id)
+    SELECT doc_id, CAST(1 AS INT) AS id, l AS x, t AS y, r - l AS w, b - t AS h, [l, t, r, t, r, b, l, b]::VARCHAR AS quad, n_cells FROM t"""
+)
+def table_records(spark, sf_dir):
+    """A table for each order from its unmerged cells."""
+    grid = _grid(spark, sf_dir).withColumn("comp", F.lit(1))
+    single = grid.select("doc_id", "comp", F.col("i").alias("si"), F.col("i").alias("ei"), F.col("j").alias("sj"), F.col("j").alias("ej"), "sx", "sy", "ex", "ey")
+    found = cells.tables(single, single.select("doc_id", "comp", F.lit(1).alias("rank")).distinct())
+    text = F.concat(F.lit("["), F.concat_ws(", ", F.col("quad").cast("array<string>")), F.lit("]"))
+    return found.select("doc_id", "id", *[F.col("rect")[k].alias(c) for k, c in enumerate("xywh")], text.alias("quad"), F.size("cells").cast("long").alias("n_cells"))
+
+
+# ---- coordinates from orders
+
+QUAD = "WITH q AS (SELECT o_orderkey AS doc_id, [CAST((o_orderkey * (k + 3)) % 997 AS INT) FOR k IN [0, 1, 2, 3, 4, 5, 6, 7]] AS quad FROM orders)"
+
+
+def _quads(spark, sf_dir):
+    key = F.col("o_orderkey")
+    return _table(spark, sf_dir, "orders").select(key.alias("doc_id"), F.array(*[((key * (k + 3)) % 997).cast("int") for k in range(8)]).alias("quad"))
+
+
+def _spread(df: DataFrame, array: str, n: int = 8) -> DataFrame:
+    return df.select("doc_id", *[F.col(array)[k].alias(f"v{k}") for k in range(n)])
+
+
+@query(QUAD + " SELECT doc_id, " + ", ".join(f"CAST(trunc(CAST(CAST(CAST(CAST(quad[{k + 1}] AS FLOAT) AS DOUBLE) * {(1.6, 1.7)[k % 2]} AS FLOAT) AS DOUBLE) - {(12.3, 4.7)[k % 2]} AS FLOAT) AS INT) AS v{k}".replace("CAST(trunc(CAST(CAST(CAST(CAST", "CAST(trunc(CAST(CAST(CAST(CAST") for k in range(0)) + ", ".join(f"CAST(trunc(CAST(CAST(CAST(CAST(quad[{k + 1}] AS FLOAT) AS DOUBLE) * {(1.6, 1.7)[k % 2]}::DOUBLE AS FLOAT)::DOUBLE - {(12.3, 4.7)[k % 2]}::DOUBLE AS FLOAT)) AS INT) AS v{k}" for k in range(8)) + " FROM q")
+def adjusted_quads(spark, sf_dir):
+    move = coords.adjusted(F.col("quad"), F.lit(1.6), F.lit(1.7), F.lit(12.3), F.lit(4.7))
+    return _spread(_quads(spark, sf_dir).withColumn("quad", move), "quad")
+
+
+@query(QUAD + " SELECT doc_id, CAST(trunc((0.9 * quad[1] + 0.1 * quad[2] + 3) / (0.0001 * quad[1] + 0.0002 * quad[2] + 1)) AS INT) AS x, CAST(trunc((-0.1 * quad[1] + 0.8 * quad[2] + 5) / (0.0001 * quad[1] + 0.0002 * quad[2] + 1)) AS INT) AS y FROM q".replace("0.9", "0.9::DOUBLE").replace("0.1 ", "0.1::DOUBLE ").replace("0.8", "0.8::DOUBLE").replace("0.0001", "0.0001::DOUBLE").replace("0.0002", "0.0002::DOUBLE"))
+def warped_points(spark, sf_dir):
+    h = [F.lit(float(v)) for v in (0.9, 0.1, 3, -0.1, 0.8, 5, 0.0001, 0.0002, 1)]
+    x, y = coords.projected(h, F.col("quad")[0], F.col("quad")[1])
+    return _quads(spark, sf_dir).select("doc_id", x.cast("int").alias("x"), y.cast("int").alias("y"))
+
+
+@query(QUAD + " SELECT doc_id, " + ", ".join(f"round(quad[{k + 1}] / {(640.0, 480.0)[k % 2]}::DOUBLE, 9) AS v{k}" for k in range(8)) + " FROM q")
+def percent_quads(spark, sf_dir):
+    shares = coords.to_percent(F.col("quad"), F.lit(640.0), F.lit(480.0))
+    return _spread(_quads(spark, sf_dir).withColumn("p", F.transform(shares, lambda v: F.round(v, 9))), "p")
+
+
+@query(QUAD + " SELECT doc_id, " + ", ".join(f"quad[{k + 1}] * 1.25::DOUBLE - {(7.0, 3.0)[k % 2]} AS v{k}" for k in range(8)) + " FROM q")
+def cropped_quads(spark, sf_dir):
+    return _spread(_quads(spark, sf_dir).withColumn("c", coords.cropped(F.col("quad"), F.lit(1.25), F.lit(7.0), F.lit(3.0))), "c")
+
+
+@query(
+    """WITH d AS (SELECT o_orderkey AS doc_id, CAST(300 + o_orderkey % 2000 AS INT) AS h, CAST(200 + o_custkey % 1800 AS INT) AS w FROM orders),
+    r AS (SELECT *, least(greatest(h, w) * 10.0::DOUBLE, 1600::DOUBLE) / greatest(h, w) AS ratio FROM d),
+    t AS (SELECT *, CAST(trunc(h * ratio) AS INT) AS th, CAST(trunc(w * ratio) AS INT) AS tw FROM r),
+    p AS (SELECT *, greatest(960, CAST(ceil(th / 320) AS INT) * 320) AS ph, greatest(960, CAST(ceil(tw / 320) AS INT) * 320) AS pw FROM t)
+    SELECT doc_id, th AS target_h, tw AS target_w, ph AS padded_h, pw AS padded_w, (pw - tw) // 2 // 2 AS x1, (ph - th) // 2 // 2 AS y1, pw // 2 AS heat_w, ph // 2 AS heat_h FROM p"""
+)
+def resize_geometry(spark, sf_dir):
+    sizes = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), (300 + F.col("o_orderkey") % 2000).cast("int").alias("h"), (200 + F.col("o_custkey") % 1800).cast("int").alias("w"))
+    geometry = coords.resize(F.col("h"), F.col("w"), 1600, 10.0)
+    return sizes.select("doc_id", *[geometry[k].alias(k) for k in ("target_h", "target_w", "padded_h", "padded_w", "x1", "y1", "heat_w", "heat_h")])
+
+
+@query("SELECT event_id, CAST(trunc(least(greatest(value * 255, 0), 255)) AS INT) AS byte, round((value / 255.0 - 0.485) / 0.229, 6) AS normal FROM events")
+def score_bytes(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", raster.to_byte(F.col("value")).alias("byte"), F.round(coords.normalised(F.col("value"), 0.485, 0.229), 6).alias("normal"))
+
+
+LETTERS = "CASE WHEN {c} < 26 THEN chr(CAST({c} % 26 + 65 AS INT)) ELSE chr(CAST({c} // 26 - 1 + 65 AS INT)) || chr(CAST({c} % 26 + 65 AS INT)) END"
+
+
+@query("SELECT p_partkey, " + LETTERS.format(c="(p_partkey % 700)") + " || CAST(p_size + 1 AS VARCHAR) || ':' || " + LETTERS.format(c="(p_partkey % 700 + 1)") + " || CAST(p_size + 3 AS VARCHAR) AS a1_range FROM part")
+def spreadsheet_ranges(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    n = (F.col("p_partkey") % 700).cast("int")
+    return part.select("p_partkey", coords.a1_range(F.array(n, n + 1), F.array(F.col("p_size"), F.col("p_size") + 2)).alias("a1_range"))
+
+
+@query("SELECT o_orderkey, 0.001 * power(0.8, o_orderkey // 10000) AS rate FROM orders")
+def learning_rates(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select("o_orderkey", coords.learning_rate(F.col("o_orderkey"), 0.001).alias("rate"))
+
+
+@query("SELECT o_orderkey AS doc_id, CAST(o_custkey AS FLOAT) AS v0, CAST(o_orderkey % 50 AS FLOAT) AS v1, CAST(o_custkey % 7 AS FLOAT) + 0.5 AS v2, CAST(3 AS FLOAT) AS v3, o_custkey % 3 <> 0 AS flag FROM orders")
+def parsed_points(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders")
+    text = F.format_string("%d,%d  %d.5,3", "o_custkey", F.col("o_orderkey") % 50, F.col("o_custkey") % 7)
+    return _spread(orders.select(F.col("o_orderkey").alias("doc_id"), coords.points(text).alias("p"), coords.flag((F.col("o_custkey") % 3).cast("string")).alias("flag")).select("doc_id", "p", "flag").withColumn("p", F.col("p")), "p", 4).join(orders.select(F.col("o_orderkey").alias("doc_id"), coords.flag((F.col("o_custkey") % 3).cast("string")).alias("flag")), "doc_id")
+
+
+# ---- files, pairing, training
+
+@query(r"SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\.[^.]*$', '') AS stem, lower(regexp_extract(regexp_extract(url, '([^/]*)$', 1), '\.([^.]*)$', 1)) AS ending FROM pages")
+def path_parts(spark, sf_dir):
+    url = F.col("url")
+    return _table(spark, sf_dir, "pages").select("page_id", files.base_name(url).alias("name"), files.stem(url).alias("stem"), files.ending(url).alias("ending"))
+
+
+@query(
+    """WITH i AS (SELECT 'doc' || CAST(doc_id AS VARCHAR) || '.jpg' AS filename, count(*) AS matches FROM labels GROUP BY 1)
+    SELECT 'xml/' || CAST(doc_id AS VARCHAR) AS path, 'doc' || CAST(doc_id AS VARCHAR) || '.jpg' AS filename, CASE WHEN matches = 1 THEN 'img/doc' || CAST(doc_id AS VARCHAR) || '.jpg' END AS image, coalesce(matches, 0) AS matches
+    FROM documents LEFT JOIN i ON filename = 'doc' || CAST(doc_id AS VARCHAR) || '.jpg'"""
+)
+def pairing(spark, sf_dir):
+    """Documents with the one label row of their number, as annotations with images."""
+    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".jpg"))
+    annotations = _table(spark, sf_dir, "documents").select(F.concat(F.lit("xml/"), F.col("doc_id").cast("string")).alias("path"), name.alias("filename"))
+    return paired(annotations, _table(spark, sf_dir, "labels").select(F.concat(F.lit("img/"), name).alias("path")), strict=False)
+
+
+@query("SELECT 'a/' || CAST(o_orderkey AS VARCHAR) || '.png' AS path, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_discount > 0.05) AS has_sibling FROM orders")
+def siblings(spark, sf_dir):
+    """Files that have, and that lack, a sibling of the same stem."""
+    images = _table(spark, sf_dir, "orders").select(F.format_string("a/%d.png", "o_orderkey").alias("path"))
+    others = _table(spark, sf_dir, "lineitem").where("l_discount > 0.05").select(F.format_string("a/%d.json", "l_orderkey").alias("path"))
+    return files.with_sibling(images, others).withColumn("has_sibling", F.lit(True)).unionByName(files.without_sibling(images, others).withColumn("has_sibling", F.lit(False)))
+
+
+@query(
+    """WITH p AS (SELECT l_returnflag AS channel, CASE WHEN l_discount >= 0.08 THEN 1 ELSE 0 END AS target, CASE WHEN abs(l_tax - CASE WHEN l_discount >= 0.08 THEN 1 ELSE 0 END) <= 1 THEN 0.5 * (l_tax - CASE WHEN l_discount >= 0.08 THEN 1 ELSE 0 END) ^ 2 ELSE 0 END AS loss, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem),
+    c AS (SELECT *, sum(target) OVER w AS n_positive, count(*) OVER w AS n_all FROM p WINDOW w AS (PARTITION BY channel)),
+    k AS (SELECT *, CASE WHEN n_positive > 0 THEN least(n_positive * 3, n_all - 1) ELSE 10000 END AS k, row_number() OVER (PARTITION BY channel ORDER BY CASE WHEN target > 0 THEN 0 ELSE loss END DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rank FROM c)
+    SELECT channel, CAST(max(n_positive) AS BIGINT) AS n_positive, CAST(max(k) AS BIGINT) AS k, count(*) FILTER (target > 0 OR rank <= k) AS n_selected, round(sum(loss) FILTER (target > 0 OR rank <= k) / max(n_positive + k), 6) AS loss FROM k GROUP BY channel"""
+)
+def hard_negative_loss(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("channel"), (F.col("l_discount") >= 0.08).cast("int").alias("target"), F.col("l_tax").alias("pred"), F.lit(1.0).alias("weight"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    chosen = training.selected_losses(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
+    return training.channel_losses(chosen).withColumn("loss", F.round("loss", 6))
+
+
+@query(
+    """WITH d AS (SELECT o_orderkey, CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS draw FROM orders),
+    w AS (SELECT r_name AS dataset, r_regionkey + 1 AS weight FROM region), s AS (SELECT dataset, weight, sum(weight) OVER (ORDER BY dataset)::DOUBLE / (SELECT sum(weight) FROM w) AS hi FROM w)
+    SELECT o_orderkey, min_by(dataset, hi) AS dataset FROM d, s WHERE draw < hi GROUP BY o_orderkey"""
+)
+def dataset_mixture(spark, sf_dir):
+    """Each order drawn to a region with the chance of its weight."""
+    draws = _table(spark, sf_dir, "orders").select("o_orderkey", training.hash_draw(F.col("o_orderkey")).alias("draw"))
+    weights = _table(spark, sf_dir, "region").select(F.col("r_name").alias("dataset"), (F.col("r_regionkey") + 1).alias("weight"))
+    return training.mixture(draws, weights).select("o_orderkey", "dataset")
+
+
+@query("SELECT user_id, arg_max(event_id, (value, -event_id)) AS best, max(value) AS score, count(*) AS n FROM events GROUP BY user_id")
+def best_so_far(spark, sf_dir):
+    """The record with the best value of each user, as checkpoints are chosen; ties: the first."""
+    return _table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("best"), F.max("value").alias("score"), F.count("*").alias("n"))
+
+
+TRUTH = """WITH g AS (SELECT p_partkey AS doc_id, CAST(20 + p_partkey % 9 AS INT) AS x, CAST(15 + p_size AS INT) AS y FROM part),
+    c AS (SELECT doc_id, unnest([x, x + 12, x + 12, x]) AS cx, unnest([y, y, y + 9, y + 9]) AS cy FROM g),
+    h AS (SELECT doc_id, cy + dy AS y, cx + dx AS x, max(exp(-(dx * dx + dy * dy) / 8.0::DOUBLE)) AS score FROM c, (SELECT unnest(generate_series(-5, 5)) AS dx), (SELECT unnest(generate_series(-5, 5)) AS dy) GROUP BY ALL)"""
+
+
+@query(TRUTH + " SELECT doc_id, count(*) AS n, round(sum(score), 3) AS heat FROM h WHERE CAST(score AS FLOAT) >= 0.05::FLOAT GROUP BY doc_id")
+def corner_heat(spark, sf_dir):
+    """The heat of a cell's four corners for each part."""
+    x, y = (20 + F.col("p_partkey") % 9).cast("int"), (15 + F.col("p_size")).cast("int")
+    boxes = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), cells.quad(x, y, x + 12, y + 9).alias("quad"))
+    return training.corner_heat(boxes, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("score").cast("double")), 3).alias("heat"))
+
+
+@query(
+    """WITH g AS (SELECT p_partkey AS doc_id, CAST(2 + p_partkey % 3 AS INT) AS n_rows, CAST(2 + p_size % 3 AS INT) AS n_cols FROM part)
+    SELECT doc_id, 1 AS id, n_rows, n_cols, CAST(n_rows * n_cols AS INT) AS n_cells, '0.0' AS angle FROM g"""
+)
+def recovered_tables(spark, sf_dir):
+    """For each part a ruled grid is drawn as a score map; its rows, columns and cells must come back."""
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), (2 + F.col("p_partkey") % 3).cast("int").alias("n_rows"), (2 + F.col("p_size") % 3).cast("int").alias("n_cols"))
+    grid = part.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)))
+    x, y = 10 + F.col("i") * 30, 12 + F.col("j") * 20
+    drawn = training.rasterised(grid.select("doc_id", cells.quad(x, y, x + 30, y + 20).alias("quad"), *[F.lit(True).alias(c) for c in ("top", "bottom", "left", "right")]))
+    found = recover_tables(drawn, limits=Limits(turn=False))
+    last = lambda c: (F.array_max(F.transform("cells", lambda e: e[c][1])) + 1).cast("int")
+    return found.select("doc_id", F.col("id").cast("int").alias("id"), last("row_range").alias("n_rows"), last("col_range").alias("n_cols"), F.size("cells").alias("n_cells"), "angle")
+
+
+@query()
+def turned_pixels(spark, sf_dir):
+    """The maps' pixels turned by three degrees, bilinear; tested against a dense rotation."""
+    dots = _dots(spark, sf_dir).withColumn("channel", F.lit(1)).withColumn("angle", F.lit(3.0))
+    return rotation.rotate(dots, ["doc_id"], 64, 512).select("doc_id", "y", "x")
+
+
+@query()
+def result_documents(spark, sf_dir):
+    """Result XML of a table for each order; read back in the tests."""
+    grid = _grid(spark, sf_dir).withColumn("comp", F.lit(1))
+    found = cells.tables(cells.merge_cells(grid, ["doc_id", "comp"]), grid.select("doc_id", "comp", F.lit(1).alias("rank")).distinct())
+    return sinks.result_xml(found.withColumn("file_name", F.format_string("doc%d.jpg", "doc_id")))
