@@ -138,11 +138,14 @@ class Steps:
         tier = sum(x.length for x in window)
         rows = self.waiting.setdefault(tier, [])
         rows.append((number, window))
-        if len(rows) * tier >= DEAL * self.group_tokens:
-            yield from self.deal(tier)
+        full = DEAL * self.group_tokens // tier
+        if len(rows) >= 2 * full:  # so much is held back that the last groups are alike, too
+            yield from self.deal(tier, full)
 
-    def deal(self, tier: int) -> Iterator[tuple[int, int, list[Piece]]]:
-        rows = self.waiting.pop(tier)
+    def deal(self, tier: int, most: int | None = None) -> Iterator[tuple[int, int, list[Piece]]]:
+        rows, self.waiting[tier] = self.waiting[tier][:most], self.waiting[tier][most:] if most else []
+        if not rows:
+            return
         groups = max(1, round(len(rows) * tier / self.group_tokens))
         rows.sort(key=lambda x: -sum(p.length**2 for p in x[1]))
         for k, (number, window) in enumerate(rows):

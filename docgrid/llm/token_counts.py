@@ -74,7 +74,7 @@ def count_tokens(documents: DataFrame, path: str, cache: str, limit: int = 4096)
                 counts = counts_of(part.column(1).to_pylist(), path)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
-    encoded = fresh.mapInArrow(run, "digest binary, n_tokens long")
+    encoded = fresh.mapInArrow(run, "digest binary, n_tokens long").dropDuplicates(["digest"])  # narrow: of rows that repeat, ids and all
     encoded.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     counted = rows.join(_stored(spark, cache, version), "digest")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
