@@ -63,8 +63,11 @@ def label_by_rounds(pixels: DataFrame, by: Sequence[str] = ("doc_id",), most_rou
         sent = now.select(*keys, "y", "x", "root", near.alias("k")).select(*keys, (F.col("y") + F.col("k.dy")).alias("y"), (F.col("x") + F.col("k.dx")).alias("x"), "root")
         least = sent.groupBy(*keys, "y", "x").agg(F.min("root").alias("least"))
         moved = now.join(least, [*keys, "y", "x"])
-        jump = moved.select(*keys, place.alias("root_at"), F.col("least").alias("root_of"))
-        after = settled(moved.join(jump, [*[moved[k].eqNullSafe(jump[k]) for k in keys], moved["least"] == jump["root_at"]]).select(*[moved[k] for k in keys], moved["y"], moved["x"], jump["root_of"].alias("root"), (moved["root"] != jump["root_of"]).alias("changed")))
+        jump = moved.select(*[F.col(k).alias(f"_{k}") for k in keys], place.alias("_at"), F.col("least").alias("_of"))
+        same = F.col("least") == F.col("_at")
+        for k in keys:
+            same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+        after = settled(moved.join(jump, same).select(*keys, "y", "x", F.col("_of").alias("root"), (F.col("root") != F.col("_of")).alias("changed")))
         now = after.drop("changed")
         if after.where("changed").isEmpty():
             return now
