@@ -19,6 +19,7 @@ words are ignored. Ids may be null or repeat: one row per document row and item
 looked at.
 """
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -200,6 +201,21 @@ class Matcher:
         return out
 
 
+#: The matcher that this worker built last, under a hash of its items: tasks of one job share it.
+_built: dict[str, Matcher] = {}
+
+
+def _matcher(block: list[tuple[object, str]], similarity: float, key: str) -> Matcher:
+    if key not in _built:
+        _built.clear()
+        _built[key] = Matcher(block, similarity)
+    return _built[key]
+
+
+def _key(block: list[tuple[object, str]], similarity: float) -> str:
+    return hashlib.sha256(repr((similarity, block)).encode("utf-8", "replace")).hexdigest()
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
     block, size = [], 0
     for row in benchmark.select("item_id", text_or_empty().alias("text")).toLocalIterator():
@@ -223,10 +239,10 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, similarity: float = S
 
 
 def _runner(block: list[tuple[object, str]], similarity: float):
-    made: list[Matcher] = []
+    key = _key(block, similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = made[0] if made else Matcher(block, similarity)
+        matcher = _matcher(block, similarity, key)
         for batch in batches:
             lowered = [(x or "").lower() for x in batch.column(1).to_pylist()]
             rows: list[list] = [[] for _ in range(6)]
@@ -256,15 +272,13 @@ def drop_leaks(documents: DataFrame, benchmark: DataFrame, similarity: float = S
 
 
 def _contains(block: list[tuple[object, str]], similarity: float):
-    made: list[Matcher] = []
+    key = _key(block, similarity)
 
     @F.pandas_udf("boolean")
     def contains(texts):
         import pandas as pd
 
-        matcher = Matcher(block, similarity) if not made else made[0]
-        if not made:
-            made.append(matcher)
+        matcher = _matcher(block, similarity, key)
         found = {d for d, *_ in matcher.matches([W.hashes(W.WORD.findall((x or "").lower())) for x in texts])}
         return pd.Series([d in found for d in range(len(texts))])
 
