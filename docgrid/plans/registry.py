@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docgrid.functions import coords
+from docgrid.functions import augment, coords
 from docgrid.operators import cells, components, lines, raster, rotation, training
 from docgrid.plans.recovery import Limits, recover_tables
 from docgrid.sources import files, sinks
@@ -523,3 +523,46 @@ def result_documents(spark, sf_dir):
     grid = _grid(spark, sf_dir).withColumn("comp", F.lit(1))
     found = cells.tables(cells.merge_cells(grid, ["doc_id", "comp"]), grid.select("doc_id", "comp", F.lit(1).alias("rank")).distinct())
     return sinks.result_xml(found.withColumn("file_name", F.format_string("doc%d.jpg", "doc_id")))
+
+
+# ---- augmentation
+
+
+def _md5(name: str) -> str:
+    return f"(CAST('0x' || substr(md5(CAST(k AS VARCHAR) || ':{name}'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+_PIXELS = """SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_extendedprice AS e, CAST(l_quantity * 5 AS DOUBLE) AS b, CAST(l_partkey % 256 AS DOUBLE) AS g, CAST(l_suppkey % 256 AS DOUBLE) AS r FROM lineitem"""
+_CUT = "least(greatest({}, 0.0::DOUBLE), 255.0::DOUBLE)"
+
+
+def _photometric_sql() -> str:
+    lit = ", ".join(f"CASE WHEN {_md5('brightness?')} < 0.5 THEN {_CUT.format(f'{c} + (-16.0::DOUBLE + {_md5("brightness")} * 32.0::DOUBLE)')} ELSE {c} END AS {c}" for c in "bgr")
+    scale = lambda c: f"CASE WHEN {_md5('contrast?')} < 0.5 THEN {_CUT.format(f'{c} * (0.5::DOUBLE + {_md5("contrast")})')} ELSE {c} END"
+    hsv = "SELECT *, greatest(b, g, r) AS v, greatest(b, g, r) - least(b, g, r) AS span FROM {0}"
+    turn = "SELECT *, CASE WHEN span = 0 THEN 0 WHEN v = r THEN 60 * (g - b) / span WHEN v = g THEN 120 + 60 * (b - r) / span ELSE 240 + 60 * (r - g) / span END AS t, CASE WHEN v = 0 THEN 0 ELSE span / v END AS s FROM ({0})"
+    hue = f"SELECT *, CASE WHEN t < 0 THEN t + 360 ELSE t END + CASE WHEN {_md5('hue?')} < 0.5 THEN -36.0::DOUBLE + {_md5('hue')} * 72.0::DOUBLE ELSE 0 END AS h0 FROM ({{0}})"
+    wrap = "SELECT * REPLACE (CASE WHEN h0 > 360 THEN h0 - 360 WHEN h0 < 0 THEN h0 + 360 ELSE h0 END AS h0) FROM ({0})"
+    part = lambda n: f"v - v * s * greatest(0.0::DOUBLE, least(({n} + h0 / 60) % 6, 4 - ({n} + h0 / 60) % 6, 1.0::DOUBLE))"
+    back = f"SELECT k, n, p, e, {part(1)} AS b, {part(3)} AS g, {part(5)} AS r FROM ({{0}})"
+    chain = lambda source: back.format(wrap.format(hue.format(turn.format(hsv.format(source)))))
+    scaled = "SELECT k, n, p, e, " + ", ".join(f"{scale(c)} AS {c}" for c in "bgr") + " FROM {0}"
+    first, last = chain("(" + scaled.format("lit") + ")"), scaled.format("(" + chain("lit") + ")")
+    out = ", ".join(f"round({_CUT.format(c)}, 4) AS {c}" for c in "bgr")
+    return f"WITH px AS ({_PIXELS}), lit AS (SELECT k, n, p, e, {lit} FROM px) SELECT k AS image, n, p, e, {out} FROM (SELECT * FROM ({first}) WHERE {_md5('order')} < 0.5 UNION ALL SELECT * FROM ({last}) WHERE {_md5('order')} >= 0.5)"
+
+
+@query(_photometric_sql())
+def photometric_pixels(spark, sf_dir):
+    """Pixels of each order's image with their colours distorted as the order's draws say."""
+    item = _table(spark, sf_dir, "lineitem")
+    colours = [(F.col("l_quantity") * 5).cast("double"), (F.col("l_partkey") % 256).cast("double"), (F.col("l_suppkey") % 256).cast("double")]
+    pixels = item.select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_extendedprice").alias("e"), *[c.alias(n) for n, c in zip("bgr", colours, strict=True)])
+    return augment.distorted(pixels, ("b", "g", "r"), "image").withColumns({c: F.round(c, 4) for c in "bgr"})
+
+
+@query()
+def augmented_boxes(spark, sf_dir):
+    """Boxes of each order after perspective, resize and crop; tested against numpy."""
+    boxes = _quads(spark, sf_dir).select("doc_id", F.lit(800).alias("width"), F.lit(600).alias("height"), F.transform("quad", lambda v: v / 997.0).alias("quad"))
+    return _spread(augment.augmented_boxes(boxes, "doc_id", 1024).withColumn("q", F.transform("quad", lambda v: F.round(v, 6))), "q")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docgrid.functions import coords
+from docgrid.functions import augment, coords
 from docgrid.operators import cells, components, lines, raster, rotation, training
 from docgrid.plans.recovery import Limits, recover_tables
 from docgrid.schemas import HORIZONTAL, IMPLICIT_VERTICAL, PIXEL, VERTICAL
@@ -290,3 +290,36 @@ def test_channels_and_implicit_dilation(spark):
     kept = raster.above_threshold(pixels)
     assert [(r.channel, r.x) for r in kept.collect()] == [(IMPLICIT_VERTICAL, 0)]  # 0.3 as a float isn't above 0.3 as a float
     assert sorted(r.x for r in raster.dilate_x(kept, ["doc_id"], 2).collect()) == [0, 1, 2]
+
+
+# ---- augmentation
+
+
+def test_colours_go_to_hue_and_back(spark):
+    import colorsys
+
+    rng = random.Random(4)
+    rows = [tuple(float(rng.choice([0, 40, 128, 255])) for _ in range(3)) for _ in range(40)]
+    table = spark.createDataFrame(rows, "b double, g double, r double")
+    h, s, v = augment.to_hsv(F.col("b"), F.col("g"), F.col("r"))
+    for row in table.select("b", "g", "r", h.alias("h"), s.alias("s"), v.alias("v"), *[c.alias(n) for n, c in zip(("b2", "g2", "r2"), augment.from_hsv(h, s, v), strict=True)]).collect():
+        expected = colorsys.rgb_to_hsv(row.r / 255, row.g / 255, row.b / 255)
+        assert np.allclose((row.h / 360, row.s, row.v / 255), expected) and np.allclose((row.b2, row.g2, row.r2), (row.b, row.g, row.r))
+
+
+def test_perspective_takes_the_corners_where_it_should(spark):
+    to = [5, -3, 790, 8, 810, 590, -4, 603]
+    h = augment.corners_map(F.lit(800), F.lit(600), [F.lit(v) for v in to])
+    corners = F.array(*[F.lit(float(v)) for v in (0, 0, 799, 0, 799, 599, 0, 599)])
+    assert np.allclose(spark.range(1).select(augment.warped(corners, h)).first()[0], to)
+
+
+def test_boxes_follow_the_image(spark):
+    boxes = spark.createDataFrame([(k, 800, 600, [0.1, 0.1, 0.6, 0.1, 0.6, 0.5, 0.1, 0.5]) for k in range(60)], "doc_id long, width int, height int, quad array<double>")
+    out = augment.augmented_boxes(boxes, "doc_id", 1024)
+    rows = out.withColumn("moved", augment.draw(F.col("doc_id"), "perspective?") < 0.5).collect()
+    assert 10 < sum(r.moved for r in rows) < 50
+    for r in (r for r in rows if not r.moved):  # an upright box stays one, in the image's proportions
+        q = np.array(r.quad).reshape(4, 2)
+        assert np.isclose((q[1, 0] - q[0, 0]) / (q[3, 1] - q[0, 1]), 400 / 240)
+        assert 0.5 * 400 / 1024 - 1e-3 <= q[1, 0] - q[0, 0] <= 2 * 400 / 1024
