@@ -14,6 +14,8 @@ from docgrid.operators.groups import map_groups
 def _labels(group: pa.Table) -> dict:
     """Component numbers of one map's pixels, sorted by row and place."""
     y, x = group.column("y").to_numpy(), group.column("x").to_numpy()
+    new = np.concatenate(([True], (np.diff(y) != 0) | (np.diff(x) != 0)))
+    y, x = y[new], x[new]
     run = np.cumsum(np.concatenate(([0], (np.diff(y) != 0) | (np.diff(x) != 1))))
     first = np.concatenate(([0], np.flatnonzero(np.diff(run)) + 1))
     last = np.concatenate((first[1:] - 1, [len(y) - 1]))
@@ -45,7 +47,7 @@ def label_pixels(pixels: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFram
     A map's pixels are one group (a page fits in a task); within it, runs of a row are joined to overlapping runs
     of the row above.
     """
-    return map_groups(pixels.select(*by, "y", "x").distinct(), by, ["y", "x"], _labels, "y int, x int, comp int")
+    return map_groups(pixels.select(*by, "y", "x"), by, ["y", "x"], _labels, "y int, x int, comp int")
 
 
 def label_by_rounds(pixels: DataFrame, by: Sequence[str] = ("doc_id",), most_rounds: int = 200) -> DataFrame:
