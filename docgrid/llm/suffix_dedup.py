@@ -112,9 +112,11 @@ def shared_passages(documents: DataFrame, least: int = LEAST, key: int = KEY) ->
     array = pinned(suffixes(rows, least, key)).orderBy("key", "row")
     candidates = array.mapInArrow(_neighbours, "row long, at int").groupBy("row").agg(F.collect_list("at").alias("places"))
     compared = pinned(rows.select("row", "text").join(candidates, "row").mapInArrow(_passages(least, key), "passage long, row long, start int"))
-    several = compared.groupBy("passage").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a <> b").select("passage")
-    starts = compared.join(several, "passage", "left_semi").select("row", "start").distinct()
+    # written, so that both sides of the join have an exchange of their own and Spark can split a hot passage's rows
+    several = pinned(compared.groupBy("passage").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a <> b").select("passage"))
+    starts = compared.join(several, "passage", "left_semi").select("row", "start")
     order = Window.partitionBy("row").orderBy("start")
+    # of rows that repeat, starts come twice: they open no island
     islands = starts.withColumn("new", (F.col("start") > F.coalesce(F.lag("start").over(order), F.lit(-least - 1)) + least).cast("int"))
     islands = islands.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     spans = islands.groupBy("row", "island").agg(F.min("start").cast("long").alias("start_word"), (F.max("start") + least).cast("long").alias("end_word"))
