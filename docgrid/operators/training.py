@@ -10,6 +10,8 @@ from docgrid.schemas import CORNER, HORIZONTAL, IMPLICIT_HORIZONTAL, IMPLICIT_VE
 
 #: Reach of a corner's heat in pixels, its width, the least heat that counts, negatives for each positive, negatives without any.
 REACH, SPREAD, LEAST_HEAT, NEGATIVES, NONE_POSITIVE = 5, 2.0, 0.05, 3, 10_000
+#: A mixture has at most so many datasets: the bound of what is broadcast.
+MOST_DATASETS = 100_000
 
 
 def corner_heat(cells: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -71,8 +73,8 @@ def hash_draw(key: Column) -> Column:
 
 
 def mixture(draws: DataFrame, weights: DataFrame) -> DataFrame:
-    """Draws (draw in [0, 1), ...) with the dataset that they fall to; weights (dataset, weight): a row per dataset."""
+    """Draws (draw in [0, 1), ...) with the dataset that they fall to; weights (dataset, weight): a row for each of at most MOST_DATASETS."""
     order = Window.orderBy("dataset").rowsBetween(Window.unboundedPreceding, 0)
-    total = weights.agg(F.sum("weight").alias("total"))
+    total = weights.agg(F.sum("weight").alias("total"), F.count("*").alias("n")).where(F.assert_true(F.col("n") <= MOST_DATASETS).isNull()).drop("n")
     shares = weights.join(F.broadcast(total)).withColumn("hi", F.sum("weight").over(order) / F.col("total")).withColumn("lo", F.col("hi") - F.col("weight") / F.col("total"))
     return draws.join(F.broadcast(shares.select("dataset", "lo", "hi")), (F.col("draw") >= F.col("lo")) & (F.col("draw") < F.col("hi"))).drop("lo", "hi")

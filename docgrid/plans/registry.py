@@ -274,13 +274,27 @@ def _line_rows(spark, sf_dir):
     """Lines of both kinds for each order: by turns explicit and implicit."""
     item = _table(spark, sf_dir, "lineitem")
     s = F.col("l_quantity").cast("int") * 10
-    rows = item.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_suppkey") % 2).cast("int").alias("comp"), s.alias("s"), (s + 6 + F.col("l_linenumber")).alias("e"), (s + 3).alias("center"), F.col("l_linenumber").alias("rs"), (F.col("l_linenumber") + 20).alias("re"), (F.col("l_partkey") % 2 == 0).alias("implicit")).distinct()
+    rows = item.select(F.col("l_orderkey").alias("doc_id"), s.alias("s"), (s + 6 + F.col("l_linenumber")).alias("e"), (s + 3).alias("center"), F.col("l_linenumber").alias("rs"), (F.col("l_linenumber") + 20).alias("re"), (F.col("l_partkey") % 2 == 0).alias("implicit")).distinct()
     return rows.withColumn("region_list", F.array(F.struct(F.col("rs").alias("a"), F.col("re").alias("b"))))
 
 
-@query()
+@query(
+    """WITH l AS (SELECT DISTINCT l_orderkey AS doc_id, CAST(l_quantity AS INT) * 10 AS s, CAST(l_quantity AS INT) * 10 + 6 + l_linenumber AS e, CAST(l_quantity AS INT) * 10 + 3 AS center,
+        l_linenumber AS rs, l_linenumber + 20 AS re, l_partkey % 2 = 0 AS implicit FROM lineitem),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, implicit ORDER BY s, e, center, rs, re) AS k FROM l),
+    walk AS (WITH RECURSIVE w AS (
+        SELECT DISTINCT doc_id, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS j, -1 AS nth, 0 AS s, 0 AS e, 0 AS center, 0 AS rs, 0 AS re, false AS implicit, 0 AS n_regions FROM n
+        UNION ALL
+        SELECT doc_id, i + CASE WHEN op < 2 THEN 1 ELSE 0 END, j + CASE WHEN op <> 1 THEN 1 ELSE 0 END, nth + 1, CASE WHEN op = 1 THEN a_s ELSE b_s END, CASE WHEN op = 1 THEN a_e ELSE b_e END, CASE WHEN op = 1 THEN a_c ELSE b_c END,
+            CASE op WHEN 0 THEN least(a_rs, b_rs) WHEN 1 THEN a_rs ELSE b_rs END, CASE op WHEN 0 THEN greatest(a_re, b_re) WHEN 1 THEN a_re ELSE b_re END, op <> 1, CASE WHEN op = 0 THEN 2 ELSE 1 END
+        FROM (SELECT w.doc_id, i, j, nth, a.s AS a_s, a.e AS a_e, a.center AS a_c, a.rs AS a_rs, a.re AS a_re, b.s AS b_s, b.e AS b_e, b.center AS b_c, b.rs AS b_rs, b.re AS b_re,
+                CASE WHEN a.k IS NULL THEN 2 WHEN b.k IS NULL THEN 1 WHEN a.center < b.center THEN CASE WHEN a.e > b.s THEN 0 ELSE 1 END WHEN a.s < b.e THEN 0 ELSE 2 END AS op
+            FROM w LEFT JOIN n a ON a.doc_id = w.doc_id AND NOT a.implicit AND a.k = w.i LEFT JOIN n b ON b.doc_id = w.doc_id AND b.implicit AND b.k = w.j WHERE a.k IS NOT NULL OR b.k IS NOT NULL))
+        SELECT * FROM w WHERE nth >= 0)
+    SELECT doc_id, CAST(nth AS INT) AS nth, s, e, center, rs, re, implicit, n_regions FROM walk"""
+)
 def merged_lines(spark, sf_dir):
-    """Explicit and implicit lines of each order in one order; tested against a plain walk."""
+    """Explicit and implicit lines of each order in one order."""
     return lines.merged(_line_rows(spark, sf_dir), ["doc_id"]).select("doc_id", "nth", "s", "e", "center", "rs", "re", "implicit", F.size("region_list").alias("n_regions"))
 
 
@@ -510,9 +524,16 @@ def recovered_tables(spark, sf_dir):
     return found.select("doc_id", F.col("id").cast("int").alias("id"), last("row_range").alias("n_rows"), last("col_range").alias("n_cols"), F.size("cells").alias("n_cells"), "angle")
 
 
-@query()
+@query(
+    BINARY
+    + """, a AS (SELECT *, cos(radians(3.0)) AS c, sin(radians(3.0)) AS s FROM dots),
+    near AS (SELECT *, CAST(round(c * (x - 32) + s * (y - 256) + 32) AS INT) + dx AS tx, CAST(round(c * (y - 256) - s * (x - 32) + 256) AS INT) + dy AS ty
+        FROM a, (SELECT unnest([-2, -1, 0, 1, 2]) AS dx), (SELECT unnest([-2, -1, 0, 1, 2]) AS dy)),
+    sent AS (SELECT *, greatest(0.0, 1 - abs(c * (tx - 32) - s * (ty - 256) + 32 - x)) * greatest(0.0, 1 - abs(c * (ty - 256) + s * (tx - 32) + 256 - y)) AS weight FROM near)
+    SELECT doc_id, ty AS y, tx AS x FROM sent WHERE tx >= 0 AND tx < 64 AND ty >= 0 AND ty < 512 GROUP BY ALL HAVING sum(weight) >= 0.5 - 1e-9"""
+)
 def turned_pixels(spark, sf_dir):
-    """The maps' pixels turned by three degrees, bilinear; tested against a dense rotation."""
+    """The maps' pixels turned by three degrees, bilinear."""
     dots = _dots(spark, sf_dir).withColumn("channel", F.lit(1)).withColumn("angle", F.lit(3.0))
     return rotation.rotate(dots, ["doc_id"], 64, 512).select("doc_id", "y", "x")
 
