@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: a document is a bag of sentences, and only the document has a label.
 
-A sentence's log-odds are a bias and the sum of its words' weights; a word's weight is the sum over its character
-n-grams (word ends marked) and itself. A document's probability is the noisy-or of its sentences': it is toxic
+A sentence's log-odds are a bias and the sum of its different words' weights (a word that is said twice counts
+once); a word's weight is the sum over its character n-grams (word ends marked) and itself. A document's probability is the noisy-or of its sentences': it is toxic
 unless every sentence is clean. The weights are fitted on document labels through the noisy-or, so the sentence
 scores that come out of it also say where the offending sentences are.
 
@@ -12,8 +12,10 @@ learnt from; if one of the two labels is missing altogether every sentence has t
 repeat: one row per row. Other columns are not looked at.
 """
 
+import heapq
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,22 +27,22 @@ from pyspark.sql import functions as F
 from docgrid.llm.common import held_out, labelled_sample, text_or_empty
 
 FIT_ROWS = 4000
-FEATURES = 6000
+FEATURES = 1500
 GRAMS = (4, 5)
 #: Of one labelled document, fitting uses at most so many code points, spread over sentences of the whole text.
 FIT_POINTS = 200_000
 #: Words whose weights a task remembers.
 REMEMBERED = 200_000
-#: A sentence ends at these.
-TOKEN = re.compile(r"\w+|[.!?\n]+")
-ENDS = frozenset(".!?\n")
+WORD = re.compile(r"\w+")
+#: What stands between these is a sentence, if it has words.
+SENTENCE = re.compile(r"[^.!?\n]+")
 STEPS = 250
 
 
-def grams(word: str) -> set[str]:
-    """Character n-grams of the word with its ends marked, and the whole word."""
+def grams(word: str) -> tuple[str, ...]:
+    """The word with its ends marked, and its character n-grams, each once."""
     marked = f"<{word}>"
-    return {marked} | {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)}
+    return tuple(dict.fromkeys([marked, *(marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1))]))
 
 
 class Weights(dict):
@@ -51,11 +53,8 @@ class Weights(dict):
         self.of = of
 
     def __missing__(self, word: str) -> float:
-        if word[0] in ENDS:
-            value = math.nan  # a sentence's end
-        else:
-            get = self.of.get
-            value = sum(get(g, 0.0) for g in grams(word))
+        get = self.of.get
+        value = sum(get(g, 0.0) for g in grams(word))
         if len(self) >= REMEMBERED:
             self.clear()
         self[word] = value
@@ -71,17 +70,11 @@ class Model:
         return {"weights": self.weights, "bias": self.bias, "_of": None}
 
     def sentence_odds(self, text: str) -> np.ndarray:
-        """Log-odds of each sentence, in order; runs of end marks make no sentence."""
+        """Log-odds of each sentence, in order."""
         if self._of is None:
             self._of = Weights(self.weights)
-        tokens = TOKEN.findall(text.lower())
-        values = np.fromiter(map(self._of.__getitem__, tokens), np.float64, len(tokens))
-        ends = np.isnan(values)
-        starts = np.flatnonzero(~ends & np.concatenate(([True], ends[:-1]))) if len(tokens) else np.zeros(0, int)
-        if not len(starts):
-            return np.zeros(0)
-        values[ends] = 0
-        return np.add.reduceat(values, starts) + self.bias
+        weight = self._of.__getitem__
+        return np.array([sum(map(weight, s)) for s in _sentences(text)], float) + self.bias
 
     def score(self, text: str) -> float:
         """The noisy-or over the sentences."""
@@ -90,70 +83,58 @@ class Model:
 
     def offending(self, text: str, least: float = 0.5) -> list[tuple[int, int, float]]:
         """(start, end, score) of sentences that reach `least`; places are code points of the text."""
-        odds, spans, inside = self.sentence_odds(text), [], False
         lowered = text.lower()
-        if len(lowered) != len(text):  # a few letters grow when lowered: places are then found in the original
+        if len(lowered) != len(text):  # a few letters grow when lowered: places are then those of the text as it is
             lowered = text
-        for m in TOKEN.finditer(lowered):
-            if m.group()[0] in ENDS:
-                inside = False
-            elif inside:
-                spans[-1][1] = m.end()
-            else:
-                spans.append([m.start(), m.end()])
-                inside = True
-        scores = 1 / (1 + np.exp(-odds))
+        spans = []
+        for m in SENTENCE.finditer(lowered):
+            found = [w.span() for w in WORD.finditer(m.group())]
+            if found:
+                spans.append((m.start() + found[0][0], m.start() + found[-1][1]))
+        scores = 1 / (1 + np.exp(-np.clip(self.sentence_odds(text), -500, 500)))
         return [(a, b, float(s)) for (a, b), s in zip(spans, scores, strict=False) if s >= least]
 
 
-def _sentences(text: str) -> list[list[str]]:
-    out, inside = [], False
-    for token in TOKEN.findall(text.lower()):
-        if token[0] in ENDS:
-            inside = False
-        elif inside:
-            out[-1].append(token)
-        else:
-            out.append([token])
-            inside = True
-    if len(text) > FIT_POINTS:
-        most = max(1, len(out) * FIT_POINTS // len(text))
-        out = [out[i] for i in np.linspace(0, len(out) - 1, most).round().astype(int)]
-    return out
+def _sentences(text: str) -> list[dict[str, None]]:
+    """The different words of each sentence, in order."""
+    return [words for part in SENTENCE.findall(text.lower()) if (words := dict.fromkeys(WORD.findall(part)))]
+
+
+def _spread(sentences: list, points: int) -> list:
+    """Of a text of more than FIT_POINTS code points, so large a share of the sentences, evenly spread."""
+    if points <= FIT_POINTS:
+        return sentences
+    most = max(1, len(sentences) * FIT_POINTS // points)
+    return [sentences[i] for i in np.linspace(0, len(sentences) - 1, most).round().astype(int)] if sentences else []
 
 
 def fit(texts: list[str], y: np.ndarray, rate: float, features: int = FEATURES, steps: int = STEPS) -> Model:
     """Adam on the cross-entropy of the noisy-or, all documents at once; rate: the true share of label 1."""
-    docs = [_sentences(t) for t in texts]
-    of: dict[str, set[str]] = {}
     seen = {0: Counter(), 1: Counter()}
-    for doc, label in zip(docs, y.tolist(), strict=True):
-        own: set[str] = set()
-        for word in {w for s in doc for w in s}:
-            if word not in of:
-                of[word] = grams(word)
-            own |= of[word]
-        seen[int(label)].update(own)
+    for text, label in zip(texts, y.tolist(), strict=True):
+        seen[int(label)].update({g for w in {w for s in _spread(_sentences(text), len(text)) for w in s} for g in grams(w)})
     n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
     lift = lambda g: abs(seen[1][g] / n1 - seen[0][g] / n0) * abs(math.log((seen[1][g] + 1) / (n1 + 2) * (n0 + 2) / (seen[0][g] + 1)))
-    names = sorted((g for g in {*seen[0], *seen[1]} if seen[1][g] + seen[0][g] >= 4), key=lambda g: (-lift(g), g))[:features]
+    common = (g for part in seen.values() for g in part if seen[1][g] + seen[0][g] >= 4)
+    names = sorted({*heapq.nsmallest(2 * features, common, key=lambda g: (-lift(g), g))}, key=lambda g: (-lift(g), g))[:features]
     index = {g: k for k, g in enumerate(names)}
-    ids = {w: [index[g] for g in gs if g in index] for w, gs in of.items()}
-    columns, sentence, owner = [], [], []
-    for d, doc in enumerate(docs):
-        for s in doc:
-            for w in s:
-                columns += ids[w]
-                sentence += [len(owner)] * len(ids[w])
+    del seen
+    # texts are cut to words a second time, so that only numbers are held
+    columns, sentence, owner = array("i"), array("i"), array("i")
+    for d, text in enumerate(texts):
+        for s in _spread(_sentences(text), len(text)):
+            own = [index[g] for w in s for g in grams(w) if g in index]
+            columns.extend(own)
+            sentence.extend([len(owner)] * len(own))
             owner.append(d)
-    columns, sentence, owner = np.array(columns, np.int64), np.array(sentence, np.int64), np.array(owner, np.int64)
+    columns, sentence, owner = (np.array(x, np.int32) for x in (columns, sentence, owner))
     weight = np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean())) / len(y)
     w, bias = np.zeros(len(names)), -5.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, steps + 1):
         odds = np.bincount(sentence, w[columns], len(owner)) + bias
         p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        clean = np.bincount(owner, np.logaddexp(0, odds), len(docs))  # minus the log of the chance that all are clean
+        clean = np.bincount(owner, np.logaddexp(0, odds), len(y))  # minus the log of the chance that all are clean
         toxic = np.maximum(-np.expm1(-clean), 1e-9)
         pull = np.where(y == 1, -(1 - toxic) / toxic, 1.0) * weight
         d = pull[owner] * p
