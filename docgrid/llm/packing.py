@@ -50,9 +50,20 @@ def encoder(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
+@functools.cache
+def json_encoder(path: str):
+    """The same vocabulary in its .json form."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json")
+
+
 def token_ids(text: str, path: str) -> np.ndarray:
     """ids of a whole text and the end id; strings of special tokens are those tokens."""
-    ids = encoder(path).encode_to_numpy(text, allowed_special="all")
+    try:
+        ids = encoder(path).encode_to_numpy(text, allowed_special="all")
+    except ValueError:  # its pattern gives up on hundreds of thousands of blanks in a row; the slower form takes them
+        ids = json_encoder(path).encode(text, add_special_tokens=False).ids
     return np.append(ids, END_ID).astype("<u4")
 
 

@@ -49,6 +49,12 @@ def test_packing_nasty(nasty, empty):
     assert packing.pack_documents(empty, RANKS).count() == 0
 
 
+def test_a_million_blanks():
+    text = "a" + " " * 1_000_000 + "b\n" + "\n" * 300_000 + "c"
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.token_ids(text, RANKS).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_packing_pads_less_than_a_window_a_task(documents):
     table = documents.repartition(3)
     pieces, sequences, padding = check_packing(table)
