@@ -140,7 +140,7 @@ def corner_peaks(spark, sf_dir):
 )
 def line_regions(spark, sf_dir):
     """The extent and the regions of each island, in bands of eight columns."""
-    dots = _dots(spark, sf_dir).select("doc_id", F.floor(F.col("x") / 8).alias("band"), (F.col("x") % 8).alias("x"), "y")
+    dots = _dots(spark, sf_dir).select("doc_id", F.floor(F.col("x") / 8).cast("int").alias("band"), (F.col("x") % 8).alias("x"), "y")
     found = lines.islands(raster.projection(dots, "x", ["doc_id", "band"]), ["doc_id", "band"], 0)
     out = lines.regions(found, dots, "x", ["doc_id", "band"])
     covered = F.aggregate("region_list", F.lit(0).cast("long"), lambda a, r: a + r["b"] - r["a"])
