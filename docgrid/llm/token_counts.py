@@ -64,7 +64,8 @@ def count_tokens(documents: DataFrame, path: str, cache: str, limit: int = 4096)
     version = hashlib.sha256(Path(path).read_bytes()).hexdigest()
     texts = documents.select("doc_id", text_or_empty().alias("text")).withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     rows = pinned(texts.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")))
-    misses = rows.join(_stored(spark, cache, version), "digest", "left_anti").groupBy("digest").agg(F.min("doc_id").alias("one_id"))
+    # grouped first, so that copies are reduced before they are shuffled
+    misses = rows.groupBy("digest").agg(F.min("doc_id").alias("one_id")).join(_stored(spark, cache, version), "digest", "left_anti")
     fresh = texts.join(misses.withColumnRenamed("digest", "one"), F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("digest") == F.col("one")), "left_semi").select("digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,5 +77,6 @@ def count_tokens(documents: DataFrame, path: str, cache: str, limit: int = 4096)
 
     encoded = fresh.mapInArrow(run, "digest binary, n_tokens long").dropDuplicates(["digest"])  # narrow: of rows that repeat, ids and all
     encoded.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    counted = rows.join(_stored(spark, cache, version), "digest")
+    # written, so that both sides of the join have an exchange of their own and Spark can split a hot digest's rows
+    counted = rows.join(pinned(_stored(spark, cache, version)), "digest")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
