@@ -32,7 +32,9 @@ GRAMS = (4, 5)
 #: Of one labelled document, fitting uses at most so many code points, spread over sentences of the whole text.
 FIT_POINTS = 200_000
 #: Words whose weights a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+#: Texts that are taken out of a batch at a time.
+TOGETHER = 256
 WORD = re.compile(r"\w+")
 #: What stands between these is a sentence, if it has words.
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -161,10 +163,12 @@ def score_toxicity(documents: DataFrame, model: Model, least: float = 0.5) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            scores = [model.score(x) for x in texts]
-            found = [[{"start": a, "end": b, "score": s} for a, b, s in model.offending(x)] if p >= least else [] for x, p in zip(texts, scores, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(found, kind)], ["doc_id", "score", "sentences"])
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                texts = [x or "" for x in part.column(1).to_pylist()]
+                scores = [model.score(x) for x in texts]
+                found = [[{"start": a, "end": b, "score": s} for a, b, s in model.offending(x)] if p >= least else [] for x, p in zip(texts, scores, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(found, kind)], ["doc_id", "score", "sentences"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, score double, sentences array<struct<start: long, end: long, score: double>>")
