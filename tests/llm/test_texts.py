@@ -218,6 +218,28 @@ def test_leaks_reach_recall_and_are_exact():
         assert e <= decontam.edits_allowed(len(item)) and e == edits(item.tolist(), texts[d][a:b].tolist())
 
 
+@pytest.mark.parametrize("n", [5, 12, 25, 50, 51, 59, 75, 100, 150, 200, 300])
+@pytest.mark.parametrize("kind", ["substitutions", "insertions", "deletions"])
+def test_leaks_reach_recall_at_all_lengths(n, kind):
+    """Items of any length are found at exactly the allowed edits, of one kind."""
+    rng, tries = random.Random(f"{n} {kind}"), 40
+    word = lambda: f"w{rng.randrange(20000)}"
+    items = [[word() for _ in range(n)] for _ in range(tries)]
+    texts = []
+    for item in items:
+        passage, most = list(item), decontam.edits_allowed(n)
+        if kind == "insertions":
+            for _ in range(most):
+                passage.insert(rng.randrange(1, len(passage)), word())
+        else:
+            for at in sorted(rng.sample(range(n), most), reverse=True):
+                passage[at : at + 1] = [word()] if kind == "substitutions" else []
+        before, after = ([word() for _ in range(rng.randrange(80))] for _ in range(2))
+        texts.append(words.hashes(before + passage + after))
+    found = {(d, k) for d, k, *_ in decontam.Matcher([(k, " ".join(x)) for k, x in enumerate(items)]).matches(texts)}
+    assert len(found & {(k, k) for k in range(tries)}) >= 0.95 * tries
+
+
 def test_leaks_in_documents(spark, documents, benchmark, nasty, empty):
     found = {(r.doc_id, r.item_id) for r in decontam.find_leaks(documents, benchmark).collect()}
     norm = lambda t: f" {' '.join(words.WORD.findall(t.lower()))} "
