@@ -4,12 +4,12 @@ Words are `\\w+` runs of the lower-cased text. Templates are grouped by their nu
 classes c = 8, 16, 32, ...; a document's shingle positions are covered by overlapping windows of 2c positions,
 c apart, so a template's passage lies whole in one of them. Each window has a MinHash signature of BANDS
 one-row bands; a template whose containment in the window is at least LEAST has a Jaccard similarity of at least
-LEAST / 4 with it (a class holds over c / 2 shingles), so that some band meets it with probability at least
-1 - (1 - LEAST / 4) ** BANDS = 0.9992. Windows that meet a template in a band are then verified by the exact share
-of the template's shingles that they contain.
+LEAST / 4 with it if it has over c / 2 different shingles, so that some band meets it with probability at least
+1 - (1 - LEAST / 4) ** BANDS = 0.9992. Templates with fewer (the shortest, and those that repeat themselves) are looked
+up without bands: a window meets one if it holds any of its shingles. Windows that meet a template are then verified
+by the exact share of the template's shingles that they contain.
 
-A template of fewer than five words is one shingle of its own length, found exactly in the same way in a pass
-for that length. The scan is a map over documents without a shuffle. Templates are a query set: they are
+A template of fewer than five words is one shingle of its own length, looked up in a pass for that length. The scan is a map over documents without a shuffle. Templates are a query set: they are
 dealt to the tasks in blocks of at most BLOCK, one pass over the documents for each block.
 
 Nulls: a null text is empty and has no license; templates without words match nothing. doc_id may be null or
@@ -69,11 +69,34 @@ class Scanner:
                 while at < places:
                     at *= 2
                 self.by_size.setdefault(size, {}).setdefault(at, []).append((name, own, places))
+        # templates with too few different shingles for the bands: size to (sorted shingles, their owners), owners as (class, template)
+        self.rare: dict[int, tuple[np.ndarray, np.ndarray, list[tuple[int, tuple[str, np.ndarray, int]]]]] = {}
+        for size, classes in self.by_size.items():
+            rare = [(c, t) for c, found in classes.items() for t in found if 2 * len(t[1]) <= c]
+            if rare:
+                shingles, owner = np.concatenate([t[1] for _, t in rare]), np.repeat(np.arange(len(rare)), [len(t[1]) for _, t in rare])
+                order = np.argsort(shingles, kind="stable")
+                self.rare[size] = shingles[order], owner[order], rare
+            self.by_size[size] = {c: kept for c, found in classes.items() if (kept := [t for t in found if 2 * len(t[1]) > c])}
         self.signed = {(size, c): np.array([self._permuted(own).min(axis=1) for _, own, _ in found]) for size, classes in self.by_size.items() for c, found in classes.items()}
 
     def _permuted(self, shingles: np.ndarray) -> np.ndarray:
         return shingles[None, :] * self.odd[:, None] + self.add[:, None]
 
+    def _looked_up(self, size: int, shingles: np.ndarray) -> Iterator[tuple[int, tuple[str, np.ndarray, int], list[int]]]:
+        """(class, template, windows that hold a shingle of it) of the templates without bands."""
+        known, owner, rare = self.rare[size]
+        first, last = np.searchsorted(known, shingles), np.searchsorted(known, shingles, side="right")
+        places: dict[int, list[int]] = {}
+        for p in np.flatnonzero(first < last).tolist():
+            for k in owner[first[p] : last[p]].tolist():
+                places.setdefault(k, []).append(p)
+        for k, found in places.items():
+            c, template = rare[k]
+            own = np.array(found) // c
+            met = np.unique(np.concatenate([own - 1, own]))
+            yield c, template, met[met >= 0].tolist()
+
     def find(self, words: np.ndarray) -> list[tuple[str, float, int, int]]:
         """(template, containment, first word, word after the last) of each template that some window contains; its best window."""
         best: dict[str, tuple[str, float, int, int]] = {}
@@ -81,8 +104,11 @@ class Scanner:
             shingles = W.runs(words, size)
             if not len(shingles):
                 continue
+            if size in self.rare:
+                for c, template, met in self._looked_up(size, shingles):
+                    self._verify(best, shingles, size, c, template, met)
             blocks, c = None, SMALLEST
-            while c <= max(classes):
+            while c <= max(classes, default=0):
                 if blocks is None:
                     starts = np.arange(0, len(shingles), c)
                     blocks = np.stack([np.minimum.reduceat(shingles * a + b, starts) for a, b in zip(self.odd, self.add, strict=True)])
@@ -90,18 +116,22 @@ class Scanner:
                     blocks = np.minimum.reduceat(blocks, np.arange(0, blocks.shape[1], 2), axis=1)
                 if c in classes:
                     windows = np.minimum(blocks, np.append(blocks[:, 1:], blocks[:, -1:], axis=1))
-                    for k, (name, own, places) in enumerate(classes[c]):
+                    for k, template in enumerate(classes[c]):
                         met = np.flatnonzero((windows == self.signed[size, c][k][:, None]).any(axis=0))
-                        for at in met.tolist():
-                            part = shingles[at * c : at * c + 2 * c]
-                            inside = np.isin(part, own)
-                            share = len(np.unique(part[inside])) / len(own)
-                            if share >= self.least and share > best.get(name, ("", 0.0))[1]:
-                                place = np.flatnonzero(inside) + at * c
-                                best[name] = (name, share, int(place[0]), int(place[-1]) + size)
+                        self._verify(best, shingles, size, c, template, met.tolist())
                 c *= 2
         return [best[k] for k in sorted(best)]
 
+    def _verify(self, best: dict[str, tuple[str, float, int, int]], shingles: np.ndarray, size: int, c: int, template: tuple[str, np.ndarray, int], met: list[int]) -> None:
+        name, own, _ = template
+        for at in met:
+            part = shingles[at * c : at * c + 2 * c]
+            inside = np.isin(part, own)
+            share = len(np.unique(part[inside])) / len(own)
+            if share >= self.least and share > best.get(name, ("", 0.0))[1]:
+                place = np.flatnonzero(inside) + at * c
+                best[name] = (name, share, int(place[0]), int(place[-1]) + size)
+
 
 def scan_licenses(documents: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, bands: int = BANDS) -> DataFrame:
     """A row per document row and license: doc_id, license, containment, start, end (code points of the text)."""

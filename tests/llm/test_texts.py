@@ -171,6 +171,28 @@ def test_bands_meet_with_high_probability():
     assert met >= 0.98 * tries
 
 
+@pytest.mark.parametrize("place", ["start", "middle", "end"])
+@pytest.mark.parametrize("n_words", range(1, 9))
+def test_short_templates_are_always_found(n_words, place):
+    """Templates of one to four shingles, also of fewer than five words, anywhere in a long text."""
+    rng = random.Random(f"{n_words} {place}")
+    for _ in range(200):
+        template = [f"t{rng.randrange(10**9)}" for _ in range(n_words)]
+        body = [f"f{rng.randrange(10**9)}" for _ in range(200)]
+        at = {"start": 0, "middle": rng.randrange(1, 200), "end": 200}[place]
+        found = licenses.Scanner({"x": " ".join(template)}).find(words.hashes(body[:at] + template + body[at:]))
+        assert found == [("x", 1.0, at, at + n_words)]
+
+
+def test_templates_that_repeat_themselves_are_found():
+    body = [f"f{k}" for k in range(200)]
+    for at in (0, 90, 200):
+        for k in range(40):
+            template = [f"a{k}"] * 30
+            found = licenses.Scanner({"x": " ".join(template)}).find(words.hashes(body[:at] + template + body[at:]))
+            assert [f[:2] for f in found] == [("x", 1.0)]
+
+
 # ---- benchmark leaks
 
 
