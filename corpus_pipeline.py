@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgrid.llm import decontam, exact_dedup, packing, quality, simhash
-from docgrid.llm.common import shared_dir, table
+from docgrid.llm.common import shared_dir, table, text_or_empty
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +28,15 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component, the document with the smallest doc_id stays; a null doc_id stays as it names nothing."""
-    groups = simhash.simhash_groups(docs.select("doc_id", "text"))
-    losers = groups.where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
-    return docs.join(losers, "doc_id", "left_anti").select(docs.columns)
+    """Of each SimHash component, the row with the smallest doc_id (nulls last), then the smallest text hash, stays.
+
+    Rows are told apart by doc_id and text, as doc_id may be null or repeat; equal texts are left to the exact stage.
+    """
+    text_hash = F.xxhash64(text_or_empty())
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", text_hash.alias("text_hash"))
+    groups = simhash.simhash_groups(docs.select(row.alias("doc_id"), "text"))
+    losers = groups.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id.doc_id").alias("_lost_id"), F.col("doc_id.text_hash").alias("_lost_hash")).distinct()
+    return docs.join(losers, F.col("doc_id").eqNullSafe(F.col("_lost_id")) & (text_hash == F.col("_lost_hash")), "left_anti").select(docs.columns)
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

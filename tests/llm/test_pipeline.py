@@ -42,6 +42,17 @@ def test_near_stage_keeps_the_smallest_of_each_component(spark, documents):
     assert kept == {r.component_id for r in simhash.simhash_groups(documents).collect()}
 
 
+def test_near_stage_decides_by_row(spark):
+    """Repeated and null doc_ids on different texts: one row of each component stays."""
+    texts = [" ".join(f"{name}{k}" for k in range(400)) for name in ("a", "b", "c", "d")]
+    near = [x + " more" for x in texts]
+    rows = [(5, texts[0]), (5, near[1]), (1, texts[1]), (7, texts[2]), (7, near[2]), (None, texts[3]), (None, near[3]), (None, near[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_stage(spark, docs, SMALL).collect()]
+    assert len(kept) == 4 and {(5, texts[0]), (1, texts[1])} < set(kept)
+    assert sorted((str(i), t[0]) for i, t in kept) == [("1", "b"), ("5", "a"), ("7", "c"), ("None", "d")]
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stages_take_nasty_and_empty_tables(spark, folder, nasty, empty, k):
     stage = corpus_pipeline.STAGES[k][1]
