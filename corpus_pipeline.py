@@ -12,8 +12,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docgrid.functions.lineage import pinned, remove, scratch
 from docgrid.llm import decontam, exact_dedup, packing, quality, simhash
-from docgrid.llm.common import shared_dir, table, text_or_empty
+from docgrid.llm.common import table, text_or_empty
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written to the shared folder before the next."""
+    """The stages applied to documents, each written to the shared folder before the next; what a stage has read then goes."""
     docs = table(spark, sf_dir, "documents")
-    root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    root = f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
-        docs = spark.read.parquet(f"{root}/{k}")
+        docs = pinned(stage(spark, docs, sf_dir), f"{root}/{k}")
+        if k:
+            remove(spark, f"{root}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgrid.functions.lineage import settled
+from docgrid.functions.lineage import pinned
 from docgrid.operators.groups import map_groups
 
 
@@ -59,7 +59,7 @@ def label_by_rounds(pixels: DataFrame, by: Sequence[str] = ("doc_id",), most_rou
     keys = list(by)
     place = F.col("y").cast("long") * (1 << 31) + F.col("x")
     now = pixels.select(*keys, "y", "x").distinct().withColumn("root", place)
-    now = settled(now)
+    now = pinned(now)
     for _ in range(most_rounds):
         near = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
         sent = now.select(*keys, "y", "x", "root", near.alias("k")).select(*keys, (F.col("y") + F.col("k.dy")).alias("y"), (F.col("x") + F.col("k.dx")).alias("x"), "root")
@@ -69,7 +69,7 @@ def label_by_rounds(pixels: DataFrame, by: Sequence[str] = ("doc_id",), most_rou
         same = F.col("least") == F.col("_at")
         for k in keys:
             same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
-        after = settled(moved.join(jump, same).select(*keys, "y", "x", F.col("_of").alias("root"), (F.col("root") != F.col("_of")).alias("changed")))
+        after = pinned(moved.join(jump, same).select(*keys, "y", "x", F.col("_of").alias("root"), (F.col("root") != F.col("_of")).alias("changed")))
         now = after.drop("changed")
         if after.where("changed").isEmpty():
             return now

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrid.functions.coords import adjusted, angle_text
-from docgrid.functions.lineage import settled
+from docgrid.functions.lineage import pinned
 from docgrid.operators import cells as C
 from docgrid.operators import components, lines, raster, rotation
 from docgrid.schemas import CORNER, HORIZONTAL, IMPLICIT_HORIZONTAL, IMPLICIT_VERTICAL, VERTICAL
@@ -62,26 +62,26 @@ def recover_tables(pixels: DataFrame, transforms: DataFrame | None = None, limit
     if transforms is not None:
         area = transforms.select("doc_id", "x1", "y1", "x2", "y2")
         binary = raster.inside(binary.join(area, "doc_id"), *[F.col(c) for c in ("x1", "y1", "x2", "y2")]).drop("x1", "y1", "x2", "y2")
-    binary = settled(binary.select("doc_id", "channel", "y", "x"))
+    binary = pinned(binary.select("doc_id", "channel", "y", "x"))
     labelled = components.label_pixels(raster.edge_union(binary))
-    candidates = settled(components.table_candidates(components.component_stats(labelled), least=limits.least_side))
-    boxed = settled(components.pixels_in_boxes(binary, candidates))
+    candidates = pinned(components.table_candidates(components.component_stats(labelled), least=limits.least_side))
+    boxed = pinned(components.pixels_in_boxes(binary, candidates))
     size = Window.partitionBy("doc_id")
     extent = F.max(F.greatest(F.col("l") + F.col("w"), F.col("t") + F.col("h"))).over(size).alias("extent")
     if limits.turn:
-        angles = settled(rotation.table_angles(boxed, candidates, BY, votes=limits.votes))
+        angles = pinned(rotation.table_angles(boxed, candidates, BY, votes=limits.votes))
         # the map turns about its centre: that of the region of the document's tables, as a sparse map has no size
         extents = candidates.select(*BY, extent)
         spun = boxed.join(angles, BY).join(extents, BY)
         turned = rotation.rotate(spun, [*BY, "w", "h", "extent"], F.col("extent"), F.col("extent")).drop("angle", "extent")
-        boxed = settled(turned.select("doc_id", "channel", "y", "x", "comp", "w", "h"))
+        boxed = pinned(turned.select("doc_id", "channel", "y", "x", "comp", "w", "h"))
     else:
         angles, extents = candidates.select(*BY, F.lit(0.0).alias("angle")), candidates.select(*BY, extent)
     wide = raster.dilate_x(raster.channel(boxed, IMPLICIT_VERTICAL), [*BY, "w", "h"]).withColumn("channel", F.lit(IMPLICIT_VERTICAL))
-    rects = settled(raster.table_rect(raster.channel(boxed, HORIZONTAL, VERTICAL, IMPLICIT_HORIZONTAL).select(*BY, "channel", "y", "x").unionByName(wide.select(*BY, "channel", "y", "x")), BY))
+    rects = pinned(raster.table_rect(raster.channel(boxed, HORIZONTAL, VERTICAL, IMPLICIT_HORIZONTAL).select(*BY, "channel", "y", "x").unionByName(wide.select(*BY, "channel", "y", "x")), BY))
     corners = lines.corner_peaks(raster.projection(raster.channel(boxed, CORNER), "y", BY), BY, limits.corner)
-    vertical = settled(_lines(boxed, rects, VERTICAL, IMPLICIT_VERTICAL, True, limits, None))
-    horizontal = settled(_lines(boxed, rects, HORIZONTAL, IMPLICIT_HORIZONTAL, False, limits, corners))
+    vertical = pinned(_lines(boxed, rects, VERTICAL, IMPLICIT_VERTICAL, True, limits, None))
+    horizontal = pinned(_lines(boxed, rects, HORIZONTAL, IMPLICIT_HORIZONTAL, False, limits, corners))
     found = C.tables(C.merge_cells(C.grid(vertical, horizontal, BY), BY), candidates)
     out = found.join(angles, BY).join(extents, BY)
     back = lambda quad: _unturned(quad, F.col("angle"), F.col("extent") / 2)
