@@ -1,37 +1,9 @@
 """Helpers shared by the operators of this subpackage."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"{tempfile.gettempdir()}/docgrid-shared"
-        spark.conf.set("spark.checkpoint.dir", root)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def pinned(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: cuts lineage, survives lost executors, has real statistics."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docgrid-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder, for the small tables of loops; Spark removes it when unused."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,25 +13,35 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def held_out(doc_id: Column) -> Column:
-    """True for the fifth of documents whose labels no model may learn from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """True for the fifth of documents whose labels no model may learn from; a null doc_id counts as the empty text, whose CRC is 0."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(doc_id, text, label): at most `most` labelled rows that aren't held out, the same ones on every run.
-
-    The rows with the smallest hashes of doc_id come first, half of the bound for each label, so the sample
-    doesn't depend on the layout; its size is bounded by the parameter, not by the data. Rows whose label or
-    doc_id is null are not used; of several labels of one document the largest counts.
-    """
-    wanted = (
+def learning_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label): one row per document that may be learnt from. Rows whose label or doc_id is null are not
+    used; of several labels of one document the largest counts."""
+    return (
         labels.select("doc_id", F.col(label).alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-        .withColumn("h", F.xxhash64("doc_id"))
     )
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """(doc_id, text, label, h): at most `most` labelled documents that aren't held out, the same ones on every run.
+
+    Those with the smallest hashes of doc_id come first, half of the bound for each label, so the sample doesn't
+    depend on the layout; its size is bounded by the parameter, not by the data. Of rows that repeat a doc_id the
+    least text counts.
+    """
+    wanted = learning_labels(labels, label).withColumn("h", F.xxhash64("doc_id"))
     parts = [wanted.where(F.col("label") == y).orderBy("h", "doc_id").limit(most // 2) for y in (0, 1)]
-    chosen = parts[0].unionByName(parts[1]).drop("h")
+    chosen = parts[0].unionByName(parts[1])
     texts = documents.select("doc_id", text_or_empty().alias("text"))
     # at most `most` narrow rows, so the broadcast is bounded
-    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "h").agg(F.min("text").alias("text")).select("doc_id", "text", "label", "h")
+
+
+def label_rate(labels: DataFrame, label: str) -> float | None:
+    """The share of label 1 among the documents that may be learnt from; None if there are none."""
+    return learning_labels(labels, label).agg(F.avg("label")).first()[0]

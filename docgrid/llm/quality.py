@@ -1,192 +1,183 @@
 """Quality classifier: a convolutional network over bytes, in numpy.
 
-The bytes of a whole document are covered by overlapping chunks. Filters of WIDTH bytes (a weight for each byte
-value at each place) slide over a chunk, pass a rectifier and are max-pooled over it; a small layer turns the
-pooled filters and the chunk's length into chunk features, whose mean and maximum over the document's chunks give
-one probability. The length tells a short text from one that says little.
+The bytes of a whole document are covered by overlapping chunks. Filters of WIDTH symbols (a weight for each byte
+value, and for the place after a text's end, at each place) slide over a chunk and are max-pooled over it. FAR of
+the filters take every STRIDE-th symbol, so they also see how far a text reaches. A small layer turns the pooled
+filters into chunk features, whose mean and maximum over the document's chunks give one probability.
 
-Fitting takes at most FIT_ROWS labelled documents, in the order of a hash of doc_id, and of each at most
-FIT_CHUNKS chunks, spread evenly over it: both are documented bounds of the fit alone. Scoring reads every byte.
+Fitting takes at most FIT_ROWS labelled documents, in the order of a hash of doc_id (the bound of the fit), and
+every chunk of each. It runs on executors (see averaging); the driver gets parameters only. The sizes and rounds
+were chosen on a fold of the learning rows, not on held-out ones. Scoring reads every byte.
 
-Nulls: a null text is empty; an empty text is one chunk of padding and gets a score like any other. Null or
+Nulls: a null text is empty; an empty text is one chunk without bytes and gets a score like any other. Null or
 missing labels are not learnt from; if one of the two labels is missing altogether, every score is the base
 rate. doc_id may be null or repeat: one row per row. Other columns are not looked at.
 """
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import held_out, labelled_sample, text_or_empty
+from docgrid.functions.lineage import pinned
+from docgrid.llm.averaging import Parameters, adam, averaged, dealt, passes, with_moments
+from docgrid.llm.common import label_rate, labelled_sample, text_or_empty
 
 CHUNK = 512
 OVERLAP = 64
 WIDTH = 6
 FILTERS = 32
+#: Filters over every STRIDE-th symbol; the others see neighbours.
+FAR, STRIDE = 8, 64
 HIDDEN = 16
-#: Numbers that say how long a chunk is.
-LENGTHS = 3
+#: The symbol after a text's end, beside the 256 bytes.
+END = 256
+SYMBOLS = 257
 FIT_ROWS = 3200
-FIT_CHUNKS = 12
-EPOCHS = 10
+ROUNDS, STEPS, MINIBATCH, RATE = 10, 25, 16, 0.01
 THRESHOLD = 0.3
 #: Chunks that are pooled at a time.
 TOGETHER = 32
+#: (filters, distance of neighbouring symbols) of the two kinds.
+KINDS = [(slice(0, FAR), STRIDE), (slice(FAR, FILTERS), 1)]
+DISTANCES = np.where(np.arange(FILTERS) < FAR, STRIDE, 1)
 
 
 def chunks(data: bytes) -> np.ndarray:
-    """(n, CHUNK) bytes; neighbours share OVERLAP bytes, zeros fill the last."""
+    """(n, CHUNK) symbols; neighbours share OVERLAP bytes, END fills the last."""
     step = CHUNK - OVERLAP
     n = max(1, -(-(len(data) - OVERLAP) // step))
-    padded = np.zeros(n * step + OVERLAP, np.uint8)
+    padded = np.full(n * step + OVERLAP, END, np.uint16)
     padded[: len(data)] = np.frombuffer(data, np.uint8)
     return np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::step]
 
 
-def _lengths(data: np.ndarray) -> np.ndarray:
-    """(n, LENGTHS): the share of a chunk that has text, its logarithm, and whether it is the most of it."""
-    n = (data != 0).sum(axis=1, dtype=np.float32)[:, None]
-    return np.hstack([n / CHUNK, np.log1p(n) / 6, n > CHUNK // 4]).astype(np.float32)
+def initial(base_rate: float = 0.5, seed: int = 7) -> Parameters:
+    rng = np.random.default_rng(seed)
+    f32 = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
+    conv = f32(WIDTH, SYMBOLS, FILTERS, scale=0.3)
+    conv[:, END] = 0
+    odds = np.float32(np.log(base_rate / (1 - base_rate)))
+    return {"conv": conv, "conv_bias": np.zeros(FILTERS, np.float32), "hidden": f32(FILTERS, HIDDEN, scale=FILTERS**-0.5), "hidden_bias": np.zeros(HIDDEN, np.float32), "out": f32(2 * HIDDEN, scale=0.1), "out_bias": np.array(odds)}
 
 
 class Network:
-    """filters: weights (WIDTH, 256, FILTERS) and bias; then chunk layer and output layer."""
-
-    def __init__(self, seed: int = 7, base_rate: float = 0.5) -> None:
-        rng = np.random.default_rng(seed)
-        f32 = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
-        self.conv, self.conv_bias = f32(WIDTH, 256, FILTERS, scale=0.3), np.zeros(FILTERS, np.float32)
-        self.conv[:, 0] = 0  # padding says nothing
-        self.hidden, self.hidden_bias = f32(FILTERS + LENGTHS, HIDDEN, scale=FILTERS**-0.5), np.zeros(HIDDEN, np.float32)
-        self.out = f32(2 * HIDDEN, scale=0.1)
-        self.out_bias = np.float32(np.log(base_rate / (1 - base_rate)))
-        self._pairs: np.ndarray | None = None
-
-    def parameters(self) -> dict[str, np.ndarray]:
-        return {k: getattr(self, k) for k in ("conv", "conv_bias", "hidden", "hidden_bias", "out", "out_bias")}
-
-    def _tables(self) -> np.ndarray:
-        """Filters of two neighbouring bytes at a time: (WIDTH / 2, 65536, FILTERS)."""
+    """Scores by given parameters."""
+
+    def __init__(self, parameters: Parameters) -> None:
+        self.parameters = parameters
+        self._pairs: list[np.ndarray] | None = None
+
+    def __getstate__(self) -> dict:
+        return {"parameters": self.parameters, "_pairs": None}
+
+    def _tables(self) -> list[np.ndarray]:
+        """Filters of two symbols at a time, of either kind: (WIDTH / 2, SYMBOLS ** 2, filters)."""
         if self._pairs is None:
-            self._pairs = np.stack([(self.conv[k][None, :, :] + self.conv[k + 1][:, None, :]).reshape(1 << 16, FILTERS) for k in range(0, WIDTH, 2)])
+            conv = self.parameters["conv"]
+            self._pairs = [np.stack([(conv[k][None, :, own] + conv[k + 1][:, None, own]).reshape(SYMBOLS**2, -1) for k in range(0, WIDTH, 2)]) for own, _ in KINDS]
         return self._pairs
 
     def pooled(self, data: np.ndarray) -> np.ndarray:
-        """(n, FILTERS + LENGTHS): each filter's largest answer in each chunk, and its length."""
-        tables, out = self._tables(), np.empty((len(data), FILTERS), np.float32)
+        """(n, FILTERS): each filter's largest answer in each chunk."""
+        out = np.empty((len(data), FILTERS), np.float32)
         for at in range(0, len(data), TOGETHER):
             part = data[at : at + TOGETHER].astype(np.int32)
-            pair = part[:, :-1] | (part[:, 1:] << 8)
-            places = CHUNK - WIDTH + 1
-            total = tables[0][pair[:, :places]]
-            for k in range(1, WIDTH // 2):
-                total += tables[k][pair[:, 2 * k : 2 * k + places]]
-            out[at : at + TOGETHER] = total.max(axis=1)
-        return np.hstack([np.maximum(out + self.conv_bias, 0), _lengths(data)])
+            for tables, (own, step) in zip(self._tables(), KINDS, strict=True):
+                pair = part[:, :-step] + part[:, step:] * SYMBOLS
+                places = CHUNK - (WIDTH - 1) * step
+                total = tables[0][pair[:, :places]]
+                for k in range(1, WIDTH // 2):
+                    total += tables[k][pair[:, 2 * k * step : 2 * k * step + places]]
+                out[at : at + TOGETHER, own] = total.max(axis=1)
+        return np.maximum(out + self.parameters["conv_bias"], 0)
 
     def combined(self, pooled: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Probabilities of documents whose chunks begin at `starts`."""
-        feature = np.tanh(pooled @ self.hidden + self.hidden_bias)
-        sizes = np.diff(np.append(starts, len(pooled)))
-        both = np.hstack([np.add.reduceat(feature, starts) / sizes[:, None], np.maximum.reduceat(feature, starts)])
-        return 1 / (1 + np.exp(-np.clip(both @ self.out + self.out_bias, -30, 30)))
+        return _combined(self.parameters, pooled, starts)[2]
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        found = []
-        for data in texts:  # a long document is pooled piece by piece
-            found.append(self.pooled(chunks(data)))
-        starts = np.cumsum([0, *map(len, found[:-1])])
-        return self.combined(np.concatenate(found), starts) if found else np.zeros(0)
-
-
-def fit(data: np.ndarray, starts: np.ndarray, y: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
-    """Adam on the weighted cross-entropy. data: (n, CHUNK) bytes; starts: first chunk of each document."""
-    net = Network(seed, float(np.clip(np.average(y, weights=weights), 0.01, 0.99)))
-    rng, sizes = np.random.default_rng(seed), np.diff(np.append(starts, len(data)))
-    state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.parameters().items()}
-    step, batch = 0, 48
-    for epoch in range(epochs):
-        rate = 0.01 * (1 - epoch / epochs) + 0.0005
-        order = rng.permutation(len(y))
-        for at in range(0, len(order), batch):
-            docs = order[at : at + batch]
-            rows = np.concatenate([np.arange(starts[d], starts[d] + sizes[d]) for d in docs])
-            step += 1
-            grads = _gradients(net, data[rows], np.cumsum([0, *sizes[docs][:-1]]), y[docs], weights[docs])
-            for name, g in grads.items():
-                m, v = state[name]
-                m[...] = 0.9 * m + 0.1 * g
-                v[...] = 0.99 * v + 0.01 * g * g
-                new = getattr(net, name) - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-                setattr(net, name, new.astype(np.float32))
-            net.conv[:, 0] = 0
-    net._pairs = None
-    return net
-
-
-def _gradients(net: Network, data: np.ndarray, starts: np.ndarray, y: np.ndarray, w: np.ndarray) -> dict[str, np.ndarray]:
-    n, places = len(data), CHUNK - WIDTH + 1
-    best, top = np.empty((n, FILTERS), np.int64), np.empty((n, FILTERS), np.float32)
-    for at in range(0, n, TOGETHER):
-        part = data[at : at + TOGETHER]
-        total = net.conv[0][part[:, :places]]
-        for k in range(1, WIDTH):
-            total += net.conv[k][part[:, k : k + places]]
-        best[at : at + TOGETHER] = total.argmax(axis=1)
-        top[at : at + TOGETHER] = total.max(axis=1)
-    raw = top + net.conv_bias
-    pooled = np.hstack([np.maximum(raw, 0), _lengths(data)])
-    feature = np.tanh(pooled @ net.hidden + net.hidden_bias)
+        out = [np.zeros(0)]
+        for at in range(0, len(texts), TOGETHER):
+            own = [chunks(data) for data in texts[at : at + TOGETHER]]
+            out.append(self.combined(self.pooled(np.concatenate(own)), np.cumsum([0, *map(len, own[:-1])])))
+        return np.concatenate(out)
+
+
+def _combined(p: Parameters, pooled: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chunk features, their mean and maximum for each document, probabilities)."""
+    feature = np.tanh(pooled @ p["hidden"] + p["hidden_bias"])
+    sizes = np.diff(np.append(starts, len(pooled)))
+    both = np.hstack([np.add.reduceat(feature, starts) / sizes[:, None], np.maximum.reduceat(feature, starts)])
+    return feature, both, 1 / (1 + np.exp(-np.clip(both @ p["out"] + p["out_bias"], -30, 30)))
+
+
+def gradients(p: Parameters, data: np.ndarray, starts: np.ndarray, y: np.ndarray, w: np.ndarray) -> Parameters:
+    """Of the mean over documents of the weighted cross-entropy; beside data, holds fewer bytes than data has."""
+    n = len(data)
+    best, top = np.empty((n, FILTERS), np.int16), np.empty((n, FILTERS), np.float32)
+    for own, step in KINDS:
+        filters, places = np.ascontiguousarray(p["conv"][:, :, own]), CHUNK - (WIDTH - 1) * step
+        for at in range(0, n, TOGETHER):
+            part = data[at : at + TOGETHER]
+            total = filters[0][part[:, :places]]
+            for k in range(1, WIDTH):
+                total += filters[k][part[:, k * step : k * step + places]]
+            best[at : at + TOGETHER, own] = total.argmax(axis=1)
+            top[at : at + TOGETHER, own] = total.max(axis=1)
+    raw = top + p["conv_bias"]
+    pooled = np.maximum(raw, 0)
+    feature, both, found = _combined(p, pooled, starts)
     sizes = np.diff(np.append(starts, n))
     owner = np.repeat(np.arange(len(starts)), sizes)
-    most = np.maximum.reduceat(feature, starts)
-    both = np.hstack([np.add.reduceat(feature, starts) / sizes[:, None], most])
-    p = 1 / (1 + np.exp(-np.clip(both @ net.out + net.out_bias, -30, 30)))
-    error = ((p - y) * w / w.sum()).astype(np.float32)
-    d_both = error[:, None] * net.out
-    is_most = feature == most[owner]
-    d_feature = d_both[owner, :HIDDEN] / sizes[owner, None] + d_both[owner, HIDDEN:] * is_most
+    error = ((found - y) * w / len(y)).astype(np.float32)
+    d_both = error[:, None] * p["out"]
+    d_feature = d_both[owner, :HIDDEN] / sizes[owner, None] + d_both[owner, HIDDEN:] * (feature == both[owner, HIDDEN:])
     d_hidden = d_feature * (1 - feature**2)
-    d_raw = (d_hidden @ net.hidden[:FILTERS].T) * (raw > 0)
-    conv = np.zeros_like(net.conv)
-    column = np.broadcast_to(np.arange(FILTERS), best.shape)
-    for k in range(WIDTH):
-        byte = np.take_along_axis(data, best + k, axis=1).astype(np.int64)
-        conv[k] = np.bincount((byte * FILTERS + column).ravel(), d_raw.ravel(), 256 * FILTERS).reshape(256, FILTERS)
+    d_raw = (d_hidden @ p["hidden"].T) * (raw > 0)
+    conv = 1e-6 * p["conv"]
+    column = np.arange(FILTERS)[None, :]
+    for at in range(0, n, 32 * TOGETHER):
+        part, place, pull = (x[at : at + 32 * TOGETHER] for x in (data, best, d_raw))
+        for k in range(WIDTH):
+            symbol = np.take_along_axis(part, place.astype(np.int64) + k * DISTANCES, axis=1).astype(np.int64)
+            conv[k] += np.bincount((symbol * FILTERS + column).ravel(), pull.ravel(), SYMBOLS * FILTERS).reshape(SYMBOLS, FILTERS)
     return {
-        "conv": conv + 1e-6 * net.conv, "conv_bias": d_raw.sum(0), "hidden": pooled.T @ d_hidden + 1e-5 * net.hidden,
-        "hidden_bias": d_hidden.sum(0), "out": both.T @ error + 1e-5 * net.out, "out_bias": error.sum(),
+        "conv": conv, "conv_bias": d_raw.sum(0), "hidden": pooled.T @ d_hidden + 1e-5 * p["hidden"],
+        "hidden_bias": d_hidden.sum(0), "out": both.T @ error + 1e-5 * p["out"], "out_bias": error.sum(),
     }
 
 
-def spread(data: np.ndarray, most: int) -> np.ndarray:
-    """At most `most` rows, evenly spaced, the first and last included."""
-    return data if len(data) <= most else data[np.linspace(0, len(data) - 1, most).round().astype(int)]
-
-
-def fit_quality(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Network:
-    """A network from labels (doc_id, quality) of documents that aren't held out; the driver gets at most rows x FIT_CHUNKS chunks."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def fit_quality(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, rounds: int = ROUNDS) -> Network:
+    """A network from labels (doc_id, quality) of documents that aren't held out."""
+    sample = pinned(labelled_sample(documents, labels, "quality", rows))
+    counts = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
+    base = float(np.clip(0.5 if (rate := label_rate(labels, "quality")) is None else rate, 0.01, 0.99))
+    if len(counts) < 2:
+        net = initial(base)
+        net["out"][:] = 0
+        return Network(net)
+    share = counts[1] / sum(counts.values())
+    weight = {1: base / share, 0: (1 - base) / (1 - share)}
+
+    def local(now: Parameters, batches: Iterable[pa.RecordBatch], nth: int) -> int:
+        rate, seen = RATE * (1 - nth / rounds) + 0.0005, 0
         for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                part = spread(chunks(text.encode("utf-8", "replace")), FIT_CHUNKS)
-                yield pa.RecordBatch.from_pylist([{"data": np.ascontiguousarray(part).tobytes(), "label": label}], pa.schema([("data", pa.binary()), ("label", pa.int32())]))
-
-    sample = labelled_sample(documents, labels, "quality", rows).mapInArrow(cut, "data binary, label int").collect()
-    rates = {r.quality: r["count"] for r in labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("quality").count().collect()}
-    y = np.array([r.label for r in sample], np.float32)
-    base = rates.get(1, 0) / max(1, sum(rates.values())) if rates else 0.5
-    if len(set(y.tolist())) < 2:
-        net = Network(base_rate=float(np.clip(base, 0.01, 0.99)))
-        net.out[:] = 0
-        return net
-    parts = [np.frombuffer(r.data, np.uint8).reshape(-1, CHUNK) for r in sample]
-    weights = np.where(y == 1, base / y.mean(), (1 - base) / (1 - y.mean())).astype(np.float32)
-    return fit(np.concatenate(parts), np.cumsum([0, *map(len, parts[:-1])]), y, weights)
+            for at in range(0, batch.num_rows, MINIBATCH):
+                part = batch.slice(at, MINIBATCH)
+                own = [chunks(x.encode("utf-8", "replace")) for x in part.column("text").to_pylist()]
+                y = part.column("label").to_numpy().astype(np.float32)
+                w = np.where(y == 1, weight[1], weight[0]).astype(np.float32)
+                adam(now, gradients(now, np.concatenate(own), np.cumsum([0, *map(len, own[:-1])]), y, w), rate)
+                seen += len(own)
+        return seen
+
+    shards = dealt(sample.select("text", "label", "h"))
+    found = averaged(shards, with_moments(initial(base)), rounds, local, passes(sum(counts.values()), MINIBATCH, STEPS))
+    shards.unpersist()
+    return Network({k: found[k] for k in initial()})
 
 
 def score_quality(documents: DataFrame, net: Network) -> DataFrame:
@@ -194,7 +185,7 @@ def score_quality(documents: DataFrame, net: Network) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(x or "").encode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            texts = [x.encode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.scores(texts).astype(float), pa.float64())], ["doc_id", "score"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -208,6 +199,6 @@ def keep_quality(documents: DataFrame, net: Network, threshold: float = THRESHOL
     def score(texts):
         import pandas as pd
 
-        return pd.Series(net.scores([(x or "").encode("utf-8", "replace") for x in texts]).astype(float))
+        return pd.Series(net.scores([x.encode("utf-8", "replace") for x in texts]).astype(float))
 
     return documents.where(score(text_or_empty()) >= threshold)

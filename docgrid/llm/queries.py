@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgrid.llm import decontam, exact_dedup, html_text, licenses, packing, quality, simhash, suffix_dedup, token_counts, toxicity
-from docgrid.llm.common import held_out, shared_dir, table
+from docgrid.functions.lineage import scratch
+from docgrid.llm.common import held_out, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a cache of its own for each call, so that every run counts; jobs that share one pass its folder
-    cache = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    cache = f"{scratch(spark)}/token-counts-{uuid.uuid4().hex}"
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), cache)
 
 

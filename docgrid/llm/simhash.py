@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import checkpointed, pinned, text_or_empty
+from docgrid.functions.lineage import pinned
+from docgrid.llm.common import text_or_empty
 from docgrid.llm.components import connected_components
 
 MOST_BITS = 3
@@ -161,6 +162,7 @@ def simhash_groups(documents: DataFrame) -> DataFrame:
     least = pinned(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = connected_components(near_links(least.select("fp")))
     joined = least.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    ids = checkpointed(joined.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    named = joined.join(ids, "root").select("fp", "component_id")
+    ids = pinned(joined.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    # written, so that both sides of the last join have an exchange of their own and Spark can split a hot fingerprint
+    named = pinned(joined.join(ids, "root").select("fp", "component_id"))
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")

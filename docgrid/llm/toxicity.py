@@ -1,36 +1,42 @@
 """Toxicity by multiple-instance learning: a document is a bag of sentences, and only the document has a label.
 
 A sentence's log-odds are a bias and the sum of its different words' weights (a word that is said twice counts
-once); a word's weight is the sum over its character n-grams (word ends marked) and itself. A document's probability is the noisy-or of its sentences': it is toxic
-unless every sentence is clean. The weights are fitted on document labels through the noisy-or, so the sentence
-scores that come out of it also say where the offending sentences are.
-
-Fitting takes at most FIT_ROWS labelled documents in the order of a hash of doc_id, half of them toxic where
-there are so many, weighted back to the true rate; FEATURES n-grams with the largest lift enter. Scoring reads
-whole texts. Nulls: a null text is empty and has the score of no sentence, 0. Null or missing labels are not
-learnt from; if one of the two labels is missing altogether every sentence has the bias. doc_id may be null or
-repeat: one row per row. Other columns are not looked at.
+once); a word's weight is the sum over its character n-grams (word ends marked) and itself. A document's
+probability is the noisy-or of its sentences': it is toxic unless every sentence is clean. The weights are fitted
+on document labels through the noisy-or, so the sentence scores that come out of it also say where the offending
+sentences are.
+
+Fitting takes at most FIT_ROWS labelled documents in the order of a hash of doc_id (the bound of the fit), half of
+them toxic where there are so many, weighted back to the true rate, and every sentence of each. N-grams are counted
+and ranked by an aggregate; FEATURES of them with the largest lift enter. Texts are packed to numbers and passed
+over on executors (see averaging); the driver gets n-grams and parameters only. FEATURES and ROUNDS were chosen on
+a fold of the learning rows, not on held-out ones.
+
+Scoring reads whole texts. Nulls: a null text is empty and has the score of no sentence, 0. Null or missing labels
+are not learnt from; if one of the two labels is missing altogether every sentence has the bias. doc_id may be null
+or repeat: one row per row. Other columns are not looked at.
 """
 
-import heapq
-import math
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import held_out, labelled_sample, text_or_empty
+from docgrid.functions.lineage import pinned
+from docgrid.llm.averaging import Parameters, adam, averaged, dealt, passes, with_moments
+from docgrid.llm.common import label_rate, labelled_sample, text_or_empty
 
 FIT_ROWS = 4000
 FEATURES = 1500
 GRAMS = (4, 5)
-#: Of one labelled document, fitting uses at most so many code points, spread over sentences of the whole text.
-FIT_POINTS = 200_000
+#: N-grams of fewer texts of the sample can't enter.
+LEAST_TEXTS = 4
+ROUNDS, STEPS, MINIBATCH, RATE = 12, 16, 50, 0.08
 #: Words whose weights a task remembers.
 REMEMBERED = 100_000
 #: Texts that are taken out of a batch at a time.
@@ -38,7 +44,6 @@ TOGETHER = 256
 WORD = re.compile(r"\w+")
 #: What stands between these is a sentence, if it has words.
 SENTENCE = re.compile(r"[^.!?\n]+")
-STEPS = 250
 
 
 def grams(word: str) -> tuple[str, ...]:
@@ -80,21 +85,25 @@ class Model:
 
     def score(self, text: str) -> float:
         """The noisy-or over the sentences."""
-        odds = self.sentence_odds(text)
-        return float(-np.expm1(-np.logaddexp(0, odds).sum()))
-
-    def offending(self, text: str, least: float = 0.5) -> list[tuple[int, int, float]]:
-        """(start, end, score) of sentences that reach `least`; places are code points of the text."""
-        lowered = text.lower()
-        if len(lowered) != len(text):  # a few letters grow when lowered: places are then those of the text as it is
-            lowered = text
+        return noisy_or(self.sentence_odds(text))
+
+    def offending(self, text: str, odds: np.ndarray | None = None, least: float = 0.5) -> list[tuple[int, int, float]]:
+        """(start, end, score) of sentences that reach `least`; places are code points of the text.
+
+        odds: the sentences' log-odds, if known.
+        """
+        odds = self.sentence_odds(text) if odds is None else odds
+        scores = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
         spans = []
-        for m in SENTENCE.finditer(lowered):
-            found = [w.span() for w in WORD.finditer(m.group())]
-            if found:
-                spans.append((m.start() + found[0][0], m.start() + found[-1][1]))
-        scores = 1 / (1 + np.exp(-np.clip(self.sentence_odds(text), -500, 500)))
-        return [(a, b, float(s)) for (a, b), s in zip(spans, scores, strict=False) if s >= least]
+        for m in SENTENCE.finditer(text):
+            words = [w.span() for w in WORD.finditer(m.group())]
+            if words:
+                spans.append((m.start() + words[0][0], m.start() + words[-1][1]))
+        return [(a, b, float(s)) for (a, b), s in zip(spans, scores, strict=True) if s >= least]
+
+
+def noisy_or(odds: np.ndarray) -> float:
+    return float(-np.expm1(-np.logaddexp(0, odds).sum()))
 
 
 def _sentences(text: str) -> list[dict[str, None]]:
@@ -102,59 +111,87 @@ def _sentences(text: str) -> list[dict[str, None]]:
     return [words for part in SENTENCE.findall(text.lower()) if (words := dict.fromkeys(WORD.findall(part)))]
 
 
-def _spread(sentences: list, points: int) -> list:
-    """Of a text of more than FIT_POINTS code points, so large a share of the sentences, evenly spread."""
-    if points <= FIT_POINTS:
-        return sentences
-    most = max(1, len(sentences) * FIT_POINTS // points)
-    return [sentences[i] for i in np.linspace(0, len(sentences) - 1, most).round().astype(int)] if sentences else []
-
-
-def fit(texts: list[str], y: np.ndarray, rate: float, features: int = FEATURES, steps: int = STEPS) -> Model:
-    """Adam on the cross-entropy of the noisy-or, all documents at once; rate: the true share of label 1."""
-    seen = {0: Counter(), 1: Counter()}
-    for text, label in zip(texts, y.tolist(), strict=True):
-        seen[int(label)].update({g for w in {w for s in _spread(_sentences(text), len(text)) for w in s} for g in grams(w)})
-    n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    lift = lambda g: abs(seen[1][g] / n1 - seen[0][g] / n0) * abs(math.log((seen[1][g] + 1) / (n1 + 2) * (n0 + 2) / (seen[0][g] + 1)))
-    common = (g for part in seen.values() for g in part if seen[1][g] + seen[0][g] >= 4)
-    names = sorted({*heapq.nsmallest(2 * features, common, key=lambda g: (-lift(g), g))}, key=lambda g: (-lift(g), g))[:features]
-    index = {g: k for k, g in enumerate(names)}
-    del seen
-    # texts are cut to words a second time, so that only numbers are held
-    columns, sentence, owner = array("i"), array("i"), array("i")
-    for d, text in enumerate(texts):
-        for s in _spread(_sentences(text), len(text)):
-            own = [index[g] for w in s for g in grams(w) if g in index]
-            columns.extend(own)
-            sentence.extend([len(owner)] * len(own))
-            owner.append(d)
-    columns, sentence, owner = (np.array(x, np.int32) for x in (columns, sentence, owner))
-    weight = np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean())) / len(y)
-    w, bias = np.zeros(len(names)), -5.0
-    m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
-    for step in range(1, steps + 1):
-        odds = np.bincount(sentence, w[columns], len(owner)) + bias
-        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        clean = np.bincount(owner, np.logaddexp(0, odds), len(y))  # minus the log of the chance that all are clean
-        toxic = np.maximum(-np.expm1(-clean), 1e-9)
-        pull = np.where(y == 1, -(1 - toxic) / toxic, 1.0) * weight
-        d = pull[owner] * p
-        grad = np.append(np.bincount(columns, d[sentence], len(names)) + 1e-6 * w, d.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        move = 0.08 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-        w, bias = w - move[:-1], bias - move[-1]
-    return Model({g: float(w[k]) for g, k in index.items() if abs(w[k]) > 1e-4}, float(bias))
-
-
-def fit_toxicity(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """A model from labels (doc_id, toxic) of documents that aren't held out; the driver gets at most `rows` texts."""
-    sample = labelled_sample(documents, labels, "toxic", rows).select(F.col("text"), "label").collect()
-    counted = {r.toxic: r["count"] for r in labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("toxic").count().collect()}
-    y = np.array([r.label for r in sample], float)
-    if len(set(y.tolist())) < 2:
-        return Model({}, -5.0 if not y.sum() else 5.0)
-    return fit([r.text for r in sample], y, counted.get(1, 0) / sum(counted.values()))
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, n0, n1): in how many texts of either label an n-gram occurs, in parts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TOGETHER):
+            part = batch.slice(at, TOGETHER)
+            seen = {0: Counter(), 1: Counter()}
+            for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist(), strict=True):
+                seen[label].update({g for w in {w for s in _sentences(text) for w in s} for g in grams(w)})
+            names = [*{**seen[0], **seen[1]}]
+            yield pa.RecordBatch.from_pydict({"gram": pa.array(names, pa.string()), **{f"n{y}": pa.array([seen[y][g] for g in names], pa.int64()) for y in (0, 1)}})
+
+
+def chosen_grams(sample: DataFrame, counts: dict[int, int], features: int) -> list[str]:
+    """The n-grams with the largest lift, counted and ranked on executors; at most `features` come to the driver."""
+    in1, in0, n1, n0 = F.col("n1"), F.col("n0"), counts[1], counts[0]
+    lift = F.abs(in1 / n1 - in0 / n0) * F.abs(F.log((in1 + 1) * (n0 + 2) / (n1 + 2) / (in0 + 1)))
+    counted = sample.select("text", "label").mapInArrow(_gram_counts, "gram string, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return [r.gram for r in counted.where(in0 + in1 >= LEAST_TEXTS).select("gram", lift.alias("lift")).orderBy(F.desc("lift"), "gram").limit(features).collect()]
+
+
+def _packed(sample: DataFrame, names: list[str]) -> DataFrame:
+    """(label, columns, sizes, h): of each text the chosen n-grams of all its sentences, as 32-bit numbers, and how many each sentence has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, known = {g: k for k, g in enumerate(names)}, {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                part, columns, sizes = batch.slice(at, TOGETHER), [], []
+                for text in part.column("text").to_pylist():
+                    own, size = array("i"), array("i")
+                    for s in _sentences(text):
+                        before = len(own)
+                        for w in s:
+                            if w not in known:
+                                if len(known) >= REMEMBERED:
+                                    known.clear()
+                                known[w] = [index[g] for g in grams(w) if g in index]
+                            own.extend(known[w])
+                        size.append(len(own) - before)
+                    columns.append(own.tobytes())
+                    sizes.append(size.tobytes())
+                yield pa.RecordBatch.from_pydict({"label": part.column("label"), "columns": pa.array(columns, pa.binary()), "sizes": pa.array(sizes, pa.binary()), "h": part.column("h")})
+
+    return sample.select("text", "label", "h").mapInArrow(run, "label int, columns binary, sizes binary, h long")
+
+
+def gradients(now: Parameters, columns: list[np.ndarray], sizes: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> Parameters:
+    """Of the mean weighted cross-entropy of the noisy-or."""
+    column, size, w = np.concatenate(columns), np.concatenate(sizes), now["weights"]
+    owner, sentence = np.repeat(np.arange(len(y)), [len(s) for s in sizes]), np.repeat(np.arange(len(size)), size)
+    odds = np.bincount(sentence, w[column], len(size)) + now["bias"]
+    clean = np.bincount(owner, np.logaddexp(0, odds), len(y))  # minus the log of the chance that all are clean
+    toxic = np.maximum(-np.expm1(-clean), 1e-9)
+    d = (np.where(y == 1, -(1 - toxic) / toxic, 1.0) * weight / len(y))[owner] / (1 + np.exp(-np.clip(odds, -30, 30)))
+    return {"weights": np.bincount(column, d[sentence], len(w)) + 1e-6 * w, "bias": d.sum()}
+
+
+def fit_toxicity(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, features: int = FEATURES) -> Model:
+    """A model from labels (doc_id, toxic) of documents that aren't held out."""
+    sample = pinned(labelled_sample(documents, labels, "toxic", rows))
+    counts = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
+    if len(counts) < 2:
+        return Model({}, 5.0 if 1 in counts else -5.0)
+    base, share = label_rate(labels, "toxic"), counts[1] / sum(counts.values())
+    names = chosen_grams(sample, counts, features)
+
+    def local(now: Parameters, batches: Iterable[pa.RecordBatch], nth: int) -> int:
+        rate, seen = RATE * (1 - nth / ROUNDS) + 0.001, 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, MINIBATCH):
+                part = batch.slice(at, MINIBATCH)
+                y = part.column("label").to_numpy()
+                columns, sizes = ([np.frombuffer(x, np.int32) for x in part.column(c).to_pylist()] for c in ("columns", "sizes"))
+                adam(now, gradients(now, columns, sizes, y, np.where(y == 1, base / share, (1 - base) / (1 - share))), rate)
+                seen += len(y)
+        return seen
+
+    shards = dealt(_packed(sample, names))
+    found = averaged(shards, with_moments({"weights": np.zeros(len(names)), "bias": np.array(-5.0)}), ROUNDS, local, passes(sum(counts.values()), MINIBATCH, STEPS))
+    shards.unpersist()
+    return Model({g: float(w) for g, w in zip(names, found["weights"], strict=True) if abs(w) > 1e-4}, float(found["bias"]))
 
 
 def score_toxicity(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -165,9 +202,10 @@ def score_toxicity(documents: DataFrame, model: Model, least: float = 0.5) -> Da
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(at, TOGETHER)
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                scores = [model.score(x) for x in texts]
-                found = [[{"start": a, "end": b, "score": s} for a, b, s in model.offending(x)] if p >= least else [] for x, p in zip(texts, scores, strict=True)]
+                texts = part.column(1).to_pylist()
+                odds = [model.sentence_odds(x) for x in texts]
+                scores = [noisy_or(o) for o in odds]
+                found = [[{"start": a, "end": b, "score": s} for a, b, s in model.offending(x, o)] if p >= least else [] for x, o, p in zip(texts, odds, scores, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(found, kind)], ["doc_id", "score", "sentences"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
