@@ -70,11 +70,13 @@ ORACLE_SQL = {
         FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
     """,
     "op7_suffix_dedup": r"""
-        WITH d AS (SELECT DISTINCT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-        p AS (SELECT doc_id, CAST(s - 1 AS BIGINT) AS start, md5(array_to_string(w[s:s + 49], ' ')) AS passage FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS s FROM d)),
-        r AS (SELECT DISTINCT doc_id, start FROM p WHERE passage IN (SELECT passage FROM p GROUP BY passage HAVING count(DISTINCT doc_id) > 1)),
-        i AS (SELECT *, CASE WHEN start > coalesce(lag(start) OVER (PARTITION BY doc_id ORDER BY start), -51) + 50 THEN 1 ELSE 0 END AS new FROM r),
-        g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY start) AS island FROM i)
-        SELECT doc_id, min(start) AS start_word, max(start) + 50 AS end_word, max(start) + 50 - min(start) AS n_words FROM g GROUP BY doc_id, island
+        WITH t AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents),
+        d AS (SELECT row_number() OVER () AS n, doc_id, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t),
+        p AS (SELECT n, CAST(s - 1 AS BIGINT) AS start, md5(array_to_string(w[s:s + 49], ' ')) AS passage FROM (SELECT n, w, unnest(generate_series(1, len(w) - 49)) AS s FROM d)),
+        r AS (SELECT n, start FROM p WHERE passage IN (SELECT passage FROM p GROUP BY passage HAVING min(n) <> max(n))),
+        i AS (SELECT *, CASE WHEN start > coalesce(lag(start) OVER (PARTITION BY n ORDER BY start), -51) + 50 THEN 1 ELSE 0 END AS new FROM r),
+        g AS (SELECT *, sum(new) OVER (PARTITION BY n ORDER BY start) AS island FROM i),
+        f AS (SELECT n, min(start) AS start_word, max(start) + 50 AS end_word FROM g GROUP BY n, island)
+        SELECT doc_id, start_word, end_word, end_word - start_word AS n_words FROM f JOIN d USING (n)
     """,
 }

@@ -134,43 +134,56 @@ def test_components_of_a_long_chain(spark):
 
 
 def plain_passages(rows, least):
-    where = defaultdict(set)
-    texts = {}
-    for n, (doc_id, text) in enumerate(rows):
-        texts[n] = (doc_id, re.findall(r"[^\x20\x09-\x0D]+", text or ""))
-    for doc_id, w in texts.values():
+    """Spans of every document, as a sorted list; rows with one doc_id and one text are one document."""
+    where, spans = defaultdict(set), []
+    texts = {row: re.findall(r"[^\x20\x09-\x0D]+", row[1] or "") for row in {(i, t or "") for i, t in rows}}
+    for row, w in texts.items():
         for s in range(len(w) - least + 1):
-            where[" ".join(w[s : s + least])].add((doc_id, " ".join(w)))
-    spans = set()
-    for doc_id, w in texts.values():
-        covered = np.zeros(len(w) + 1, bool)
-        starts = [s for s in range(len(w) - least + 1) if len(where[" ".join(w[s : s + least])]) > 1]
+            where[" ".join(w[s : s + least])].add(row)
+    for (doc_id, _), w in texts.items():
         last = None
-        for s in starts:
+        for s in (s for s in range(len(w) - least + 1) if len(where[" ".join(w[s : s + least])]) > 1):
             if last is not None and s <= last[1]:
                 last[1] = s + least
             else:
-                if last:
-                    spans.add((doc_id, *last))
                 last = [s, s + least]
-        if last:
-            spans.add((doc_id, *last))
-        del covered
-    return spans
+                spans.append((doc_id, last))
+    return sorted(((i, *x) for i, x in spans), key=str)
 
 
-def test_shared_passages_are_those_of_the_dense_array(nasty, documents):
+def passages(table, least=50, key=10):
+    return sorted(((r.doc_id, r.start_word, r.end_word) for r in suffix_dedup.shared_passages(table, least, key).collect()), key=str)
+
+
+def test_shared_passages_are_those_of_the_dense_array(nasty, documents, monkeypatch):
     for table, least, key in ((nasty, 50, 10), (documents.limit(120), 50, 10), (documents.limit(60), 12, 4)):
-        found = {(r.doc_id, r.start_word, r.end_word) for r in suffix_dedup.shared_passages(table, least, key).collect()}
-        assert found == plain_passages(pairs(table), least)
+        expected = plain_passages(pairs(table), least)
+        assert expected and passages(table, least, key) == expected
+    monkeypatch.setattr(suffix_dedup, "TILE", 3)  # most beginnings are dealt out in tiles
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", 64)
+    assert passages(table, least, key) == expected
+
+
+def test_shared_passages_of_few_words_in_all_ways(spark, monkeypatch):
+    """Matches that differ in where they end on either side, and rows that repeat: every partner counts."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["a", "b", "c"], rng.integers(0, 90), p=[0.8, 0.15, 0.05])) for _ in range(60)]
+    rows = [(f"id{k % 50}", t) for k, t in enumerate(texts)] + [("id3", texts[3])] * 3 + [(None, texts[5]), (None, texts[5])]
+    table = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    for least, key in ((14, 4), (9, 3), (6, 6)):
+        expected = plain_passages(rows, least)
+        assert len(expected) > 40
+        for tile, together in ((4096, 8192), (5, 40)):
+            monkeypatch.setattr(suffix_dedup, "TILE", tile)
+            monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+            assert passages(table, least, key) == expected
 
 
 def test_minimisers_cover_every_window():
     rng = np.random.default_rng(1)
     for window in (1, 2, 7, 41):
         keys = rng.integers(0, 30, 400).astype(np.uint64)
-        expected = {i + int(np.argmin(keys[i : i + window])) for i in range(len(keys) - window + 1)}
-        assert suffix_dedup.minimisers(keys, window).tolist() == sorted(expected)
+        assert suffix_dedup.own_minimisers(keys, window).tolist() == [i + int(np.argmin(keys[i : i + window])) for i in range(len(keys) - window + 1)]
 
 
 def test_runs_depend_on_their_words_alone():
