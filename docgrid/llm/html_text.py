@@ -5,7 +5,8 @@ length and their commas to their ancestors, halved and so on with the distance;
 discounted by its link density. The best container, and those of its siblings that score near it or read like
 its paragraphs, are the article; all their blocks come out, in page order. Subtrees that can't be article text
 (scripts, styles, forms, menus, page headers and footers, sidebars, notices, adverts, reader comments; by element,
-role or the words of class and id) are left out first.
+role or the words of class and id) are left out first; a page that has nothing else gives "". Inside an article no
+list of links is dropped that isn't called a menu or the like. The time is linear in the page at any depth of tags.
 
 Nulls: a null page is empty; a page without text gives "". Broken markup is read as browsers do in the common
 cases (open paragraphs and list items end at the next, stray end tags are ignored, a cut-off page ends all).
@@ -13,8 +14,10 @@ Whole pages are read; url and page_id may be null or repeat. Other columns are n
 """
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,19 +38,30 @@ JUNK = frozenset(
 ARTICLE = frozenset("article content main post entry story".split())
 #: Words that say article even beside a word of JUNK, unless it is one of these.
 ALWAYS = frozenset("ad ads advert adverts advertisement sponsored promo cookie cookies consent sidebar comment comments disqus reply replies footer nav navbar menu newsletter related share social popup modal".split())
-KEEP = frozenset("html body article main".split())
+#: Names say nothing of these.
+KEEP = frozenset("html body main".split())
+#: What makes an article element one that isn't the article.
+ASIDE = frozenset("ad ads advert adverts advertisement sponsored promo comment comments reply replies response responses related recommended".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SPACE = re.compile(r"\s+")
 #: A paragraph has at least so many code points.
 LEAST_CHARS = 25
+MOST_ENDLESS = 100
+#: How an element is left out: not, by the words of its class and id, by what it is.
+NOT, BY_NAME, BY_KIND = range(3)
+#: Open elements of the values end where one of the key begins inside the same parent.
+CLOSES = {tag: [x for x, ends in ENDS.items() if tag in ends] for tag in {t for ends in ENDS.values() for t in ends}}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "junk", "names", "points", "chars", "linked", "links", "children")
+    __slots__ = ("tag", "parent", "bad", "names", "in_link", "junk", "holds", "points", "chars", "linked", "links", "children")
 
-    def __init__(self, tag: str, parent: "Node | None", junk: bool, names: str) -> None:
-        self.tag, self.parent, self.junk, self.names = tag, parent, junk, names
-        self.points, self.chars, self.linked, self.links = 0.0, 0, 0, 0
+    def __init__(self, tag: str, parent: "Node | None", bad: int, names: str) -> None:
+        self.tag, self.parent, self.bad, self.names = tag, parent, bad, names
+        self.in_link = tag == "a" or parent is not None and parent.in_link
+        self.junk = self.holds = False
+        self.points, self.chars, self.linked, self.links = 0.0, 0, 0, int(tag == "a")
         self.children: list[Node] = []
         if parent is not None:
             parent.children.append(self)
@@ -62,112 +76,143 @@ class Node:
             node = node.parent
 
 
-def _is_junk(tag: str, attrs: list, inside_article: bool) -> tuple[bool, str]:
-    names, junk = "", tag in NEVER or (tag == "header" and not inside_article)
+def _verdict(tag: str, attrs: list, inside_article: bool) -> tuple[int, str]:
+    names, bad = "", BY_KIND if tag in NEVER or (tag == "header" and not inside_article) else NOT
     for key, value in attrs:
         if key in ("class", "id"):
-            names += f" {value or ''}"
+            names += f" {value}" if value else ""
         elif key == "hidden" or (key == "role" and (value or "").lower() in ROLES) or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in (value or "").replace(" ", "")):
-            junk = True
-    if names and not junk and tag not in KEEP:
+            bad = BY_KIND
+    if names and not bad and tag not in KEEP:
         words = [w.lower() for w in NAME.findall(names)]
         found = {w for k, w in enumerate(words) if w in JUNK and not (k and words[k - 1] in ("no", "has", "with", "without"))}
-        junk = bool(found) and (bool(found & ALWAYS) or not ARTICLE & set(words))
-    return junk, names
+        if tag == "article":
+            bad = BY_NAME if found & ASIDE and not ARTICLE & set(words) else NOT
+        elif found and (found & ALWAYS or not ARTICLE & set(words)):
+            bad = BY_NAME
+    return bad, names
 
 
 class Tree(HTMLParser):
-    def __init__(self, by_names: bool) -> None:
+    """Elements in page order (a parent before its children) and, at block elements, pieces of text.
+
+    The open elements' places are kept by tag and by kind, so that each tag costs the same at any depth.
+    """
+
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.by_names = by_names
-        self.root = Node("root", None, False, "")
-        self.open = [self.root]
-        self.blocks: list[tuple[Node, str, int]] = []
-        self.text: list[str] = []
-        self.linked = self.in_link = self.in_article = 0
+        self.root = Node("root", None, NOT, "")
+        self.nodes, self.open = [self.root], [self.root]
+        self.blocks: list[tuple[Node, list[tuple[Node, str]]]] = []
+        self.pieces: list[tuple[Node, str]] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.endless_comment, self.endless_tags = False, 0
+        kinds = {"block": BLOCK, "scope": SCOPES, "outer": SCOPES - {"td", "th"}, "barrier": {"article", "body", "table"}, "article": {"article", "main"}}
+        self.kinds_of = {t: [k for k, tags in kinds.items() if t in tags] for t in BLOCK | SCOPES}
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """Once a comment has no end, no later one has."""
+        found = -1 if self.endless_comment else super().parse_comment(i, report)
+        self.endless_comment = found < 0
+        return found
+
+    def parse_html_declaration(self, i: int) -> int:
+        return -1 if self.endless_tags >= MOST_ENDLESS and not self.rawdata.startswith("<!--", i) else self._counted(super().parse_html_declaration(i))
+
+    def _counted(self, found: int) -> int:
+        self.endless_tags += found < 0
+        return found
+
+    def parse_starttag(self, i: int) -> int:
+        """After MOST_ENDLESS tags and declarations that don't end (as by an open quote), each of which is looked for up to the page's end,
+        what begins like a tag is text."""
+        return -1 if self.endless_tags >= MOST_ENDLESS else self._counted(super().parse_starttag(i))
+
+    def last(self, name: str) -> int:
+        """The place of the innermost open element of a tag or (with a colon before) of a kind; 0 for none."""
+        places = self.places.get(name)
+        return places[-1] if places else 0
 
     def end_block(self) -> None:
-        if self.text:
-            text = SPACE.sub(" ", "".join(self.text)).strip()
-            if text:
-                node = next(x for x in reversed(self.open) if x.tag in BLOCK or x.tag == "root")
-                self.blocks.append((node, text, min(self.linked, len(text))))
-            self.text, self.linked = [], 0
+        if self.pieces:
+            self.blocks.append((self.open[self.last(":block")], self.pieces))
+            self.pieces = []
 
     def close_from(self, at: int) -> None:
-        if any(x.tag in BLOCK for x in self.open[at:]):
+        if self.last(":block") >= at:
             self.end_block()
         for x in self.open[at:]:
-            self.in_link -= x.tag == "a"
-            self.in_article -= x.tag in ("article", "main")
+            for name in (x.tag, *[f":{k}" for k in self.kinds_of.get(x.tag, ())]):
+                self.places[name].pop()
         del self.open[at:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "br" or tag in ("td", "th"):
-            self.text.append(" ")
+            self.pieces.append((self.open[-1], " "))
         if tag in BLOCK:
             self.end_block()
-            for at in range(len(self.open) - 1, 0, -1):
-                if self.open[at].tag == "p":
-                    self.close_from(at)
-                    break
-                if self.open[at].tag in SCOPES:
-                    break
-        for at in range(len(self.open) - 1, 0, -1):
-            if tag in ENDS.get(self.open[at].tag, ()):
-                self.close_from(at)
-                break
-            if self.open[at].tag in SCOPES and self.open[at].tag not in ("td", "th"):
-                break
-        if tag == "a":
-            for at in range(len(self.open) - 1, 0, -1):
-                if self.open[at].tag == "a":
-                    self.close_from(at)
-                    break
+            if self.last("p") > self.last(":scope"):
+                self.close_from(self.last("p"))
+        ended = [at for at in map(self.last, CLOSES.get(tag, ())) if at > self.last(":outer")]
+        if ended:
+            self.close_from(min(ended))
+        if tag == "a" and self.last("a"):
+            self.close_from(self.last("a"))
         if tag in VOID:
             return
         parent = self.open[-1]
-        junk, names = (True, "") if parent.junk else _is_junk(tag, attrs if self.by_names else [], self.in_article > 0)
-        node = Node(tag, parent, junk, names)
+        bad, names = (BY_KIND, "") if parent.bad == BY_KIND else _verdict(tag, attrs, bool(self.last(":article")))
+        node = Node(tag, parent, bad, names)
+        for name in (tag, *[f":{k}" for k in self.kinds_of.get(tag, ())]):
+            self.places[name].append(len(self.open))
+        self.nodes.append(node)
         self.open.append(node)
-        self.in_link += tag == "a"
-        self.in_article += tag in ("article", "main")
-        if tag == "a":
-            for x in self.open:
-                x.links += 1
 
     def handle_endtag(self, tag: str) -> None:
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].tag == tag:
-                self.close_from(at)
-                return
-            if self.open[at].tag in ("article", "body", "table") and tag not in BLOCK:
-                return
+        at = self.last(tag)
+        if at and (tag in BLOCK or at >= self.last(":barrier")):
+            self.close_from(at)
 
     def handle_data(self, data: str) -> None:
-        if self.open[-1].junk:
-            if self.open[-1].tag not in BLOCK and not any(x.junk and x.tag in BLOCK for x in self.open):
-                return
-            return
-        self.text.append(data)
-        if self.in_link:
-            self.linked += len(data.strip())
+        if self.open[-1].bad != BY_KIND:
+            self.pieces.append((self.open[-1], data))
+
+
+def _blocks(tree: Tree) -> list[tuple[Node, str, int]]:
+    """(element, text, linked code points) of what isn't left out, in page order; sums are passed up to all ancestors.
 
+    An element that only its names speak against is kept if it holds the page's article or main element.
+    """
+    for x in reversed(tree.nodes[1:]):
+        x.parent.holds |= x.holds or x.tag == "main" or x.tag == "article" and not x.bad
+        x.parent.links += x.links
+    for x in tree.nodes[1:]:
+        x.junk = x.parent.junk or x.bad == BY_KIND or x.bad == BY_NAME and not x.holds
+    out = []
+    for node, pieces in tree.blocks:
+        own = [(x, data) for x, data in pieces if not x.junk]
+        text = SPACE.sub(" ", "".join(data for _, data in own)).strip()
+        if text and not node.junk:
+            linked = min(sum(len(data.strip()) for x, data in own if x.in_link), len(text))
+            out.append((node, text, linked))
+            node.chars += len(text)
+            node.linked += linked
+    for x in reversed(tree.nodes[1:]):
+        x.parent.chars += x.chars
+        x.parent.linked += x.linked
+    return out
 
-def _score(tree: Tree) -> list[Node]:
+
+def _score(blocks: list[tuple[Node, str, int]]) -> list[Node]:
     """Points of all candidates, which are returned."""
     scored: dict[int, Node] = {}
-    for node, text, linked in tree.blocks:
-        for x in [node, *node.above()]:
-            x.chars += len(text)
-            x.linked += linked
-    for node, text, linked in tree.blocks:
-        if len(text) < LEAST_CHARS or node.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "li") and linked * 2 > len(text):
+    for node, text, linked in blocks:
+        if len(text) < LEAST_CHARS or (node.tag in HEADINGS or node.tag == "li") and linked * 2 > len(text):
             continue
         points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
         start = node if node.tag in ("div", "article", "section", "main", "body") else node.parent
-        for level, x in enumerate([start, *start.above()] if start else []):
-            if level > 3 or x.tag in ("html", "root"):
+        for level, x in enumerate([start, *islice(start.above(), 3)] if start else []):
+            if x.tag in ("html", "root"):
                 break
             x.points += points / (level + 1)
             scored[id(x)] = x
@@ -176,8 +221,8 @@ def _score(tree: Tree) -> list[Node]:
     return list(scored.values())
 
 
-def _chosen(tree: Tree) -> list[Node]:
-    candidates = _score(tree)
+def _chosen(blocks: list[tuple[Node, str, int]]) -> list[Node]:
+    candidates = _score(blocks)
     if not candidates:
         return []
     best = max(candidates, key=lambda x: x.points)
@@ -187,16 +232,18 @@ def _chosen(tree: Tree) -> list[Node]:
         if x.tag in ("article", "main"):
             best = x
             break
-    kept = [best]
-    if best.parent is not None:
-        for x in best.parent.children:
-            if x is best or x.junk or best.tag in ("article", "main", "body"):
-                continue
-            near = x.points + (0.2 * best.points if x.names and x.names == best.names else 0) >= max(10, 0.2 * best.points)
-            reads = x.tag == "p" and (x.chars > 80 and x.density() < 0.25 or 0 < x.chars <= 80 and not x.linked)
-            if near or reads:
-                kept.append(x)
-    return kept
+    return [best, *(x for x in (best.parent.children if best.parent is not None and best.tag != "body" else []) if x is not best and not x.junk and _goes_along(x, best))]
+
+
+def _goes_along(x: Node, best: Node) -> bool:
+    """Whether a sibling of the best container is a part of the article: it scores near it, reads like its paragraphs,
+    goes on with it in an element of the same kind, or is its headline."""
+    share = x.points + (0.2 * best.points if x.names and x.names == best.names else 0)
+    if share >= max(10, 0.2 * best.points) or x.tag in ("article", "section") and x.points >= 0.2 * best.points > 0 and x.density() < 0.25:
+        return True
+    if x.tag == "p":
+        return x.chars > 80 and x.density() < 0.25 or 0 < x.chars <= 80 and not x.linked
+    return x.tag in HEADINGS and x.chars > 0 and not x.linked and best.tag in ("article", "section")
 
 
 def _list_of_links(node: Node) -> bool:
@@ -204,24 +251,23 @@ def _list_of_links(node: Node) -> bool:
 
 
 def main_text(html: str) -> str:
-    """The article's blocks, joined by two line ends."""
-    for by_names in (True, False):
-        tree = Tree(by_names)
-        tree.feed(html)
-        tree.close()
-        tree.end_block()
-        kept = {id(x) for x in _chosen(tree)} or {id(x) for b, _, _ in tree.blocks for x in [b, *b.above()] if x.tag in ("article", "main")} or {id(tree.root)}
-        out = []
-        for node, text, _ in tree.blocks:
-            for x in [node, *node.above()]:
-                if id(x) in kept:
-                    out.append(text)
-                    break
-                if _list_of_links(x):
-                    break
-        if out:
-            return "\n\n".join(out)
-    return ""
+    """The article's blocks, joined by two line ends; empty where there is nothing but what is left out."""
+    tree = Tree()
+    tree.feed(html)
+    tree.close()
+    tree.end_block()
+    blocks = _blocks(tree)
+    kept = {id(x) for x in _chosen(blocks)} or {id(x) for x in tree.nodes if x.tag in ("article", "main") and x.chars} or {id(tree.root)}
+    # inside: not in what is kept, in a container whose lists of links go, in an article, of which all stays
+    inside: dict[int, int] = {}
+    for x in tree.nodes:
+        state = inside[id(x.parent)] if x.parent is not None else 0
+        if id(x) in kept:
+            state = 1
+        if state and (x.tag in ("article", "main") or ARTICLE & {w.lower() for w in NAME.findall(x.names)}):
+            state = 2
+        inside[id(x)] = 0 if state == 1 and _list_of_links(x) and id(x) not in kept else state
+    return "\n\n".join(text for node, text, _ in blocks if inside[id(node)])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -229,7 +275,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x or "") for x in batch.column(2).to_pylist()]
+            texts = [main_text(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     kind = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}

@@ -319,6 +319,111 @@ def test_small_pages(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        '<div class="comments"><div class="comment-body"><p>I think, dear author, that this is wrong, and long, and more.</p></div></div>',
+        '<div id="cookie-banner"><p>We use cookies, many.</p></div>', "<nav><ul><li><a href=x>Home</a></ul></nav><footer><p>All rights, and lefts, reserved by us.</p></footer>",
+        '<section class="comments"><article class="comment"><p>No, no, and again no, this is a long comment.</p></article></section>', "<aside><p>Beside, the point, and long enough to be text.</p></aside>",
+    ],
+)
+def test_pages_of_excluded_parts_alone_are_empty(html):
+    assert html_text.main_text(f"<html><body>{html}</body></html>") == html_text.main_text(html) == ""
+
+
+def test_articles_go_on_beside_each_other():
+    one, two = ("Some words, and more words, of the article, which are many, and go on. " * 4).strip(), ("The second part, shorter, of the article. " * 2).strip()
+    page = f"<body><div><h1>Head</h1><article><p>{one}</p></article><article><p>{two}</p></article></div><div class=related><p>Other things, to read, and read, and read.</p></div></body>"
+    assert html_text.main_text(page) == f"Head\n\n{one}\n\n{two}"
+    sources = "<ul><li><a href=a>First source</a><li><a href=b>Second source</a><li><a href=c>Third source</a></ul>"
+    assert html_text.main_text(f"<article><p>{one}</p>{sources}</article>") == f"{one}\n\nFirst source\n\nSecond source\n\nThird source"
+    assert html_text.main_text(f"<article><p>{one}</p>{sources.replace('<ul', '<ul class=related-posts')}</article>") == one
+    assert html_text.main_text(f"<body><p>{one}</p><p>{two}</p>{sources}</body>") == f"{one}\n\n{two}"
+
+
+def test_a_wrapper_is_not_left_out_for_its_name_alone():
+    page = '<div class="sidebar-left"><main><p>Some text, that is the article.</p></main><div class="sidebar"><p>Beside the point, and long enough to be text.</p></div></div>'
+    assert html_text.main_text(page) == "Some text, that is the article."
+
+
+@pytest.mark.parametrize("part", ["<b>", "<div>", "<div><p>word, ", "<a href=x>y", "<ul><li>x", "</p>", "<", "<!--", '<a href="', "</", "<?", "<![CDATA["])
+def test_odd_pages_take_linear_time(part):
+    import time
+
+    began = time.time()
+    html_text.main_text(part * (100_000 if len(part) < 12 else 50_000))
+    assert time.time() - began < 25
+
+
+def plain_article(tree):
+    """The rules of the docstring by plain recursion over (tag, class, children or text), on well-formed trees."""
+    above, own, order = {}, {}, []
+
+    def walk(node, parent):
+        above[id(node)] = parent
+        order.append(node)
+        own[id(node)] = node[2] if isinstance(node[2], str) else ""
+        for child in [] if isinstance(node[2], str) else node[2]:
+            walk(child, node)
+
+    walk(tree, None)
+    junk = lambda n: n is not None and (n[0] in ("nav", "footer") or n[1] in ("sidebar", "comments") or junk(above[id(n)]))
+    texts = [(n, own[id(n)]) for n in order if own[id(n)] and not junk(n)]
+    below = lambda n: [(m, t) for m, t in texts if any(x is n for x in line(m))]
+
+    def line(n):
+        return [] if n is None else [n, *line(above[id(n)])]
+
+    points = defaultdict(float)
+    for n, t in texts:
+        if len(t) >= 25:
+            for level, x in enumerate(line(n if n[0] in ("div", "section", "body") else above[id(n)])[:4]):
+                points[id(x)] += (1 + t.count(",") + min(len(t) / 100, 3)) / (level + 1)
+    candidates = [n for n in sorted((x for x in order if id(x) in points), key=lambda x: [id(y) for y in first_seen(order, texts, line)].index(id(x)))]
+    if not candidates:
+        return "\n\n".join(t for _, t in texts)
+    best = max(candidates, key=lambda n: points[id(n)])
+    while above[id(best)] and above[id(best)][0] != "body" and points[id(above[id(best)])] >= 0.7 * points[id(best)]:
+        best = above[id(best)]
+    kept = [best]
+    for x in above[id(best)][2] if above[id(best)] else []:
+        chars = sum(len(t) for _, t in below(x))
+        share = points[id(x)] + (0.2 * points[id(best)] if x[1] and x[1] == best[1] else 0)
+        if x is not best and not junk(x) and (share >= max(10, 0.2 * points[id(best)]) or x[0] == "section" and points[id(x)] >= 0.2 * points[id(best)] or x[0] == "p" and chars or x[0] == "h2" and chars and best[0] == "section"):
+            kept.append(x)
+    return "\n\n".join(t for n, t in texts if any(x is k for x in line(n) for k in kept))
+
+
+def first_seen(order, texts, line):
+    """Elements in the order in which paragraphs pass points to them."""
+    seen = []
+    for n, t in texts:
+        if len(t) >= 25:
+            for x in line(n if n[0] in ("div", "section", "body") else line(n)[1])[:4]:
+                if not any(x is y for y in seen):
+                    seen.append(x)
+    return seen
+
+
+def test_articles_against_a_plain_scorer():
+    rng = random.Random(4)
+
+    def words(n):
+        return " ".join(rng.choice(["word", "text,", "and", "more,"]) for _ in range(n))
+
+    def tree(depth, tag="div"):
+        if depth == 0 or rng.random() < 0.2:
+            return (rng.choice(["p", "p", "h2"]), "", words(rng.randrange(1, 60)))
+        return (tag, rng.choice(["", "", "x", "y", "sidebar", "comments"]), [tree(depth - 1, rng.choice(["div", "section", "nav", "footer"])) for _ in range(rng.randrange(1, 4))])
+
+    def html(node):
+        return f"<{node[0]} class='{node[1]}'>{node[2] if isinstance(node[2], str) else ''.join(map(html, node[2]))}</{node[0]}>"
+
+    for _ in range(300):
+        page = ("body", "", [tree(rng.randrange(5)) for _ in range(rng.randrange(1, 5))])
+        assert html_text.main_text(html(page)) == plain_article(page)
+
+
 def test_pages_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 0), (2, None, None, 0), (None, "v", "", 0), (1, "u", PAGE, 0)], "page_id long, url string, html string, text int")
     rows = html_text.extract_pages(pages).collect()
