@@ -7,15 +7,16 @@ tail goes back to its tier. So every window of a task is full but for the last,
 tiers. Sequences of a tier are dealt to step groups of about GROUP_TOKENS tokens, one tier each, in a snake
 order of their attention cost, so that the steps of a group are alike.
 
-Each task packs what it scans: no shuffle, and memory for one block of rests. What a task leaves short is less
-than one window. Nulls: a null text is empty; an empty text is the end id alone. doc_id may be null or repeat;
+Each task packs what it scans: no shuffle, and memory for one document and one block of rests, of which only the
+ids that wait are held (at most 4 * BLOCK_TOKENS bytes, in at most BLOCK_RESTS arrays). What a task leaves short is
+less than one window. Nulls: a null text is empty; an empty text is the end id alone. doc_id may be null or repeat;
 each row is a document. An empty table gives no sequences; other columns are not looked at. sequence_id and
 step_group hold the number of the task in the bits from 40 up.
 """
 
 import functools
 import zlib
-from bisect import bisect_right, insort
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -31,8 +32,11 @@ END_ID = 1
 GROUP_TOKENS = 1 << 17
 #: Groups of a tier that are dealt together.
 DEAL = 4
-#: Rests of so many tokens are packed together.
+#: Rests of so many tokens, or so many rests, are packed together.
 BLOCK_TOKENS = 1 << 22
+BLOCK_RESTS = 1 << 17
+#: Texts that are taken out of a batch at a time; sequences that are put into one.
+TOGETHER = 512
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SPECIAL = {"<|endoftext|>": 50256}
 
@@ -67,79 +71,101 @@ def token_ids(text: str, path: str) -> np.ndarray:
     return np.append(ids, END_ID).astype("<u4")
 
 
+class Rest(NamedTuple):
+    """The ids of a document's end, or of a part of it, that wait for a window; at most one window long."""
+
+    ids: np.ndarray
+    start: int
+    doc_id: object
+    doc_tokens: int
+
+    def cut(self, at: int) -> tuple["Rest", "Rest"]:
+        return self._replace(ids=self.ids[:at]), self._replace(ids=self.ids[at:], start=self.start + at)
+
+
 class Piece(NamedTuple):
+    """What is kept of a piece once its place is known: no ids."""
+
     length: int
-    nth: int  # of the document in its task
     start: int
     doc_id: object
-    ids: np.ndarray  # of the whole document
+    doc_tokens: int
+    crc: int
+
 
-    def cut(self, at: int) -> tuple["Piece", "Piece"]:
-        return self._replace(length=at), self._replace(length=self.length - at, start=self.start + at)
+def piece(rest: Rest) -> Piece:
+    return Piece(len(rest.ids), rest.start, rest.doc_id, rest.doc_tokens, zlib.crc32(rest.ids))
 
 
 class Pool:
-    """Rests in order of length."""
+    """Rests by length, of one length in the order of arrival; a number's bits tell which lengths there are."""
 
     def __init__(self) -> None:
-        self.pieces: list[Piece] = []
-        self.tokens = 0
+        self.of: dict[int, deque[Rest]] = defaultdict(deque)
+        self.lengths = self.tokens = self.rests = 0
 
-    def add(self, piece: Piece) -> None:
-        insort(self.pieces, piece, key=lambda x: x.length)
-        self.tokens += piece.length
+    def add(self, rest: Rest) -> None:
+        self.of[len(rest.ids)].append(rest)
+        self.lengths |= 1 << len(rest.ids)
+        self.tokens += len(rest.ids)
+        self.rests += 1
 
-    def longest(self, most: int) -> Piece | None:
-        at = bisect_right(self.pieces, most, key=lambda x: x.length)
-        return self._take(at - 1) if at else None
+    def longest(self, most: int) -> Rest | None:
+        fitting = self.lengths & ((2 << most) - 1)
+        return self._take(fitting.bit_length() - 1) if fitting else None
 
-    def shortest(self) -> Piece:
-        return self._take(0)
+    def shortest(self) -> Rest:
+        return self._take((self.lengths & -self.lengths).bit_length() - 1)
 
-    def _take(self, at: int) -> Piece:
-        piece = self.pieces.pop(at)
-        self.tokens -= piece.length
-        return piece
+    def _take(self, length: int) -> Rest:
+        own = self.of[length]
+        rest = own.popleft()
+        if not own:
+            self.lengths ^= 1 << length
+        self.tokens -= length
+        self.rests -= 1
+        return rest
 
 
 def pack(pool: Pool, tiers: tuple[int, ...], last: bool) -> Iterator[list[Piece]]:
     """Full windows from the pool; what can't fill one stays there, or is cut along the tiers if this is the last call."""
-    while pool.pieces:
+    while pool.lengths:
         window = [pool.longest(tiers[-1])]
-        gap = next(t for t in tiers if t >= window[0].length) - window[0].length
-        while gap and (piece := pool.longest(gap)):
-            window.append(piece)
-            gap -= piece.length
-        if gap and pool.pieces:
+        gap = next(t for t in tiers if t >= len(window[0].ids)) - len(window[0].ids)
+        while gap and (rest := pool.longest(gap)):
+            window.append(rest)
+            gap -= len(rest.ids)
+        if gap and pool.lengths:
             head, tail = pool.shortest().cut(gap)
             window.append(head)
             pool.add(tail)
         elif gap:  # the last window of all
             if not last:
-                for piece in window:
-                    pool.add(piece)
+                for rest in window:
+                    pool.add(rest)
                 return
-            yield from _along_tiers(window, tiers)
+            yield from _along_tiers(deque(window), tiers)
             return
-        yield window
+        yield [*map(piece, window)]
 
 
-def _along_tiers(pieces: list[Piece], tiers: tuple[int, ...]) -> Iterator[list[Piece]]:
-    while pieces:
-        total = sum(x.length for x in pieces)
+def _along_tiers(rests: deque[Rest], tiers: tuple[int, ...]) -> Iterator[list[Piece]]:
+    total = sum(len(x.ids) for x in rests)
+    while rests:
         size, window = next((t for t in reversed(tiers) if t <= total), total), []
+        total -= size
         while size:
-            head = pieces.pop(0)
-            if head.length > size:
+            head = rests.popleft()
+            if len(head.ids) > size:
                 head, tail = head.cut(size)
-                pieces.insert(0, tail)
-            window.append(head)
-            size -= head.length
+                rests.appendleft(tail)
+            window.append(piece(head))
+            size -= len(head.ids)
         yield window
 
 
 class Steps:
-    """Deals the sequences of each tier to step groups of like cost."""
+    """Deals the sequences of each tier to step groups of like cost; holds pieces without their ids."""
 
     def __init__(self, group_tokens: int, task: int) -> None:
         self.group_tokens, self.next_group = group_tokens, task << 40
@@ -174,8 +200,7 @@ def _rows(dealt: list[tuple[int, int, list[Piece]]], tiers: tuple[int, ...], kin
         at, total = 0, sum(p.length for p in window)
         tier = next(t for t in tiers if t >= total)
         for p in window:
-            crc = zlib.crc32(p.ids[p.start : p.start + p.length].tobytes())
-            for column, value in zip(out, (p.doc_id, p.start, p.length, crc, len(p.ids), number, at, tier, group), strict=True):
+            for column, value in zip(out, (p.doc_id, p.start, p.length, p.crc, p.doc_tokens, number, at, tier, group), strict=True):
                 column.append(value)
             at += p.length
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, [kind, *(t for _, t in FIELDS)], strict=True)], ["doc_id", *(n for n, _ in FIELDS)])
@@ -189,22 +214,25 @@ def pack_documents(documents: DataFrame, path: str, tiers: tuple[int, ...] = TIE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        pool, steps, number, nth, kind = Pool(), Steps(group_tokens, task), task << 40, 0, None
-        largest = tiers[-1]
+        pool, steps, number, kind, largest = Pool(), Steps(group_tokens, task), task << 40, None, tiers[-1]
         for batch in batches:
             kind, dealt = batch.schema.field(0).type, []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = token_ids(text or "", path)
-                for start in range(0, len(ids) - largest + 1, largest):
-                    dealt += steps.add(number, [Piece(largest, nth, start, doc_id, ids)])
-                    number += 1
-                if rest := len(ids) % largest:
-                    pool.add(Piece(rest, nth, len(ids) - rest, doc_id, ids))
-                nth += 1
-                if pool.tokens >= BLOCK_TOKENS:
-                    for window in pack(pool, tiers, last=False):
-                        dealt += steps.add(number, window)
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    ids = token_ids(text, path)
+                    for start in range(0, len(ids) - largest + 1, largest):
+                        dealt += steps.add(number, [piece(Rest(ids[start : start + largest], start, doc_id, len(ids)))])
                         number += 1
+                    if rest := len(ids) % largest:
+                        pool.add(Rest(ids[-rest:].copy(), len(ids) - rest, doc_id, len(ids)))  # a copy, so that the others go
+                    if pool.tokens >= BLOCK_TOKENS or pool.rests >= BLOCK_RESTS:
+                        for window in pack(pool, tiers, last=False):
+                            dealt += steps.add(number, window)
+                            number += 1
+                if len(dealt) >= TOGETHER:
+                    yield _rows(dealt, tiers, kind)
+                    dealt = []
             if dealt:
                 yield _rows(dealt, tiers, kind)
         dealt = []
