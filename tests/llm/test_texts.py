@@ -69,7 +69,7 @@ def test_step_groups_are_alike():
     dealt = []
     for k in range(70):
         cut = rng.randrange(1, 256)
-        window = [packing.Piece(n, k, 0, k, np.zeros(n, "<u4")) for n in (cut, 256 - cut)]
+        window = [packing.Piece(n, 0, k, n, 0) for n in (cut, 256 - cut)]
         dealt += steps.add(k, window)
     for tier in [*steps.waiting]:
         dealt += steps.deal(tier)
@@ -83,7 +83,7 @@ def test_pool_gives_full_windows(seed):
     rng, pool, total = random.Random(seed), packing.Pool(), 0
     for k in range(rng.randrange(1, 60)):
         n = rng.randrange(1, 2048)
-        pool.add(packing.Piece(n, k, 0, k, np.zeros(n, "<u4")))
+        pool.add(packing.Rest(np.zeros(n, "<u4"), 0, k, n))
         total += n
     windows = [*packing.pack(pool, packing.TIERS, last=False)]
     assert all(sum(p.length for p in w) in packing.TIERS for w in windows)
@@ -92,6 +92,28 @@ def test_pool_gives_full_windows(seed):
     assert sum(sum(p.length for p in w) not in packing.TIERS for w in rest) <= 1
 
 
+def test_a_rest_holds_its_own_ids_alone(spark):
+    """What waits of thousands of long documents is bounded by the rests, not by the documents."""
+    pool, long = packing.Pool(), np.zeros(100_000, "<u4")
+    rows = spark.createDataFrame([(k, "word " * 30_000) for k in range(20)], "doc_id long, text string")
+    assert sum(r.length for r in packing.pack_documents(rows, RANKS).collect()) == 20 * len(packing.token_ids("word " * 30_000, RANKS))
+    for k in range(1000):
+        pool.add(packing.Rest(long[-700:].copy(), 99_300, k, len(long)))
+    held = [r.ids for own in pool.of.values() for r in own]
+    assert all(x.base is None for x in held) and sum(x.nbytes for x in held) == 1000 * 700 * 4
+    assert not any(isinstance(v, np.ndarray) for v in packing.piece(held and pool.shortest()))
+
+
+def test_a_million_documents_of_a_token(spark):
+    import time
+
+    pool, ids, began = packing.Pool(), np.ones(1, "<u4"), time.time()
+    for k in range(1_000_000):
+        pool.add(packing.Rest(ids, 0, k, 1))
+    windows = sum(1 for _ in packing.pack(pool, packing.TIERS, last=True))
+    assert windows >= 1_000_000 // 2048 and time.time() - began < 20
+
+
 # ---- token counts
 
 
@@ -119,6 +141,26 @@ def test_cache_encodes_only_distinct_misses(spark, nasty, tmp_path, monkeypatch)
     assert token_counts.count_tokens(nasty, other, str(tmp_path / "lied")).where("n_tokens <> 7").count() > 0  # another tokenizer has none
 
 
+def test_texts_of_misses_alone_are_shuffled(spark, tmp_path, monkeypatch):
+    """On a cache of nine tenths of the contents, a tenth of the texts passes the filter; the counts are those of a cold cache."""
+    cache, passed = str(tmp_path / "cache"), []
+    table = spark.createDataFrame([(k, f"text {k} " * 50) for k in range(1000)] + [(None, "no id"), (3, "text 3 " * 50)], "doc_id long, text string")
+    token_counts.count_tokens(table.where("doc_id % 10 <> 0"), MODEL, cache).collect()
+    given = token_counts._may_be_in
+
+    def counted(words, h):
+        digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
+        passed.append(table.where(given(words, F.xxhash64("doc_id", digest))).count())
+        return given(words, h)
+
+    monkeypatch.setattr(token_counts, "_may_be_in", counted)
+    warm = sorted(token_counts.count_tokens(table, MODEL, cache).collect(), key=str)
+    assert 101 <= passed[0] <= 110
+    assert warm == sorted(token_counts.count_tokens(table, MODEL, str(tmp_path / "other")).collect(), key=str) and len(passed) == 1
+    again = token_counts.count_tokens(table, MODEL, cache)  # nothing is missed
+    assert sorted(again.collect(), key=str) == warm and passed[1] == 0
+
+
 # ---- licenses
 
 
