@@ -9,8 +9,10 @@ LEAST / 4 with it if it has over c / 2 different shingles, so that some band mee
 up without bands: a window meets one if it holds any of its shingles. Windows that meet a template are then verified
 by the exact share of the template's shingles that they contain.
 
-A template of fewer than five words is one shingle of its own length, looked up in a pass for that length. The scan is a map over documents without a shuffle. Templates are a query set: they are
-dealt to the tasks in blocks of at most BLOCK, one pass over the documents for each block.
+A template of fewer than five words is one shingle of its own length, looked up in a pass for that length. The scan
+is a map over documents without a shuffle. Templates are a query set, given in the program: they are dealt to the
+tasks in blocks of at most BLOCK, one pass over the documents for each block. Words are those of the text as it is,
+each in small letters, so places are exact also where letters grow when they are lowered.
 
 Nulls: a null text is empty and has no license; templates without words match nothing. doc_id may be null or
 repeat: each row is scanned. Other columns are not looked at.
@@ -60,7 +62,7 @@ class Scanner:
         self.add = rng.integers(0, 1 << 63, bands, np.uint64)
         self.by_size: dict[int, dict[int, list[tuple[str, np.ndarray, int]]]] = {}
         for name, text in templates.items():
-            words = W.WORD.findall(text.lower())
+            words = W.lowered(text)
             if words:
                 size = min(SHINGLE, len(words))
                 own = np.unique(W.runs(W.hashes(words), size))
@@ -153,14 +155,11 @@ def _runner(scanner: Scanner):
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lowered = (text or "").lower()
-                found = scanner.find(W.hashes(W.WORD.findall(lowered)))
-                if found:
-                    spans = [m.span() for m in W.WORD.finditer(text if len(lowered) != len(text) else lowered)]
-                    for name, share, first, after in found:
-                        last = min(after, len(spans)) - 1
-                        for column, value in zip(rows, (doc_id, name, share, spans[min(first, last)][0], spans[last][1]), strict=True):
-                            column.append(value)
+                found = scanner.find(W.hashes(W.lowered(text)))
+                spans = W.spans(text) if found else []
+                for name, share, first, after in found:
+                    for column, value in zip(rows, (doc_id, name, share, spans[first][0], spans[after - 1][1]), strict=True):
+                        column.append(value)
             kinds = [batch.schema.field(0).type, pa.string(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], ["doc_id", "license", "containment", "start", "end"])
 

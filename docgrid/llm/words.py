@@ -13,6 +13,17 @@ MIX = np.uint64(0xD6E8FEB86659FD93)
 REMEMBERED = 300_000
 
 
+def lowered(text: str) -> list[str]:
+    """The words of a text in small letters, one for each word of the text as it is (a few letters grow when lowered)."""
+    small = text.lower()
+    return WORD.findall(small) if len(small) == len(text) else [w.lower() for w in WORD.findall(text)]
+
+
+def spans(text: str) -> list[tuple[int, int]]:
+    """Where each of these words lies, in code points of the text."""
+    return [m.span() for m in WORD.finditer(text)]
+
+
 class Hashes(dict):
     """Word to hash; computed when missing, forgotten when too many."""
 
