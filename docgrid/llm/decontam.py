@@ -17,7 +17,8 @@ match. Recall at exactly the largest number of edits is measured in the tests, f
 insertions and deletions each: REPEATS x TABLES tables of BITS places reach over 0.95 for parts of up to PART words.
 
 The benchmark is a query set: its items go to the tasks in blocks of at most BLOCK_CHARS, one pass over the
-documents for each. No shuffle. Nulls: a null text of either side is empty and matches nothing; items without
+documents for each; the driver holds no more than two blocks. Words are those of the text as it is, each in small
+letters, so places are exact. No shuffle of documents. Nulls: a null text of either side is empty and matches nothing; items without
 words are ignored. Ids may be null or repeat: one row per document row and item row. Other columns are not
 looked at.
 """
@@ -30,7 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from docgrid.functions.lineage import pinned
 from docgrid.llm import words as W
 from docgrid.llm.common import text_or_empty
 
@@ -108,7 +111,7 @@ class Matcher:
     def __init__(self, items: list[tuple[object, str]], similarity: float = SIMILARITY) -> None:
         self.walks, self.items = Walks(), []
         for item_id, text in items:
-            words = W.hashes(W.WORD.findall((text or "").lower()))
+            words = W.hashes(W.lowered(text))
             if len(words):
                 self.items.append((item_id, words, edits_allowed(len(words), similarity)))
         self.parts: list[tuple[int, int, np.ndarray]] = []  # item, place in it, words
@@ -210,7 +213,7 @@ class Matcher:
                     to += 1
                 first = max(0, starts[at] - reach)
                 edits, a, b = passage_distance(words, texts[d][first : max(0, starts[to] + len(words) + reach)])
-                if edits <= most and (best is None or edits < best[0]):
+                if edits <= most and a < b and (best is None or edits < best[0]):
                     best = (edits, first + a, first + b)
                 at = to + 1
             if best:
@@ -233,58 +236,65 @@ def _key(block: list[tuple[object, str]], similarity: float) -> str:
     return hashlib.sha256(repr((similarity, block)).encode("utf-8", "replace")).hexdigest()
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[object, str]], bool]]:
+    """(items, whether they are the last) in blocks of at most BLOCK_CHARS, or of one item; never none.
+
+    Items come to the driver in parts of about a block, one at a time, so it holds two blocks and two parts at most.
+    """
+    items = benchmark.select("item_id", text_or_empty().alias("text"))
+    chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     block, size = [], 0
-    for row in benchmark.select("item_id", text_or_empty().alias("text")).toLocalIterator():
+    for row in items.repartition(1 + chars // BLOCK_CHARS).toLocalIterator():
         if block and size + len(row.text) > BLOCK_CHARS:
-            yield block
+            yield block, False
             block, size = [], 0
         block.append((row.item_id, row.text))
         size += len(row.text)
-    yield block
+    yield block, True
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """A row per document row and item that it contains: doc_id, item_id, n_edits, n_words, start, end (code points)."""
+    """A row per document row and item that it contains: doc_id, item_id, n_edits, n_words, start, end (code points).
+
+    What a block finds is written before the next block comes to the driver; the last one's is found when it is read.
+    """
     kinds = [documents.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, n_edits long, n_words long, start long, end long"
+    item_kind = to_arrow_type(benchmark.schema["item_id"].dataType)
     texts, out = documents.select("doc_id", text_or_empty().alias("text")), None
-    for block in _blocks(benchmark):
-        part = texts.mapInArrow(_runner(block, similarity), schema)
+    for block, last in _blocks(benchmark):
+        part = texts.mapInArrow(_runner(block, similarity, item_kind), schema)
+        part = part if last else pinned(part)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _runner(block: list[tuple[object, str]], similarity: float):
+def _runner(block: list[tuple[object, str]], similarity: float, item_kind: pa.DataType):
     key = _key(block, similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(block, similarity, key)
         for batch in batches:
-            lowered = [(x or "").lower() for x in batch.column(1).to_pylist()]
-            rows: list[list] = [[] for _ in range(6)]
-            spans: dict[int, list] = {}
-            for d, k, edits, a, b in matcher.matches([W.hashes(W.WORD.findall(x)) for x in lowered]):
-                if d not in spans:
-                    text = batch.column(1)[d].as_py()
-                    spans[d] = [m.span() for m in W.WORD.finditer(text if len(text) != len(lowered[d]) else lowered[d])]
-                last = min(b, len(spans[d])) - 1
-                for column, value in zip(rows, (batch.column(0)[d].as_py(), matcher.items[k][0], edits, len(matcher.items[k][1]), spans[d][min(a, last)][0], spans[d][last][1]), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_pydict(dict(zip(["doc_id", "item_id", "n_edits", "n_words", "start", "end"], rows, strict=True)), pa.schema([("doc_id", batch.schema.field(0).type), ("item_id", _kind(block)), *((c, pa.int64()) for c in ("n_edits", "n_words", "start", "end"))]))
+            texts = batch.column(1).to_pylist()
+            found = matcher.matches([W.hashes(W.lowered(x)) for x in texts])
+            spans = {d: W.spans(texts[d]) for d, *_ in found}
+            places = [(spans[d][a][0], spans[d][b - 1][1]) for d, _, _, a, b in found]
+            columns = [batch.column(0).take(pa.array([d for d, *_ in found], pa.int64())), pa.array([matcher.items[k][0] for _, k, *_ in found], item_kind)]
+            numbers = [[e for _, _, e, _, _ in found], [len(matcher.items[k][1]) for _, k, *_ in found], [a for a, _ in places], [b for _, b in places]]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x, pa.int64()) for x in numbers]], ["doc_id", "item_id", "n_edits", "n_words", "start", "end"])
 
     return run
 
 
-def _kind(block: list[tuple[object, str]]) -> pa.DataType:
-    return pa.string() if any(isinstance(i, str) for i, _ in block) else pa.int64()
-
-
 def drop_leaks(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of documents, all columns, that contain no item; decided where they are scanned, without a join."""
+    """The rows of documents, all columns, that contain no item; decided where they are scanned, without a join.
+
+    Of several blocks, what a block leaves is written before the next one comes to the driver.
+    """
     out = documents
-    for block in _blocks(benchmark):
+    for block, last in _blocks(benchmark):
         out = out.where(~_contains(block, similarity)(text_or_empty()))
+        out = out if last else pinned(out)
     return out
 
 
@@ -296,7 +306,7 @@ def _contains(block: list[tuple[object, str]], similarity: float):
         import pandas as pd
 
         matcher = _matcher(block, similarity, key)
-        found = {d for d, *_ in matcher.matches([W.hashes(W.WORD.findall((x or "").lower())) for x in texts])}
+        found = {d for d, *_ in matcher.matches([W.hashes(W.lowered(x)) for x in texts])}
         return pd.Series([d in found for d in range(len(texts))])
 
     return contains
