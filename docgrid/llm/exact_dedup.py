@@ -6,8 +6,8 @@ scanned; only the other digests, each with a small share of the rows, are shuffl
 
 Nulls: a null text counts as empty, a null doc_id comes after every other. Empty texts are equal to each other
 and to texts of white space. Ties: of rows with as many code points, the smallest doc_id stays. Rows that repeat
-one doc_id with one text are the same document to `exact_dedup`, which returns each of them; `drop_copies`
-leaves one. Other columns are not looked at, whatever their names; an empty table gives an empty result.
+one doc_id with texts of one length are the same document to `exact_dedup`, which returns each of them, kept where
+it is the document that stays; of texts of several lengths only those of the largest are. `drop_copies` leaves one row. Other columns are not looked at, whatever their names; an empty table gives an empty result.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,12 +61,13 @@ def exact_dedup(documents: DataFrame) -> DataFrame:
     text = text_or_empty()
     rows = pinned(documents.select("doc_id", digest(text).alias("digest"), F.char_length(text).alias("n_points")))
     hot = pinned(frequent_digests(rows))
-    settled = rows.join(F.broadcast(hot), "digest").select("doc_id", F.col("hot_id").alias("keep_id"), F.col("hot_size").alias("group_size"), "digest")
+    settled = rows.join(F.broadcast(hot), "digest").select("doc_id", "n_points", F.col("hot_id").alias("keep_id"), F.col("hot_points").alias("keep_points"), F.col("hot_size").alias("group_size"), "digest")
     cold = rows.join(F.broadcast(hot), "digest", "left_anti")
     group = Window.partitionBy("digest")
     first = group.orderBy(*_rank()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    others = cold.select("doc_id", F.first("doc_id").over(first).alias("keep_id"), F.count("*").over(group).alias("group_size"), "digest")
-    return settled.unionByName(others).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+    others = cold.select("doc_id", "n_points", F.first("doc_id").over(first).alias("keep_id"), F.first("n_points").over(first).alias("keep_points"), F.count("*").over(group).alias("group_size"), "digest")
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))
+    return settled.unionByName(others).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def drop_copies(documents: DataFrame) -> DataFrame:

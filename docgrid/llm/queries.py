@@ -66,8 +66,8 @@ ORACLE_SQL = {
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         n AS (SELECT doc_id, length(t) AS n, sha256(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM d)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
-               doc_id = first_value(doc_id) OVER w AS kept, text_sha256
-        FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
+               doc_id IS NOT DISTINCT FROM first_value(doc_id) OVER w AND n = first_value(n) OVER w AS kept, text_sha256
+        FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)
     """,
     "op7_suffix_dedup": r"""
         WITH t AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents),

@@ -28,7 +28,7 @@ def test_exact_matches_a_plain_grouping(nasty, documents):
     for table in (nasty, documents.unionByName(documents.limit(50))):
         found = exact_dedup.exact_dedup(table).collect()
         assert sorted(((r.doc_id, r.keep_id, r.group_size) for r in found), key=str) == plain_exact(pairs(table))
-        assert all(r.kept == (r.doc_id == r.keep_id) for r in found)
+        assert {r.text_sha256 for r in found if r.kept} == {r.text_sha256 for r in found} and all(r.doc_id == r.keep_id for r in found if r.kept)
 
 
 def test_exact_hot_and_cold_paths_agree(spark):
@@ -45,6 +45,13 @@ def test_exact_tie_goes_to_the_smallest_id_among_the_longest(nasty):
     assert kept[1] == kept[2] == kept[3] == 3
 
 
+def test_of_one_doc_id_the_longest_text_is_kept(spark):
+    for more in (1, 60):  # the second is a hot group
+        rows = [(8, "a b"), (8, "a  b"), (9, "a  b"), (None, "c"), (None, " c")] * more
+        found = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in found), key=str) == sorted(([(8, 8, 3 * more, False), (8, 8, 3 * more, True), (9, 8, 3 * more, False), (None, None, 2 * more, False), (None, None, 2 * more, True)] * more), key=str)
+
+
 def test_drop_copies_keeps_one_whole_row_of_each_group(nasty, documents):
     for table in (nasty, documents):
         out = exact_dedup.drop_copies(table)

@@ -199,6 +199,19 @@ def test_licenses_edited_and_located(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_places_are_exact_where_letters_grow(spark):
+    """\u0130 becomes two code points, and by its mark two words, when it is lowered."""
+    mit, item = licenses.TEMPLATES["MIT"], "\u0130stanbul start of an item that lies in a document somewhere"
+    text = f"\u0130\u0130\u0130\u0130 \u0130x {mit} \u0130 and {item} \u0130"
+    table = spark.createDataFrame([("d", text)], "doc_id string, text string")
+    (found,) = licenses.scan_licenses(table).collect()
+    assert text[found.start : found.end] == mit.rstrip(".")
+    for kind, value in (("int", 7), ("string", "seven"), ("long", 7), ("short", 7)):
+        (leak,) = decontam.find_leaks(table, spark.createDataFrame([(value, item)], f"item_id {kind}, text string")).collect()
+        assert leak.item_id == value and leak.doc_id == "d" and leak.n_edits == 0 and text[leak.start : leak.end] == item
+    assert decontam.drop_leaks(table, spark.createDataFrame([(7, item)], "item_id int, text string")).count() == 0
+
+
 def test_bands_meet_with_high_probability():
     """Passages of the least containment are found at any place of a long text."""
     rng = random.Random(0)
@@ -282,10 +295,14 @@ def test_leaks_reach_recall_and_are_exact():
         assert e <= decontam.edits_allowed(len(item)) and e == edits(item.tolist(), texts[d][a:b].tolist())
 
 
+@pytest.mark.parametrize("filtered", [True, False])
 @pytest.mark.parametrize("n", [5, 12, 25, 50, 51, 59, 75, 100, 150, 200, 300])
 @pytest.mark.parametrize("kind", ["substitutions", "insertions", "deletions"])
-def test_leaks_reach_recall_at_all_lengths(n, kind):
-    """Items of any length are found at exactly the allowed edits, of one kind."""
+def test_leaks_reach_recall_at_all_lengths(n, kind, filtered, monkeypatch):
+    """Items of any length are found at exactly the allowed edits, of one kind; also where every window is walked."""
+    if not filtered:
+        every = lambda self, words: {m: np.arange(1 - m, len(words)) for m in self.tables}
+        monkeypatch.setattr(decontam.Matcher, "windows", every)
     rng, tries = random.Random(f"{n} {kind}"), 40
     word = lambda: f"w{rng.randrange(20000)}"
     items = [[word() for _ in range(n)] for _ in range(tries)]
