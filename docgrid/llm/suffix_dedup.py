@@ -37,7 +37,7 @@ from docgrid.llm.common import text_or_empty
 LEAST = 50
 KEY = 10
 #: Suffixes of one beginning that are compared in one task.
-TILE = 4096
+TILE = 1024
 #: Suffixes that are compared in one call; more where one beginning has more.
 TOGETHER = 8192
 
