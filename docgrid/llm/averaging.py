@@ -19,9 +19,13 @@ Parameters = dict[str, np.ndarray]
 
 
 def dealt(sample: DataFrame) -> DataFrame:
-    """A sample (..., h) in its shards, persisted (to be unpersisted by the caller); a lost part is made again."""
-    shard = F.pmod(F.xxhash64("h"), F.lit(SHARDS))
-    return sample.withColumn("shard", shard).repartition(SHARDS, "shard").sortWithinPartitions("h").drop("shard").persist(StorageLevel.MEMORY_AND_DISK)
+    """A sample (..., h) in its shards, persisted (to be unpersisted by the caller); a lost part is made again.
+
+    In a shard, rows are in the order of another hash: by h itself, which the sample was chosen by, the rows of the
+    label that has more of them would come first.
+    """
+    mixed = sample.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(SHARDS))).withColumn("nth", F.xxhash64("h", F.lit(1)))
+    return mixed.repartition(SHARDS, "shard").sortWithinPartitions("nth").drop("shard", "nth").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def passes(rows: int, minibatch: int, steps: int) -> int:
@@ -49,15 +53,16 @@ def averaged(sample: DataFrame, start: Parameters, rounds: int, local: Callable[
     return now
 
 
-def adam(now: Parameters, gradients: Parameters, rate: float) -> None:
-    """One step, in place; now also holds the step and the means of gradients (m.) and of their squares (v.)."""
+def adam(now: Parameters, gradients: Parameters, rate: float, floor: float) -> None:
+    """One step, in place; now also holds the step and the means of gradients (m.) and of their squares (v.). Gradients well
+    below `floor` move little."""
     now["step"] += 1
     step = float(now["step"])
     for name, g in gradients.items():
         m, v = now[f"m.{name}"], now[f"v.{name}"]
         m[...] = 0.9 * m + 0.1 * g
         v[...] = 0.99 * v + 0.01 * g * g
-        now[name] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(now[name].dtype)
+        now[name] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + floor)).astype(now[name].dtype)
 
 
 def with_moments(parameters: Parameters) -> Parameters:

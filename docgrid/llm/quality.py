@@ -36,7 +36,7 @@ HIDDEN = 16
 END = 256
 SYMBOLS = 257
 FIT_ROWS = 3200
-ROUNDS, STEPS, MINIBATCH, RATE = 10, 25, 16, 0.01
+ROUNDS, STEPS, MINIBATCH, RATE, FLOOR = 10, 25, 16, 0.01, 1e-6
 THRESHOLD = 0.3
 #: Chunks that are pooled at a time.
 TOGETHER = 32
@@ -170,7 +170,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, r
                 own = [chunks(x.encode("utf-8", "replace")) for x in part.column("text").to_pylist()]
                 y = part.column("label").to_numpy().astype(np.float32)
                 w = np.where(y == 1, weight[1], weight[0]).astype(np.float32)
-                adam(now, gradients(now, np.concatenate(own), np.cumsum([0, *map(len, own[:-1])]), y, w), rate)
+                adam(now, gradients(now, np.concatenate(own), np.cumsum([0, *map(len, own[:-1])]), y, w), rate, FLOOR)
                 seen += len(own)
         return seen
 

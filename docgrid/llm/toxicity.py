@@ -36,7 +36,7 @@ FEATURES = 1500
 GRAMS = (4, 5)
 #: N-grams of fewer texts of the sample can't enter.
 LEAST_TEXTS = 4
-ROUNDS, STEPS, MINIBATCH, RATE = 12, 16, 50, 0.08
+ROUNDS, STEPS, MINIBATCH, RATE, FLOOR = 12, 16, 50, 0.08, 1e-9
 #: Words whose weights a task remembers.
 REMEMBERED = 100_000
 #: Texts that are taken out of a batch at a time.
@@ -184,7 +184,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS,
                 part = batch.slice(at, MINIBATCH)
                 y = part.column("label").to_numpy()
                 columns, sizes = ([np.frombuffer(x, np.int32) for x in part.column(c).to_pylist()] for c in ("columns", "sizes"))
-                adam(now, gradients(now, columns, sizes, y, np.where(y == 1, base / share, (1 - base) / (1 - share))), rate)
+                adam(now, gradients(now, columns, sizes, y, np.where(y == 1, base / share, (1 - base) / (1 - share))), rate, FLOOR)
                 seen += len(y)
         return seen
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docgrid.llm import quality, toxicity
+from docgrid.llm import averaging, quality, toxicity
 from docgrid.llm.common import held_out, labelled_sample
 
 
@@ -29,7 +29,7 @@ def test_quality_on_held_out_documents(large):
     """Good ones are kept, poor ones are not; keeping all would give 1 and 1."""
     kept, passed = rates(quality.score_quality(large[0].join(large[1], "doc_id", "left_semi"), quality.fit_quality(*large)), large[1], "quality", quality.THRESHOLD)
     print("quality: kept", kept, "passed", passed)
-    assert kept > 0.95 and passed < 0.25
+    assert kept > 0.97 and passed < 0.15
 
 
 def test_toxicity_on_held_out_documents(large):
@@ -71,6 +71,17 @@ def test_all_of_a_long_text_is_learnt_from(spark):
     assert sorted(len(r.sizes) // 4 for r in packed.collect()) == sorted(len(toxicity._sentences(texts[i])) for i in (r.doc_id for r in labelled_sample(table, table, "toxic", 60).collect()))
 
 
+def test_labels_are_mixed_within_a_shard(spark):
+    """Also where one label is rare, so that its rows reach further in the order that the sample is chosen by."""
+    rows = spark.createDataFrame([(k, t, int(k % 20 != 0)) for k, t, _ in bags(4000) if k % 3 or k % 20 == 0], "doc_id long, text string, quality int")
+    rows = rows.withColumn("text", F.when(F.col("quality") == 0, F.regexp_replace("text", "river|house", "zzqx")).otherwise(F.col("text")))
+    net = quality.fit_quality(rows, rows, rows=160)
+    scores = {y: [r.score for r in quality.score_quality(rows.where(f"quality = {y}").limit(60), net).collect()] for y in (0, 1)}
+    assert np.mean(np.array(scores[1]) >= quality.THRESHOLD) > 0.95 and np.mean(np.array(scores[0]) >= quality.THRESHOLD) < 0.3
+    runs = [[r.label for r in part] for part in averaging.dealt(labelled_sample(rows, rows, "quality", 160)).select("label").rdd.glom().collect()]
+    assert all(len(set(x[: len(x) // 2])) == len(set(x[len(x) // 2 :])) == 2 for x in runs if len(x) >= 12)
+
+
 def test_a_fit_is_the_same_whatever_the_layout(spark):
     rows = spark.createDataFrame(bags(200) + [(3, "another text of a repeated id", 0)], "doc_id long, text string, toxic int").withColumn("quality", F.col("toxic"))
     nets = [quality.fit_quality(t, rows, rounds=1).parameters for t in (rows, rows.repartition(7))]
