@@ -13,9 +13,10 @@ CONTRAST, BRIGHTNESS, HUE, SHIFT, RATIOS, CHANCE = (0.5, 1.5), 16.0, 36.0, 0.1,
 STEP, STEPS, LEAST_SIZE = 32, 20, 640
 
 
-def draw(key: Column, name: str) -> Column:
-    """A number in [0, 1) of a key and a name, from an MD5: the same wherever the row lies."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(name))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+def draw(key: Column, name: str = "") -> Column:
+    """A number in [0, 1) of a key and, if given, a name, from an MD5: the same wherever the row lies."""
+    text = F.concat_ws(":", key.cast("string"), F.lit(name)) if name else key.cast("string")
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
 def uniform(d: Column, low: float, high: float) -> Column:

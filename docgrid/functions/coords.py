@@ -111,3 +111,8 @@ def huber(difference: Column) -> Column:
 def learning_rate(iteration: Column, base: float, gamma: float = 0.8, every: int = 10_000) -> Column:
     """The step schedule: the base times gamma for each `every` iterations that have passed."""
     return F.lit(base) * F.pow(F.lit(gamma), F.floor(iteration / every))
+
+
+def score_in(text: Column, name: str = "hmean") -> Column:
+    """The number that follows "name": in an evaluation's output; null without one."""
+    return F.regexp_extract(text, rf'"{name}":\s*(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)', 1).try_cast("double")

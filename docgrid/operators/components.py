@@ -11,6 +11,10 @@ from docgrid.functions.lineage import pinned
 from docgrid.operators.groups import map_groups
 
 
+#: Side of the tiles that boxes and pixels meet in.
+SIDE = 32
+
+
 def _labels(group: pa.Table) -> dict:
     """Component numbers of one map's pixels, sorted by row and place."""
     y, x = group.column("y").to_numpy(), group.column("x").to_numpy()
@@ -92,9 +96,11 @@ def table_candidates(stats: DataFrame, by: Sequence[str] = ("doc_id",), least: i
 def pixels_in_boxes(pixels: DataFrame, boxes: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Pixels with the box (comp) that they lie in, once for each of overlapping boxes.
 
-    A range join within a document; the side of the boxes has a row for each table. Which side is broadcast or
-    whether both are shuffled on the document is left to Spark's sizes.
+    A range join within a document, by an equi-join on tiles of SIDE pixels that boxes are dealt out to. Which side is
+    broadcast or whether both are shuffled is left to Spark's sizes.
     """
-    b = boxes.select(*by, "comp", "l", "t", "w", "h")
+    tiles = lambda low, size: F.explode(F.sequence(F.floor(F.col(low) / SIDE), F.floor((F.col(low) + F.greatest(F.col(size), F.lit(1)) - 1) / SIDE)))
+    b = boxes.select(*by, "comp", "l", "t", "w", "h").withColumn("_tx", tiles("l", "w")).withColumn("_ty", tiles("t", "h"))
     held = (F.col("x") >= F.col("l")) & (F.col("x") < F.col("l") + F.col("w")) & (F.col("y") >= F.col("t")) & (F.col("y") < F.col("t") + F.col("h"))
-    return pixels.join(b, list(by)).where(held).select(*pixels.columns, "comp", "w", "h")
+    dealt = pixels.select("*", F.floor(F.col("x") / SIDE).alias("_tx"), F.floor(F.col("y") / SIDE).alias("_ty"))
+    return dealt.join(b, [*by, "_tx", "_ty"]).where(held).select(*pixels.columns, "comp", "w", "h")

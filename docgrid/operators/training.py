@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrid.functions.coords import huber
+from docgrid.functions.lineage import pinned
 from docgrid.schemas import CORNER, HORIZONTAL, IMPLICIT_HORIZONTAL, IMPLICIT_VERTICAL, VERTICAL
 
 #: Reach of a corner's heat in pixels, its width, the least heat that counts, negatives for each positive, negatives without any.
@@ -20,9 +21,10 @@ def corner_heat(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     near = lambda c: F.sequence(F.ceil(F.col(c) - REACH).cast("int"), F.floor(F.col(c) + REACH).cast("int"))
     spread = corners.withColumn("x", F.explode(near("cx"))).withColumn("y", F.explode(near("cy")))
     squared = (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))
-    heat = F.exp(-squared / (2 * SPREAD * SPREAD))
-    out = spread.where((F.col("x") >= 0) & (F.col("y") >= 0)).groupBy(*by, "y", "x").agg(F.max(heat).cast("float").alias("score"))
-    return out.where(F.col("score") >= F.lit(LEAST_HEAT).cast("float")).select(*by, F.lit(CORNER).alias("channel"), "y", "x", "score")
+    heat = F.exp(-squared / (2 * SPREAD * SPREAD)).cast("float")
+    # the largest counts if any does: what doesn't is dropped before the grouping
+    warm = spread.where((F.col("x") >= 0) & (F.col("y") >= 0)).select(*by, "y", "x", heat.alias("heat")).where(F.col("heat") >= F.lit(LEAST_HEAT).cast("float"))
+    return warm.groupBy(*by, "y", "x").agg(F.max("heat").alias("score")).select(*by, F.lit(CORNER).alias("channel"), "y", "x", "score")
 
 
 def edge_lines(cells: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -45,31 +47,53 @@ def rasterised(cells: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
     return corner_heat(cells, by).unionByName(edge_lines(cells, by))
 
 
-def selected_losses(pixels: DataFrame, order: Sequence[str], ratio: int = NEGATIVES) -> DataFrame:
+def ranked(rows: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """rows with their rank (from 1) in the order within each key, however many a key has.
+
+    Rows are sorted over range partitions, written, and numbered in each partition; what earlier partitions have of
+    the key is added. No task gets a whole key.
+    """
+    keys = [F.col(c) for c in by]
+    placed = pinned(rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    parts = placed.groupBy(*by, "_part").agg(F.min("_at").alias("_from"), F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_of"), "_from", F.coalesce(earlier, F.lit(0)).alias("_earlier"))
+    same = F.col("_part") == F.col("_of")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return placed.join(parts, same).withColumn("rank", F.col("_at") - F.col("_from") + F.col("_earlier") + 1).select(*rows.columns, "rank")
+
+
+def selected_losses(pixels: DataFrame, order: Sequence[str], ratio: int = NEGATIVES, by: Sequence[str] = ("channel",)) -> DataFrame:
     """Losses (channel, target, pred, weight) with n_positive, k and selected.
 
-    Of each channel all positives count, and of all places, ranked by their loss as negatives (positives: 0), the k
-    largest: `ratio` for each positive, but less than all, or NONE_POSITIVE without any. `order` breaks ties.
+    Of each group (a channel, or a channel of a batch) all positives count, and of all places, ranked by their loss as
+    negatives (positives: 0), the k largest: `ratio` for each positive, but less than all, or NONE_POSITIVE without
+    any. `order` breaks ties. Counts are partial aggregates; ranks are taken over range partitions.
     """
     loss = huber(F.col("pred") - F.col("target")) * F.col("weight")
     positive = F.col("target") > 0
-    whole = Window.partitionBy("channel")
     out = pixels.withColumn("loss", loss).withColumn("hard", F.when(positive, F.lit(0.0)).otherwise(F.col("loss")))
-    out = out.withColumn("n_positive", F.sum(positive.cast("long")).over(whole)).withColumn("n_all", F.count("*").over(whole))
-    out = out.withColumn("k", F.when(F.col("n_positive") > 0, F.least(F.col("n_positive") * ratio, F.col("n_all") - 1)).otherwise(F.lit(NONE_POSITIVE).cast("long")))
-    rank = F.row_number().over(whole.orderBy(F.desc("hard"), *order))
-    return out.withColumn("selected", positive | (rank <= F.col("k"))).drop("hard", "n_all")
+    k = F.when(F.col("n_positive") > 0, F.least(F.col("n_positive") * ratio, F.col("n_all") - 1)).otherwise(F.lit(NONE_POSITIVE).cast("long"))
+    counts = pixels.groupBy(*by).agg(F.sum(positive.cast("long")).alias("n_positive"), F.count("*").alias("n_all")).select(*[F.col(c).alias(f"_{c}") for c in by], "n_positive", k.alias("k"))
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    placed = ranked(out, by, [F.desc("hard"), *map(F.asc, order)]).join(counts, same)
+    return placed.withColumn("selected", positive | (F.col("rank") <= F.col("k"))).drop("hard", "rank", *[f"_{c}" for c in by])
 
 
-def channel_losses(selected: DataFrame) -> DataFrame:
-    """(channel, n_positive, k, n_selected, loss): the selected losses' sum over positives plus k."""
+def channel_losses(selected: DataFrame, by: Sequence[str] = ("channel",)) -> DataFrame:
+    """(by, n_positive, k, n_selected, loss): the selected losses' sum over positives plus k."""
     chosen = F.when(F.col("selected"), F.col("loss"))
-    return selected.groupBy("channel").agg(F.max("n_positive").alias("n_positive"), F.max("k").alias("k"), F.count(chosen).alias("n_selected"), (F.sum(chosen) / F.max(F.col("n_positive") + F.col("k"))).alias("loss"))
+    return selected.groupBy(*by).agg(F.max("n_positive").alias("n_positive"), F.max("k").alias("k"), F.count(chosen).alias("n_selected"), (F.sum(chosen) / F.max(F.col("n_positive") + F.col("k"))).alias("loss"))
 
 
-def hash_draw(key: Column) -> Column:
-    """A number in [0, 1) from the MD5 of a key: draws that don't depend on the layout."""
-    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+def dataset_sizes(records: DataFrame, dataset: str = "dataset") -> DataFrame:
+    """(dataset, n, total): how many records each dataset has, and all together."""
+    counted = records.groupBy(dataset).agg(F.count("*").alias("n"))
+    return counted.join(F.broadcast(records.agg(F.count("*").alias("total"))), how="cross")  # one row
 
 
 def mixture(draws: DataFrame, weights: DataFrame) -> DataFrame:

@@ -54,8 +54,10 @@ def recover_tables(pixels: DataFrame, transforms: DataFrame | None = None, limit
     """(doc_id, id, angle, angle_degrees, rect, quad, cells): a row per table found in score maps (doc_id, channel, y, x, score).
 
     transforms: (doc_id, ratio_w, ratio_h, pad_x, pad_y, x1, y1, x2, y2), a row per document, to mask the region of
-    interest and to give source coordinates; without it those of the map come out. Documents are independent: all
-    shuffles are on doc_id, then on the table.
+    interest and to give source coordinates; without it those of the map come out. With heat_w and heat_h (the map's
+    size) a table is turned about the map's centre; without, as a sparse map has no size, about that of the region of
+    the document's tables. Documents are independent: all shuffles are on doc_id, then on the table. Relations that
+    several branches read are written to the application's folder while the plan is built.
     """
     limits = limits or Limits()
     binary = raster.above_threshold(pixels, limits.explicit, limits.low)
@@ -66,17 +68,19 @@ def recover_tables(pixels: DataFrame, transforms: DataFrame | None = None, limit
     labelled = components.label_pixels(raster.edge_union(binary))
     candidates = pinned(components.table_candidates(components.component_stats(labelled), least=limits.least_side))
     boxed = pinned(components.pixels_in_boxes(binary, candidates))
-    size = Window.partitionBy("doc_id")
-    extent = F.max(F.greatest(F.col("l") + F.col("w"), F.col("t") + F.col("h"))).over(size).alias("extent")
+    if transforms is not None and {"heat_w", "heat_h"} <= set(transforms.columns):
+        sizes = transforms.select("doc_id", F.col("heat_w").alias("across"), F.col("heat_h").alias("down"))
+        extents = candidates.select(*BY).join(sizes, "doc_id")
+    else:
+        extent = F.max(F.greatest(F.col("l") + F.col("w"), F.col("t") + F.col("h"))).over(Window.partitionBy("doc_id"))
+        extents = candidates.select(*BY, extent.alias("across"), extent.alias("down"))
     if limits.turn:
         angles = pinned(rotation.table_angles(boxed, candidates, BY, votes=limits.votes))
-        # the map turns about its centre: that of the region of the document's tables, as a sparse map has no size
-        extents = candidates.select(*BY, extent)
         spun = boxed.join(angles, BY).join(extents, BY)
-        turned = rotation.rotate(spun, [*BY, "w", "h", "extent"], F.col("extent"), F.col("extent")).drop("angle", "extent")
+        turned = rotation.rotate(spun, [*BY, "w", "h", "across", "down"], F.col("across"), F.col("down"))
         boxed = pinned(turned.select("doc_id", "channel", "y", "x", "comp", "w", "h"))
     else:
-        angles, extents = candidates.select(*BY, F.lit(0.0).alias("angle")), candidates.select(*BY, extent)
+        angles = candidates.select(*BY, F.lit(0.0).alias("angle"))
     wide = raster.dilate_x(raster.channel(boxed, IMPLICIT_VERTICAL), [*BY, "w", "h"]).withColumn("channel", F.lit(IMPLICIT_VERTICAL))
     rects = pinned(raster.table_rect(raster.channel(boxed, HORIZONTAL, VERTICAL, IMPLICIT_HORIZONTAL).select(*BY, "channel", "y", "x").unionByName(wide.select(*BY, "channel", "y", "x")), BY))
     corners = lines.corner_peaks(raster.projection(raster.channel(boxed, CORNER), "y", BY), BY, limits.corner)
@@ -84,7 +88,7 @@ def recover_tables(pixels: DataFrame, transforms: DataFrame | None = None, limit
     horizontal = pinned(_lines(boxed, rects, HORIZONTAL, IMPLICIT_HORIZONTAL, False, limits, corners))
     found = C.tables(C.merge_cells(C.grid(vertical, horizontal, BY), BY), candidates)
     out = found.join(angles, BY).join(extents, BY)
-    back = lambda quad: _unturned(quad, F.col("angle"), F.col("extent") / 2)
+    back = lambda quad: _unturned(quad, F.col("angle"), F.col("across") / 2, F.col("down") / 2)
     out = out.withColumn("quad", back(F.col("quad"))).withColumn("cells", F.transform("cells", lambda c: c.withField("quad", back(c["quad"]))))
     if transforms is not None:
         ratio = transforms.select("doc_id", (1 / F.col("ratio_w")).alias("rw"), (1 / F.col("ratio_h")).alias("rh"), "pad_x", "pad_y")
@@ -94,7 +98,7 @@ def recover_tables(pixels: DataFrame, transforms: DataFrame | None = None, limit
     return out.select("doc_id", "id", angle_text(F.col("angle")).alias("angle"), F.col("angle").alias("angle_degrees"), "rect", "quad", "cells")
 
 
-def _unturned(quad, angle, centre):
+def _unturned(quad, angle, cx, cy):
     """A quad's corners turned back, cut to integers; as they are where the table wasn't turned."""
-    pairs = [rotation.turned(quad[2 * k], quad[2 * k + 1], -angle, centre, centre) for k in range(4)]
+    pairs = [rotation.turned(quad[2 * k], quad[2 * k + 1], -angle, cx, cy) for k in range(4)]
     return F.when(F.abs(angle) > rotation.LEAST_ANGLE, F.array(*[v.cast("int") for p in pairs for v in p])).otherwise(quad)

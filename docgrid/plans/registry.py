@@ -1,18 +1,20 @@
 """All queries over the given tables, by name, and their SQL.
 
-Score maps are derived from `embeddings`: a label's vectors are the rows of one map, in the order of vec_id.
+Score maps are derived from `embeddings`: PAGE vectors in the order of vec_id are the rows of one map.
 Profiles come from `events`, intervals and losses from `lineitem`, boxes from `orders`, annotated grids from `part`.
 """
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docgrid.functions import augment, coords
+from docgrid.functions.lineage import scratch
 from docgrid.operators import cells, components, lines, raster, rotation, training
 from docgrid.plans.recovery import Limits, recover_tables
-from docgrid.sources import files, sinks
+from docgrid.sources import annotations, files, sinks
 from docgrid.sources.annotations import paired
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,18 +35,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The letters of a spreadsheet's column, up to two.
+LETTERS = "CASE WHEN {c} < 26 THEN chr(CAST({c} % 26 + 65 AS INT)) ELSE chr(CAST({c} // 26 - 1 + 65 AS INT)) || chr(CAST({c} % 26 + 65 AS INT)) END"
+
+
 # ---- score maps from embeddings
 
-RASTER = """WITH ranked AS (SELECT label AS doc_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS y, embedding FROM embeddings),
-    raster AS (SELECT doc_id, y, CAST(unnest(generate_series(0, len(embedding) - 1)) AS INT) AS x, unnest(embedding) AS score FROM ranked)"""
+#: Rows of a page: pages grow in number with the table, not in size.
+PAGE = 50
+RASTER = f"""WITH raster AS (SELECT vec_id // {PAGE} AS doc_id, CAST(vec_id % {PAGE} AS INT) AS y, CAST(unnest(generate_series(0, len(embedding) - 1)) AS INT) AS x, unnest(embedding) AS score FROM embeddings)"""
 CHANNELS = RASTER + ", maps AS (SELECT doc_id, y, x % 5 AS channel, x // 5 AS x, score FROM raster)"
 BINARY = RASTER + ", dots AS (SELECT doc_id, y, x FROM raster WHERE score > 0.2::FLOAT)"
 
 
 def _raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("label").orderBy("vec_id")
-    ranked = _table(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_id"), (F.row_number().over(order) - 1).alias("y"), "embedding")
-    return ranked.select("doc_id", "y", F.posexplode("embedding").alias("x", "score"))
+    page, y = F.floor(F.col("vec_id") / PAGE), (F.col("vec_id") % PAGE).cast("int")
+    return _table(spark, sf_dir, "embeddings").select(page.alias("doc_id"), y.alias("y"), F.posexplode("embedding").alias("x", "score"))
 
 
 def _maps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,23 +172,18 @@ def sobel_edges(spark, sf_dir):
     return raster.sobel(_dots(spark, sf_dir), "x", ["doc_id"])
 
 
-PAGES20 = ", small AS (SELECT doc_id, CAST(y // 50 AS INT) AS part, y % 50 AS y, x FROM dots)"
-
-
 @query(
     BINARY
-    + PAGES20
-    + """, votes AS (SELECT doc_id, part, CAST(round(x * cos(radians(k * 5.0)) + y * sin(radians(k * 5.0))) AS INT) AS rho, CAST(k AS INT) AS k, count(*) AS v
-        FROM small, (SELECT unnest(generate_series(0, 35)) AS k) GROUP BY ALL)
-    SELECT a.doc_id, a.part, a.rho, a.k, a.v AS votes FROM votes a
-    LEFT JOIN votes l ON (l.doc_id, l.part, l.k, l.rho) = (a.doc_id, a.part, a.k, a.rho - 1) LEFT JOIN votes r ON (r.doc_id, r.part, r.k, r.rho) = (a.doc_id, a.part, a.k, a.rho + 1)
-    LEFT JOIN votes u ON (u.doc_id, u.part, u.rho, u.k) = (a.doc_id, a.part, a.rho, a.k - 1) LEFT JOIN votes d ON (d.doc_id, d.part, d.rho, d.k) = (a.doc_id, a.part, a.rho, a.k + 1)
+    + """, votes AS (SELECT doc_id, CAST(round(x * cos(radians(k * 1.0)) + y * sin(radians(k * 1.0))) AS INT) AS rho, CAST(k AS INT) AS k, count(*) AS v
+        FROM dots, (SELECT unnest(generate_series(0, 179)) AS k) GROUP BY ALL)
+    SELECT a.doc_id, a.rho, a.k, a.v AS votes FROM votes a
+    LEFT JOIN votes l ON (l.doc_id, l.k, l.rho) = (a.doc_id, a.k, a.rho - 1) LEFT JOIN votes r ON (r.doc_id, r.k, r.rho) = (a.doc_id, a.k, a.rho + 1)
+    LEFT JOIN votes u ON (u.doc_id, u.rho, u.k) = (a.doc_id, a.rho, a.k - 1) LEFT JOIN votes d ON (d.doc_id, d.rho, d.k) = (a.doc_id, a.rho, a.k + 1)
     WHERE a.v > 6 AND a.v > coalesce(l.v, 0) AND a.v >= coalesce(r.v, 0) AND a.v > coalesce(u.v, 0) AND a.v >= coalesce(d.v, 0)"""
 )
 def hough_lines(spark, sf_dir):
-    """Lines of each map in parts of fifty rows, at steps of five degrees."""
-    small = _dots(spark, sf_dir).select("doc_id", F.floor(F.col("y") / 50).cast("int").alias("part"), (F.col("y") % 50).alias("y"), "x")
-    return rotation.hough_lines(small, ["doc_id", "part"], 5.0, 6)
+    """Lines of each page, at steps of a degree."""
+    return rotation.hough_lines(_dots(spark, sf_dir), ["doc_id"], 1.0, 6)
 
 
 @query("WITH t AS (SELECT user_id, value * 180 / 1000 % 180 AS theta FROM events) SELECT user_id, round(median(CASE WHEN theta - 90 > 90 THEN theta - 270 ELSE theta - 90 END), 6) AS angle FROM t GROUP BY user_id")
@@ -193,17 +194,14 @@ def median_angles(spark, sf_dir):
 
 @query(
     BINARY
-    + """, small AS (SELECT DISTINCT doc_id, CAST(y // 50 AS INT) AS part, CAST(y % 50 AS INT) AS y, x FROM dots),
-    tree AS (WITH RECURSIVE reach AS (SELECT doc_id, part, y, x, y * 2147483648 + x AS root FROM small
-        UNION SELECT s.doc_id, s.part, s.y, s.x, r.root FROM reach r JOIN small s ON s.doc_id = r.doc_id AND s.part = r.part AND abs(s.y - r.y) <= 1 AND abs(s.x - r.x) <= 1 AND s.y * 2147483648 + s.x > r.root)
-        SELECT doc_id, part, y, x, min(root) AS root FROM reach GROUP BY ALL)
-    SELECT doc_id, part, min(x) AS l, min(y) AS t, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS area FROM tree GROUP BY doc_id, part, root"""
+    + """, tree AS (WITH RECURSIVE reach AS (SELECT doc_id, y, x, y * 2147483648 + x AS root FROM dots
+        UNION SELECT s.doc_id, s.y, s.x, r.root FROM reach r JOIN dots s ON s.doc_id = r.doc_id AND abs(s.y - r.y) <= 1 AND abs(s.x - r.x) <= 1 AND s.y * 2147483648 + s.x > r.root)
+        SELECT doc_id, y, x, min(root) AS root FROM reach GROUP BY ALL)
+    SELECT doc_id, min(x) AS l, min(y) AS t, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS area FROM tree GROUP BY doc_id, root"""
 )
 def component_boxes(spark, sf_dir):
-    """Connected components of each map in parts of fifty rows."""
-    small = _dots(spark, sf_dir).select("doc_id", F.floor(F.col("y") / 50).cast("int").alias("part"), (F.col("y") % 50).cast("int").alias("y"), "x")
-    by = ["doc_id", "part"]
-    return components.component_stats(components.label_pixels(small, by), by).drop("comp")
+    """Connected components of each page."""
+    return components.component_stats(components.label_pixels(_dots(spark, sf_dir))).drop("comp")
 
 
 BOXES = """boxes AS (SELECT o_custkey AS doc_id, o_orderkey AS comp, CAST(o_orderkey % 40 + 5 AS INT) AS w, CAST(o_totalprice AS BIGINT) % 37 + 5 AS h,
@@ -230,12 +228,13 @@ def table_candidates(spark, sf_dir):
 
 @query(
     BINARY
-    + """, boxes AS (SELECT p_size % 10 AS doc_id, p_partkey AS comp, CAST(p_partkey % 30 AS INT) AS l, CAST(p_partkey % 7 AS INT) AS t, CAST(p_size % 9 + 2 AS INT) AS w, CAST(p_size % 5 + 2 AS INT) AS h FROM part WHERE p_size < 20)
+    + """, boxes AS (SELECT p_partkey // 500 AS doc_id, p_partkey AS comp, CAST(p_partkey % 55 AS INT) AS l, CAST(p_partkey % 43 AS INT) AS t, CAST(p_size % 9 + 2 AS INT) AS w, CAST(p_size % 5 + 2 AS INT) AS h FROM part)
     SELECT doc_id, comp, count(*) AS n FROM dots JOIN boxes USING (doc_id) WHERE x >= l AND x < l + w AND y >= t AND y < t + h GROUP BY ALL"""
 )
 def pixels_in_boxes(spark, sf_dir):
+    """Five hundred boxes on each page, of all parts."""
     size, key = F.col("p_size"), F.col("p_partkey")
-    boxes = _table(spark, sf_dir, "part").where(size < 20).select((size % 10).alias("doc_id"), key.alias("comp"), (key % 30).cast("int").alias("l"), (key % 7).cast("int").alias("t"), (size % 9 + 2).alias("w"), (size % 5 + 2).alias("h"))
+    boxes = _table(spark, sf_dir, "part").select(F.floor(key / 500).alias("doc_id"), key.alias("comp"), (key % 55).cast("int").alias("l"), (key % 43).cast("int").alias("t"), (size % 9 + 2).alias("w"), (size % 5 + 2).alias("h"))
     return components.pixels_in_boxes(_dots(spark, sf_dir), boxes).groupBy("doc_id", "comp").agg(F.count("*").alias("n"))
 
 
@@ -360,6 +359,39 @@ def table_records(spark, sf_dir):
     return found.select("doc_id", "id", *[F.col("rect")[k].alias(c) for k, c in enumerate("xywh")], text.alias("quad"), F.size("cells").cast("long").alias("n_cells"))
 
 
+@query(
+    GRID
+    + f""" SELECT doc_id, 'table_1' AS sheet, {LETTERS.format(c="i")} || CAST(j + 1 AS VARCHAR) || ':' || {LETTERS.format(c="i")} || CAST(j + 1 AS VARCHAR) AS a1_range, false AS is_merged FROM cells WHERE n > 1"""
+)
+def table_sheets(spark, sf_dir):
+    """The spreadsheet of each order's table of unmerged cells."""
+    grid = _grid(spark, sf_dir).withColumn("comp", F.lit(1))
+    single = grid.select("doc_id", "comp", F.col("i").alias("si"), F.col("i").alias("ei"), F.col("j").alias("sj"), F.col("j").alias("ej"), "sx", "sy", "ex", "ey")
+    return sinks.sheet_ranges(cells.tables(single, single.select("doc_id", "comp", F.lit(1).alias("rank")).distinct()))
+
+
+@query(
+    """WITH g AS (SELECT p_partkey AS doc_id, CAST(2 + p_partkey % 3 AS INT) AS n_rows, CAST(2 + p_size % 3 AS INT) AS n_cols FROM part),
+    c AS (SELECT doc_id, n_rows, unnest(generate_series(0, n_cols - 1)) AS i, n_cols FROM g), d AS (SELECT doc_id, i, unnest(generate_series(0, n_rows - 1)) AS j FROM c)
+    SELECT 'part' || CAST(doc_id AS VARCHAR) || '.jpg' AS filename, 1 AS n_tables, CAST(j AS INT) AS start_row, CAST(i AS INT) AS start_col, CAST(j AS INT) AS end_row, CAST(i AS INT) AS end_col,
+        CAST(10 + i * 30 AS FLOAT) AS x1, CAST(12 + j * 20 AS FLOAT) AS y1, CAST(40 + i * 30 AS FLOAT) AS x2, CAST(32 + j * 20 AS FLOAT) AS y2, false AS top FROM d"""
+)
+def scanned_annotations(spark, sf_dir):
+    """A grid for each part, written as annotation XML, scanned and flattened to cells."""
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), (2 + F.col("p_partkey") % 3).cast("int").alias("n_rows"), (2 + F.col("p_size") % 3).cast("int").alias("n_cols"))
+    grid = part.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)))
+    sx, sy, i, j = 10 + F.col("i") * 30, 12 + F.col("j") * 20, F.col("i"), F.col("j")
+    single = grid.select("doc_id", F.lit(1).alias("comp"), i.alias("si"), i.alias("ei"), j.alias("sj"), j.alias("ej"), sx.alias("sx"), sy.alias("sy"), (sx + 30).alias("ex"), (sy + 20).alias("ey"))
+    found = cells.tables(single, single.select("doc_id", "comp", F.lit(1).alias("rank")).distinct()).withColumn("file_name", F.format_string("part%d.jpg", "doc_id"))
+    folder = f"{scratch(spark)}/annotations-{uuid.uuid4().hex}"
+    sinks.write_result_xml(found, folder)
+    scanned = annotations.read_annotations(spark, folder)
+    rows = annotations.annotated_cells(scanned.withColumn("stem", F.col("filename")))
+    sizes = scanned.select(F.col("filename").alias("stem"), F.size("table").alias("n_tables"))
+    q = F.col("quad")
+    return rows.join(sizes, "stem").select(F.col("stem").alias("filename"), "n_tables", "start_row", "start_col", "end_row", "end_col", q[0].alias("x1"), q[1].alias("y1"), q[4].alias("x2"), q[5].alias("y2"), "top")
+
+
 # ---- coordinates from orders
 
 QUAD = "WITH q AS (SELECT o_orderkey AS doc_id, [CAST((o_orderkey * (k + 3)) % 997 AS INT) FOR k IN [0, 1, 2, 3, 4, 5, 6, 7]] AS quad FROM orders)"
@@ -416,9 +448,6 @@ def score_bytes(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", raster.to_byte(F.col("value")).alias("byte"), F.round(coords.normalised(F.col("value"), 0.485, 0.229), 6).alias("normal"))
 
 
-LETTERS = "CASE WHEN {c} < 26 THEN chr(CAST({c} % 26 + 65 AS INT)) ELSE chr(CAST({c} // 26 - 1 + 65 AS INT)) || chr(CAST({c} % 26 + 65 AS INT)) END"
-
-
 @query("SELECT p_partkey, " + LETTERS.format(c="(p_partkey % 700)") + " || CAST(p_size + 1 AS VARCHAR) || ':' || " + LETTERS.format(c="(p_partkey % 700 + 1)") + " || CAST(p_size + 3 AS VARCHAR) AS a1_range FROM part")
 def spreadsheet_ranges(spark, sf_dir):
     part = _table(spark, sf_dir, "part")
@@ -454,8 +483,8 @@ def path_parts(spark, sf_dir):
 def pairing(spark, sf_dir):
     """Documents with the one label row of their number, as annotations with images."""
     name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".jpg"))
-    annotations = _table(spark, sf_dir, "documents").select(F.concat(F.lit("xml/"), F.col("doc_id").cast("string")).alias("path"), name.alias("filename"))
-    return paired(annotations, _table(spark, sf_dir, "labels").select(F.concat(F.lit("img/"), name).alias("path")), strict=False)
+    xml = _table(spark, sf_dir, "documents").select(F.concat(F.lit("xml/"), F.col("doc_id").cast("string")).alias("path"), name.alias("filename"))
+    return paired(xml, _table(spark, sf_dir, "labels").select(F.concat(F.lit("img/"), name).alias("path")), strict=False)
 
 
 @query("SELECT 'a/' || CAST(o_orderkey AS VARCHAR) || '.png' AS path, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_discount > 0.05) AS has_sibling FROM orders")
@@ -485,11 +514,24 @@ def hard_negative_loss(spark, sf_dir):
 )
 def dataset_mixture(spark, sf_dir):
     """Each order drawn to a region with the chance of its weight."""
-    draws = _table(spark, sf_dir, "orders").select("o_orderkey", training.hash_draw(F.col("o_orderkey")).alias("draw"))
+    draws = _table(spark, sf_dir, "orders").select("o_orderkey", augment.draw(F.col("o_orderkey")).alias("draw"))
     weights = _table(spark, sf_dir, "region").select(F.col("r_name").alias("dataset"), (F.col("r_regionkey") + 1).alias("weight"))
     return training.mixture(draws, weights).select("o_orderkey", "dataset")
 
 
+@query("SELECT source AS dataset, count(*) AS n, (SELECT count(*) FROM documents) AS total FROM documents GROUP BY source")
+def dataset_sizes(spark, sf_dir):
+    """How many documents each source has."""
+    return training.dataset_sizes(_table(spark, sf_dir, "documents").select(F.col("source").alias("dataset")))
+
+
+@query("SELECT event_id, round(value, 4) AS hmean FROM events")
+def reported_scores(spark, sf_dir):
+    """Scores read from the text of an evaluation's output, a line for each event."""
+    text = F.concat(F.lit("b'{\"recall\": 0.5, \"hmean\": "), F.round("value", 4).cast("decimal(20,4)").cast("string"), F.lit(", \"n\": 3}\\n'"))
+    return _table(spark, sf_dir, "events").select("event_id", coords.score_in(text).alias("hmean"))
+
+
 @query("SELECT user_id, arg_max(event_id, (value, -event_id)) AS best, max(value) AS score, count(*) AS n FROM events GROUP BY user_id")
 def best_so_far(spark, sf_dir):
     """The record with the best value of each user, as checkpoints are chosen; ties: the first."""
@@ -524,18 +566,53 @@ def recovered_tables(spark, sf_dir):
     return found.select("doc_id", F.col("id").cast("int").alias("id"), last("row_range").alias("n_rows"), last("col_range").alias("n_cols"), F.size("cells").alias("n_cells"), "angle")
 
 
+@query(
+    """WITH g AS (SELECT s_suppkey AS doc_id, CAST(2 + s_suppkey % 3 AS INT) AS n_rows, CAST(2 + s_nationkey % 3 AS INT) AS n_cols, s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0 AS merged FROM supplier)
+    SELECT doc_id, 1 AS id, n_rows, n_cols, CAST(n_rows * n_cols - CASE WHEN merged THEN 1 ELSE 0 END AS INT) AS n_cells, '0.0' AS angle, CAST(5 AS BIGINT) AS left10, CAST(n_cols AS BIGINT) AS cols_wide, CAST(n_rows AS BIGINT) AS rows_high FROM g"""
+)
+def recovered_spans(spark, sf_dir):
+    """For each supplier a grid with a merged cell or implicit verticals, and a transform, is drawn; it must come back in source places.
+
+    Of implicit verticals all have the extent of the longest, so a cell merged across one is none.
+    """
+    sizes = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), (2 + F.col("s_suppkey") % 3).cast("int").alias("n_rows"), (2 + F.col("s_nationkey") % 3).cast("int").alias("n_cols"))
+    grid = sizes.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)))
+    merged = (F.col("doc_id") % 2 == 0) & (F.col("j") == 0)
+    grid = grid.where(~(merged & (F.col("i") == 1))).withColumn("wide", F.when(merged & (F.col("i") == 0), 2).otherwise(1))
+    x, y, seen = 30 + F.col("i") * 60, 30 + F.col("j") * 50, F.col("doc_id") % 3 != 0
+    drawn = training.rasterised(grid.select("doc_id", cells.quad(x, y, x + F.col("wide") * 60, y + 50).alias("quad"), F.lit(True).alias("top"), F.lit(True).alias("bottom"), seen.alias("left"), seen.alias("right")))
+    numbers = {"ratio_w": 0.5, "ratio_h": 0.5, "pad_x": 10.0, "pad_y": 4.0, "x1": 5, "y1": 5, "x2": 600, "y2": 600, "heat_w": 640, "heat_h": 640}
+    moves = sizes.select("doc_id", *[F.lit(v).alias(c) for c, v in numbers.items()])
+    found = recover_tables(drawn, moves, Limits(turn=False))
+    last = lambda c: (F.array_max(F.transform("cells", lambda e: e[c][1])) + 1).cast("int")
+    q = F.col("quad")
+    places = [F.round(q[0] / 10).cast("long").alias("left10"), F.round((q[2] - q[0]) / 120).cast("long").alias("cols_wide"), F.round((q[5] - q[1]) / 100).cast("long").alias("rows_high")]
+    return found.select("doc_id", F.col("id").cast("int").alias("id"), last("row_range").alias("n_rows"), last("col_range").alias("n_cols"), F.size("cells").alias("n_cells"), "angle", *places)
+
+
+@query(CHANNELS + " SELECT doc_id, y, x, max(score) AS score FROM maps GROUP BY doc_id, y, x HAVING max(score) >= 0.05::FLOAT")
+def channel_maxima(spark, sf_dir):
+    """The largest score of a page's channels at each pixel, less those that count as zero."""
+    return raster.clipped(raster.maximum(_maps(spark, sf_dir), ["doc_id"]))
+
+
+@query("SELECT event_id, CAST(trunc(least(greatest((value * 0.229 + 0.485) * 255.0, 0), 255)) AS INT) AS byte FROM events".replace("0.229", "0.229::DOUBLE").replace("0.485", "0.485::DOUBLE").replace("255.0", "255.0::DOUBLE"))
+def denormalised_bytes(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", coords.denormalised(F.col("value"), 0.485, 0.229).alias("byte"))
+
+
 @query(
     BINARY
     + """, a AS (SELECT *, cos(radians(3.0)) AS c, sin(radians(3.0)) AS s FROM dots),
-    near AS (SELECT *, CAST(round(c * (x - 32) + s * (y - 256) + 32) AS INT) + dx AS tx, CAST(round(c * (y - 256) - s * (x - 32) + 256) AS INT) + dy AS ty
+    near AS (SELECT *, CAST(round(c * (x - 32) + s * (y - 25) + 32) AS INT) + dx AS tx, CAST(round(c * (y - 25) - s * (x - 32) + 25) AS INT) + dy AS ty
         FROM a, (SELECT unnest([-2, -1, 0, 1, 2]) AS dx), (SELECT unnest([-2, -1, 0, 1, 2]) AS dy)),
-    sent AS (SELECT *, greatest(0.0, 1 - abs(c * (tx - 32) - s * (ty - 256) + 32 - x)) * greatest(0.0, 1 - abs(c * (ty - 256) + s * (tx - 32) + 256 - y)) AS weight FROM near)
-    SELECT doc_id, ty AS y, tx AS x FROM sent WHERE tx >= 0 AND tx < 64 AND ty >= 0 AND ty < 512 GROUP BY ALL HAVING sum(weight) >= 0.5 - 1e-9"""
+    sent AS (SELECT *, greatest(0.0, 1 - abs(c * (tx - 32) - s * (ty - 25) + 32 - x)) * greatest(0.0, 1 - abs(c * (ty - 25) + s * (tx - 32) + 25 - y)) AS weight FROM near)
+    SELECT doc_id, ty AS y, tx AS x FROM sent WHERE tx >= 0 AND tx < 64 AND ty >= 0 AND ty < 50 GROUP BY ALL HAVING sum(weight) >= 0.5 - 1e-9"""
 )
 def turned_pixels(spark, sf_dir):
-    """The maps' pixels turned by three degrees, bilinear."""
+    """The pages' pixels turned by three degrees, bilinear."""
     dots = _dots(spark, sf_dir).withColumn("channel", F.lit(1)).withColumn("angle", F.lit(3.0))
-    return rotation.rotate(dots, ["doc_id"], 64, 512).select("doc_id", "y", "x")
+    return rotation.rotate(dots, ["doc_id"], 64, PAGE).select("doc_id", "y", "x")
 
 
 @query()

@@ -242,6 +242,28 @@ def test_hard_negatives(spark):
     assert (found[1].k, found[1].n_selected) == (10_000, 1)
 
 
+def test_ranks_over_range_partitions(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot"] * 8 + ["a", None]), rng.randrange(50), n) for n in range(600)]
+    table = spark.createDataFrame(rows, "k string, v int, n int").repartition(5)
+    found = {r.n: r["rank"] for r in training.ranked(table, ["k"], [F.desc("v"), F.asc("n")]).collect()}
+    for key in ("hot", "a", None):
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2]))
+        assert [found[n] for _, _, n in own] == [*range(1, len(own) + 1)]
+
+
+def test_hard_negatives_of_a_batch_are_its_own(spark):
+    rows = [(b, 0, float(k == 0), k / 10, 1.0, k) for b in (1, 2) for k in range(8)]
+    table = spark.createDataFrame(rows, "batch int, channel int, target double, pred double, weight double, n int")
+    by = ("batch", "channel")
+    assert [(r.n_positive, r.k, r.n_selected) for r in training.channel_losses(training.selected_losses(table, ["n"], by=by), by).collect()] == [(1, 3, 4)] * 2
+
+
+def test_scores_are_read_from_text(spark):
+    texts = ['b\'{"recall": 0.5, "hmean": 0.9690, "n": 3}\\n\'', '{"hmean":1e-3}', "nothing", None]
+    assert [r.s for r in spark.createDataFrame([(t,) for t in texts], "t string").select(coords.score_in(F.col("t")).alias("s")).collect()] == [0.969, 0.001, None, None]
+
+
 # ---- round trip
 
 

@@ -26,6 +26,25 @@ def folder(tmp_path):
     return tmp_path
 
 
+def png(pixels, colour):
+    """An image file of rows of bytes; colour: 0 grey, 2 RGB, 6 with alpha."""
+    import struct
+    import zlib
+
+    width, depth = len(pixels[0]) // {0: 1, 2: 3, 6: 4}[colour], 8
+    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(pixels), depth, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + bytes(r) for r in pixels))) + chunk(b"IEND", b"")
+
+
+def test_images_are_read_as_rgb(spark, tmp_path):
+    given = {"rgb.png": ([[1, 2, 3, 4, 5, 6]], 2), "alpha.png": ([[1, 2, 3, 255], [4, 5, 6, 255]], 6), "grey.png": ([[7, 8]], 0)}
+    for name, (pixels, colour) in given.items():
+        (tmp_path / name).write_bytes(png(pixels, colour))
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    found = {r.path.rsplit("/", 1)[1]: (r.height, r.width, [*r.rgb]) for r in files.read_images(spark, str(tmp_path)).collect()}
+    assert found == {"rgb.png": (1, 2, [1, 2, 3, 4, 5, 6]), "alpha.png": (2, 1, [1, 2, 3, 4, 5, 6]), "grey.png": (1, 2, [7, 7, 7, 8, 8, 8])}
+
+
 def test_listings(spark, folder):
     names = lambda df: sorted(r.path.rsplit("/in/", 1)[1] for r in df.collect())
     top = f"{folder}/in"
