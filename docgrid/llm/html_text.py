@@ -264,7 +264,7 @@ def main_text(html: str) -> str:
         state = inside[id(x.parent)] if x.parent is not None else 0
         if id(x) in kept:
             state = 1
-        if state and (x.tag in ("article", "main") or ARTICLE & {w.lower() for w in NAME.findall(x.names)}):
+        if state and (x.tag in ("article", "main") or x.names and ARTICLE & {w.lower() for w in NAME.findall(x.names)}):
             state = 2
         inside[id(x)] = 0 if state == 1 and _list_of_links(x) and id(x) not in kept else state
     return "\n\n".join(text for node, text, _ in blocks if inside[id(node)])
