@@ -406,7 +406,7 @@ def _spread(df: DataFrame, array: str, n: int = 8) -> DataFrame:
     return df.select("doc_id", *[F.col(array)[k].alias(f"v{k}") for k in range(n)])
 
 
-@query(QUAD + " SELECT doc_id, " + ", ".join(f"CAST(trunc(CAST(CAST(CAST(CAST(quad[{k + 1}] AS FLOAT) AS DOUBLE) * {(1.6, 1.7)[k % 2]} AS FLOAT) AS DOUBLE) - {(12.3, 4.7)[k % 2]} AS FLOAT) AS INT) AS v{k}".replace("CAST(trunc(CAST(CAST(CAST(CAST", "CAST(trunc(CAST(CAST(CAST(CAST") for k in range(0)) + ", ".join(f"CAST(trunc(CAST(CAST(CAST(CAST(quad[{k + 1}] AS FLOAT) AS DOUBLE) * {(1.6, 1.7)[k % 2]}::DOUBLE AS FLOAT)::DOUBLE - {(12.3, 4.7)[k % 2]}::DOUBLE AS FLOAT)) AS INT) AS v{k}" for k in range(8)) + " FROM q")
+@query(QUAD + " SELECT doc_id, " + ", ".join(f"CAST(trunc(CAST(CAST(CAST(CAST(quad[{k + 1}] AS FLOAT) AS DOUBLE) * {(1.6, 1.7)[k % 2]}::DOUBLE AS FLOAT)::DOUBLE - {(12.3, 4.7)[k % 2]}::DOUBLE AS FLOAT)) AS INT) AS v{k}" for k in range(8)) + " FROM q")
 def adjusted_quads(spark, sf_dir):
     move = coords.adjusted(F.col("quad"), F.lit(1.6), F.lit(1.7), F.lit(12.3), F.lit(4.7))
     return _spread(_quads(spark, sf_dir).withColumn("quad", move), "quad")
@@ -659,8 +659,26 @@ def photometric_pixels(spark, sf_dir):
     return augment.distorted(pixels, ("b", "g", "r"), "image").withColumns({c: F.round(c, 4) for c in "bgr"})
 
 
-@query()
+def _augmented_sql() -> str:
+    near = lambda name, d: f"CAST(-{d} + floor({_md5(name)} * {2 * d + 1}) AS DOUBLE) AS {name}"
+    far = lambda name, d, side: f"CAST({side - d} + floor({_md5(name)} * {2 * d}) AS DOUBLE) AS {name}"
+    corners = ", ".join([near("x0", 40), near("y0", 30), far("x1", 40, 800), near("y1", 30), far("x2", 40, 800), far("y2", 30, 600), near("x3", 40), far("y3", 30, 600)])
+    absolute = ", ".join(f"quad[{n + 1}] / 997.0::DOUBLE * {(800, 600)[n % 2]} AS p{n}" for n in range(8))
+    place = lambda x, y, a, b, c: f"({a} * {x} + {b} * {y} + {c}) / (g / 799 * {x} + h / 599 * {y} + 1)"
+    rows = ("(x1 - x0 + g * x1) / 799", "(x3 - x0 + h * x3) / 599", "x0"), ("(y1 - y0 + g * y1) / 799", "(y3 - y0 + h * y3) / 599", "y0")
+    moved = ", ".join(f"CASE WHEN {_md5('perspective?')} < 0.5 THEN {place(f'p{n - n % 2}', f'p{n - n % 2 + 1}', *rows[n % 2])} ELSE p{n} END AS m{n}" for n in range(8))
+    crop = lambda name, side: f"CASE WHEN {side} >= 1024 THEN floor({_md5(name)} * ({side} - 1023)) ELSE 0 END AS {name}_"
+    out = ", ".join(f"round((m{n} * ratio - {('left_', 'top_')[n % 2]}) / 1024.0::DOUBLE, 6) AS v{n}" for n in range(8))
+    return f"""{QUAD}, c AS (SELECT k, {absolute}, {corners}, 640 + 32 * floor({_md5("size")} * 13) AS size FROM (SELECT doc_id AS k, quad FROM q)),
+        s AS (SELECT *, x0 - x1 + x2 - x3 AS sx, y0 - y1 + y2 - y3 AS sy, (x1 - x2) * (y3 - y2) - (x3 - x2) * (y1 - y2) AS bottom,
+              round_even(800 * (size / 800.0::DOUBLE), 0) AS ow, round_even(600 * (size / 800.0::DOUBLE), 0) AS oh FROM c),
+        t AS (SELECT *, (sx * (y3 - y2) - (x3 - x2) * sy) / bottom AS g, ((x1 - x2) * sy - sx * (y1 - y2)) / bottom AS h FROM s),
+        m AS (SELECT k AS doc_id, {moved}, greatest(ow, oh) / 800.0::DOUBLE AS ratio, {crop("left", "ow")}, {crop("top", "oh")} FROM t)
+        SELECT doc_id, {out} FROM m"""
+
+
+@query(_augmented_sql())
 def augmented_boxes(spark, sf_dir):
-    """Boxes of each order after perspective, resize and crop; tested against numpy."""
+    """Boxes of each order after perspective, resize and crop, as the order's draws say."""
     boxes = _quads(spark, sf_dir).select("doc_id", F.lit(800).alias("width"), F.lit(600).alias("height"), F.transform("quad", lambda v: v / 997.0).alias("quad"))
     return _spread(augment.augmented_boxes(boxes, "doc_id", 1024).withColumn("q", F.transform("quad", lambda v: F.round(v, 6))), "q")
