@@ -339,9 +339,30 @@ def grid_cells(spark, sf_dir):
     return _grid(spark, sf_dir)
 
 
-@query()
+# how many of a list of flags come before the first false one
+_LEADING = "coalesce(nullif(list_position({0}, false), 0) - 1, len({0}))"
+
+
+@query(
+    GRID
+    + f""", held AS (SELECT doc_id, max(i) + 1 AS h, max(j) + 1 AS w, list(coalesce(merge_col, false) ORDER BY i, j) AS right_too, list(coalesce(merge_row, false) ORDER BY i, j) AS below_too,
+        list(sx ORDER BY i, j) AS sxs, list(sy ORDER BY i, j) AS sys, list(ex ORDER BY i, j) AS exs, list(ey ORDER BY i, j) AS eys FROM cells WHERE n > 1 GROUP BY doc_id),
+    sweep AS (WITH RECURSIVE s AS (
+        SELECT doc_id, [false FOR x IN range(h * w)] AS taken, CAST(-1 AS BIGINT) AS si, CAST(-1 AS BIGINT) AS ei, CAST(-1 AS BIGINT) AS sj, CAST(-1 AS BIGINT) AS ej FROM held
+        UNION ALL
+        SELECT doc_id, [taken[x + 1] OR (x // w BETWEEN i AND ei AND x % w BETWEEN j AND ej) FOR x IN range(h * w)], i, ei, j, ej
+        FROM (SELECT *, j + {_LEADING.format("wide")} AS ej FROM (
+            SELECT *, [len([k FOR k IN range(i, ei + 1) IF NOT below_too[k * w + l + 1] OR taken[k * w + l + 2]]) = 0 FOR l IN range(j, w - 1)] AS wide FROM (
+            SELECT *, i + {_LEADING.format("top")} AS ei FROM (
+            SELECT *, [right_too[k * w + j + 1] AND NOT taken[(k + 1) * w + j + 1] FOR k IN range(i, h - 1)] AS top FROM (
+            SELECT *, p // w AS i, p % w AS j FROM (
+            SELECT doc_id, taken, h, w, right_too, below_too, list_position(taken, false) - 1 AS p FROM s JOIN held USING (doc_id) WHERE list_contains(taken, false))))))))
+        SELECT * FROM s WHERE si >= 0)
+    SELECT doc_id, CAST(si AS INT) AS si, CAST(ei AS INT) AS ei, CAST(sj AS INT) AS sj, CAST(ej AS INT) AS ej, sxs[si * w + sj + 1] AS sx, sys[si * w + sj + 1] AS sy, exs[ei * w + ej + 1] AS ex, eys[ei * w + ej + 1] AS ey
+    FROM sweep JOIN held USING (doc_id)"""
+)
 def merged_cells(spark, sf_dir):
-    """Cells after merging; tested against a plain sweep."""
+    """Cells after merging."""
     return cells.merge_cells(_grid(spark, sf_dir), ["doc_id"])
 
 
