@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from docgrid.functions.lineage import pinned
 from docgrid.operators.groups import map_groups
+from docgrid.operators.stars import connected_components
 
 
-#: Side of the tiles that boxes and pixels meet in.
-SIDE = 32
+#: Side of the tiles that boxes and pixels meet in, and of those that large maps are labelled by.
+SIDE, TILE = 32, 1024
 
 
 def _labels(group: pa.Table) -> dict:
@@ -45,6 +46,13 @@ def _labels(group: pa.Table) -> dict:
     return {"y": y.tolist(), "x": x.tolist(), "comp": (comp + 1)[run].tolist()}
 
 
+def _first_pixels(group: pa.Table) -> dict:
+    """Each pixel with the first one of its component, in the order of rows."""
+    found = _labels(group)
+    _, first, back = np.unique(found.pop("comp"), return_index=True, return_inverse=True)
+    return found | {f"f{c}": np.array(found[c])[first][back].tolist() for c in "yx"}
+
+
 def label_pixels(pixels: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
     """(by, y, x, comp): comp numbers the components of a map in raster order of their first pixel, from 1.
 
@@ -54,30 +62,31 @@ def label_pixels(pixels: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFram
     return map_groups(pixels.select(*by, "y", "x"), by, ["y", "x"], _labels, "y int, x int, comp int")
 
 
-def label_by_rounds(pixels: DataFrame, by: Sequence[str] = ("doc_id",), most_rounds: int = 200) -> DataFrame:
-    """(by, y, x, root): the same classes by joins alone, for a map too large for one task.
+def label_tiled(pixels: DataFrame, by: Sequence[str] = ("doc_id",), side: int = TILE) -> DataFrame:
+    """(by, y, x, comp): the same numbers for maps of any size; a task holds a tile of `side` x `side` pixels, not a map.
 
-    root is the least y * 2**31 + x of the component. Each round takes the least root of the eight neighbours, and
-    then the root of the root.
+    Each tile is labelled by itself; a tile's component is named by its first pixel. Only pixels at a tile's border
+    can touch those of another tile, so the equivalences of components are few rows (a border is a small share of a
+    tile); their classes are found by stars in a logarithmic number of rounds. The least first pixel of a class is the
+    first of the whole component.
     """
     keys = list(by)
-    place = F.col("y").cast("long") * (1 << 31) + F.col("x")
-    now = pixels.select(*keys, "y", "x").distinct().withColumn("root", place)
-    now = pinned(now)
-    for _ in range(most_rounds):
-        near = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
-        sent = now.select(*keys, "y", "x", "root", near.alias("k")).select(*keys, (F.col("y") + F.col("k.dy")).alias("y"), (F.col("x") + F.col("k.dx")).alias("x"), "root")
-        least = sent.groupBy(*keys, "y", "x").agg(F.min("root").alias("least"))
-        moved = now.join(least, [*keys, "y", "x"])
-        jump = moved.select(*[F.col(k).alias(f"_{k}") for k in keys], place.alias("_at"), F.col("least").alias("_of"))
-        same = F.col("least") == F.col("_at")
-        for k in keys:
-            same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
-        after = pinned(moved.join(jump, same).select(*keys, "y", "x", F.col("_of").alias("root"), (F.col("root") != F.col("_of")).alias("changed")))
-        now = after.drop("changed")
-        if after.where("changed").isEmpty():
-            return now
-    raise RuntimeError("components did not settle")
+    tile = [F.floor(F.col(c) / side).cast("int").alias(f"_t{c}") for c in "yx"]
+    cut = [*keys, "_ty", "_tx"]
+    parts = map_groups(pixels.select(*keys, *tile, "y", "x"), cut, ["y", "x"], _first_pixels, "y int, x int, fy int, fx int")
+    named = pinned(parts.select(*keys, "y", "x", F.struct(*keys, F.struct("fy", "fx").alias("first")).alias("node")))
+    edge = lambda c: F.pmod(F.col(c), F.lit(side)).isin(0, side - 1)
+    border = named.where(edge("y") | edge("x"))
+    steps = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))]))
+    sent = border.select(*keys, (F.col("y")).alias("_y"), F.col("x").alias("_x"), F.col("node").alias("a"), steps.alias("k"))
+    sent = sent.select(*keys, (F.col("_y") + F.col("k.dy")).alias("y"), (F.col("_x") + F.col("k.dx")).alias("x"), "a")
+    touching = sent.join(border.select(*keys, "y", "x", F.col("node").alias("b")), [*keys, "y", "x"]).where("a <> b").select("a", "b").distinct()
+    roots = connected_components(touching)
+    nodes = named.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    # a map's components, not its pixels, are ordered
+    order = Window.partitionBy(*[F.col(f"root.{k}") for k in keys]).orderBy("root.first")
+    numbered = pinned(nodes.withColumn("comp", F.dense_rank().over(order)).select("node", "comp"))
+    return named.join(numbered, "node").select(*keys, "y", "x", "comp")
 
 
 def component_stats(labelled: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:

@@ -5,13 +5,9 @@
 
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgrid.operators.groups import map_groups
-from docgrid.schemas import LINE
-
 #: Columns of a line besides its table's.
 COLUMNS = ["s", "e", "center", "rs", "re", "region_list", "implicit"]
 #: Limits in pixels of the table recovery.
@@ -40,7 +36,9 @@ def regions(found: DataFrame, pixels: DataFrame, axis: str, by: Sequence[str]) -
     """
     other = "y" if axis == "x" else "x"
     p = pixels.select(*by, F.col(axis).alias("_a"), F.col(other).alias("_o"))
-    band = found.join(p, list(by)).where("_a >= s AND _a < e").select(*by, "s", F.col("_o").alias("pos")).distinct()
+    # islands don't overlap, so each place of a band names its island: an equi-join on the place
+    places = found.select(*by, "s", F.explode(F.sequence(F.col("s"), F.col("e") - 1)).alias("_a"))
+    band = p.join(places, [*by, "_a"]).select(*by, "s", F.col("_o").alias("pos")).distinct()
     keys = [*by, "s"]
     run = F.col("pos") - F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
     runs = band.withColumn("run", run).groupBy(*keys, "run").agg(F.min("pos").cast("int").alias("a"), (F.max("pos") + 1).cast("int").alias("z"))
@@ -98,33 +96,42 @@ def aligned(lines: DataFrame, by: Sequence[str]) -> DataFrame:
     return out.select(*[new[c].alias(c) if c in new else c for c in lines.columns])
 
 
-def _walk(group: pa.Table) -> dict:
-    rows = group.to_pylist()
-    explicit, implicit = [r for r in rows if not r["implicit"]], [r for r in rows if r["implicit"]]
-    out, i, j = [], 0, 0
-    while i < len(explicit) or j < len(implicit):
-        a = explicit[i] if i < len(explicit) else None
-        b = implicit[j] if j < len(implicit) else None
-        if a and b:
-            first = a["center"] < b["center"]
-            if a["e"] > b["s"] if first else a["s"] < b["e"]:
-                out.append(b | {"rs": min(a["rs"], b["rs"]), "re": max(a["re"], b["re"]), "region_list": [*b["region_list"], *a["region_list"]]})
-                i, j = i + 1, j + 1
-                continue
-        else:
-            first = a is not None
-        out.append(a if first else b)
-        i, j = i + first, j + (not first)
-    return {c: [r[c] for r in out] for c in COLUMNS} | {"nth": range(len(out))}
+#: One step of the walk over lists a (explicit) and b (implicit); both flags: the lines at the front overlap.
+_WALK = """
+    transform(filter(aggregate(
+      sequence(0, size(a) + size(b)),
+      named_struct('i', 0, 'j', 0, 'out', array(named_struct('from_a', -1, 'from_b', -1))),
+      (w, step) -> CASE WHEN w.i >= size(a) AND w.j >= size(b) THEN w ELSE aggregate(
+        array(named_struct('left', get(a, w.i), 'right', get(b, w.j))), w,
+        (v, front) -> aggregate(
+          array(named_struct(
+            'ahead', front.left IS NOT NULL AND (front.right IS NULL OR front.left.center < front.right.center),
+            'both', front.left IS NOT NULL AND front.right IS NOT NULL
+                    AND CASE WHEN front.left.center < front.right.center THEN front.left.e > front.right.s ELSE front.left.s < front.right.e END)), v,
+          (u, on) -> named_struct(
+            'i', u.i + CAST(on.both OR on.ahead AS int), 'j', u.j + CAST(on.both OR NOT on.ahead AS int),
+            'out', concat(u.out, array(named_struct('from_a', IF(on.both OR on.ahead, u.i, -1), 'from_b', IF(on.both OR NOT on.ahead, u.j, -1))))))) END,
+      w -> w.out), o -> o.from_a >= 0 OR o.from_b >= 0),
+      o -> named_struct('left', get(a, o.from_a), 'right', get(b, o.from_b)))
+"""
 
 
 def merged(lines: DataFrame, by: Sequence[str]) -> DataFrame:
     """Explicit and implicit lines (column implicit) of a table and direction in one order: (by, line columns, nth).
 
-    Two lists, each in order of place, are walked together: if the lines at the front overlap on their axis the
-    implicit one stays, with the regions of both, and both move on; else the one with the smaller centre goes out.
+    Two lists, each in order of place, are walked together, by a fold: if the lines at the front overlap on their
+    axis the implicit one stays, with the regions of both, and both move on; else the one with the smaller centre goes out.
     """
-    return map_groups(lines.select(*by, *COLUMNS), by, COLUMNS[:5], _walk, f"{LINE}, nth int")
+    line = F.struct(*COLUMNS[:6])
+    of = lambda wanted: F.sort_array(F.collect_list(F.when(F.col("implicit") == wanted, line)))
+    lists = lines.groupBy(*by).agg(of(False).alias("a"), of(True).alias("b"))
+    out = lists.select(*by, F.posexplode(F.expr(_WALK)).alias("nth", "o"))
+    a, b = F.col("o.left"), F.col("o.right")
+    one = F.coalesce(b, a)
+    # least and greatest pass over nulls
+    columns = [one["s"].alias("s"), one["e"].alias("e"), one["center"].alias("center"), F.least(a["rs"], b["rs"]).alias("rs"), F.greatest(a["re"], b["re"]).alias("re")]
+    both = F.concat(F.coalesce(b["region_list"], F.array()), F.coalesce(a["region_list"], F.array()))
+    return out.select(*by, *columns, both.alias("region_list"), b.isNotNull().alias("implicit"), "nth")
 
 
 def with_edges(lines: DataFrame, ends: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Rotation of a table: Hough votes on edges, the median angle, and the maps turned upright.
 
-The vote is a relation, too: each edge pixel explodes to its (rho, theta) cells, which are counted.
+The vote is a relation, too: edge pixels are exploded to (rho, theta) cells, coarse ones first, and counted; a cell
+whose pixels are too few to make a line is never refined.
 """
 
 import math
@@ -9,28 +10,75 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docgrid.functions.lineage import pinned
 from docgrid.operators.raster import channel, sobel
 from docgrid.schemas import HORIZONTAL, IMPLICIT_HORIZONTAL, IMPLICIT_VERTICAL, VERTICAL
 
 #: Step of the angle in degrees, votes that make a line, least angle worth turning.
 STEP, VOTES, LEAST_ANGLE = 0.1, 400, 0.1
+#: Vote cells of the level before the last, in degrees and rhos; those of the levels before it are so many times as large each way.
+COARSE, COARSER = (1.6, 16), (8, 1)
+
+
+def _bound(x: Column, y: Column, low: Column, high: Column) -> tuple[Column, Column]:
+    """The least and the largest x cos + y sin over angles from low to high (radians): at the ends, or where the normal points at the place or away from it."""
+    at = lambda t: x * F.cos(t) + y * F.sin(t)
+    top, far = F.atan2(y, x), F.hypot(x, y)
+    inside = lambda t: (low < t) & (t < high)
+    least = F.when(inside(top + math.pi) | inside(top - math.pi), -far).otherwise(F.least(at(low), at(high)))
+    most = F.when(inside(top), far).otherwise(F.greatest(at(low), at(high)))
+    return least - 1e-6, most + 1e-6
+
+
+def vote_levels(edges: DataFrame, by: Sequence[str], step: float = STEP, votes: int = VOTES) -> list[DataFrame]:
+    """The vote cells (by, x, y, k, rho) of each level, coarse ones first: at each, one row for a pixel and a cell that it may vote in.
+
+    A coarse cell holds a range of angles and of rho. A pixel stands in it if it votes for any fine cell within, so no
+    fine cell has more votes than its coarse cell has pixels, and only cells with more than `votes` are refined. The
+    last level has single angles and rhos; it lacks only cells that can't pass. Pixels are dealt out by place and
+    written, as each becomes many rows; the cells to refine are written, too, so that Spark knows how few they are.
+    """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pinned(edges.select(*by, "x", "y").repartition(parts, *by, "x", "y"))
+    n, coarse = round(180 / step), max(1, round(COARSE[0] / step))
+    x, y, levels, parent = F.col("x"), F.col("y"), [], None
+    for size, wide in (*((coarse * c, COARSE[1] * c) for c in COARSER if coarse * c > 1), (1, 1)):
+        if parent is None:
+            held, first, last = dealt, F.lit(0), F.lit((n - 1) // size)
+        else:
+            cells, parent_size, parent_wide = parent
+            full = pinned(cells.groupBy(*by, "k", "rho").agg(F.count("*").alias("n")).where(F.col("n") > votes).select(*by, "k", "rho"))
+            held = cells.join(full, [*by, "k", "rho"]).select(*by, "x", "y", F.col("k").alias("_k"), F.col("rho").alias("_rho"))
+            first, last = F.col("_k") * parent_size, F.least((F.col("_k") + 1) * parent_size, F.lit(n)) - 1
+            first, last = F.floor(first / size), F.floor(last / size)
+        spread = held.withColumn("k", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+        if size == 1 and wide == 1:
+            theta = F.radians(F.col("k") * step)
+            spread = spread.withColumn("rho", F.round(x * F.cos(theta) + y * F.sin(theta)).cast("int"))
+        else:
+            low, high = F.radians(F.col("k") * size * step), F.radians((F.least((F.col("k") + 1) * size, F.lit(n)) - 1) * step)
+            ends = [F.floor(F.round(v) / wide).cast("int") for v in _bound(x, y, low, high)]
+            spread = spread.withColumn("rho", F.explode(F.sequence(*ends)))
+        if parent is not None:
+            spread = spread.where(F.floor(F.col("rho") * wide / parent_wide) == F.col("_rho")).drop("_k", "_rho")
+        levels.append(spread)
+        parent = spread, size, wide
+    return levels
 
 
 def hough_lines(edges: DataFrame, by: Sequence[str], step: float = STEP, votes: int = VOTES) -> DataFrame:
     """(by, rho, k, votes): lines x cos + y sin = rho at theta = k * step with enough votes, local peaks among the four neighbours.
 
-    Of equal neighbours the one with the smaller rho or theta stays.
+    Of equal neighbours the one with the smaller rho or theta stays. Votes are counted from coarse to fine; a cell
+    without enough of them is no peak and outvotes none, so peaks are sought among those with enough alone.
     """
-    n = round(180 / step)
-    theta = F.radians(F.col("k") * step)
-    cells = edges.select(*by, "x", "y", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).select(*by, "k", F.round(F.col("x") * F.cos(theta) + F.col("y") * F.sin(theta)).cast("int").alias("rho"))
-    counted = cells.groupBy(*by, "rho", "k").agg(F.count("*").alias("votes"))
+    counted = vote_levels(edges, by, step, votes)[-1].groupBy(*by, "rho", "k").agg(F.count("*").alias("votes")).where(F.col("votes") > votes)
     along = lambda fixed, moving: Window.partitionBy(*by, fixed).orderBy(moving)
     near = lambda fixed, moving, way: F.when((F.lag if way < 0 else F.lead)(moving).over(along(fixed, moving)) == F.col(moving) + way, (F.lag if way < 0 else F.lead)("votes").over(along(fixed, moving)))
     peaks = counted
     for name, fixed, moving, way in (("left", "k", "rho", -1), ("right", "k", "rho", 1), ("up", "rho", "k", -1), ("down", "rho", "k", 1)):
         peaks = peaks.withColumn(name, F.coalesce(near(fixed, moving, way), F.lit(0)))
-    return peaks.where((F.col("votes") > votes) & (F.col("votes") > F.col("left")) & (F.col("votes") >= F.col("right")) & (F.col("votes") > F.col("up")) & (F.col("votes") >= F.col("down"))).select(*by, "rho", "k", "votes")
+    return peaks.where((F.col("votes") > F.col("left")) & (F.col("votes") >= F.col("right")) & (F.col("votes") > F.col("up")) & (F.col("votes") >= F.col("down"))).select(*by, "rho", "k", "votes")
 
 
 def line_angle(theta_degrees: Column, horizontal: bool) -> Column:
@@ -41,11 +89,11 @@ def line_angle(theta_degrees: Column, horizontal: bool) -> Column:
 
 def table_angles(pixels: DataFrame, tables: DataFrame, by: Sequence[str], step: float = STEP, votes: int = VOTES) -> DataFrame:
     """(by, angle): the median tilt of the lines of both directions; 0 without any. tables: (by) of all tables."""
-    found = []
-    for horizontal, parts in ((True, (HORIZONTAL, IMPLICIT_HORIZONTAL)), (False, (VERTICAL, IMPLICIT_VERTICAL))):
-        edges = sobel(channel(pixels, *parts), "y" if horizontal else "x", by)
-        found.append(hough_lines(edges, by, step, votes).select(*by, line_angle(F.col("k") * step, horizontal).alias("tilt")))
-    median = found[0].unionByName(found[1]).groupBy(*by).agg(F.median("tilt").alias("angle"))
+    sides = [(True, "y", (HORIZONTAL, IMPLICIT_HORIZONTAL)), (False, "x", (VERTICAL, IMPLICIT_VERTICAL))]
+    edges = [sobel(channel(pixels, *parts), axis, by).withColumn("across", F.lit(across)) for across, axis, parts in sides]
+    tilt = F.when(F.col("across"), line_angle(F.col("k") * step, True)).otherwise(line_angle(F.col("k") * step, False))
+    found = hough_lines(edges[0].unionByName(edges[1]), [*by, "across"], step, votes)
+    median = found.groupBy(*by).agg(F.median(tilt).alias("angle"))
     return tables.select(*by).distinct().join(median, list(by), "left").select(*by, F.coalesce("angle", F.lit(0.0)).alias("angle"))
 
 

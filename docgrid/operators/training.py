@@ -11,6 +11,8 @@ from docgrid.schemas import CORNER, HORIZONTAL, IMPLICIT_HORIZONTAL, IMPLICIT_VE
 
 #: Reach of a corner's heat in pixels, its width, the least heat that counts, negatives for each positive, negatives without any.
 REACH, SPREAD, LEAST_HEAT, NEGATIVES, NONE_POSITIVE = 5, 2.0, 0.05, 3, 10_000
+#: Buckets of losses that tell where the k-th lies, for each power of e.
+FINENESS = 4096
 #: A mixture has at most so many datasets: the bound of what is broadcast.
 MOST_DATASETS = 100_000
 
@@ -51,18 +53,24 @@ def ranked(rows: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataF
     """rows with their rank (from 1) in the order within each key, however many a key has.
 
     Rows are sorted over range partitions, written, and numbered in each partition; what earlier partitions have of
-    the key is added. No task gets a whole key.
+    the key is added. No task gets a whole key. Any column names will do, but for `rank`.
     """
     keys = [F.col(c) for c in by]
-    placed = pinned(rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id()))
-    placed = placed.withColumn("_part", F.shiftright("_at", 33))
-    parts = placed.groupBy(*by, "_part").agg(F.min("_at").alias("_from"), F.count("*").alias("_n"))
-    earlier = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_of"), "_from", F.coalesce(earlier, F.lit(0)).alias("_earlier"))
-    same = F.col("_part") == F.col("_of")
-    for c in by:
-        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return placed.join(parts, same).withColumn("rank", F.col("_at") - F.col("_from") + F.col("_earlier") + 1).select(*rows.columns, "rank")
+    held = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")
+    sorted_ = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    placed = pinned(sorted_.select(held, F.monotonically_increasing_id().alias("at"))).withColumn("part", F.shiftright("at", 33))
+    key = F.struct(F.lit(0).alias("0"), *[F.col(f"row.`{c}`").alias(c) for c in by])
+    parts = placed.groupBy(key.alias("key"), "part").agg(F.min("at").alias("from"), F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(F.col("key").alias("of"), F.col("part").alias("in"), "from", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    met = placed.join(parts, (F.col("part") == F.col("in")) & key.eqNullSafe(F.col("of")))
+    return met.select("row.*", (F.col("at") - F.col("from") + F.col("earlier") + 1).alias("rank"))
+
+
+def _bucket(hard: Column) -> Column:
+    """A long that rises with a loss, a few thousand of them for each power of e; nulls are least, NaN is most, as in a sort."""
+    fine = F.floor(FINENESS * F.signum(hard) * F.log1p(F.abs(hard)))
+    return F.when(F.isnan(hard), F.lit((1 << 62))).otherwise(F.coalesce(fine, F.lit(-(1 << 62))))
 
 
 def selected_losses(pixels: DataFrame, order: Sequence[str], ratio: int = NEGATIVES, by: Sequence[str] = ("channel",)) -> DataFrame:
@@ -70,18 +78,29 @@ def selected_losses(pixels: DataFrame, order: Sequence[str], ratio: int = NEGATI
 
     Of each group (a channel, or a channel of a batch) all positives count, and of all places, ranked by their loss as
     negatives (positives: 0), the k largest: `ratio` for each positive, but less than all, or NONE_POSITIVE without
-    any. `order` breaks ties. Counts are partial aggregates; ranks are taken over range partitions.
+    any. `order` breaks ties. Counts of losses by bucket (partial aggregates) tell the bucket that holds the k-th
+    loss; those above it are in, those below it out, and its own rows alone are ranked, over range partitions.
     """
     loss = huber(F.col("pred") - F.col("target")) * F.col("weight")
     positive = F.col("target") > 0
-    out = pixels.withColumn("loss", loss).withColumn("hard", F.when(positive, F.lit(0.0)).otherwise(F.col("loss")))
+    out = pixels.withColumn("loss", loss).withColumn("_hard", F.when(positive, F.lit(0.0)).otherwise(F.col("loss"))).withColumn("_bucket", _bucket(F.col("_hard")))
+    sizes = pinned(out.groupBy(*by, "_bucket").agg(F.sum(positive.cast("long")).alias("p"), F.count("*").alias("n")))
     k = F.when(F.col("n_positive") > 0, F.least(F.col("n_positive") * ratio, F.col("n_all") - 1)).otherwise(F.lit(NONE_POSITIVE).cast("long"))
-    counts = pixels.groupBy(*by).agg(F.sum(positive.cast("long")).alias("n_positive"), F.count("*").alias("n_all")).select(*[F.col(c).alias(f"_{c}") for c in by], "n_positive", k.alias("k"))
+    whole, falling = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(F.desc("_bucket"))
+    counted = sizes.withColumn("n_positive", F.sum("p").over(whole)).withColumn("n_all", F.sum("n").over(whole)).withColumn("k", k)
+    counted = counted.withColumn("above", F.sum("n").over(falling) - F.col("n"))
+    # the bucket of the k-th: the last one whose rows don't all come after k; none if k is 0
+    last = counted.groupBy(*by, "n_positive", "k").agg(F.max_by(F.struct("_bucket", "above"), F.when(F.col("above") < F.col("k"), F.col("above"))).alias("edge"))
+    named = last.select(*[F.col(c).alias(f"_{c}") for c in by], "n_positive", "k", F.col("edge._bucket").alias("_edge"), F.col("edge.above").alias("_above"))
     same = F.lit(True)
     for c in by:
         same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-    placed = ranked(out, by, [F.desc("hard"), *map(F.asc, order)]).join(counts, same)
-    return placed.withColumn("selected", positive | (F.col("rank") <= F.col("k"))).drop("hard", "rank", *[f"_{c}" for c in by])
+    placed = out.join(named, same)
+    at_edge = F.col("_edge").eqNullSafe(F.col("_bucket"))
+    clear = placed.where(~at_edge).withColumn("selected", positive | F.coalesce(F.col("_bucket") > F.col("_edge"), F.lit(False)))
+    close = ranked(placed.where(at_edge), by, [F.desc("_hard"), *map(F.asc, order)])
+    close = close.withColumn("selected", positive | (F.col("rank") + F.col("_above") <= F.col("k"))).drop("rank")
+    return clear.unionByName(close).drop("_hard", "_bucket", "_edge", "_above", *[f"_{c}" for c in by])
 
 
 def channel_losses(selected: DataFrame, by: Sequence[str] = ("channel",)) -> DataFrame:

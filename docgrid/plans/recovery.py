@@ -29,25 +29,31 @@ class Limits:
     turn: bool = True
 
 
-def _lines(boxed: DataFrame, rects: DataFrame, seen: int, unseen: int, vertical: bool, limits: Limits, corners: DataFrame | None) -> DataFrame:
-    """(by, nth, line): the lines of one direction of all tables, explicit and implicit, merged in order."""
-    axis = "x" if vertical else "y"
-    explicit = raster.channel(boxed, seen)
-    implicit = raster.channel(boxed, unseen)
-    if vertical:
-        implicit = raster.dilate_x(implicit, [*BY, "w", "h"], 2)
-    found = lines.islands(raster.projection(explicit, axis, BY), BY, limits.least_line)
-    firm = lines.regions(found, explicit, axis, BY).withColumn("implicit", F.lit(False))
-    side = F.col("h" if vertical else "w")
-    need = F.greatest(side * limits.implicit_share, F.lit(limits.least_implicit))
-    weak = lines.islands(raster.projection(implicit, axis, [*BY, "w", "h"]), [*BY, "w", "h"], need).drop("w", "h")
-    weak = lines.regions(weak, implicit, axis, BY)
-    if corners is not None:
-        weak = lines.split_at_corners(weak, corners, BY)
-    weak = lines.aligned(weak, BY).withColumn("implicit", F.lit(True))
-    both = lines.merged(firm.drop("peak").unionByName(weak.drop("peak")), BY)
-    ends = rects.select(*BY, F.col("l" if vertical else "t").alias("start"), F.col("r" if vertical else "b").alias("end"))
-    return lines.with_edges(C.viable(both, BY), ends.where("start IS NOT NULL AND end IS NOT NULL"), BY)
+#: Columns that name the lines of one direction of a table; x and y stand for the places across and along them.
+WAY = [*BY, "down"]
+
+
+def _lines(boxed: DataFrame, rects: DataFrame, corners: DataFrame, limits: Limits) -> DataFrame:
+    """(by, down, nth, line): the lines of all tables, of both directions (down: vertical ones), explicit and implicit, merged in order.
+
+    Both directions and both kinds are one relation, so each step is one pass over the pixels, not four.
+    """
+    sized = [*BY, "w", "h"]
+    wide = raster.dilate_x(raster.channel(boxed, IMPLICIT_VERTICAL), sized, 2).withColumn("channel", F.lit(IMPLICIT_VERTICAL))
+    drawn = raster.channel(boxed, HORIZONTAL, VERTICAL, IMPLICIT_HORIZONTAL).select(*sized, "channel", "y", "x").unionByName(wide.select(*sized, "channel", "y", "x"))
+    down = F.col("channel").isin(VERTICAL, IMPLICIT_VERTICAL)
+    across, along = F.when(down, F.col("x")).otherwise(F.col("y")), F.when(down, F.col("y")).otherwise(F.col("x"))
+    laid = drawn.select(*BY, down.alias("down"), F.col("channel").isin(IMPLICIT_HORIZONTAL, IMPLICIT_VERTICAL).alias("implicit"), F.when(down, F.col("h")).otherwise(F.col("w")).alias("side"), across.alias("x"), along.alias("y"))
+    kind = [*WAY, "implicit"]
+    need = F.when(F.col("implicit"), F.greatest(F.col("side") * limits.implicit_share, F.lit(limits.least_implicit))).otherwise(F.lit(limits.least_line))
+    found = lines.islands(raster.projection(laid, "x", [*kind, "side"]), [*kind, "side"], need).drop("side", "peak")
+    found = lines.regions(found, laid, "x", kind)
+    weak = found.where("implicit")
+    weak = lines.split_at_corners(weak, corners.withColumn("down", F.lit(False)), WAY)
+    weak = lines.aligned(weak, WAY)
+    both = lines.merged(found.where("NOT implicit").unionByName(weak.select(found.columns)), WAY)
+    ends = rects.select(*BY, F.explode(F.array(*[F.struct(F.lit(d).alias("down"), F.col(i).alias("start"), F.col(j).alias("end")) for d, i, j in ((True, "l", "r"), (False, "t", "b"))])).alias("e")).select(*BY, "e.*")
+    return lines.with_edges(C.viable(both, WAY), ends.where("start IS NOT NULL AND end IS NOT NULL"), WAY)
 
 
 def recover_tables(pixels: DataFrame, transforms: DataFrame | None = None, limits: Limits | None = None) -> DataFrame:
@@ -84,9 +90,8 @@ def recover_tables(pixels: DataFrame, transforms: DataFrame | None = None, limit
     wide = raster.dilate_x(raster.channel(boxed, IMPLICIT_VERTICAL), [*BY, "w", "h"]).withColumn("channel", F.lit(IMPLICIT_VERTICAL))
     rects = pinned(raster.table_rect(raster.channel(boxed, HORIZONTAL, VERTICAL, IMPLICIT_HORIZONTAL).select(*BY, "channel", "y", "x").unionByName(wide.select(*BY, "channel", "y", "x")), BY))
     corners = lines.corner_peaks(raster.projection(raster.channel(boxed, CORNER), "y", BY), BY, limits.corner)
-    vertical = pinned(_lines(boxed, rects, VERTICAL, IMPLICIT_VERTICAL, True, limits, None))
-    horizontal = pinned(_lines(boxed, rects, HORIZONTAL, IMPLICIT_HORIZONTAL, False, limits, corners))
-    found = C.tables(C.merge_cells(C.grid(vertical, horizontal, BY), BY), candidates)
+    ruled = pinned(_lines(boxed, rects, corners, limits))
+    found = C.tables(C.merge_cells(C.grid(ruled.where("down"), ruled.where("NOT down"), BY), BY), candidates)
     out = found.join(angles, BY).join(extents, BY)
     back = lambda quad: _unturned(quad, F.col("angle"), F.col("across") / 2, F.col("down") / 2)
     out = out.withColumn("quad", back(F.col("quad"))).withColumn("cells", F.transform("cells", lambda c: c.withField("quad", back(c["quad"]))))

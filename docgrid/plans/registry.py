@@ -172,20 +172,74 @@ def sobel_edges(spark, sf_dir):
     return raster.sobel(_dots(spark, sf_dir), "x", ["doc_id"])
 
 
+#: Votes that no neighbour outvotes.
+PEAKS = """, high AS (SELECT *, lag(rho) OVER across AS l_at, lag(v) OVER across AS l, lead(rho) OVER across AS r_at, lead(v) OVER across AS r, lag(k) OVER around AS u_at, lag(v) OVER around AS u, lead(k) OVER around AS d_at, lead(v) OVER around AS d
+        FROM votes WINDOW across AS (PARTITION BY doc_id, side, k ORDER BY rho), around AS (PARTITION BY doc_id, side, rho ORDER BY k)),
+    peaks AS (SELECT doc_id, side, rho, k, v AS votes FROM high WHERE (l_at IS DISTINCT FROM rho - 1 OR v > l) AND (r_at IS DISTINCT FROM rho + 1 OR v >= r) AND (u_at IS DISTINCT FROM k - 1 OR v > u) AND (d_at IS DISTINCT FROM k + 1 OR v >= d))"""
+
+
 @query(
     BINARY
-    + """, votes AS (SELECT doc_id, CAST(round(x * cos(radians(k * 1.0)) + y * sin(radians(k * 1.0))) AS INT) AS rho, CAST(k AS INT) AS k, count(*) AS v
-        FROM dots, (SELECT unnest(generate_series(0, 179)) AS k) GROUP BY ALL)
-    SELECT a.doc_id, a.rho, a.k, a.v AS votes FROM votes a
-    LEFT JOIN votes l ON (l.doc_id, l.k, l.rho) = (a.doc_id, a.k, a.rho - 1) LEFT JOIN votes r ON (r.doc_id, r.k, r.rho) = (a.doc_id, a.k, a.rho + 1)
-    LEFT JOIN votes u ON (u.doc_id, u.rho, u.k) = (a.doc_id, a.rho, a.k - 1) LEFT JOIN votes d ON (d.doc_id, d.rho, d.k) = (a.doc_id, a.rho, a.k + 1)
-    WHERE a.v > 6 AND a.v > coalesce(l.v, 0) AND a.v >= coalesce(r.v, 0) AND a.v > coalesce(u.v, 0) AND a.v >= coalesce(d.v, 0)"""
+    + """, votes AS (SELECT doc_id, 0 AS side, CAST(round(x * cos(radians(k * 1.0)) + y * sin(radians(k * 1.0))) AS INT) AS rho, CAST(k AS INT) AS k, count(*) AS v
+        FROM dots, (SELECT unnest(generate_series(0, 179)) AS k) GROUP BY ALL)"""
+    + PEAKS
+    + """ SELECT doc_id, rho, k, votes FROM peaks WHERE votes > 6"""
 )
 def hough_lines(spark, sf_dir):
     """Lines of each page, at steps of a degree."""
     return rotation.hough_lines(_dots(spark, sf_dir), ["doc_id"], 1.0, 6)
 
 
+#: Tables of two by two cells, turned: of 200 parts each gives three steps of six lines, three pixels thick, about the map's centre.
+TURNED = """WITH steps AS (SELECT p_partkey // 200 AS doc_id, CAST(unnest(generate_series(0, 2)) + 3 * (p_partkey % 200) AS INT) AS t, radians(1.5 * (p_partkey // 200 % 5 - 2)) AS turn FROM part),
+    upright AS (SELECT doc_id, turn, side, CASE side WHEN 0 THEN 50 + t ELSE 50 + 300 * line + off END - 350 AS x, CASE side WHEN 0 THEN 50 + 300 * line + off ELSE 50 + t END - 350 AS y
+        FROM steps, (SELECT unnest([0, 1, 2]) AS line), (SELECT unnest([-1, 0, 1]) AS off), (SELECT unnest([0, 1]) AS side)),
+    drawn AS (SELECT DISTINCT doc_id, side, CAST(round(cos(turn) * y + sin(turn) * x) AS INT) + 350 AS y, CAST(round(cos(turn) * x - sin(turn) * y) AS INT) + 350 AS x FROM upright)"""
+
+
+def _turned(spark, sf_dir):
+    part, key = _table(spark, sf_dir, "part"), F.col("p_partkey")
+    doc = F.floor(key / 200)
+    steps = part.select(doc.alias("doc_id"), F.radians(1.5 * (doc % 5 - 2)).alias("turn"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("o"), key).select("doc_id", "turn", (F.col("o") + 3 * (key % 200)).alias("t"))
+    lines_ = steps.withColumn("line", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("off", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn("channel", F.explode(F.array(F.lit(1), F.lit(2))))
+    along, off, across = 50 + F.col("t") - 350, 50 + 300 * F.col("line") + F.col("off") - 350, F.col("channel") == 1
+    x, y = F.when(across, along).otherwise(off), F.when(across, off).otherwise(along)
+    c, s = F.cos("turn"), F.sin("turn")
+    places = lines_.select("doc_id", "channel", (F.round(c * y + s * x).cast("int") + 350).alias("y"), (F.round(c * x - s * y).cast("int") + 350).alias("x"))
+    return places.distinct().withColumn("score", F.lit(0.9).cast("float"))
+
+
+@query(
+    TURNED
+    + """, kernel AS (SELECT * FROM (VALUES (-1, 1), (1, -1)) AS a(d, w), (VALUES (-1, 1), (0, 2), (1, 1)) AS b(o, f)),
+    edges AS (SELECT doc_id, side, y + CASE side WHEN 0 THEN d ELSE o END AS y, x + CASE side WHEN 0 THEN o ELSE d END AS x FROM drawn, kernel GROUP BY ALL HAVING sum(w * f) > 0),
+    votes AS (SELECT doc_id, side, CAST(round(x * cos(radians(k * 0.1::DOUBLE)) + y * sin(radians(k * 0.1::DOUBLE))) AS INT) AS rho, CAST(k AS INT) AS k, count(*) AS v
+        FROM edges, (SELECT unnest(generate_series(0, 1799)) AS k) WHERE x >= 0 AND y >= 0 GROUP BY ALL)"""
+    + PEAKS
+    + " SELECT doc_id, side = 0 AS across, rho, k, votes FROM peaks WHERE votes > 400"
+)
+def fine_hough_lines(spark, sf_dir):
+    """Lines of turned tables at a tenth of a degree and over 400 votes."""
+    pixels = _turned(spark, sf_dir)
+    edges = [raster.sobel(raster.channel(pixels, c), axis, ["doc_id"]).withColumn("across", F.lit(c == 1)) for c, axis in ((1, "y"), (2, "x"))]
+    return rotation.hough_lines(edges[0].unionByName(edges[1]), ["doc_id", "across"])
+
+
+@query(
+    """SELECT p_partkey // 200 AS doc_id, 1 AS id, CAST(1.5 * (p_partkey // 200 % 5 - 2) AS DOUBLE) AS angle, 2 AS n_rows, 2 AS n_cols, 4 AS n_cells, CAST(60 AS BIGINT) AS width10, CAST(60 AS BIGINT) AS height10
+    FROM part GROUP BY ALL HAVING count(*) >= 199"""
+)
+def turned_tables(spark, sf_dir):
+    """The tables of those maps, found, turned upright and put back in their places; angles to the nearest half degree."""
+    pixels = _turned(spark, sf_dir)
+    size = pixels.select("doc_id").distinct().select("doc_id", *[F.lit(v).alias(c) for c, v in {"ratio_w": 1.0, "ratio_h": 1.0, "pad_x": 0.0, "pad_y": 0.0, "x1": 0, "y1": 0, "x2": 700, "y2": 700, "heat_w": 700, "heat_h": 700}.items()])
+    found = recover_tables(pixels, size)
+    last = lambda c: (F.array_max(F.transform("cells", lambda e: e[c][1])) + 1).cast("int")
+    q = F.col("quad")
+    length = lambda a, b: F.round(F.hypot(q[b] - q[a], q[b + 1] - q[a + 1]) / 10).cast("long")
+    return found.select("doc_id", F.col("id").cast("int").alias("id"), (F.round(F.col("angle_degrees") * 2) / 2).alias("angle"), last("row_range").alias("n_rows"), last("col_range").alias("n_cols"), F.size("cells").alias("n_cells"), length(0, 2).alias("width10"), length(2, 4).alias("height10"))
+
+
 @query("WITH t AS (SELECT user_id, value * 180 / 1000 % 180 AS theta FROM events) SELECT user_id, round(median(CASE WHEN theta - 90 > 90 THEN theta - 270 ELSE theta - 90 END), 6) AS angle FROM t GROUP BY user_id")
 def median_angles(spark, sf_dir):
     theta = (F.col("value") * 180 / 1000) % 180
@@ -204,6 +258,18 @@ def component_boxes(spark, sf_dir):
     return components.component_stats(components.label_pixels(_dots(spark, sf_dir))).drop("comp")
 
 
+@query(
+    BINARY
+    + """, tree AS (WITH RECURSIVE reach AS (SELECT doc_id, y, x, y * 2147483648 + x AS root FROM dots
+        UNION SELECT s.doc_id, s.y, s.x, r.root FROM reach r JOIN dots s ON s.doc_id = r.doc_id AND abs(s.y - r.y) <= 1 AND abs(s.x - r.x) <= 1 AND s.y * 2147483648 + s.x > r.root)
+        SELECT doc_id, y, x, min(root) AS root FROM reach GROUP BY ALL)
+    SELECT doc_id, y, x, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY root) AS INT) AS comp FROM tree"""
+)
+def tiled_components(spark, sf_dir):
+    """The number of each pixel's component, from pages cut in tiles of 16 by 16."""
+    return components.label_tiled(_dots(spark, sf_dir), side=16)
+
+
 BOXES = """boxes AS (SELECT o_custkey AS doc_id, o_orderkey AS comp, CAST(o_orderkey % 40 + 5 AS INT) AS w, CAST(o_totalprice AS BIGINT) % 37 + 5 AS h,
     CAST(o_orderkey % 11 AS INT) AS l, CAST(o_orderkey % 13 AS INT) AS t FROM orders)"""
 

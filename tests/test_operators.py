@@ -110,8 +110,8 @@ def test_first_small_component_stops(spark):
     assert [r.comp for r in components.table_candidates(stats).collect()] == [1]
 
 
-@pytest.mark.parametrize(("height", "width", "rounds"), [(24, 30, False), (6, 9, True)])
-def test_components_by_group_and_by_rounds_agree_with_a_flood(spark, height, width, rounds):
+@pytest.mark.parametrize(("height", "width", "side"), [(24, 30, 7), (6, 9, 2), (40, 3, 1000)])
+def test_components_by_group_and_by_tiles_agree_with_a_flood(spark, height, width, side):
     grid = np.random.default_rng(height).random((height, width)) < 0.4
     place = [(int(y), int(x)) for y, x in np.argwhere(grid)]
     pixels = spark.createDataFrame([(7, y, x) for y, x in place] + [(8, 0, 0)], "doc_id long, y int, x int")
@@ -125,12 +125,29 @@ def test_components_by_group_and_by_rounds_agree_with_a_flood(spark, height, wid
                 if (y, x) not in label and (y, x) in set(place):
                     label[y, x] = n
                     todo += [(y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    found = {(r.y, r.x): r.comp for r in components.label_pixels(pixels).collect() if r.doc_id == 7}
-    assert found == label
-    if not rounds:
-        return
-    roots = {(r.y, r.x): r.root for r in components.label_by_rounds(pixels).collect() if r.doc_id == 7}
-    assert len(set(roots.values())) == n and all((roots[a] == roots[b]) == (label[a] == label[b]) for a in place[:40] for b in place)
+    for labelled in (components.label_pixels(pixels), components.label_tiled(pixels, side=side)):
+        rows = labelled.collect()
+        assert {(r.y, r.x): r.comp for r in rows if r.doc_id == 7} == label
+        assert [r.comp for r in rows if r.doc_id == 8] == [1]
+
+
+def test_a_component_that_winds_through_many_tiles(spark):
+    """A spiral of one pixel's width over 81 tiles, in two maps told apart by two columns."""
+    n, at, way, seen = 27, (0, 0), (0, 1), {(0, 0)}
+    while True:
+        ahead = [(at[0] + k * way[0], at[1] + k * way[1]) for k in (1, 2)]
+        if not (0 <= ahead[0][0] < n and 0 <= ahead[0][1] < n) or ahead[1] in seen:
+            way = (way[1], -way[0])
+            nxt = (at[0] + way[0], at[1] + way[1])
+            if nxt in seen or (nxt[0] + way[0], nxt[1] + way[1]) in seen:
+                break
+            ahead = [nxt]
+        at = ahead[0]
+        seen.add(at)
+    rows = [(1, k, y, x) for k in (1, 2) for y, x in seen] + [(1, 2, 100, 100)]
+    pixels = spark.createDataFrame(rows, "doc_id long, part int, y int, x int")
+    found = components.label_tiled(pixels, ["doc_id", "part"], 3).groupBy("part", "comp").count().collect()
+    assert sorted(map(tuple, found)) == [(1, 1, len(seen)), (2, 1, len(seen)), (2, 2, 1)]
 
 
 def test_windows_are_boxes_not_labels(spark):
@@ -345,3 +362,51 @@ def test_boxes_follow_the_image(spark):
         q = np.array(r.quad).reshape(4, 2)
         assert np.isclose((q[1, 0] - q[0, 0]) / (q[3, 1] - q[0, 1]), 400 / 240)
         assert 0.5 * 400 / 1024 - 1e-3 <= q[1, 0] - q[0, 0] <= 2 * 400 / 1024
+
+
+# ---- votes from coarse to fine
+
+
+def brute_lines(places, step, votes):
+    counts = {}
+    for k in range(round(180 / step)):
+        t = np.radians(k * step)
+        for x, y in places:
+            rho = int(np.floor(x * np.cos(t) + y * np.sin(t) + 0.5)) if x * np.cos(t) + y * np.sin(t) >= 0 else -int(np.floor(-(x * np.cos(t) + y * np.sin(t)) + 0.5))
+            counts[rho, k] = counts.get((rho, k), 0) + 1
+    at = lambda rho, k: counts.get((rho, k), 0)
+    return sorted((r, k, v) for (r, k), v in counts.items() if v > votes and v > at(r - 1, k) and v >= at(r + 1, k) and v > at(r, k - 1) and v >= at(r, k + 1))
+
+
+@pytest.mark.parametrize(("step", "votes"), [(0.1, 60), (0.25, 25), (1.0, 30), (7.0, 20)])
+def test_coarse_to_fine_votes_lose_no_line(spark, step, votes):
+    rng = np.random.default_rng(3)
+    places = {(int(x), int(y)) for x, y in rng.integers(0, 150, (150, 2))} | {(20 + t, int(40 + 0.21 * t)) for t in range(90)} | {(int(120 - 0.4 * t), 10 + t) for t in range(90)} | {(t, 0) for t in range(0, 80)} | {(0, t) for t in range(50)}
+    edges = spark.createDataFrame([(1, x, y) for x, y in places], "doc_id long, x int, y int")
+    found = sorted((r.rho, r.k, r.votes) for r in rotation.hough_lines(edges, ["doc_id"], step, votes).collect())
+    assert found and found == brute_lines(places, step, votes)
+
+
+def test_far_fewer_vote_rows_than_angles(spark):
+    """Three long lines among noise at a tenth of a degree and 400 votes: a small share of 1800 rows a pixel."""
+    rng = np.random.default_rng(4)
+    places = {(int(x), int(y)) for x, y in rng.integers(0, 700, (800, 2))} | {(50 + t, 100 * k + int(0.03 * t)) for t in range(600) for k in (1, 3, 5)}
+    edges = spark.createDataFrame([(1, x, y) for x, y in places], "doc_id long, x int, y int")
+    rows = [level.count() for level in rotation.vote_levels(edges, ["doc_id"])]
+    assert sum(rows) < 0.15 * 1800 * len(places), [r / len(places) for r in rows]
+    assert {r.k for r in rotation.hough_lines(edges, ["doc_id"]).collect()} >= {917}
+
+
+def test_kth_loss_by_buckets_matches_a_sort(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(c), int(t), float(p), k) for k, (c, t, p) in enumerate(zip(rng.integers(0, 4, 3000), rng.random(3000) < 0.05, rng.choice([0.1, 0.2, 0.7, 3.5], 3000) * rng.choice([1.0, 1.0 + 1e-9], 3000), strict=True))]
+    rows += [(9, 0, 0.5, -1), (None, 1, 0.5, -2), (None, 0, 0.5, -3), (8, 1, 0.1, -4)]
+    table = spark.createDataFrame(rows, "channel int, target int, pred double, k_ long").withColumn("weight", F.lit(1.0)).withColumn("at", F.lit(1)).withColumn("part", F.lit(2))
+    found = {r.k_: r.selected for r in training.selected_losses(table, ["k_"]).collect()}
+    for channel in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == channel]
+        n_positive = sum(r[1] for r in own)
+        k = min(3 * n_positive, len(own) - 1) if n_positive else 10_000
+        huber = lambda d: 0.5 * d * d if abs(d) <= 1 else abs(d) - 0.5
+        order = sorted(own, key=lambda r: (-(0.0 if r[1] else huber(r[2] - r[1])), r[3]))
+        assert {r[3] for r in own if found[r[3]]} == {r[3] for r in order[:k]} | {r[3] for r in own if r[1]}
