@@ -42,3 +42,12 @@ def may_be_in(words: np.ndarray, h: Column) -> Column:
         return pd.Series(np.logical_and.reduce([(bits.value[p.to_numpy() >> 6] >> (p.to_numpy() & 63)) & 1 for p in places]).astype(bool))
 
     return looked_up(*_places(h, len(words)))
+
+
+def without(rows: DataFrame, key: Column, losers: DataFrame) -> DataFrame:
+    """The rows whose key (a struct) isn't among losers (key, distinct). Only rows that may be losers are shuffled; any column names will do."""
+    held = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), key.alias("key"))
+    words = bloom(losers.select(F.xxhash64("key").alias("h")), losers.count())
+    marked = held.withColumn("may", may_be_in(words, F.xxhash64("key")))
+    doubtful = marked.where("may").join(losers.select(F.col("key").alias("lost")), F.col("key") == F.col("lost"), "left_anti")
+    return marked.where("NOT may").select("row.*").unionByName(doubtful.select("row.*"))

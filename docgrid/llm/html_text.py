@@ -9,11 +9,13 @@ role or the words of class and id) are left out first; a page that has nothing e
 list of links is dropped that isn't called a menu or the like. The time is linear in the page at any depth of tags.
 
 Nulls: a null page is empty; a page without text gives "". Broken markup is read as browsers do in the common
-cases (open paragraphs and list items end at the next, stray end tags are ignored, a cut-off page ends all).
+cases (open paragraphs and list items end at the next, stray end tags are ignored, a declaration ends at the next >,
+a page that is cut off within a tag ends there; a tag whose quote is never closed ends at the next >).
 Whole pages are read; url and page_id may be null or repeat. Other columns are not looked at.
 """
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -47,7 +49,9 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SPACE = re.compile(r"\s+")
 #: A paragraph has at least so many code points.
 LEAST_CHARS = 25
-MOST_ENDLESS = 100
+TAG = re.compile(r"[^\s/>]+")
+#: A quote that opens an attribute's value, any quote, and what begins like a tag.
+OPENED, QUOTE, OPENER = re.compile(r"""=\s*["']"""), re.compile(r"""["']"""), re.compile(r"<[a-zA-Z/!?]")
 #: How an element is left out: not, by the words of its class and id, by what it is.
 NOT, BY_NAME, BY_KIND = range(3)
 #: Open elements of the values end where one of the key begins inside the same parent.
@@ -93,6 +97,28 @@ def _verdict(tag: str, attrs: list, inside_article: bool) -> tuple[int, str]:
     return bad, names
 
 
+class Ends:
+    """Where tags never end in a page: for each quote that opens a value, whether what follows ever comes to a > outside of quotes."""
+
+    def __init__(self, of: str) -> None:
+        self.of = of
+        self.opens = [m.end() - 1 for m in OPENED.finditer(of)]
+        self.endless = [False] * (len(self.opens) + 1)
+        closing, last = {}, {'"': -1, "'": -1}
+        for m in reversed(list(QUOTE.finditer(of))):
+            closing[m.start()], last[m[0]] = last[m[0]], m.start()
+        for k in range(len(self.opens) - 1, -1, -1):
+            end = closing[self.opens[k]]
+            self.endless[k] = end < 0 or self.never(end + 1)
+
+    def never(self, i: int) -> bool:
+        """Whether a tag whose rest begins at i (outside of quotes) has no end."""
+        k = bisect_left(self.opens, i)
+        if k == len(self.opens):
+            return self.of.find(">", i) < 0
+        return self.endless[k] and self.of.find(">", i, self.opens[k]) < 0
+
+
 class Tree(HTMLParser):
     """Elements in page order (a parent before its children) and, at block elements, pieces of text.
 
@@ -106,7 +132,8 @@ class Tree(HTMLParser):
         self.blocks: list[tuple[Node, list[tuple[Node, str]]]] = []
         self.pieces: list[tuple[Node, str]] = []
         self.places: dict[str, list[int]] = defaultdict(list)
-        self.endless_comment, self.endless_tags = False, 0
+        self.endless_comment = False
+        self.ends: Ends | None = None
         kinds = {"block": BLOCK, "scope": SCOPES, "outer": SCOPES - {"td", "th"}, "barrier": {"article", "body", "table"}, "article": {"article", "main"}}
         self.kinds_of = {t: [k for k, tags in kinds.items() if t in tags] for t in BLOCK | SCOPES}
 
@@ -117,16 +144,24 @@ class Tree(HTMLParser):
         return found
 
     def parse_html_declaration(self, i: int) -> int:
-        return -1 if self.endless_tags >= MOST_ENDLESS and not self.rawdata.startswith("<!--", i) else self._counted(super().parse_html_declaration(i))
-
-    def _counted(self, found: int) -> int:
-        self.endless_tags += found < 0
-        return found
+        """As browsers do: any declaration, marked sections included, ends at the next >."""
+        return self.parse_comment(i) if self.rawdata.startswith("<!--", i) else self.rawdata.find(">", i + 2) + 1 or -1
 
     def parse_starttag(self, i: int) -> int:
-        """After MOST_ENDLESS tags and declarations that don't end (as by an open quote), each of which is looked for up to the page's end,
-        what begins like a tag is text."""
-        return -1 if self.endless_tags >= MOST_ENDLESS else self._counted(super().parse_starttag(i))
+        """A tag that never ends, as a quote in it is never closed, ends at the next > and has no attributes.
+
+        Once there is one, others are known by the places of quotes, so none is looked for up to the page's end.
+        """
+        found = -1 if self.ends is not None and self.ends.of is self.rawdata and self.ends.never(i) else super().parse_starttag(i)
+        if found >= 0:
+            return found
+        if self.ends is None or self.ends.of is not self.rawdata:
+            self.ends = Ends(self.rawdata)
+        tag = TAG.match(self.rawdata, i + 1)[0].lower()
+        self.handle_starttag(tag, [])
+        if tag in self.CDATA_CONTENT_ELEMENTS:
+            self.set_cdata_mode(tag)
+        return self.rawdata.find(">", i) + 1 or len(self.rawdata)
 
     def last(self, name: str) -> int:
         """The place of the innermost open element of a tag or (with a colon before) of a kind; 0 for none."""
@@ -253,12 +288,25 @@ def _list_of_links(node: Node) -> bool:
 def main_text(html: str) -> str:
     """The article's blocks, joined by two line ends; empty where there is nothing but what is left out."""
     tree = Tree()
-    tree.feed(html)
+    # nothing after the last > is a whole tag: the page is cut off in what begins like one
+    cut = OPENER.search(html, html.rfind(">") + 1)
+    tree.feed(html[: cut.start()] if cut else html)
     tree.close()
     tree.end_block()
     blocks = _blocks(tree)
     kept = {id(x) for x in _chosen(blocks)} or {id(x) for x in tree.nodes if x.tag in ("article", "main") and x.chars} or {id(tree.root)}
-    # inside: not in what is kept, in a container whose lists of links go, in an article, of which all stays
+    held: dict[int, bool] = {}
+    for x in tree.nodes:
+        held[id(x)] = id(x) in kept or x.parent is not None and held[id(x.parent)]
+    # a list of links between paragraphs belongs to them; one before the first or after the last is a menu or the like
+    read = [k for k, (node, text, linked) in enumerate(blocks) if held[id(node)] and len(text) >= LEAST_CHARS and node.tag not in HEADINGS and 2 * linked <= len(text)]
+    between: set[int] = set()
+    for node, _, _ in blocks[read[0] : read[-1]] if read else []:
+        for x in (node, *node.above()):
+            if id(x) in between:
+                break
+            between.add(id(x))
+    # inside: not in what is kept, in a container whose outer lists of links go, in an article, of which all stays
     inside: dict[int, int] = {}
     for x in tree.nodes:
         state = inside[id(x.parent)] if x.parent is not None else 0
@@ -266,7 +314,7 @@ def main_text(html: str) -> str:
             state = 1
         if state and (x.tag in ("article", "main") or x.names and ARTICLE & {w.lower() for w in NAME.findall(x.names)}):
             state = 2
-        inside[id(x)] = 0 if state == 1 and _list_of_links(x) and id(x) not in kept else state
+        inside[id(x)] = 0 if state == 1 and _list_of_links(x) and id(x) not in kept and id(x) not in between else state
     return "\n\n".join(text for node, text, _ in blocks if inside[id(node)])
 
 

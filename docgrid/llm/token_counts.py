@@ -6,8 +6,8 @@ their counts are appended to the cache, a Parquet folder that later runs and oth
 atomic (a Spark write); rows written twice by concurrent runs are equal, and one of them is read.
 
 Texts are shuffled for one purpose: to encode a content once that several rows have. Where fewer than half of the
-rows are misses, a Bloom filter of the missed rows, of BLOOM_WORDS 64-bit words whatever the data (so with a bounded
-broadcast), is tested where texts are scanned, and only misses and a few false ones are shuffled.
+rows are misses, a Bloom filter of the missed rows, which grows with them up to a bound, is tested where texts are
+scanned, and only misses and a few false ones are shuffled.
 
 Nulls: a null text is normalised to the empty one; no other change is made, as the tokenizer's own normaliser
 decides what counts. doc_id may be null or repeat: one row per row. Other columns are not looked at; an empty
@@ -19,21 +19,17 @@ import hashlib
 from collections.abc import Iterator
 from pathlib import Path
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgrid.functions.lineage import exists, pinned
+from docgrid.llm.bloom import bloom, may_be_in
 from docgrid.llm.common import text_or_empty
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 #: Texts that are encoded in one call.
 CALL = 64
-#: Words of a Bloom filter (8 MB in all), and bits of an entry: some 5 % are false at ten million entries.
-BLOOM_WORDS, BLOOM_BITS = 1 << 20, 4
 
 
 @functools.cache
@@ -63,27 +59,6 @@ def _stored(spark: SparkSession, cache: str, version: str) -> DataFrame:
     return rows.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
 
-def _bloom(hashes: DataFrame) -> np.ndarray:
-    """A Bloom filter of hashes (h long), its words put together by an aggregate; BLOOM_WORDS words come to the driver at most."""
-    places = F.array(*[F.pmod(F.xxhash64("h", F.lit(k)), F.lit(64 * BLOOM_WORDS)) for k in range(BLOOM_BITS)])
-    bits = hashes.select(F.explode(places).alias("place")).select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
-    found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    words = np.zeros(BLOOM_WORDS, np.int64)
-    words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return words
-
-
-def _may_be_in(words: np.ndarray, h: Column) -> Column:
-    """Whether a hash may be in the filter; the places are computed by Spark, the bits are looked up in numpy."""
-    bits = SparkContext.getOrCreate().broadcast(words)
-
-    @F.pandas_udf("boolean")
-    def looked_up(*places: pd.Series) -> pd.Series:
-        return pd.Series(np.logical_and.reduce([(bits.value[p.to_numpy() >> 6] >> (p.to_numpy() & 63)) & 1 for p in places]).astype(bool))
-
-    return looked_up(*[F.pmod(F.xxhash64(h, F.lit(k)), F.lit(64 * BLOOM_WORDS)) for k in range(BLOOM_BITS)])
-
-
 def count_tokens(documents: DataFrame, path: str, cache: str, limit: int = 4096) -> DataFrame:
     """One row per row of documents: doc_id, n_bytes, n_tokens, over_limit.
 
@@ -96,8 +71,9 @@ def count_tokens(documents: DataFrame, path: str, cache: str, limit: int = 4096)
     rows = pinned(texts.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")))
     # grouped first, so that copies are reduced before they are shuffled
     misses = pinned(rows.groupBy("digest").agg(F.min("doc_id").alias("one_id")).join(_stored(spark, cache, version), "digest", "left_anti"))
-    if 2 * misses.count() < rows.count():
-        texts = texts.where(_may_be_in(_bloom(misses.select(F.xxhash64("one_id", "digest").alias("h"))), F.xxhash64("doc_id", "digest")))
+    n_misses = misses.count()
+    if 2 * n_misses < rows.count():
+        texts = texts.where(may_be_in(bloom(misses.select(F.xxhash64("one_id", "digest").alias("h")), n_misses), F.xxhash64("doc_id", "digest")))
     fresh = texts.join(misses.withColumnRenamed("digest", "one"), F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("digest") == F.col("one")), "left_semi").select("digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -500,3 +500,37 @@ def test_given_pages(spark):
 
         blocks = [" ".join(h.unescape(re.sub(r"<br>|<b>|</b>", " " if "<br>" in x else "", x)).split()) for x in re.split(r"</?(?:p|h1)>", article)]
         assert text.split("\n\n") == [b for b in blocks if b]
+
+
+@pytest.mark.parametrize("n", [99, 1000])
+def test_any_number_of_declarations_without_an_end(n):
+    found = html_text.main_text("<article>" + "<p>see <![if n of the listing</p>" * n + "<p>This is a real paragraph, with enough text.</p></article>")
+    assert found == "\n\n".join(["see"] * n + ["This is a real paragraph, with enough text."])
+
+
+@pytest.mark.parametrize("n", [1, 300])
+def test_any_number_of_tags_whose_quote_is_never_closed(n):
+    text = "Text of a paragraph, which is long enough."
+    assert html_text.main_text("<article>" + f"<p class='x>{text}</p>" + f"<p>{text}</p>" * n + "</article>") == "\n\n".join([text] * (n + 1))
+
+
+def test_a_page_that_is_cut_off_in_a_tag_ends_there():
+    assert html_text.main_text("<article><p>Text of a paragraph, 1 < 2, <a href='x") == "Text of a paragraph, 1 < 2,"
+
+
+def test_a_reading_list_between_paragraphs_stays():
+    one, two = "First paragraph of the text, which is long enough.", "Last paragraph of the text, which is long enough."
+    links = lambda name: "<ul>" + "".join(f"<li><a href=x>{name} {k}</a></li>" for k in range(4)) + "</ul>"
+    assert html_text.main_text(f"<body><div>{links('menu')}<p>{one}</p>{links('book')}<p>{two}</p>{links('more')}</div></body>") == "\n\n".join([one, *(f"book {k}" for k in range(4)), two])
+
+
+@pytest.mark.parametrize("part", ["</", '<a b="', "<a b=\"x\"><a b='x>", "<![if ", "<p>see <![if n</p>", "<a b='\"> <c d=\"'>", "<a b=\"x\"><i c='>"])
+def test_broken_markup_takes_linear_time(part):
+    import time
+
+    took = []
+    for n in (10_000, 40_000):
+        began = time.process_time()
+        html_text.main_text("<body><p>Text that comes first, and is long.</p>" + part * n + "<p d=\"> and last</p>")
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.5
