@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgrid.functions.lineage import pinned, remove, scratch
-from docgrid.llm import decontam, exact_dedup, packing, quality, simhash
+from docgrid.llm import bloom, decontam, exact_dedup, packing, quality, simhash
 from docgrid.llm.common import table, text_or_empty
 
 
@@ -33,11 +33,10 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are told apart by doc_id and text, as doc_id may be null or repeat; equal texts are left to the exact stage.
     """
-    text_hash = F.xxhash64(text_or_empty())
-    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", text_hash.alias("text_hash"))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64(text_or_empty()).alias("text_hash"))
     groups = simhash.simhash_groups(docs.select(row.alias("doc_id"), "text"))
-    losers = groups.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id.doc_id").alias("_lost_id"), F.col("doc_id.text_hash").alias("_lost_hash")).distinct()
-    return docs.join(losers, F.col("doc_id").eqNullSafe(F.col("_lost_id")) & (text_hash == F.col("_lost_hash")), "left_anti").select(docs.columns)
+    losers = groups.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("key")).distinct()
+    return bloom.without(docs, row, pinned(losers))
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
