@@ -16,7 +16,7 @@ n words at least n - q + 1 - k q of its runs of q words, of which a window of n
 match. Recall at exactly the largest number of edits is measured in the tests, from 5 to 300 words, for substitutions,
 insertions and deletions each: REPEATS x TABLES tables of BITS places reach over 0.95 for parts of up to PART words.
 
-The benchmark is a query set: its items go to the tasks in blocks of at most BLOCK_CHARS, one pass over the
+The benchmark is a query set: its items go to the tasks in blocks of at most BLOCK_CHARS and BLOCK_PARTS, one pass over the
 documents for each; the driver holds no more than two blocks. Words are those of the text as it is, each in small
 letters, so places are exact. No shuffle of documents. Nulls: a null text of either side is empty and matches nothing; items without
 words are ignored. Ids may be null or repeat: one row per document row and item row. Other columns are not
@@ -42,6 +42,8 @@ GRAM = 3
 PART = 50
 REPEATS, TABLES, BITS = 10, 12, 3
 BLOCK_CHARS = 16_000_000
+#: Parts of a block: each has REPEATS x TABLES keys, some 1.5 KB in a worker.
+BLOCK_PARTS = 1 << 16
 PAD = np.uint64(0)
 
 
@@ -132,17 +134,15 @@ class Matcher:
             grams, owner = np.concatenate([g for g, _ in found]), np.concatenate([np.full(len(g), k) for g, k in found])
             order = np.argsort(grams, kind="stable")
             self.grams[q] = grams[order], owner[order]
-        self.tables: dict[int, dict[int, list[int]]] = {}
+        # all tables of a size: sorted keys (which tell tables apart) and the parts that have them
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         by_size: dict[int, list[int]] = defaultdict(list)
         for k, (_, _, words) in enumerate(self.parts):
             by_size[len(words)].append(k)
         for n, ks in by_size.items():
-            table: dict[int, list[int]] = defaultdict(list)
-            for keys in self.walks.keys(np.stack([self.parts[k][2] for k in ks])):
-                for key, k in zip(keys.tolist(), ks, strict=True):
-                    table[key].append(k)
-            self.tables[n] = dict(table)
-        self.known = {n: np.fromiter(sorted(t), np.uint64, len(t)) for n, t in self.tables.items()}
+            keys = np.concatenate(list(self.walks.keys(np.stack([self.parts[k][2] for k in ks]))))
+            order = np.argsort(keys, kind="stable")
+            self.tables[n] = keys[order], np.array(ks, np.int32)[order % len(ks)]
 
     def windows(self, words: np.ndarray) -> dict[int, np.ndarray]:
         """Size to starts of windows that can hold a passage near a part of that size; starts may lie before the text."""
@@ -189,14 +189,13 @@ class Matcher:
         out: dict[tuple[int, int], set[int]] = defaultdict(set)
         for n, parts in by_size.items():
             windows, starts, docs = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            known, table = self.known[n], self.tables[n]
+            known, owner = self.tables[n]
             for at in range(0, len(windows), 1 << 15):
                 part = slice(at, at + (1 << 15))
                 for keys in self.walks.keys(windows[part]):
-                    place = np.searchsorted(known, keys)
-                    place[place == len(known)] = 0
-                    for r in np.flatnonzero(known[place] == keys).tolist():
-                        for k in table[int(keys[r])]:
+                    first, last = np.searchsorted(known, keys), np.searchsorted(known, keys, side="right")
+                    for r in np.flatnonzero(first < last).tolist():
+                        for k in owner[first[r] : last[r]].tolist():
                             item, offset, _ = self.parts[k]
                             out[int(docs[at + r]), item].add(int(starts[at + r]) - offset)
         return {pair: sorted(s) for pair, s in out.items()}
@@ -237,19 +236,20 @@ def _key(block: list[tuple[object, str]], similarity: float) -> str:
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[object, str]], bool]]:
-    """(items, whether they are the last) in blocks of at most BLOCK_CHARS, or of one item; never none.
+    """(items, whether they are the last) in blocks of at most BLOCK_CHARS and BLOCK_PARTS, or of one item; never none.
 
     Items come to the driver in parts of about a block, one at a time, so it holds two blocks and two parts at most.
     """
     items = benchmark.select("item_id", text_or_empty().alias("text"))
-    chars = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    block, size = [], 0
-    for row in items.repartition(1 + chars // BLOCK_CHARS).toLocalIterator():
-        if block and size + len(row.text) > BLOCK_CHARS:
+    chars, rows = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0)), F.count("*")).first()
+    block, size, n_parts = [], 0, 0
+    for row in items.repartition(1 + max(chars // BLOCK_CHARS, (rows + chars // (2 * PART)) // BLOCK_PARTS)).toLocalIterator():
+        own = 1 + len(row.text) // (2 * PART)  # a word takes two characters at least
+        if block and (size + len(row.text) > BLOCK_CHARS or n_parts + own > BLOCK_PARTS):
             yield block, False
-            block, size = [], 0
+            block, size, n_parts = [], 0, 0
         block.append((row.item_id, row.text))
-        size += len(row.text)
+        size, n_parts = size + len(row.text), n_parts + own
     yield block, True
 
 

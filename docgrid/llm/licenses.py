@@ -80,11 +80,34 @@ class Scanner:
                 order = np.argsort(shingles, kind="stable")
                 self.rare[size] = shingles[order], owner[order], rare
             self.by_size[size] = {c: kept for c, found in classes.items() if (kept := [t for t in found if 2 * len(t[1]) > c])}
-        self.signed = {(size, c): np.array([self._permuted(own).min(axis=1) for _, own, _ in found]) for size, classes in self.by_size.items() for c, found in classes.items()}
+        # the bands of a class's templates: sorted (band, value) keys and the templates that have them
+        self.index: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for size, classes in self.by_size.items():
+            for c, found in classes.items():
+                if found:
+                    keys = np.concatenate([self._banded(self._permuted(own).min(axis=1)[:, None])[:, 0] for _, own, _ in found])
+                    order = np.argsort(keys, kind="stable")
+                    self.index[size, c] = keys[order], np.repeat(np.arange(len(found)), bands)[order]
 
     def _permuted(self, shingles: np.ndarray) -> np.ndarray:
         return shingles[None, :] * self.odd[:, None] + self.add[:, None]
 
+    def _banded(self, values: np.ndarray) -> np.ndarray:
+        """Keys of the least values of each band (a row of values), told apart by band."""
+        return W.mixed(values + np.arange(1, len(values) + 1, dtype=np.uint64)[:, None] * W.STEP)
+
+    def _retrieved(self, size: int, c: int, windows: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """(template, windows that share a band with it) of a class: windows are looked up, templates aren't gone through."""
+        known, owner = self.index[size, c]
+        keys = self._banded(windows)
+        first, last = np.searchsorted(known, keys), np.searchsorted(known, keys, side="right")
+        met: dict[int, set[int]] = {}
+        for band, at in np.argwhere(first < last).tolist():
+            for k in owner[first[band, at] : last[band, at]].tolist():
+                met.setdefault(k, set()).add(at)
+        for k in sorted(met):
+            yield k, sorted(met[k])
+
     def _looked_up(self, size: int, shingles: np.ndarray) -> Iterator[tuple[int, tuple[str, np.ndarray, int], list[int]]]:
         """(class, template, windows that hold a shingle of it) of the templates without bands."""
         known, owner, rare = self.rare[size]
@@ -118,9 +141,8 @@ class Scanner:
                     blocks = np.minimum.reduceat(blocks, np.arange(0, blocks.shape[1], 2), axis=1)
                 if c in classes:
                     windows = np.minimum(blocks, np.append(blocks[:, 1:], blocks[:, -1:], axis=1))
-                    for k, template in enumerate(classes[c]):
-                        met = np.flatnonzero((windows == self.signed[size, c][k][:, None]).any(axis=0))
-                        self._verify(best, shingles, size, c, template, met.tolist())
+                    for k, met in self._retrieved(size, c, windows) if classes[c] else ():
+                        self._verify(best, shingles, size, c, classes[c][k], met)
                 c *= 2
         return [best[k] for k in sorted(best)]
 

@@ -13,7 +13,7 @@ order; a match is then extended to the left word by word. A passage with o words
 suffixes of several documents agree on o words to the left and LEAST - o to the right. Only words decide, and every
 passage of LEAST words is decided that could occur elsewhere, so the spans are those of the dense suffix array.
 
-Suffixes whose first KEY words occur over TILE times are dealt out in tiles. What a tile doesn't settle by words is
+Suffixes whose first KEY words occur over TILE times are dealt out in tiles, by document and place. What a tile doesn't settle by words is
 compared over the tiles by 128-bit digests of the passages. Passages that two documents share are joined to maximal
 spans. A passage that repeats only inside one document isn't reported.
 
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from docgrid.functions.lineage import pinned
 from docgrid.llm import words as W
+from docgrid.llm.bloom import bloom, may_be_in
 from docgrid.llm.common import text_or_empty
 
 LEAST = 50
@@ -94,9 +95,9 @@ def _contexts(least: int, key: int):
                     right, left = b" ".join(words[p : b + least]) + b" ", b" ".join([*words[a:p][::-1], b""])
                     for column, value in zip(out, (nth, int(own[p].view(np.int64)), tile, right, left, p), strict=True):
                         column.append(value)
-                if len(out[0]) >= TOGETHER:
-                    yield _context_rows(batch, out)
-                    out = [[] for _ in range(6)]
+                    if len(out[0]) >= TOGETHER:
+                        yield _context_rows(batch, out)
+                        out = [[] for _ in range(6)]
             yield _context_rows(batch, out)
 
     return run
@@ -201,9 +202,13 @@ def shared_passages(documents: DataFrame, least: int = LEAST, key: int = KEY) ->
     tiles = F.when(F.count("*") > TILE, F.ceil(F.count("*") / TILE)).otherwise(0).cast("long")
     # written, here and below, so that both sides of a join have an exchange of their own and Spark can split a hot key
     beginnings = pinned(retained.groupBy("key").agg(tiles.alias("tiles"), several.alias("several")).where("several").select("key", "tiles"))
-    tile = F.when(F.col("tiles") > 0, F.pmod("r1", "tiles") + 1).otherwise(0)
+    # by document and place, as one document may have a beginning very often
+    tile = F.when(F.col("tiles") > 0, F.pmod(F.xxhash64("r1", F.floor(F.col("at") / TILE)), "tiles") + 1).otherwise(0)
     candidates = pinned(retained.join(beginnings, "key").groupBy("r1", "r2").agg(F.collect_set(F.col("at") + F.shiftleft(tile, 32)).alias("places")))
-    # rows that repeat are reduced before they are shuffled
+    # only texts that may have candidates are shuffled; rows that repeat are reduced before
+    n_candidates = candidates.count()
+    if 4 * n_candidates < 3 * rows.count():
+        rows = rows.where(may_be_in(bloom(candidates.select(F.xxhash64("r1", "r2").alias("h")), n_candidates), F.xxhash64("r1", "r2")))
     texts = rows.groupBy("r1", "r2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
     ids = f"r1 long, r2 long, doc_id {kind}"
     contexts = texts.join(candidates, ["r1", "r2"]).mapInArrow(_contexts(least, key), f"key long, tile long, right binary, left binary, at long, {ids}")

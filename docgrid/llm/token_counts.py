@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgrid.functions.lineage import exists, pinned
-from docgrid.llm.bloom import bloom, may_be_in
+from docgrid.llm.bloom import bloom
+from docgrid.llm.bloom import may_be_in as _may_be_in
 from docgrid.llm.common import text_or_empty
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
@@ -73,7 +74,7 @@ def count_tokens(documents: DataFrame, path: str, cache: str, limit: int = 4096)
     misses = pinned(rows.groupBy("digest").agg(F.min("doc_id").alias("one_id")).join(_stored(spark, cache, version), "digest", "left_anti"))
     n_misses = misses.count()
     if 2 * n_misses < rows.count():
-        texts = texts.where(may_be_in(bloom(misses.select(F.xxhash64("one_id", "digest").alias("h")), n_misses), F.xxhash64("doc_id", "digest")))
+        texts = texts.where(_may_be_in(bloom(misses.select(F.xxhash64("one_id", "digest").alias("h")), n_misses), F.xxhash64("doc_id", "digest")))
     fresh = texts.join(misses.withColumnRenamed("digest", "one"), F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("digest") == F.col("one")), "left_semi").select("digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

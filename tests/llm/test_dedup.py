@@ -199,3 +199,23 @@ def test_runs_depend_on_their_words_alone():
         found = words.runs(w, n)
         assert len(found) == 61 - n
         assert all((found[i] == found[j]) == ((i - j) % 7 == 0) for i in range(len(found)) for j in range(len(found)))
+
+
+def test_texts_without_matches_are_not_shuffled(spark):
+    """Shared passages in two of 400 documents: the exchange of texts carries theirs and few others."""
+    rows = [(k, " ".join(f"w{k}_{j}" for j in range(200))) for k in range(400)]
+    shared = " ".join(f"s{j}" for j in range(60))
+    rows[3], rows[9] = (3, rows[3][1] + " " + shared), (9, shared + " " + rows[9][1])
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = suffix_dedup.shared_passages(table).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word) for r in found) == [(3, 200, 260), (9, 0, 60)]
+    from docgrid.llm import bloom
+
+    words = bloom.bloom(table.where("doc_id IN (3, 9)").select(suffix_dedup.F.xxhash64("doc_id", "text").alias("h")), 2)
+    assert table.where(bloom.may_be_in(words, suffix_dedup.F.xxhash64("doc_id", "text"))).count() < 10
+
+
+def test_one_word_a_hundred_thousand_times_is_dealt_by_place(spark):
+    rows = [(1, "a " * 100_000), (2, "a " * 100_000), (3, "b " * 60)]
+    found = suffix_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word) for r in found) == [(1, 0, 100_000), (2, 0, 100_000)]

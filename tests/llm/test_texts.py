@@ -534,3 +534,51 @@ def test_broken_markup_takes_linear_time(part):
         html_text.main_text("<body><p>Text that comes first, and is long.</p>" + part * n + "<p d=\"> and last</p>")
         took.append(time.process_time() - began)
     assert took[1] < 8 * took[0] + 0.5
+
+
+def test_license_bands_are_looked_up_whatever_the_number_of_templates():
+    import time
+
+    rng = np.random.default_rng(2)
+    text = words.hashes([f"w{x}" for x in rng.integers(0, 5000, 2000)])
+    took = []
+    for n in (13, 1300):
+        scanner = licenses.Scanner({f"t{k}": " ".join(f"v{x}" for x in rng.integers(0, 9000, 120)) for k in range(n)})
+        scanner.find(text)
+        began = time.process_time()
+        for _ in range(20):
+            scanner.find(text)
+        took.append(time.process_time() - began)
+    assert took[1] < 2 * took[0] + 0.05
+
+
+def test_pairs_of_documents_and_items_match_plain_edit_distances(spark):
+    """A table with edited passages of several lengths, in blocks of few parts: the set of pairs, by plain distances of all."""
+    rng = np.random.default_rng(8)
+    items = [(k, [f"i{k}_{j}" for j in range(n)]) for k, n in enumerate((5, 6, 9, 14, 30, 70, 130))]
+    docs = []
+    for d in range(60):
+        k, passage = items[d % len(items)]
+        passage = list(passage)
+        for _ in range(int(rng.integers(0, len(passage) // 4 + 2))):
+            at, way = int(rng.integers(0, len(passage))), rng.integers(0, 3)
+            passage[at : at + (way < 2)] = [] if way == 0 and len(passage) > 1 else [f"x{rng.integers(0, 9)}"]
+        docs.append((d, " ".join([f"l{d}_{j}" for j in range(int(rng.integers(0, 40)))] + passage + [f"r{d}_{j}" for j in range(int(rng.integers(0, 40)))])))
+
+    def nearest(item, text):
+        row = [0] * (len(text) + 1)
+        for k, word in enumerate(item, 1):
+            new = [k]
+            for j, other in enumerate(text, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (word != other)))
+            row = new
+        return min(row)
+
+    wanted = {(d, k) for d, text in docs for k, item in items if nearest(item, text.split()) <= decontam.edits_allowed(len(item))}
+    old, decontam.BLOCK_PARTS = decontam.BLOCK_PARTS, 3
+    try:
+        found = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(x)) for k, x in items], "item_id long, text string")).collect()
+    finally:
+        decontam.BLOCK_PARTS = old
+    assert {(r.doc_id, r.item_id) for r in found} <= wanted and len(found) == len({(r.doc_id, r.item_id) for r in found})
+    assert len(found) >= 0.95 * len(wanted) > 30
