@@ -121,3 +121,34 @@ def mixture(draws: DataFrame, weights: DataFrame) -> DataFrame:
     total = weights.agg(F.sum("weight").alias("total"), F.count("*").alias("n")).where(F.assert_true(F.col("n") <= MOST_DATASETS).isNull()).drop("n")
     shares = weights.join(F.broadcast(total)).withColumn("hi", F.sum("weight").over(order) / F.col("total")).withColumn("lo", F.col("hi") - F.col("weight") / F.col("total"))
     return draws.join(F.broadcast(shares.select("dataset", "lo", "hi")), (F.col("draw") >= F.col("lo")) & (F.col("draw") < F.col("hi"))).drop("lo", "hi")
+
+
+def alias_table(weights: Sequence[float]) -> list[tuple[int, float, int]]:
+    """(place, share, other): a draw falls to a place with equal chances, and there to its own item below `share`, else to the other."""
+    n, total = len(weights), sum(weights)
+    left = [w * n / total for w in weights]
+    small, large = [k for k in range(n) if left[k] < 1], [k for k in range(n) if left[k] >= 1]
+    out = [(k, 1.0, k) for k in range(n)]
+    while small and large:
+        a, b = small.pop(), large[-1]
+        out[a] = (a, left[a], b)
+        left[b] -= 1 - left[a]
+        if left[b] < 1:
+            small.append(large.pop())
+    return out
+
+
+def alias_mixture(draws: DataFrame, weights: DataFrame) -> DataFrame:
+    """As `mixture`, by an equi-join: one number in [0, 1) names a place of the alias table, and its fraction chooses there.
+
+    weights: (dataset, weight), a row for each of at most MOST_DATASETS, which come to the driver; in order of dataset.
+    """
+    found = weights.select("dataset", "weight").orderBy("dataset").limit(MOST_DATASETS + 1).collect()
+    if len(found) > MOST_DATASETS:
+        raise ValueError(f"over {MOST_DATASETS} datasets")
+    kind = weights.schema["dataset"].dataType.simpleString()
+    rows = [(k, share, found[k].dataset, found[other].dataset) for k, share, other in alias_table([float(r.weight) for r in found])] if found else []
+    table = draws.sparkSession.createDataFrame(rows, f"_place long, _share double, _own {kind}, _other {kind}")
+    at = F.col("draw") * len(rows)
+    placed = draws.withColumn("_place", F.floor(at)).withColumn("_rest", at - F.floor(at))
+    return placed.join(F.broadcast(table), "_place").withColumn("dataset", F.when(F.col("_rest") < F.col("_share"), F.col("_own")).otherwise(F.col("_other"))).drop("_place", "_rest", "_share", "_own", "_other")

@@ -7,15 +7,17 @@ Profiles come from `events`, intervals and losses from `lineitem`, boxes from `o
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docgrid.functions import augment, coords
-from docgrid.functions.lineage import scratch
+from docgrid.functions.lineage import pinned, scratch
 from docgrid.operators import cells, components, lines, raster, rotation, training
 from docgrid.plans.recovery import Limits, recover_tables
-from docgrid.sources import annotations, files, sinks
+from docgrid.sources import annotations, document_files, files, pdf_pages, sinks
 from docgrid.sources.annotations import paired
+from docgrid.streaming import training_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -409,9 +411,8 @@ def grid_cells(spark, sf_dir):
 _LEADING = "coalesce(nullif(list_position({0}, false), 0) - 1, len({0}))"
 
 
-@query(
-    GRID
-    + f""", held AS (SELECT doc_id, max(i) + 1 AS h, max(j) + 1 AS w, list(coalesce(merge_col, false) ORDER BY i, j) AS right_too, list(coalesce(merge_row, false) ORDER BY i, j) AS below_too,
+SWEEP = (
+    GRID + f""", held AS (SELECT doc_id, max(i) + 1 AS h, max(j) + 1 AS w, list(coalesce(merge_col, false) ORDER BY i, j) AS right_too, list(coalesce(merge_row, false) ORDER BY i, j) AS below_too,
         list(sx ORDER BY i, j) AS sxs, list(sy ORDER BY i, j) AS sys, list(ex ORDER BY i, j) AS exs, list(ey ORDER BY i, j) AS eys FROM cells WHERE n > 1 GROUP BY doc_id),
     sweep AS (WITH RECURSIVE s AS (
         SELECT doc_id, [false FOR x IN range(h * w)] AS taken, CAST(-1 AS BIGINT) AS si, CAST(-1 AS BIGINT) AS ei, CAST(-1 AS BIGINT) AS sj, CAST(-1 AS BIGINT) AS ej FROM held
@@ -423,10 +424,13 @@ _LEADING = "coalesce(nullif(list_position({0}, false), 0) - 1, len({0}))"
             SELECT *, [right_too[k * w + j + 1] AND NOT taken[(k + 1) * w + j + 1] FOR k IN range(i, h - 1)] AS top FROM (
             SELECT *, p // w AS i, p % w AS j FROM (
             SELECT doc_id, taken, h, w, right_too, below_too, list_position(taken, false) - 1 AS p FROM s JOIN held USING (doc_id) WHERE list_contains(taken, false))))))))
-        SELECT * FROM s WHERE si >= 0)
-    SELECT doc_id, CAST(si AS INT) AS si, CAST(ei AS INT) AS ei, CAST(sj AS INT) AS sj, CAST(ej AS INT) AS ej, sxs[si * w + sj + 1] AS sx, sys[si * w + sj + 1] AS sy, exs[ei * w + ej + 1] AS ex, eys[ei * w + ej + 1] AS ey
-    FROM sweep JOIN held USING (doc_id)"""
+        SELECT * FROM s WHERE si >= 0),
+    merged AS (SELECT doc_id, CAST(si AS INT) AS si, CAST(ei AS INT) AS ei, CAST(sj AS INT) AS sj, CAST(ej AS INT) AS ej, sxs[si * w + sj + 1] AS sx, sys[si * w + sj + 1] AS sy, exs[ei * w + ej + 1] AS ex, eys[ei * w + ej + 1] AS ey
+    FROM sweep JOIN held USING (doc_id))"""
 )
+
+
+@query(SWEEP + " SELECT doc_id, si, ei, sj, ej, sx, sy, ex, ey FROM merged")
 def merged_cells(spark, sf_dir):
     """Cells after merging."""
     return cells.merge_cells(_grid(spark, sf_dir), ["doc_id"])
@@ -479,6 +483,52 @@ def scanned_annotations(spark, sf_dir):
     return rows.join(sizes, "stem").select(F.col("stem").alias("filename"), "n_tables", "start_row", "start_col", "end_row", "end_col", q[0].alias("x1"), q[1].alias("y1"), q[4].alias("x2"), q[5].alias("y2"), "top")
 
 
+def _merged_tables(spark, sf_dir):
+    """The table of each order, its cells merged, under a file's name."""
+    grid = _grid(spark, sf_dir).withColumn("comp", F.lit(1))
+    found = cells.tables(cells.merge_cells(grid, ["doc_id", "comp"]), grid.select("doc_id", "comp", F.lit(1).alias("rank")).distinct())
+    return found.withColumn("file_name", F.format_string("doc%d.jpg", "doc_id"))
+
+
+@query(SWEEP + " SELECT 'doc' || CAST(doc_id AS VARCHAR) AS stem, 'doc' || CAST(doc_id AS VARCHAR) || '.jpg' AS filename, sj AS start_row, ej AS end_row, si AS start_col, ei AS end_col, sx::FLOAT AS x1, sy::FLOAT AS y1, ex::FLOAT AS x2, ey::FLOAT AS y2 FROM merged")
+def result_files(spark, sf_dir):
+    """The result of each order's table as a file of its own, read back by the annotation scan."""
+    folder = f"{scratch(spark)}/results-{uuid.uuid4().hex}"
+    document_files.write_result_files(_merged_tables(spark, sf_dir), folder)
+    scanned = annotations.read_annotations(spark, folder)
+    rows, q = annotations.annotated_cells(scanned), F.col("quad")
+    return rows.join(scanned.select("stem", "filename"), "stem").select("stem", "filename", "start_row", "end_row", "start_col", "end_col", q[0].alias("x1"), q[1].alias("y1"), q[4].alias("x2"), q[5].alias("y2"))
+
+
+@query(SWEEP + f" SELECT 'doc' || CAST(doc_id AS VARCHAR) AS stem, 'table_1' AS sheet, {LETTERS.format(c='si')} || CAST(sj + 1 AS VARCHAR) || ':' || {LETTERS.format(c='ei')} || CAST(ej + 1 AS VARCHAR) AS a1_range, si <> ei OR sj <> ej AS is_merged FROM merged")
+def workbook_files(spark, sf_dir):
+    """The workbook of each order, read back: merged cells are merged ranges."""
+    folder = f"{scratch(spark)}/workbooks-{uuid.uuid4().hex}"
+    document_files.write_workbooks(_merged_tables(spark, sf_dir), folder)
+    return document_files.read_workbooks(spark, folder).select(files.stem(F.col("path")).alias("stem"), "sheet", "a1_range", "is_merged")
+
+
+@query(
+    """WITH g AS (SELECT s_suppkey AS k, unnest(generate_series(0, s_suppkey % 3)) AS page FROM supplier)
+    SELECT 'doc' || CAST(k AS VARCHAR) || '_' || CAST(page AS VARCHAR) || '.pdf' AS name, CAST(page AS INT) AS page, (400 + k % 50 + CASE WHEN page = 2 THEN 99 ELSE 0 END)::DOUBLE AS width, (700 + k % 7)::DOUBLE AS height,
+        CAST(ceil((400 + k % 50 + CASE WHEN page = 2 THEN 99 ELSE 0 END) * 150 / 72.0::DOUBLE) AS INT) AS pixels FROM g"""
+)
+def pdf_page_sizes(spark, sf_dir):
+    """A PDF file of blank pages for each supplier, every other one compressed, written and scanned: the size of each page."""
+    folder = f"{scratch(spark)}/pdf-{uuid.uuid4().hex}"
+    keys = _table(spark, sf_dir, "supplier").select("s_suppkey")
+
+    def made(batches):
+        for batch in batches:
+            ks = batch.column(0).to_pylist()
+            books = [pdf_pages.blank_pdf([(400 + k % 50 + 99 * (page == 2), 700 + k % 7) for page in range(k % 3 + 1)], k % 2 == 0) for k in ks]
+            yield pa.RecordBatch.from_arrays([pa.array([f"doc{k}.pdf" for k in ks]), pa.array(books, pa.binary())], ["name", "content"])
+
+    document_files.write_documents(keys.mapInArrow(made, "name string, content binary"), folder)
+    found = pdf_pages.read_pages(spark, folder)
+    return found.select(pdf_pages.result_name(F.col("path"), F.col("page")).alias("name"), "page", "width", "height", pdf_pages.raster_size(F.col("width")).alias("pixels"))
+
+
 # ---- coordinates from orders
 
 QUAD = "WITH q AS (SELECT o_orderkey AS doc_id, [CAST((o_orderkey * (k + 3)) % 997 AS INT) FOR k IN [0, 1, 2, 3, 4, 5, 6, 7]] AS quad FROM orders)"
@@ -606,6 +656,34 @@ def dataset_mixture(spark, sf_dir):
     return training.mixture(draws, weights).select("o_orderkey", "dataset")
 
 
+#: The alias table of weights 1 to 5: the places' shares and their other datasets, in the order of the regions' names.
+ALIAS = training.alias_table([1, 2, 3, 4, 5])
+
+
+@query(
+    "WITH a AS (SELECT * FROM (VALUES "
+    + ", ".join(f"({k}, {share!r}::DOUBLE, {other})" for k, share, other in ALIAS)
+    + """) AS t(place, share, other)), w AS (SELECT r_name, row_number() OVER (ORDER BY r_name) - 1 AS spot FROM region),
+    d AS (SELECT s_suppkey AS number, CAST(('0x' || substr(md5(CAST(s_suppkey AS VARCHAR) || ':dataset'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE * 5 AS draw,
+        CAST(('0x' || substr(md5(CAST(s_suppkey AS VARCHAR) || ':record'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS pick FROM supplier),
+    c AS (SELECT number, pick, CASE WHEN draw - floor(draw) < share THEN place ELSE other END AS spot FROM d JOIN a ON place = CAST(floor(draw) AS INT)),
+    r AS (SELECT ['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'][p_partkey % 5 + 1] AS dataset, p_partkey, row_number() OVER (PARTITION BY p_partkey % 5 ORDER BY p_partkey) - 1 AS nth, count(*) OVER (PARTITION BY p_partkey % 5) AS n FROM part)
+    SELECT number, dataset, CAST(nth AS BIGINT) AS nth, p_partkey AS record FROM c JOIN w USING (spot) JOIN r ON dataset = r_name AND nth = CAST(floor(pick * n) AS BIGINT)"""
+)
+def drawn_records(spark, sf_dir):
+    """The record that each of as many training rows as there are suppliers is made of; its score map must not be empty."""
+    key = F.col("p_partkey")
+    x, y = (100 + key % 200).cast("int"), (150 + F.col("p_size")).cast("int")
+    cell = F.struct(cells.quad(x, y, x + 300, y + 200).cast("array<double>").alias("quad"), F.lit(True).alias("top"), F.lit(True).alias("bottom"), F.lit(False).alias("left"), F.lit(True).alias("right"))
+    names = F.array(*map(F.lit, ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")))
+    records = _table(spark, sf_dir, "part").select(F.element_at(names, (key % 5 + 1).cast("int")).alias("dataset"), key.alias("record"), F.lit(800).alias("width"), F.lit(600).alias("height"), F.array(cell).alias("cells"))
+    records = pinned(training_rows.numbered_records(records, [F.col("record")]))
+    weights = _table(spark, sf_dir, "region").select(F.col("r_name").alias("dataset"), (F.col("r_regionkey") + 1).alias("weight"))
+    made = training_rows.training_rows(_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("number")), weights, records)
+    full = made.groupBy("number", "dataset", "nth").agg(F.count("*").alias("n_pixels")).where("n_pixels > 100")
+    return full.join(records, ["dataset", "nth"]).select("number", "dataset", "nth", "record")
+
+
 @query("SELECT source AS dataset, count(*) AS n, (SELECT count(*) FROM documents) AS total FROM documents GROUP BY source")
 def dataset_sizes(spark, sf_dir):
     """How many documents each source has."""
