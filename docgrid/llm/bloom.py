@@ -6,7 +6,7 @@ beyond it; what passes in error is dropped by the join that follows.
 """
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +37,10 @@ def may_be_in(words: np.ndarray, h: Column) -> Column:
     """Whether a hash may be in the filter; the places are computed by Spark, the bits are looked up in numpy."""
     bits = SparkContext.getOrCreate().broadcast(words)
 
-    @F.pandas_udf("boolean")
-    def looked_up(*places: pd.Series) -> pd.Series:
-        return pd.Series(np.logical_and.reduce([(bits.value[p.to_numpy() >> 6] >> (p.to_numpy() & 63)) & 1 for p in places]).astype(bool))
+    @F.arrow_udf("boolean")
+    def looked_up(*places: pa.Array) -> pa.Array:
+        at = [p.to_numpy(zero_copy_only=False) for p in places]
+        return pa.array(np.logical_and.reduce([(bits.value[p >> 6] >> (p & 63)) & 1 for p in at]).astype(bool))
 
     return looked_up(*_places(h, len(words)))
 

@@ -45,6 +45,8 @@ BLOCK_CHARS = 16_000_000
 #: Parts of a block: each has REPEATS x TABLES keys, some 1.5 KB in a worker.
 BLOCK_PARTS = 1 << 16
 PAD = np.uint64(0)
+#: Texts that are looked through at a time.
+TOGETHER = 256
 
 
 def edits_allowed(n: int, similarity: float = SIMILARITY) -> int:
@@ -301,12 +303,12 @@ def drop_leaks(documents: DataFrame, benchmark: DataFrame, similarity: float = S
 def _contains(block: list[tuple[object, str]], similarity: float):
     key = _key(block, similarity)
 
-    @F.pandas_udf("boolean")
-    def contains(texts):
-        import pandas as pd
-
+    @F.arrow_udf("boolean")
+    def contains(texts: pa.Array) -> pa.Array:
         matcher = _matcher(block, similarity, key)
-        found = {d for d, *_ in matcher.matches([W.hashes(W.lowered(x)) for x in texts])}
-        return pd.Series([d in found for d in range(len(texts))])
+        found: set[int] = set()
+        for at in range(0, len(texts), TOGETHER):
+            found |= {at + d for d, *_ in matcher.matches([W.hashes(W.lowered(x)) for x in texts[at : at + TOGETHER].to_pylist()])}
+        return pa.array([d in found for d in range(len(texts))], pa.bool_())
 
     return contains

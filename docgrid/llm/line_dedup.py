@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -215,9 +214,9 @@ def line_bitmaps(documents: DataFrame) -> DataFrame:
 def kept_lines(text: Column, keep: Column) -> Column:
     """The lines of the text whose bit is set, joined by newlines; no bitmap: the text itself."""
 
-    @F.pandas_udf("string")
-    def kept(texts: pd.Series, keeps: pd.Series) -> pd.Series:
-        return pd.Series([x if bits is None else _kept(x, bits) for x, bits in zip(texts, keeps, strict=True)])
+    @F.arrow_udf("string")
+    def kept(texts: pa.Array, keeps: pa.Array) -> pa.Array:
+        return pa.array([x if bits is None else _kept(x, bits) for x, bits in zip(texts.to_pylist(), keeps.to_pylist(), strict=True)], pa.string())
 
     return kept(text, keep)
 

@@ -98,10 +98,11 @@ class Network:
         """Probabilities of documents whose chunks begin at `starts`."""
         return _combined(self.parameters, pooled, starts)[2]
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """Scores of an array of strings, of which few are taken out at a time."""
         out = [np.zeros(0)]
         for at in range(0, len(texts), TOGETHER):
-            own = [chunks(data) for data in texts[at : at + TOGETHER]]
+            own = [chunks(x.encode("utf-8", "replace")) for x in texts[at : at + TOGETHER].to_pylist()]
             out.append(self.combined(self.pooled(np.concatenate(own)), np.cumsum([0, *map(len, own[:-1])])))
         return np.concatenate(out)
 
@@ -185,8 +186,7 @@ def score_quality(documents: DataFrame, net: Network) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.encode("utf-8", "replace") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.scores(texts).astype(float), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.scores(batch.column(1)).astype(float), pa.float64())], ["doc_id", "score"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
@@ -195,10 +195,8 @@ def score_quality(documents: DataFrame, net: Network) -> DataFrame:
 def keep_quality(documents: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of documents, all columns, whose score reaches the threshold; scored where they are scanned, without a join."""
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        return pd.Series(net.scores([x.encode("utf-8", "replace") for x in texts]).astype(float))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(net.scores(texts).astype(float), pa.float64())
 
     return documents.where(score(text_or_empty()) >= threshold)
