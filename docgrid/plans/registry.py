@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docgrid.functions import augment, coords
 from docgrid.functions.lineage import pinned, scratch
-from docgrid.operators import cells, components, lines, raster, rotation, training
+from docgrid.operators import cells, components, lines, raster, resample, rotation, training, warp
 from docgrid.plans.recovery import Limits, recover_tables
 from docgrid.sources import annotations, document_files, files, pdf_pages, sinks
 from docgrid.sources.annotations import paired
@@ -780,6 +780,57 @@ def turned_pixels(spark, sf_dir):
     return rotation.rotate(dots, ["doc_id"], 64, PAGE).select("doc_id", "y", "x")
 
 
+#: One pass of resampling in SQL: linear to a larger size, by area to a smaller, cubic; as doc_id % 3 says.
+_WEIGHTS = """taps AS (SELECT n_in, n_out, mode, i, least(greatest(t, 0), n_in - 1) AS spot, sum(CASE mode WHEN 1 THEN (least((i + 1) * scale, t + 1) - greatest(i * scale, t)) / scale WHEN 0 THEN 1 - abs(pos - t)
+            ELSE CASE WHEN abs(pos - t) <= 1 THEN (1.25::DOUBLE * abs(pos - t) - 2.25::DOUBLE) * abs(pos - t) ** 2 + 1 ELSE ((-0.75::DOUBLE * abs(pos - t) + 3.75::DOUBLE) * abs(pos - t) - 6) * abs(pos - t) + 3 END END) AS weight
+        FROM (SELECT *, unnest(CASE mode WHEN 1 THEN generate_series(CAST(floor(i * scale + 1e-9) AS INT), CAST(ceil((i + 1) * scale - 1e-9) AS INT) - 1) WHEN 0 THEN generate_series(CAST(floor(pos) AS INT), CAST(floor(pos) AS INT) + 1)
+            ELSE generate_series(CAST(floor(pos) AS INT) - 1, CAST(floor(pos) AS INT) + 2) END) AS t
+            FROM (SELECT *, (i + 0.5::DOUBLE) * scale - 0.5::DOUBLE AS pos FROM (SELECT n_in, n_out, mode, n_in / n_out::DOUBLE AS scale, unnest(generate_series(0, n_out - 1)) AS i
+                FROM (VALUES (64, 96, 0), (50, 81, 0), (64, 24, 1), (50, 20, 1), (64, 90, 2), (50, 37, 2)) AS s(n_in, n_out, mode)))) GROUP BY ALL)"""
+
+
+@query(
+    RASTER
+    + ", "
+    + _WEIGHTS
+    + """, across AS (SELECT doc_id, y, i AS x, sum(score * weight) AS score FROM raster JOIN taps ON n_in = 64 AND mode = doc_id % 3 AND spot = x GROUP BY doc_id, y, i)
+    SELECT doc_id, CAST(i AS INT) AS y, CAST(x AS INT) AS x, round(sum(score * weight), 6) AS score FROM across JOIN taps ON n_in = 50 AND mode = doc_id % 3 AND spot = y GROUP BY doc_id, x, i"""
+)
+def resampled_pages(spark, sf_dir):
+    """Each page's map at another size: larger, smaller by area, or by the cubic kernel."""
+    pixels = _raster(spark, sf_dir)
+    pick = lambda *of: F.element_at(F.array(*map(F.lit, of)), (F.col("doc_id") % 3 + 1).cast("int"))
+    sizes = pixels.select("doc_id").distinct().select("doc_id", F.lit(PAGE).alias("height"), F.lit(64).alias("width"), pick(81, 20, 37).alias("out_h"), pick(96, 24, 90).alias("out_w"), pick("linear", "area", "cubic").alias("mode"))
+    return resample.resampled(pixels, sizes, ["doc_id"], ["score"]).withColumn("score", F.round("score", 6))
+
+
+def _warped_sql() -> str:
+    """Each page's pixels through a perspective drawn for the page: every target place, where it comes from, its four neighbours."""
+    md5 = lambda name: f"(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':{name}'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+    near = lambda name, d: f"CAST(-{d} + floor({md5(name)} * {2 * d + 1}) AS DOUBLE) AS {name}"
+    far = lambda name, d, side: f"CAST({side - d} + floor({md5(name)} * {2 * d}) AS DOUBLE) AS {name}"
+    corners = ", ".join([near("x0", 3), near("y0", 2), far("x1", 3, 64), near("y1", 2), far("x2", 3, 64), far("y2", 2, PAGE), near("x3", 3), far("y3", 2, PAGE)])
+    return f"""{RASTER}, c AS (SELECT doc_id, {corners} FROM (SELECT DISTINCT doc_id FROM raster)),
+    s AS (SELECT *, x0 - x1 + x2 - x3 AS sx, y0 - y1 + y2 - y3 AS sy, (x1 - x2) * (y3 - y2) - (x3 - x2) * (y1 - y2) AS bottom FROM c),
+    t AS (SELECT *, (sx * (y3 - y2) - (x3 - x2) * sy) / bottom AS g, ((x1 - x2) * sy - sx * (y1 - y2)) / bottom AS h FROM s),
+    m AS (SELECT doc_id, (x1 - x0 + g * x1) / 63 AS a, (x3 - x0 + h * x3) / {PAGE - 1} AS b, x0 AS c, (y1 - y0 + g * y1) / 63 AS d, (y3 - y0 + h * y3) / {PAGE - 1} AS e, y0 AS f, g / 63 AS g, h / {PAGE - 1} AS i FROM t),
+    p AS (SELECT *, unnest(generate_series(0, 63)) AS x FROM m), q AS (SELECT *, unnest(generate_series(0, {PAGE - 1})) AS y FROM p),
+    o AS (SELECT doc_id, y, x, ((e - f * i) * x + (c * i - b) * y + b * f - c * e) / ((d * i - e * g) * x + (b * g - a * i) * y + a * e - b * d) AS u, ((f * g - d) * x + (a - c * g) * y + c * d - a * f) / ((d * i - e * g) * x + (b * g - a * i) * y + a * e - b * d) AS v FROM q),
+    n AS (SELECT o.doc_id, o.y, o.x, sum(score * (1 - abs(v - floor(v) - dy)) * (1 - abs(u - floor(u) - dx))) AS score FROM o, (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dx), raster r
+        WHERE r.doc_id = o.doc_id AND r.y = CAST(floor(v) AS INT) + dy AND r.x = CAST(floor(u) AS INT) + dx GROUP BY ALL)
+    SELECT doc_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(score, 6) AS score FROM n WHERE abs(score) > 0.0001"""
+
+
+@query(_warped_sql())
+def warped_pages(spark, sf_dir):
+    """Each page's map through a random perspective, bilinear; scores of next to nothing left out."""
+    pixels = _raster(spark, sf_dir)
+    w, h = F.lit(64), F.lit(PAGE)
+    maps = pixels.select("doc_id").distinct().select("doc_id", h.alias("height"), w.alias("width"), F.array(*augment.corners_map(w, h, augment.drawn_corners(w, h, F.col("doc_id")))).alias("h"))
+    found = warp.warped_pixels(pixels, maps, ["doc_id"], ["score"], 32)
+    return found.where(F.abs("score") > 0.0001).withColumn("score", F.round("score", 6))
+
+
 @query()
 def result_documents(spark, sf_dir):
     """Result XML of a table for each order; read back in the tests."""
