@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from docgrid.functions import augment, coords
 from docgrid.functions.lineage import pinned, scratch
-from docgrid.operators import cells, components, lines, raster, resample, rotation, training, warp
+from docgrid.operators import cells, components, lines, raster, render, resample, rotation, training, warp
 from docgrid.plans.recovery import Limits, recover_tables
-from docgrid.sources import annotations, document_files, files, pdf_pages, sinks
+from docgrid.sources import annotations, config, document_files, files, pdf_pages, sinks
 from docgrid.sources.annotations import paired
 from docgrid.streaming import training_rows
 
@@ -839,6 +839,110 @@ def result_documents(spark, sf_dir):
     return sinks.result_xml(found.withColumn("file_name", F.format_string("doc%d.jpg", "doc_id")))
 
 
+# ---- drawing
+
+#: Two convex quads on each page.
+_QUADS = """quads AS (SELECT doc_id, unnest([[5 + doc_id % 7, 4, 40, 6 + doc_id % 5, 44, 38, 8, 44], [30, 20, 60, 20, 60, 30 + doc_id % 9, 30, 30 + doc_id % 9]]) AS q FROM (SELECT DISTINCT doc_id FROM raster)),
+    edges AS (SELECT doc_id, q, CAST(q[2 * k + 1] AS INT) AS x1, CAST(q[2 * k + 2] AS INT) AS y1, CAST(q[(2 * k + 2) % 8 + 1] AS INT) AS x2, CAST(q[(2 * k + 3) % 8 + 1] AS INT) AS y2 FROM quads, (SELECT unnest([0, 1, 2, 3]) AS k)),
+    met AS (SELECT *, unnest(generate_series(least(y1, y2), greatest(y1, y2))) AS y FROM edges),
+    spans AS (SELECT doc_id, q, y, min(CASE WHEN y1 = y2 THEN least(x1, x2) ELSE CAST(round(x1 + (x2 - x1) * (y - y1) / (y2 - y1)::DOUBLE) AS INT) END) AS a, max(CASE WHEN y1 = y2 THEN greatest(x1, x2) ELSE CAST(round(x1 + (x2 - x1) * (y - y1) / (y2 - y1)::DOUBLE) AS INT) END) AS b FROM met GROUP BY ALL),
+    area AS (SELECT DISTINCT doc_id, y, unnest(generate_series(a, b)) AS x FROM spans),
+    steps AS (SELECT *, unnest(generate_series(0, n)) AS k FROM (SELECT *, greatest(abs(x2 - x1), abs(y2 - y1)) AS n, abs(x2 - x1) >= abs(y2 - y1) AS flat FROM edges)),
+    line AS (SELECT DISTINCT doc_id, CAST(round(y1 + (y2 - y1) * k / n::DOUBLE) AS INT) + CASE WHEN flat THEN o ELSE 0 END AS y, CAST(round(x1 + (x2 - x1) * k / n::DOUBLE) AS INT) + CASE WHEN flat THEN 0 ELSE o END AS x FROM steps, (SELECT unnest([0, 1]) AS o))"""
+_MIX = "CAST(least(greatest(round_even(CASE WHEN l.x IS NOT NULL THEN {line} ELSE {c} END * (1 - 0.2::DOUBLE) + CASE WHEN a.x IS NOT NULL THEN {area} ELSE {c} END * 0.2::DOUBLE, 0), 0), 255) AS INT) AS {c}"
+
+
+@query(
+    RASTER
+    + ", "
+    + _QUADS
+    + ", image AS (SELECT doc_id, y, x, CAST(trunc(least(greatest(score * 255, 0), 255)) AS INT) AS b, CAST(y * 5 AS INT) AS g, CAST(x * 3 AS INT) AS r FROM raster) SELECT i.doc_id, i.y, i.x, "
+    + ", ".join(_MIX.format(c=c, area=area, line=line) for c, area, line in (("b", 0, 0), ("g", 128, 0), ("r", 0, 255)))
+    + " FROM image i LEFT JOIN area a ON (a.doc_id, a.y, a.x) = (i.doc_id, i.y, i.x) LEFT JOIN line l ON (l.doc_id, l.y, l.x) = (i.doc_id, i.y, i.x)"
+)
+def overlaid_pages(spark, sf_dir):
+    """Each page as an image with two cells drawn over it."""
+    found, d = _raster(spark, sf_dir), F.col("doc_id") % 7
+    image = found.select("doc_id", "y", "x", raster.to_byte(F.col("score")).alias("b"), (F.col("y") * 5).alias("g"), (F.col("x") * 3).alias("r"))
+    ints = lambda *v: F.array(*[(F.lit(x) if isinstance(x, int) else x).cast("int") for x in v])
+    low = 30 + F.col("doc_id") % 9
+    both = F.array(ints(5 + d, 4, 40, 6 + F.col("doc_id") % 5, 44, 38, 8, 44), ints(30, 20, 60, 20, 60, low, 30, low))
+    quads = found.select("doc_id").distinct().select("doc_id", F.explode(both).alias("quad"))
+    return render.overlay(image, quads, ["doc_id"])
+
+
+@query(
+    CHANNELS
+    + """, bytes AS (SELECT doc_id, y, x, channel, CAST(trunc(least(greatest(score * 255, 0), 255)) AS INT) AS v FROM maps),
+    c AS (SELECT doc_id, y, x, max(v) FILTER (channel = 0) AS c0, max(v) FILTER (channel = 1) AS c1, max(v) FILTER (channel = 2) AS c2, max(v) FILTER (channel = 3) AS c3, max(v) FILTER (channel = 4) AS c4 FROM bytes GROUP BY ALL),
+    f AS (SELECT doc_id, y, x, coalesce(c0, 0) AS corner, (coalesce(c1, 0) + coalesce(c4, 0)) % 256 AS b, (coalesce(c2, 0) + coalesce(c3, 0)) % 256 AS g, (coalesce(c3, 0) + coalesce(c4, 0)) % 256 AS r FROM c)
+    SELECT doc_id, y, CAST(x AS INT) AS x, corner, CAST(round_even(100 * 0.4::DOUBLE + b * 0.6::DOUBLE + 1, 0) AS INT) AS b, CAST(round_even(50 * 0.4::DOUBLE + g * 0.6::DOUBLE + 1, 0) AS INT) AS g, CAST(round_even(y * 0.4::DOUBLE + r * 0.6::DOUBLE + 1, 0) AS INT) AS r FROM f"""
+)
+def heat_pages(spark, sf_dir):
+    """Score maps in false colours over an image of each page."""
+    heat = render.false_colours(_maps(spark, sf_dir), ["doc_id"])
+    image = heat.select("doc_id", "y", "x", F.lit(100).alias("b"), F.lit(50).alias("g"), F.col("y").alias("r"))
+    return render.heat_over_image(image, heat, ["doc_id"]).join(heat.select("doc_id", "y", "x", "corner"), ["doc_id", "y", "x"])
+
+
+# ---- folders, settings, records
+
+_ENDINGS = ["jpg", "PNG", "png", "pdf", "xml", "TIFF", "bmp", "txt"]
+
+
+@query(
+    f"""WITH f AS (SELECT s_suppkey, {_ENDINGS}[s_suppkey % 8 + 1] AS e FROM supplier), n AS (SELECT 'f' || CAST(s_suppkey AS VARCHAR) || '.' || e AS name, e FROM f)
+    SELECT name, CAST(s_suppkey % 5 + 1 AS BIGINT) AS length, CASE WHEN lower(e) IN ('jpg', 'png', 'tiff', 'bmp') THEN 'image' WHEN e = 'pdf' THEN 'pdf' ELSE 'annotation' END AS kind, e IN ('jpg', 'png', 'TIFF') AS is_image, e IN ('jpg', 'png', 'TIFF') AS is_input
+    FROM f JOIN n USING (e) WHERE name = 'f' || CAST(s_suppkey AS VARCHAR) || '.' || e"""
+)
+def listed_files(spark, sf_dir):
+    """A folder of a file for each supplier, of eight endings: its listing, the kinds, the images, and what a run takes."""
+    folder = f"{scratch(spark)}/files-{uuid.uuid4().hex}"
+    key = F.col("s_suppkey")
+    made = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), key.cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, _ENDINGS)), (key % 8 + 1).cast("int"))).alias("name"), F.repeat(F.lit("x"), (key % 5 + 1).cast("int")).cast("binary").alias("content"))
+    document_files.write_documents(made, folder)
+    name = files.base_name(F.col("path")).alias("name")
+    found = files.listing(spark, folder).select(name, "length", files.kind(F.col("path")).alias("kind"))
+    images, inputs = (d.select(name, F.lit(True).alias(c)) for d, c in ((files.image_listing(spark, folder), "is_image"), (files.input_files(spark, folder), "is_input")))
+    both = found.join(images, "name", "left").join(inputs, "name", "left")
+    return both.select("name", "length", "kind", F.coalesce("is_image", F.lit(False)).alias("is_image"), F.coalesce("is_input", F.lit(False)).alias("is_input"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 1024 ELSE CAST(1000 + s_suppkey AS INT) END AS canvas_size, 10.0::DOUBLE AS mag_ratio, CASE WHEN s_suppkey % 3 = 2 THEN 0.25::DOUBLE ELSE 0.2::DOUBLE END AS threshold1, CASE WHEN s_suppkey % 3 = 2 THEN 0.5::DOUBLE WHEN s_suppkey % 3 = 1 THEN 0.75::DOUBLE ELSE 0.1::DOUBLE END AS threshold2 FROM supplier")
+def overlaid_settings(spark, sf_dir):
+    """Settings of each supplier from a JSON text, laid over the defaults."""
+    key = F.col("s_suppkey")
+    size = F.concat(F.lit('{"canvas_size": '), (1000 + key).cast("string"))
+    text = F.when(key % 3 == 0, "no object").when(key % 3 == 1, F.concat(size, F.lit(', "threshold2": 0.75, "other": 1}'))).otherwise(F.concat(size, F.lit(', "threshold1": 0.9, "thresholds": [0.25, 0.5, 0.75]}')))
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", config.settings_of(text).alias("s")).select("s_suppkey", "s.*")
+
+
+@query(
+    """WITH i AS (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id) SELECT 'img/doc' || CAST(doc_id AS VARCHAR) || '.jpg' AS source, 'xml/doc' || CAST(doc_id AS VARCHAR) || '.jpg' AS target FROM documents JOIN i USING (doc_id) WHERE n = 1"""
+)
+def copied_images(spark, sf_dir):
+    """Where the image of each paired document goes."""
+    return annotations.copy_manifest(pairing(spark, sf_dir))
+
+
+@query("SELECT * FROM (SELECT o_orderkey, o_custkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1 OFFSET 41)")
+def record_by_position(spark, sf_dir):
+    """The order at position 41 by falling price."""
+    return annotations.record_at(_table(spark, sf_dir, "orders"), 41, [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()]).select("o_orderkey", "o_custkey")
+
+
+@query(
+    SWEEP
+    + """, c AS (SELECT doc_id, si, sj, '{"row_range":[' || sj || ',' || ej || '],"col_range":[' || si || ',' || ei || '],"quad":[' || sx || ',' || sy || ',' || ex || ',' || sy || ',' || ex || ',' || ey || ',' || sx || ',' || ey || '],"text":"","confidence":0.0}' AS cell FROM merged),
+    t AS (SELECT doc_id, min(sx) AS l, min(sy) AS t, max(ex) AS r, max(ey) AS b FROM merged GROUP BY doc_id)
+    SELECT 'doc' || doc_id AS stem, '[{"id":1,"rect":[' || l || ',' || t || ',' || (r - l) || ',' || (b - t) || '],"quad":[' || l || ',' || t || ',' || r || ',' || t || ',' || r || ',' || b || ',' || l || ',' || b || '],"cells":[' || string_agg(cell, ',' ORDER BY si, sj) || ']}]' AS json
+    FROM c JOIN t USING (doc_id) GROUP BY doc_id, l, t, r, b"""
+)
+def result_texts(spark, sf_dir):
+    """The result of each order's table as JSON."""
+    return sinks.result_json(_merged_tables(spark, sf_dir))
+
+
 # ---- augmentation
 
 

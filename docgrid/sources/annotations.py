@@ -1,9 +1,12 @@
 """Annotation documents (XML) as relations, and their pairing with images."""
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgrid.functions.coords import points
+from docgrid.operators.training import ranked
 from docgrid.schemas import ANNOTATION
 from docgrid.sources.files import base_name, stem
 
@@ -49,5 +52,14 @@ def copy_manifest(pairs: DataFrame) -> DataFrame:
 
 
 def any_record(records: DataFrame, seed: int | None = None) -> DataFrame:
-    """One record, drawn at random."""
-    return records.orderBy(F.rand(seed)).limit(1)
+    """One record, drawn at random: the least of random numbers, found in one pass; none of an empty table."""
+    row = F.struct(*[F.col(f"`{c}`") for c in records.columns])
+    drawn = records.select(row.alias("row"), F.rand(seed).alias("at"))
+    return drawn.agg(F.min_by("row", "at").alias("row")).where("row IS NOT NULL").select("row.*")
+
+
+def record_at(records: DataFrame, index: int, order: Sequence[Column], seed: int | None = None) -> DataFrame:
+    """The record at a position, from 0 in the given order (-1: any record); none beyond the end. No task sorts all records."""
+    if index == -1:
+        return any_record(records, seed)
+    return ranked(records, [], order).where(F.col("rank") == index + 1).drop("rank")

@@ -3,7 +3,8 @@
 import json
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -31,3 +32,10 @@ def read_settings(spark: SparkSession, path: str, defaults: Settings | None = No
     """The JSON file at a path that Spark can read, laid over defaults; a configuration is one small file."""
     text = spark.read.text(path, wholetext=True).first().value
     return (defaults or Settings()).overlaid(json.loads(text), known_only)
+
+
+def settings_of(text: Column, defaults: Settings | None = None) -> Column:
+    """A struct of the settings in a column of JSON texts, laid over defaults; a text that isn't an object changes nothing."""
+    given = F.from_json(text, "canvas_size int, mag_ratio double, threshold1 double, threshold2 double, thresholds array<double>")
+    first = {"threshold1": F.get(given["thresholds"], 0), "threshold2": F.get(given["thresholds"], 1)}
+    return F.struct(*[F.coalesce(*([first[k]] if k in first else []), given[k], F.lit(v)).alias(k) for k, v in asdict(defaults or Settings()).items()])

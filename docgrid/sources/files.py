@@ -12,7 +12,7 @@ IMAGES = ("jpg", "jpeg", "png", "JPG", "tiff", "TIFF")
 
 
 def listing(spark: SparkSession, folder: str, *endings: str) -> DataFrame:
-    """(path, length) of the files below a folder, at any depth, that have one of the endings as written; none: all."""
+    """(path, length) of the files below a folder, at any depth, that have one of the endings as written; none: all. Files without a byte aren't listed, as Spark's readers pass over them."""
     pattern = f"*.{{{','.join(endings)}}}" if endings else "*"
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path", "length")
 

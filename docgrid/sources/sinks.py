@@ -35,6 +35,13 @@ def result_xml(tables: DataFrame, name: str = "file_name") -> DataFrame:
     return documents.select("stem", F.to_xml(F.struct("_filename", "table"), {"rowTag": "document"}).alias("xml"))
 
 
+def result_json(tables: DataFrame, name: str = "file_name") -> DataFrame:
+    """(stem, json): each document's result as a JSON array of its tables, in the order of id."""
+    table = F.struct("id", "angle", "rect", "quad", "cells") if "angle" in tables.columns else F.struct("id", "rect", "quad", "cells")
+    grouped = tables.groupBy(name).agg(F.array_sort(F.collect_list(table)).alias("tables"))
+    return grouped.select(stem(F.col(name)).alias("stem"), F.to_json("tables").alias("json"))
+
+
 def write_result_xml(tables: DataFrame, path: str, name: str = "file_name") -> None:
     """Results as XML files of many documents each, below path; readable by the annotation scan."""
     result_documents(tables, name).drop("stem").write.format("xml").option("rootTag", "documents").option("rowTag", "document").save(path)
