@@ -3,7 +3,9 @@
 The bytes of a whole document are covered by overlapping chunks. Filters of WIDTH symbols (a weight for each byte
 value, and for the place after a text's end, at each place) slide over a chunk and are max-pooled over it. FAR of
 the filters take every STRIDE-th symbol, so they also see how far a text reaches. A small layer turns the pooled
-filters into chunk features, whose mean and maximum over the document's chunks give one probability.
+filters into chunk features, whose mean and maximum over the document's chunks give one probability. Chunks overlap by
+OVERLAP symbols, so filters over neighbours see every place; those over every STRIDE-th symbol reach over 321 and begin
+at 192 of each 448 places, so they sample a text's layout rather than see every pattern in it.
 
 Fitting takes at most FIT_ROWS labelled documents, in the order of a hash of doc_id (the bound of the fit), and
 every chunk of each. It runs on executors (see averaging); the driver gets parameters only. The sizes and rounds

@@ -181,3 +181,53 @@ def test_toxicity_gradients_match_differences():
         low = loss()
         now = old
         assert abs((high - low) / 2e-5 - grads["weights"][k]) < 1e-4
+
+
+def test_quality_scores_are_those_of_plain_loops():
+    """Documents scored again symbol by symbol from the parameters."""
+    import math
+
+    p = quality.initial(0.4, seed=11)
+    texts = ["", "short one", "A text, of more words. " * 40, "\u00e9\u4e16 beyond ascii " * 25]
+
+    def plain(text):
+        data, step, features = list(text.encode()), quality.CHUNK - quality.OVERLAP, []
+        for k in range(max(1, -(-(len(data) - quality.OVERLAP) // step))):
+            part = (data[k * step : k * step + quality.CHUNK] + [quality.END] * quality.CHUNK)[: quality.CHUNK]
+            pooled = []
+            for f in range(quality.FILTERS):
+                apart = quality.STRIDE if f < quality.FAR else 1
+                answers = [sum(float(p["conv"][w, part[at + w * apart], f]) for w in range(quality.WIDTH)) for at in range(quality.CHUNK - (quality.WIDTH - 1) * apart)]
+                pooled.append(max(0.0, max(answers) + float(p["conv_bias"][f])))
+            features.append([math.tanh(sum(x * float(p["hidden"][f, h]) for f, x in enumerate(pooled)) + float(p["hidden_bias"][h])) for h in range(quality.HIDDEN)])
+        both = [sum(c) / len(c) for c in zip(*features, strict=True)] + [max(c) for c in zip(*features, strict=True)]
+        return 1 / (1 + math.exp(-sum(x * float(w) for x, w in zip(both, p["out"], strict=True)) - float(p["out_bias"])))
+
+    import pyarrow as pa
+
+    assert quality.Network(p).scores(pa.array(texts)) == pytest.approx([plain(x) for x in texts], abs=1e-5)
+
+
+def test_toxicity_scores_are_those_of_plain_loops():
+    """Documents scored again sentence by sentence and gram by gram."""
+    import math
+    import re
+
+    weights = {"<bad>": 3.0, "badl": 0.5, "adly>": -0.25, "<good>": -2.0, "orde": 1.5}
+    model = toxicity.Model(weights, -2.5)
+
+    def plain(text):
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]", text):
+            found = set(re.findall(r"\w+", sentence.lower()))
+            if found:
+                odds = -2.5
+                for word in found:
+                    marked = f"<{word}>"
+                    for gram in {marked} | {marked[i : i + n] for n in (4, 5) for i in range(len(marked) - n + 1)}:
+                        odds += weights.get(gram, 0.0)
+                clean *= 1 - 1 / (1 + math.exp(-odds))
+        return 1 - clean
+
+    for text in ("", "Good.", "bad bad BAD! good? badly ordered\nborder.", "a. b. c.", "Bad badly. " * 30):
+        assert model.score(text) == pytest.approx(plain(text), abs=1e-9)
