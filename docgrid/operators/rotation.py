@@ -38,11 +38,13 @@ def vote_levels(edges: DataFrame, by: Sequence[str], step: float = STEP, votes:
     last level has single angles and rhos; it lacks only cells that can't pass. Pixels are dealt out by place and
     written, as each becomes many rows; the cells to refine are written, too, so that Spark knows how few they are.
     """
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pinned(edges.select(*by, "x", "y").repartition(parts, *by, "x", "y"))
     n, coarse = round(180 / step), max(1, round(COARSE[0] / step))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = edges.select(*by, "x", "y").repartition(parts, *by, "x", "y")
+    dealt = pinned(dealt) if coarse >= 4 else dealt
     x, y, levels, parent = F.col("x"), F.col("y"), [], None
-    for size, wide in (*((coarse * c, COARSE[1] * c) for c in COARSER if coarse * c > 1), (1, 1)):
+    # of a few hundred angles or less, coarse levels would cost more than they save
+    for size, wide in (*((coarse * c, COARSE[1] * c) for c in COARSER if coarse >= 4), (1, 1)):
         if parent is None:
             held, first, last = dealt, F.lit(0), F.lit((n - 1) // size)
         else:
