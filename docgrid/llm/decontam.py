@@ -195,9 +195,11 @@ class Matcher:
             for at in range(0, len(windows), 1 << 15):
                 part = slice(at, at + (1 << 15))
                 for keys in self.walks.keys(windows[part]):
-                    first, last = np.searchsorted(known, keys), np.searchsorted(known, keys, side="right")
-                    for r in np.flatnonzero(first < last).tolist():
-                        for k in owner[first[r] : last[r]].tolist():
+                    first = np.searchsorted(known, keys)
+                    first[first == len(known)] = 0
+                    met = np.flatnonzero(known[first] == keys)
+                    for r, end in zip(met.tolist(), np.searchsorted(known, keys[met], side="right").tolist(), strict=True):
+                        for k in owner[first[r] : end].tolist():
                             item, offset, _ = self.parts[k]
                             out[int(docs[at + r]), item].add(int(starts[at + r]) - offset)
         return {pair: sorted(s) for pair, s in out.items()}

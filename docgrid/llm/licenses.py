@@ -100,10 +100,12 @@ class Scanner:
         """(template, windows that share a band with it) of a class: windows are looked up, templates aren't gone through."""
         known, owner = self.index[size, c]
         keys = self._banded(windows)
-        first, last = np.searchsorted(known, keys), np.searchsorted(known, keys, side="right")
+        first = np.searchsorted(known, keys)
+        first[first == len(known)] = 0
         met: dict[int, set[int]] = {}
-        for band, at in np.argwhere(first < last).tolist():
-            for k in owner[first[band, at] : last[band, at]].tolist():
+        for band, at in np.argwhere(known[first] == keys).tolist():
+            last = np.searchsorted(known, keys[band, at], side="right")
+            for k in owner[first[band, at] : last].tolist():
                 met.setdefault(k, set()).add(at)
         for k in sorted(met):
             yield k, sorted(met[k])
