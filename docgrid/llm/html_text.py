@@ -5,7 +5,8 @@ length and their commas to their ancestors, halved and so on with the distance;
 discounted by its link density. The best container, and those of its siblings that score near it or read like
 its paragraphs, are the article; all their blocks come out, in page order. Subtrees that can't be article text
 (scripts, styles, forms, menus, page headers and footers, sidebars, notices, adverts, reader comments; by element,
-role or the words of class and id) are left out first; a page that has nothing else gives "". Inside an article no
+role or the words of class and id) are left out first; a page that has nothing else gives "". Names are made of words:
+inside an article an alert-box is left out, an alert-system is not. Inside an article no
 list of links is dropped that isn't called a menu or the like. The time is linear in the page at any depth of tags.
 
 Nulls: a null page is empty; a page without text gives "". Broken markup is read as browsers do in the common
@@ -40,6 +41,13 @@ JUNK = frozenset(
 ARTICLE = frozenset("article content main post entry story".split())
 #: Words that say article even beside a word of JUNK, unless it is one of these.
 ALWAYS = frozenset("ad ads advert adverts advertisement sponsored promo cookie cookies consent sidebar comment comments disqus reply replies footer nav navbar menu newsletter related share social popup modal".split())
+#: Words of JUNK that, inside an article, may also begin the name of what it is about (alert-system, menu-planning):
+#: there they count where only words of SHAPES, single signs or other words of JUNK follow in the same name.
+SUBJECTS = frozenset("alert aside banner header login menu notice notices promotion rail subscription".split())
+SHAPES = frozenset(
+    "area bar block board body bottom box btn button card col column container content danger dialog error field fixed form global grid group head holder icon image img info inner item items "
+    "large layer left link links list main message messages outer page panel primary right row secondary section site slot small sticky strip success table text title top unit warning wrap wrapper zone".split()
+)
 #: Names say nothing of these.
 KEEP = frozenset("html body main".split())
 #: What makes an article element one that isn't the article.
@@ -88,8 +96,10 @@ def _verdict(tag: str, attrs: list, inside_article: bool) -> tuple[int, str]:
         elif key == "hidden" or (key == "role" and (value or "").lower() in ROLES) or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in (value or "").replace(" ", "")):
             bad = BY_KIND
     if names and not bad and tag not in KEEP:
-        words = [w.lower() for w in NAME.findall(names)]
-        found = {w for k, w in enumerate(words) if w in JUNK and not (k and words[k - 1] in ("no", "has", "with", "without"))}
+        named = [[w.lower() for w in NAME.findall(name)] for name in names.split()]
+        words = [w for name in named for w in name]
+        subjects = {w for name in named for k, w in enumerate(name) if w in SUBJECTS and not all(x in SHAPES or x in JUNK or len(x) == 1 or x.isdigit() for x in name[k + 1 :])} if inside_article else set()
+        found = {w for k, w in enumerate(words) if w in JUNK and w not in subjects and not (k and words[k - 1] in ("no", "has", "with", "without"))}
         if tag == "article":
             bad = BY_NAME if found & ASIDE and not ARTICLE & set(words) else NOT
         elif found and (found & ALWAYS or not ARTICLE & set(words)):

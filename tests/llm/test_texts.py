@@ -502,6 +502,15 @@ def test_given_pages(spark):
         assert text.split("\n\n") == [b for b in blocks if b]
 
 
+@pytest.mark.parametrize(("name", "kept"), [("alert-system", True), ("menuPlanning intro", True), ("notice-of-sale", True), ("alert", False), ("alert-box-2", False), ("site-notice", False), ("menu-header", False), ("alert alert-info", False), ("ad-system", False)])
+def test_names_of_what_an_article_is_about_leave_nothing_out(name, kept):
+    one, two = "An introduction to the article, which is long enough.", "What is described here, in an element with a name of its own."
+    for inner in (f'<div class="{name}"><p>{two}</p></div>', f'<section><div id="{name}"><p>{two}</p></div></section>'):
+        assert html_text.main_text(f"<article><p>{one}</p>{inner}</article>") == (f"{one}\n\n{two}" if kept else one)
+    if " " not in name:  # outside of an article names count as ever
+        assert html_text.main_text(f'<body><div><p>{one}</p></div><div class="{name}"><p>{two}</p></div></body>') == one
+
+
 @pytest.mark.parametrize("n", [99, 1000])
 def test_any_number_of_declarations_without_an_end(n):
     found = html_text.main_text("<article>" + "<p>see <![if n of the listing</p>" * n + "<p>This is a real paragraph, with enough text.</p></article>")
