@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrid.operators.groups import map_groups
+from docgrid.schemas import SIDES
 
 
 def quad(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -79,13 +80,25 @@ def merge_cells(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     return map_groups(cells, by, ["i", "j"], _sweep, ", ".join(f"{c} int" for c in ("si", "ei", "sj", "ej", "sx", "sy", "ex", "ey")))
 
 
+def with_sides(merged: DataFrame, vertical: DataFrame, horizontal: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Merged cells with a flag for each of SIDES: whether the line there is explicit.
+
+    Lines are those of `grid`, with implicit; each table has one array of flags a direction, so it is two equi-joins.
+    """
+    drawn = lambda lines, name: lines.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "implicit"))), lambda x: ~x["implicit"]).alias(name))
+    out = merged.join(drawn(vertical, "_across"), list(by)).join(drawn(horizontal, "_down"), list(by))
+    at = {"top": ("_down", F.col("sj")), "bottom": ("_down", F.col("ej") + 1), "left": ("_across", F.col("si")), "right": ("_across", F.col("ei") + 1)}
+    return out.select(*merged.columns, *[F.get(flags, k).alias(side) for side, (flags, k) in at.items()])
+
+
 def tables(merged: DataFrame, order: DataFrame, by: Sequence[str] = ("doc_id", "comp"), doc: str = "doc_id") -> DataFrame:
     """(doc, id, comp, rect, quad, cells): a row per table; id counts the tables of a document that were kept, by rank.
 
-    order: (by, rank) of the candidates. Coordinates are those of the (rotated) map.
+    order: (by, rank) of the candidates. Coordinates are those of the (rotated) map. Cells keep flags of their sides.
     """
+    flags = [side for side in SIDES if side in merged.columns]
     cell = F.struct(
-        F.array("sj", "ej").alias("row_range"), F.array("si", "ei").alias("col_range"), quad(F.col("sx"), F.col("sy"), F.col("ex"), F.col("ey")).alias("quad"), F.lit("").alias("text"), F.lit(0.0).alias("confidence")
+        F.array("sj", "ej").alias("row_range"), F.array("si", "ei").alias("col_range"), quad(F.col("sx"), F.col("sy"), F.col("ex"), F.col("ey")).alias("quad"), F.lit("").alias("text"), F.lit(0.0).alias("confidence"), *flags
     )
     box = [F.min("sx"), F.min("sy"), F.max("ex"), F.max("ey")]
     keyed = merged.withColumn("entry", F.struct("si", "sj", cell.alias("cell")))

@@ -56,13 +56,13 @@ def _lines(boxed: DataFrame, rects: DataFrame, corners: DataFrame, limits: Limit
     return lines.with_edges(C.viable(both, WAY), ends.where("start IS NOT NULL AND end IS NOT NULL"), WAY)
 
 
-def recover_tables(pixels: DataFrame, transforms: DataFrame | None = None, limits: Limits | None = None) -> DataFrame:
+def recover_tables(pixels: DataFrame, transforms: DataFrame | None = None, limits: Limits | None = None, sides: bool = False) -> DataFrame:
     """(doc_id, id, angle, angle_degrees, rect, quad, cells): a row per table found in score maps (doc_id, channel, y, x, score).
 
     transforms: (doc_id, ratio_w, ratio_h, pad_x, pad_y, x1, y1, x2, y2), a row per document, to mask the region of
     interest and to give source coordinates; without it those of the map come out. With heat_w and heat_h (the map's
     size) a table is turned about the map's centre; without, as a sparse map has no size, about that of the region of
-    the document's tables. Documents are independent: all shuffles are on doc_id, then on the table. Relations that
+    the document's tables. With sides each cell tells which of its sides have an explicit line. Documents are independent: all shuffles are on doc_id, then on the table. Relations that
     several branches read are written to the application's folder while the plan is built.
     """
     limits = limits or Limits()
@@ -91,7 +91,9 @@ def recover_tables(pixels: DataFrame, transforms: DataFrame | None = None, limit
     rects = pinned(raster.table_rect(raster.channel(boxed, HORIZONTAL, VERTICAL, IMPLICIT_HORIZONTAL).select(*BY, "channel", "y", "x").unionByName(wide.select(*BY, "channel", "y", "x")), BY))
     corners = lines.corner_peaks(raster.projection(raster.channel(boxed, CORNER), "y", BY), BY, limits.corner)
     ruled = pinned(_lines(boxed, rects, corners, limits))
-    found = C.tables(C.merge_cells(C.grid(ruled.where("down"), ruled.where("NOT down"), BY), BY), candidates)
+    vertical, horizontal = ruled.where("down"), ruled.where("NOT down")
+    merged = C.merge_cells(C.grid(vertical, horizontal, BY), BY)
+    found = C.tables(C.with_sides(merged, vertical, horizontal, BY) if sides else merged, candidates)
     out = found.join(angles, BY).join(extents, BY)
     back = lambda quad: _unturned(quad, F.col("angle"), F.col("across") / 2, F.col("down") / 2)
     out = out.withColumn("quad", back(F.col("quad"))).withColumn("cells", F.transform("cells", lambda c: c.withField("quad", back(c["quad"]))))

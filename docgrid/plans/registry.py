@@ -755,6 +755,25 @@ def recovered_spans(spark, sf_dir):
     return found.select("doc_id", F.col("id").cast("int").alias("id"), last("row_range").alias("n_rows"), last("col_range").alias("n_cols"), F.size("cells").alias("n_cells"), "angle", *places)
 
 
+@query(
+    """WITH g AS (SELECT s_suppkey AS doc_id, unnest(generate_series(0, 1 + s_suppkey % 3)) AS j, s_nationkey FROM supplier), c AS (SELECT doc_id, j, unnest(generate_series(0, 1 + s_nationkey % 3)) AS i FROM g)
+    SELECT 'doc' || CAST(doc_id AS VARCHAR) AS stem, CAST(j AS INT) AS start_row, CAST(j AS INT) AS end_row, CAST(i AS INT) AS start_col, CAST(i AS INT) AS end_col, true AS top_line, true AS bottom_line, doc_id % 3 <> 0 AS left_line, doc_id % 3 <> 0 AS right_line,
+        CAST(3 + 6 * i AS BIGINT) AS left10, CAST(3 + 5 * j AS BIGINT) AS top10, CAST(9 + 6 * i AS BIGINT) AS right10, CAST(8 + 5 * j AS BIGINT) AS bottom10 FROM c"""
+)
+def flagged_annotations(spark, sf_dir):
+    """For each supplier a grid, its verticals drawn or implicit: recovered, written as training input, and scanned as annotations."""
+    sizes = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), (2 + F.col("s_suppkey") % 3).cast("int").alias("n_rows"), (2 + F.col("s_nationkey") % 3).cast("int").alias("n_cols"))
+    grid = sizes.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)))
+    x, y, seen = 30 + F.col("i") * 60, 30 + F.col("j") * 50, F.col("doc_id") % 3 != 0
+    drawn = training.rasterised(grid.select("doc_id", cells.quad(x, y, x + 60, y + 50).alias("quad"), F.lit(True).alias("top"), F.lit(True).alias("bottom"), seen.alias("left"), seen.alias("right")))
+    found = recover_tables(drawn, limits=Limits(turn=False), sides=True).withColumn("file_name", F.format_string("doc%d.jpg", "doc_id"))
+    folder = f"{scratch(spark)}/flagged-{uuid.uuid4().hex}"
+    document_files.write_result_files(found, folder, flagged=True)
+    rows, q = annotations.annotated_cells(annotations.read_annotations(spark, folder)), F.col("quad")
+    tens = [F.round(q[k] / 10).cast("long").alias(f"{c}10") for c, k in (("left", 0), ("top", 1), ("right", 2), ("bottom", 5))]
+    return rows.select("stem", "start_row", "end_row", "start_col", "end_col", *[F.col(side).alias(f"{side}_line") for side in ("top", "bottom", "left", "right")], *tens)
+
+
 @query(CHANNELS + " SELECT doc_id, y, x, max(score) AS score FROM maps GROUP BY doc_id, y, x HAVING max(score) >= 0.05::FLOAT")
 def channel_maxima(spark, sf_dir):
     """The largest score of a page's channels at each pixel, less those that count as zero."""

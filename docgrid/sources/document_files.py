@@ -136,10 +136,10 @@ def _one_each(documents: DataFrame) -> DataFrame:
     return one.select("stem", F.when(F.col("n") == 1, F.col("content")).otherwise(fault).alias("content"))
 
 
-def write_result_files(tables: DataFrame, path: str, name: str = "file_name", mode: str = "errorifexists") -> None:
-    """The result of each document as <stem>.xml below path; readable by the annotation scan."""
+def write_result_files(tables: DataFrame, path: str, name: str = "file_name", mode: str = "errorifexists", flagged: bool = False) -> None:
+    """The result of each document as <stem>.xml below path; readable by the annotation scan, if flagged as training input."""
     text = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n'), "xml", F.lit("\n"))
-    documents = _one_each(result_xml(tables, name).select("stem", text.cast("binary").alias("content")))
+    documents = _one_each(result_xml(tables, name, flagged).select("stem", text.cast("binary").alias("content")))
     write_documents(documents.select(F.concat("stem", F.lit(".xml")).alias("name"), "content"), path, mode)
 
 

@@ -94,6 +94,22 @@ def test_result_xml_can_be_read_again(spark, tmp_path):
     assert row.stem == "a" and row.xml.startswith("<document") and 'points="0,0 0,10 20,10 20,0"' in row.xml
 
 
+def test_flagged_results_are_training_input(spark, tmp_path):
+    """Written with flags and read back, cells give the score map that they gave before; null flags count as not drawn."""
+    quads = [[10, 10, 60, 10, 60, 40, 10, 40], [60, 10, 110, 10, 110, 40, 60, 40]]
+    flags = [(True, False, True, None), (False, True, False, True)]
+    cell = "row_range: array<int>, col_range: array<int>, quad: array<int>, text: string, confidence: double, top: boolean, bottom: boolean, left: boolean, right: boolean"
+    rows = [("p/a.jpg", 1, [10, 10, 100, 30], [([0, 0], [k, k], q, "", 0.0, *f) for k, (q, f) in enumerate(zip(quads, flags, strict=True))])]
+    made = spark.createDataFrame(rows, f"file_name string, id int, rect array<int>, cells array<struct<{cell}>>")
+    sinks.write_result_xml(made, f"{tmp_path}/out", flagged=True)
+    read = annotations.annotated_cells(annotations.read_annotations(spark, f"{tmp_path}/out"))
+    assert [(r.top, r.bottom, r.left, r.right) for r in read.orderBy("cell_id").collect()] == [(True, False, True, False), (False, True, False, True)]
+    given = spark.createDataFrame([(q, *[bool(x) for x in f]) for q, f in zip(quads, flags, strict=True)], "quad array<int>, top boolean, bottom boolean, left boolean, right boolean")
+    drawn = lambda df: {tuple(r) for r in training.rasterised(df.select(F.lit(1).alias("doc_id"), "quad", "top", "bottom", "left", "right")).collect()}
+    assert drawn(read) == drawn(given)
+    assert "<Lines" not in sinks.result_xml(made).first().xml
+
+
 def test_sheet_ranges(spark):
     found = [(r.sheet, r.a1_range, r.is_merged) for r in sinks.sheet_ranges(a_table(spark), ("file_name",)).collect()]
     assert found == [("table_1", "A1:A2", True), ("table_1", "AB1:AB1", False)]
