@@ -18,13 +18,13 @@ def read_annotations(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select(path.alias("path"), stem(path).alias("stem"), F.col("_filename").alias("filename"), F.col("table"))
 
 
-def annotated_cells(documents: DataFrame) -> DataFrame:
-    """(stem, table_id, cell_id, quad, top, bottom, left, right, rows and columns): a row per cell; flags: any number but zero."""
-    tables = documents.select("stem", F.posexplode("table").alias("table_id", "t"))
-    cells = tables.select("stem", "table_id", F.posexplode("t.cell").alias("cell_id", "c"))
+def annotated_cells(documents: DataFrame, *kept: str) -> DataFrame:
+    """(stem, kept, table_id, cell_id, quad, top, bottom, left, right, rows and columns): a row per cell; flags: any number but zero. kept: columns of the document that each cell carries."""
+    tables = documents.select("stem", *kept, F.posexplode("table").alias("table_id", "t"))
+    cells = tables.select("stem", *kept, "table_id", F.posexplode("t.cell").alias("cell_id", "c"))
     flags = [(F.coalesce(F.col(f"c.Lines._{side}"), F.lit(0)) != 0).alias(side) for side in ("top", "bottom", "left", "right")]
     spans = [F.col(f"c.`_{a}-{b}`").alias(f"{a}_{b}") for b in ("row", "col") for a in ("start", "end")]
-    return cells.select("stem", "table_id", "cell_id", points(F.col("c.Coords._points")).alias("quad"), *flags, *spans)
+    return cells.select("stem", *kept, "table_id", "cell_id", points(F.col("c.Coords._points")).alias("quad"), *flags, *spans)
 
 
 def annotated_images(images: DataFrame, annotations: DataFrame) -> DataFrame:

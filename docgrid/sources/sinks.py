@@ -19,11 +19,12 @@ def _rect_points(rect: Column) -> Column:
     return F.concat_ws(" ", *[F.concat_ws(",", a.cast("string"), b.cast("string")) for a, b in ((x1, y1), (x1, y2), (x2, y2), (x2, y1))])
 
 
-def result_documents(tables: DataFrame, name: str = "file_name", flagged: bool = False) -> DataFrame:
+def result_documents(tables: DataFrame, name: str = "file_name", flagged: bool = False, whole: bool = False) -> DataFrame:
     """(stem, _filename, table): a nested row per document, in the shape of the result XML; tables in the order of id.
 
     flagged: the documents are training input, too: cells have a flag for each of SIDES (null: not drawn), written as
     a Lines element, and their corners go clockwise, as annotations have them.
+    whole: each row is the one table of its document, so nothing is grouped, and no row leaves its place.
     """
     flags = lambda c: [F.struct(*[F.coalesce(c[side], F.lit(False)).cast("int").alias(f"_{side}") for side in SIDES]).alias("Lines")] if flagged else []
     cell = lambda c: F.struct(
@@ -31,27 +32,29 @@ def result_documents(tables: DataFrame, name: str = "file_name", flagged: bool =
         F.struct(_points(c["quad"], flagged).alias("_points")).alias("Coords"), *flags(c)
     )
     table = F.struct(F.struct(_rect_points(F.col("rect")).alias("_points")).alias("Coords"), F.transform("cells", cell).alias("cell"))
+    if whole:
+        return tables.select(stem(F.col(name)).alias("stem"), F.col(name).alias("_filename"), F.array(table).alias("table"))
     entry = F.collect_list(F.struct("id", table.alias("t")))
     grouped = tables.groupBy(name).agg(F.transform(F.array_sort(entry), lambda e: e["t"]).alias("table"))
     return grouped.select(stem(F.col(name)).alias("stem"), F.col(name).alias("_filename"), "table")
 
 
-def result_xml(tables: DataFrame, name: str = "file_name", flagged: bool = False) -> DataFrame:
+def result_xml(tables: DataFrame, name: str = "file_name", flagged: bool = False, whole: bool = False) -> DataFrame:
     """(stem, xml): the text of each document's result."""
-    documents = result_documents(tables, name, flagged)
+    documents = result_documents(tables, name, flagged, whole)
     return documents.select("stem", F.to_xml(F.struct("_filename", "table"), {"rowTag": "document"}).alias("xml"))
 
 
-def result_json(tables: DataFrame, name: str = "file_name") -> DataFrame:
-    """(stem, json): each document's result as a JSON array of its tables, in the order of id."""
+def result_json(tables: DataFrame, name: str = "file_name", whole: bool = False) -> DataFrame:
+    """(stem, json): each document's result as a JSON array of its tables, in the order of id; whole as in result_documents."""
     table = F.struct("id", "angle", "rect", "quad", "cells") if "angle" in tables.columns else F.struct("id", "rect", "quad", "cells")
-    grouped = tables.groupBy(name).agg(F.array_sort(F.collect_list(table)).alias("tables"))
+    grouped = tables.select(name, F.array(table).alias("tables")) if whole else tables.groupBy(name).agg(F.array_sort(F.collect_list(table)).alias("tables"))
     return grouped.select(stem(F.col(name)).alias("stem"), F.to_json("tables").alias("json"))
 
 
-def write_result_xml(tables: DataFrame, path: str, name: str = "file_name", flagged: bool = False) -> None:
+def write_result_xml(tables: DataFrame, path: str, name: str = "file_name", flagged: bool = False, whole: bool = False) -> None:
     """Results as XML files of many documents each, below path; readable by the annotation scan."""
-    result_documents(tables, name, flagged).drop("stem").write.format("xml").option("rootTag", "documents").option("rowTag", "document").save(path)
+    result_documents(tables, name, flagged, whole).drop("stem").write.format("xml").option("rootTag", "documents").option("rowTag", "document").save(path)
 
 
 def sheet_ranges(tables: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
