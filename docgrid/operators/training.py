@@ -11,6 +11,8 @@ from docgrid.schemas import CORNER, HORIZONTAL, IMPLICIT_HORIZONTAL, IMPLICIT_VE
 
 #: Reach of a corner's heat in pixels, its width, the least heat that counts, negatives for each positive, negatives without any.
 REACH, SPREAD, LEAST_HEAT, NEGATIVES, NONE_POSITIVE = 5, 2.0, 0.05, 3, 10_000
+#: Side of the tiles that corners are dealt out to.
+HEAT_TILE = 64
 #: Buckets of losses that tell where the k-th lies, for each power of e.
 FINENESS = 4096
 #: A mixture has at most so many datasets: the bound of what is broadcast.
@@ -19,14 +21,21 @@ MOST_DATASETS = 100_000
 
 def corner_heat(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, channel, y, x, score): a Gaussian at each corner of each quad (absolute places), the largest where they overlap."""
-    corners = cells.select(*by, F.explode(F.array(*[F.struct(F.col("quad")[2 * k].cast("double").alias("cx"), F.col("quad")[2 * k + 1].cast("double").alias("cy")) for k in range(4)])).alias("c")).select(*by, "c.cx", "c.cy").distinct()
-    near = lambda c: F.sequence(F.ceil(F.col(c) - REACH).cast("int"), F.floor(F.col(c) + REACH).cast("int"))
-    spread = corners.withColumn("x", F.explode(near("cx"))).withColumn("y", F.explode(near("cy")))
-    squared = (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))
-    heat = F.exp(-squared / (2 * SPREAD * SPREAD)).cast("float")
-    # the largest counts if any does: what doesn't is dropped before the grouping
-    warm = spread.where((F.col("x") >= 0) & (F.col("y") >= 0)).select(*by, "y", "x", heat.alias("heat")).where(F.col("heat") >= F.lit(LEAST_HEAT).cast("float"))
-    return warm.groupBy(*by, "y", "x").agg(F.max("heat").alias("score")).select(*by, F.lit(CORNER).alias("channel"), "y", "x", "score")
+    corners = cells.select(*by, F.explode(F.array(*[F.struct(F.col("quad")[2 * k].cast("double").alias("cx"), F.col("quad")[2 * k + 1].cast("double").alias("cy")) for k in range(4)])).alias("c")).select(*by, "c.cx", "c.cy").where("cx IS NOT NULL AND cy IS NOT NULL")
+    tiles = lambda c: F.explode(F.sequence(F.floor((F.col(c) - REACH) / HEAT_TILE), F.floor((F.col(c) + REACH) / HEAT_TILE)))
+    # a tile's few corners are one row, in which each place is heated by the nearest alone: corners are shuffled, not places
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiled = corners.repartition(parts, *by).withColumn("_tx", tiles("cx")).withColumn("_ty", tiles("cy")).groupBy(*by, "_ty", "_tx").agg(F.collect_set(F.struct("cx", "cy")).alias("all"))
+    near = lambda c, o: (F.abs(c["cx"] - o["cx"]) <= 2 * REACH) & (F.abs(c["cy"] - o["cy"]) <= 2 * REACH) & (c != o)
+    each = tiled.select(*by, "_ty", "_tx", "all", F.explode("all").alias("c")).select(*by, "_ty", "_tx", "c", F.filter("all", lambda o: near(F.col("c"), o)).alias("others"))
+    reach = lambda c, tile: F.explode(F.sequence(F.greatest(F.ceil(F.col(c) - REACH), F.col(tile) * HEAT_TILE, F.lit(0)).cast("int"), F.least(F.floor(F.col(c) + REACH), (F.col(tile) + 1) * HEAT_TILE - 1).cast("int")))
+    within = lambda c, tile: (F.least(F.floor(F.col(c) + REACH), (F.col(tile) + 1) * HEAT_TILE - 1) >= F.greatest(F.ceil(F.col(c) - REACH), F.col(tile) * HEAT_TILE, F.lit(0)))
+    spread = each.where(within("c.cx", "_tx") & within("c.cy", "_ty")).withColumn("x", reach("c.cx", "_tx")).withColumn("y", reach("c.cy", "_ty"))
+    squared = lambda c: (F.col("x") - c["cx"]) * (F.col("x") - c["cx"]) + (F.col("y") - c["cy"]) * (F.col("y") - c["cy"])
+    heat = F.exp(-squared(F.col("c")) / (2 * SPREAD * SPREAD)).cast("float")
+    warm = spread.withColumn("score", heat).where(F.col("score") >= F.lit(LEAST_HEAT).cast("float"))
+    first = lambda o: (squared(o) < squared(F.col("c"))) | ((squared(o) == squared(F.col("c"))) & (o < F.col("c")))
+    return warm.where(~F.exists("others", first)).select(*by, F.lit(CORNER).alias("channel"), "y", "x", "score")
 
 
 def edge_lines(cells: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -36,7 +45,7 @@ def edge_lines(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     edge = F.array(*[F.struct(q(a)[0].alias("x1"), q(a)[1].alias("y1"), q(b)[0].alias("x2"), q(b)[1].alias("y2"), F.when(F.col(side), seen).otherwise(unseen).alias("channel")) for side, a, b, seen, unseen in sides])
     edges = cells.select(*by, F.explode(edge).alias("e")).select(*by, "e.*").distinct()
     n = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
-    steps = edges.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    steps = edges.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
     at = lambda a, b: F.round(F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / F.greatest("n", F.lit(1))).cast("int")
     flat = F.abs(F.col("x2") - F.col("x1")) >= F.abs(F.col("y2") - F.col("y1"))
     drawn = steps.withColumn("off", F.explode(F.array(*[F.lit(o) for o in (-1, 0, 1)])))
