@@ -18,6 +18,12 @@ def read_annotations(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select(path.alias("path"), stem(path).alias("stem"), F.col("_filename").alias("filename"), F.col("table"))
 
 
+def packed_annotations(files: DataFrame) -> DataFrame:
+    """The same of files (name, content) that are rows; path is the file's name. A text that isn't XML is an error."""
+    table = F.from_xml(F.col("content").cast("string"), ANNOTATION, {"mode": "FAILFAST"}).alias("document")
+    return files.select(F.col("name").alias("path"), stem(F.col("name")).alias("stem"), table).select("path", "stem", F.col("document._filename").alias("filename"), F.col("document.table").alias("table"))
+
+
 def annotated_cells(documents: DataFrame, *kept: str) -> DataFrame:
     """(stem, kept, table_id, cell_id, quad, top, bottom, left, right, rows and columns): a row per cell; flags: any number but zero. kept: columns of the document that each cell carries."""
     tables = documents.select("stem", *kept, F.posexplode("table").alias("table_id", "t"))

@@ -57,8 +57,17 @@ def write_result_xml(tables: DataFrame, path: str, name: str = "file_name", flag
     result_documents(tables, name, flagged, whole).drop("stem").write.format("xml").option("rootTag", "documents").option("rowTag", "document").save(path)
 
 
+def sheet_name(number: Column) -> Column:
+    return F.concat(F.lit("table_"), number.cast("string"))
+
+
+def sheet_range(c: Column) -> Column:
+    """(a1_range, is_merged) of a table's cell."""
+    merged = (c["col_range"][0] != c["col_range"][1]) | (c["row_range"][0] != c["row_range"][1])
+    return F.struct(a1_range(c["col_range"], c["row_range"]).alias("a1_range"), merged.alias("is_merged"))
+
+
 def sheet_ranges(tables: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys, sheet, a1_range, is_merged): what a spreadsheet of the tables holds; a sheet per table, a range per cell."""
-    cells = tables.select(*keys, F.concat(F.lit("table_"), F.col("id").cast("string")).alias("sheet"), F.explode("cells").alias("c"))
-    merged = (F.col("c.col_range")[0] != F.col("c.col_range")[1]) | (F.col("c.row_range")[0] != F.col("c.row_range")[1])
-    return cells.select(*keys, "sheet", a1_range(F.col("c.col_range"), F.col("c.row_range")).alias("a1_range"), merged.alias("is_merged"))
+    cells = tables.select(*keys, sheet_name(F.col("id")).alias("sheet"), F.explode("cells").alias("c"))
+    return cells.select(*keys, "sheet", sheet_range(F.col("c")).alias("r")).select(*keys, "sheet", "r.*")
