@@ -24,7 +24,8 @@ def map_groups(df: DataFrame, by: Sequence[str], order: Sequence[str], work: Cal
     """The rows that `work` makes of each group: a dict of equally long columns from a group's table, sorted by `order`.
 
     columns: names and types of what work returns; the keys are added in front. One shuffle on the keys; a task holds
-    a batch and the group that reaches over its end, and handles thousands of small groups in one call.
+    a batch and the group that reaches over its end, and handles thousands of small groups in one call. Tasks are as many
+    as shuffles have: few bytes can be much work, so they aren't joined by size.
     """
     keys = list(by)
     names = [c.split()[0] for c in _split(columns)]
@@ -57,7 +58,8 @@ def map_groups(df: DataFrame, by: Sequence[str], order: Sequence[str], work: Cal
 
     schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), columns])
     kinds = {f.name: _arrow(f.dataType) for f in df.sparkSession.createDataFrame([], schema).schema}
-    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def _split(columns: str) -> list[str]:

@@ -7,15 +7,20 @@ whose pixels are too few to make a line is never refined.
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrid.functions.lineage import pinned
+from docgrid.operators.groups import map_groups
 from docgrid.operators.raster import channel, sobel
 from docgrid.schemas import HORIZONTAL, IMPLICIT_HORIZONTAL, IMPLICIT_VERTICAL, VERTICAL
 
 #: Step of the angle in degrees, votes that make a line, least angle worth turning.
 STEP, VOTES, LEAST_ANGLE = 0.1, 400, 0.1
+#: Votes that a task counts at a time.
+VOTES_AT_ONCE = 1 << 16
 #: Vote cells of the level before the last, in degrees and rhos; those of the levels before it are so many times as large each way.
 COARSE, COARSER = (1.6, 16), (8, 1)
 
@@ -71,10 +76,33 @@ def vote_levels(edges: DataFrame, by: Sequence[str], step: float = STEP, votes:
 def hough_lines(edges: DataFrame, by: Sequence[str], step: float = STEP, votes: int = VOTES) -> DataFrame:
     """(by, rho, k, votes): lines x cos + y sin = rho at theta = k * step with enough votes, local peaks among the four neighbours.
 
-    Of equal neighbours the one with the smaller rho or theta stays. Votes are counted from coarse to fine; a cell
-    without enough of them is no peak and outvotes none, so peaks are sought among those with enough alone.
+    Of equal neighbours the one with the smaller rho or theta stays. A map's edge pixels are one group, whose votes are
+    counted in the task, some angles at a time; a cell without enough of them is no peak and outvotes none, so only
+    those with enough come out, and peaks are sought among them.
     """
-    counted = vote_levels(edges, by, step, votes)[-1].groupBy(*by, "rho", "k").agg(F.count("*").alias("votes")).where(F.col("votes") > votes)
+    turns = [math.radians(k * step) for k in range(round(180 / step))]
+    cos, sin = np.array([math.cos(t) for t in turns]), np.array([math.sin(t) for t in turns])
+
+    def counts(group: pa.Table) -> dict:
+        x, y = (group.column(c).to_numpy().astype(float) for c in ("x", "y"))
+        out = []
+        width = max(1, VOTES_AT_ONCE // len(x))
+        reach = int(np.hypot(x, y).max()) + 2
+        for low in range(0, len(turns), width):
+            c, s = cos[low : low + width, None], sin[low : low + width, None]
+            value = c * x
+            value += s * y
+            rho = np.trunc(value)
+            value -= rho
+            value *= 2
+            rho += np.trunc(value, out=value)  # halves away from zero
+            rho += reach + (2 * reach + 1) * np.arange(len(c))[:, None]
+            n = np.bincount(rho.ravel().astype(np.int64))
+            full = np.flatnonzero(n > votes)
+            out.append((full % (2 * reach + 1) - reach, full // (2 * reach + 1) + low, n[full]))
+        return {name: np.concatenate(v).tolist() for name, v in zip(("rho", "k", "votes"), zip(*out, strict=True), strict=True)}
+
+    counted = map_groups(edges.select(*by, "x", "y"), by, [], counts, "rho int, k int, votes long")
     along = lambda fixed, moving: Window.partitionBy(*by, fixed).orderBy(moving)
     near = lambda fixed, moving, way: F.when((F.lag if way < 0 else F.lead)(moving).over(along(fixed, moving)) == F.col(moving) + way, (F.lag if way < 0 else F.lead)("votes").over(along(fixed, moving)))
     peaks = counted
