@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docgrid.functions.lineage import pinned
 from docgrid.operators.groups import map_groups
 from docgrid.operators.stars import connected_components
+from docgrid.schemas import IMPLICIT_VERTICAL, VERTICAL
 
 
 #: Side of the tiles that boxes and pixels meet in, and of those that large maps are labelled by.
@@ -18,7 +19,12 @@ SIDE, TILE = 32, 1024
 
 def _labels(group: pa.Table) -> dict:
     """Component numbers of one map's pixels, sorted by row and place."""
-    y, x = group.column("y").to_numpy(), group.column("x").to_numpy()
+    y, x, comp = _components(group.column("y").to_numpy(), group.column("x").to_numpy())
+    return {"y": y.tolist(), "x": x.tolist(), "comp": comp.tolist()}
+
+
+def _components(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places without repeats, and their components' numbers."""
     new = np.concatenate(([True], (np.diff(y) != 0) | (np.diff(x) != 0)))
     y, x = y[new], x[new]
     run = np.cumsum(np.concatenate(([0], (np.diff(y) != 0) | (np.diff(x) != 1))))
@@ -43,7 +49,45 @@ def _labels(group: pa.Table) -> dict:
             root[max(a, b)] = min(a, b)
             j += 1
     _, comp = np.unique([find(i) for i in range(len(first))], return_inverse=True)
-    return {"y": y.tolist(), "x": x.tolist(), "comp": (comp + 1)[run].tolist()}
+    return y, x, (comp + 1)[run]
+
+
+def _boxes(group: pa.Table) -> dict:
+    """Statistics of one map's components, from its runs; their pixels live within the task alone."""
+    at, a, b, down = (group.column(c).to_numpy(zero_copy_only=False) for c in ("at", "a", "b", "down"))
+    n = b - a
+    along = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+    across, turned = np.repeat(at, n), np.repeat(down, n)
+    y, x = np.where(turned, along, across).astype(np.int64), np.where(turned, across, along).astype(np.int64)
+    order = np.lexsort((x, y))
+    y, x, comp = _components(y[order], x[order])
+    order = np.argsort(comp, kind="stable")
+    y, x, comp = y[order], x[order], comp[order]
+    first = np.flatnonzero(np.concatenate(([True], np.diff(comp) != 0)))
+    l, t, r, u = (f.reduceat(v, first) for f, v in ((np.minimum, x), (np.minimum, y), (np.maximum, x), (np.maximum, y)))
+    area = np.diff(np.concatenate((first, [len(comp)])))
+    return {c: v.tolist() for c, v in {"comp": comp[first], "l": l, "t": t, "w": r - l + 1, "h": u - t + 1, "area": area}.items()}
+
+
+def run_components(runs: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """(by, comp, l, t, w, h, area) of the components of a map's runs (by, channel, at, a, b), numbered as by `label_pixels`.
+
+    Runs are shuffled, not pixels; a map is one group, as there.
+    """
+    down = F.col("channel").isin(VERTICAL, IMPLICIT_VERTICAL).alias("down")
+    return map_groups(runs.select(*by, down, "at", "a", "b"), by, [], _boxes, "comp int, l int, t int, w int, h int, area long")
+
+
+def runs_in_boxes(runs: DataFrame, boxes: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Runs cut to the boxes (comp) that they lie in, once for each of overlapping boxes; boxes meet the rows or columns that they cover in bands of SIDE."""
+    down = F.col("channel").isin(VERTICAL, IMPLICIT_VERTICAL)
+    ways = F.explode(F.array(*[F.struct(F.lit(d).alias("_down"), F.col(p).alias("low"), F.col(n).alias("size"), F.col(q).alias("_a"), (F.col(q) + F.col(m)).alias("_b")) for d, p, n, q, m in ((False, "t", "h", "l", "w"), (True, "l", "w", "t", "h"))]))
+    b = boxes.select(*by, "comp", "w", "h", ways.alias("k")).select(*by, "comp", "w", "h", "k.*")
+    b = b.withColumn("_band", F.explode(F.sequence(F.floor(F.col("low") / SIDE), F.floor((F.col("low") + F.greatest("size", F.lit(1)) - 1) / SIDE))))
+    dealt = runs.withColumn("_down", down).withColumn("_band", F.floor(F.col("at") / SIDE))
+    cut = dealt.join(b, [*by, "_down", "_band"]).where((F.col("at") >= F.col("low")) & (F.col("at") < F.col("low") + F.col("size")))
+    new = {"a": F.greatest("a", "_a"), "b": F.least("b", "_b")}
+    return cut.select(*[new[c].cast("int").alias(c) if c in new else c for c in runs.columns], "comp", "w", "h").where("a < b")
 
 
 def _first_pixels(group: pa.Table) -> dict:

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docgrid.operators.raster import joined
+
 #: Columns of a line besides its table's.
 COLUMNS = ["s", "e", "center", "rs", "re", "region_list", "implicit"]
 #: Limits in pixels of the table recovery.
@@ -42,11 +44,23 @@ def regions(found: DataFrame, pixels: DataFrame, axis: str, by: Sequence[str]) -
     keys = [*by, "s"]
     run = F.col("pos") - F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
     runs = band.withColumn("run", run).groupBy(*keys, "run").agg(F.min("pos").cast("int").alias("a"), (F.max("pos") + 1).cast("int").alias("z"))
+    return _extents(found, runs, keys)
+
+
+def run_regions(found: DataFrame, runs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The same from runs (by, at, a, b) along the other axis."""
+    keys = [*by, "s"]
+    places = found.select(*keys, F.explode(F.sequence(F.col("s"), F.col("e") - 1)).alias("at"))
+    band = joined(runs.join(places, [*by, "at"]).select(*keys, "a", "b"), keys)
+    return _extents(found, band.withColumnRenamed("b", "z"), keys)
+
+
+def _extents(found: DataFrame, runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     runs = runs.withColumn("re", (F.max("z").over(Window.partitionBy(*keys)) - 1).cast("int")).withColumn("b", F.least("z", "re"))
     extent = runs.groupBy(*keys).agg(
         F.min("a").alias("rs"), F.first("re").alias("re"), F.sort_array(F.collect_list(F.when(F.col("a") < F.col("b"), F.struct("a", "b")))).alias("region_list")
     )
-    return found.join(extent, keys)
+    return found.join(extent, list(keys))
 
 
 def corner_peaks(profile: DataFrame, by: Sequence[str], least: int = CORNER_MIN) -> DataFrame:

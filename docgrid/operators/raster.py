@@ -6,7 +6,7 @@ columns of one map (a document, or a table of a document); every shuffle is on t
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrid.schemas import HORIZONTAL, IMPLICIT_HORIZONTAL, IMPLICIT_VERTICAL, VERTICAL
@@ -40,6 +40,36 @@ def projection(pixels: DataFrame, axis: str, by: Sequence[str]) -> DataFrame:
     return pixels.groupBy(*by, F.col(axis).alias("pos")).agg(F.count("*").alias("v"))
 
 
+def runs(pixels: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """(by, channel, at, a, b): pixels as runs [a, b) along the lines of their channel: of x in row `at`, for verticals of y in column `at`. A pixel counts once."""
+    down = F.col("channel").isin(VERTICAL, IMPLICIT_VERTICAL)
+    laid = pixels.select(*by, "channel", F.when(down, F.col("x")).otherwise(F.col("y")).alias("at"), F.when(down, F.col("y")).otherwise(F.col("x")).alias("p"))
+    keys = [*by, "channel", "at"]
+    run = F.col("p") - F.dense_rank().over(Window.partitionBy(*keys).orderBy("p"))
+    return laid.withColumn("run", run).groupBy(*keys, "run").agg(F.min("p").cast("int").alias("a"), (F.max("p") + 1).cast("int").alias("b")).drop("run")
+
+
+def pixels_of(found: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """(by, channel, y, x) of runs."""
+    down = F.col("channel").isin(VERTICAL, IMPLICIT_VERTICAL)
+    each = found.select(*by, "channel", "at", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("p"))
+    return each.select(*by, "channel", F.when(down, F.col("p")).otherwise(F.col("at")).alias("y"), F.when(down, F.col("at")).otherwise(F.col("p")).alias("x"))
+
+
+def joined(found: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, a, b): the union of intervals [a, b), those that overlap or touch in one."""
+    order = Window.partitionBy(*by).orderBy("a", "b")
+    before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    starts = found.select(*by, "a", "b", F.coalesce((F.col("a") > before).cast("int"), F.lit(1)).alias("new"))
+    numbered = starts.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*by, "run").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("run")
+
+
+def run_profile(found: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, pos, v): pixels of runs that don't overlap, at each place across them."""
+    return found.groupBy(*by, F.col("at").alias("pos")).agg(F.sum((F.col("b") - F.col("a")).cast("long")).alias("v"))
+
+
 def dilate_x(pixels: DataFrame, by: Sequence[str], radius: int = 2, width: int | None = None) -> DataFrame:
     """Pixels within `radius` to the left or right of one, inside [0, width)."""
     spread = pixels.select(*by, "y", F.explode(F.sequence(F.col("x") - radius, F.col("x") + radius)).alias("x"))
@@ -69,6 +99,14 @@ def table_rect(pixels: DataFrame, by: Sequence[str]) -> DataFrame:
     return pixels.groupBy(*by).agg(F.min(F.when(across, F.col("x"))).alias("l"), F.max(F.when(across, F.col("x"))).alias("r"), F.min(F.when(down, F.col("y"))).alias("t"), F.max(F.when(down, F.col("y"))).alias("b"))
 
 
+def run_rect(found: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The same of runs."""
+    across = F.col("channel").isin(HORIZONTAL, IMPLICIT_HORIZONTAL)
+    down = F.col("channel").isin(VERTICAL, IMPLICIT_VERTICAL)
+    a, last = F.col("a"), F.col("b") - 1
+    return found.groupBy(*by).agg(F.min(F.when(across, a)).alias("l"), F.max(F.when(across, last)).alias("r"), F.min(F.when(down, a)).alias("t"), F.max(F.when(down, last)).alias("b"))
+
+
 def sobel(pixels: DataFrame, axis: str, by: Sequence[str], height: int | Column | None = None, width: int | Column | None = None) -> DataFrame:
     """(by, y, x, v): the 3x3 first derivative along an axis of summed binary maps, cut to 0..255.
 

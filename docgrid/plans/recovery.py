@@ -36,18 +36,17 @@ WAY = [*BY, "down"]
 def _lines(boxed: DataFrame, rects: DataFrame, corners: DataFrame, limits: Limits) -> DataFrame:
     """(by, down, nth, line): the lines of all tables, of both directions (down: vertical ones), explicit and implicit, merged in order.
 
-    Both directions and both kinds are one relation, so each step is one pass over the pixels, not four.
+    boxed: the tables' runs. Both directions and both kinds are one relation, so each step is one pass, not four.
     """
-    sized = [*BY, "w", "h"]
-    wide = raster.dilate_x(raster.channel(boxed, IMPLICIT_VERTICAL), sized, 2).withColumn("channel", F.lit(IMPLICIT_VERTICAL))
-    drawn = raster.channel(boxed, HORIZONTAL, VERTICAL, IMPLICIT_HORIZONTAL).select(*sized, "channel", "y", "x").unionByName(wide.select(*sized, "channel", "y", "x"))
+    wide = raster.channel(boxed, IMPLICIT_VERTICAL).withColumn("at", F.explode(F.sequence(F.col("at") - 2, F.col("at") + 2))).where("at >= 0")
+    wide = raster.joined(wide, [*BY, "w", "h", "channel", "at"])
+    drawn = raster.channel(boxed, HORIZONTAL, VERTICAL, IMPLICIT_HORIZONTAL).select(wide.columns).unionByName(wide)
     down = F.col("channel").isin(VERTICAL, IMPLICIT_VERTICAL)
-    across, along = F.when(down, F.col("x")).otherwise(F.col("y")), F.when(down, F.col("y")).otherwise(F.col("x"))
-    laid = drawn.select(*BY, down.alias("down"), F.col("channel").isin(IMPLICIT_HORIZONTAL, IMPLICIT_VERTICAL).alias("implicit"), F.when(down, F.col("h")).otherwise(F.col("w")).alias("side"), across.alias("x"), along.alias("y"))
+    laid = drawn.select(*BY, down.alias("down"), F.col("channel").isin(IMPLICIT_HORIZONTAL, IMPLICIT_VERTICAL).alias("implicit"), F.when(down, F.col("h")).otherwise(F.col("w")).alias("side"), "at", "a", "b")
     kind = [*WAY, "implicit"]
     need = F.when(F.col("implicit"), F.greatest(F.col("side") * limits.implicit_share, F.lit(limits.least_implicit))).otherwise(F.lit(limits.least_line))
-    found = lines.islands(raster.projection(laid, "x", [*kind, "side"]), [*kind, "side"], need).drop("side", "peak")
-    found = lines.regions(found, laid, "x", kind)
+    found = lines.islands(raster.run_profile(laid, [*kind, "side"]), [*kind, "side"], need).drop("side", "peak")
+    found = lines.run_regions(found, laid, kind)
     weak = found.where("implicit")
     weak = lines.split_at_corners(weak, corners.withColumn("down", F.lit(False)), WAY)
     weak = lines.aligned(weak, WAY)
@@ -70,10 +69,10 @@ def recover_tables(pixels: DataFrame, transforms: DataFrame | None = None, limit
     if transforms is not None:
         area = transforms.select("doc_id", "x1", "y1", "x2", "y2")
         binary = raster.inside(binary.join(area, "doc_id"), *[F.col(c) for c in ("x1", "y1", "x2", "y2")]).drop("x1", "y1", "x2", "y2")
-    binary = pinned(binary.select("doc_id", "channel", "y", "x"))
-    labelled = components.label_pixels(raster.edge_union(binary))
-    candidates = pinned(components.table_candidates(components.component_stats(labelled), least=limits.least_side))
-    boxed = pinned(components.pixels_in_boxes(binary, candidates))
+    runs = pinned(raster.runs(binary))
+    stats = components.run_components(raster.channel(runs, *raster.EDGES))
+    candidates = pinned(components.table_candidates(stats, least=limits.least_side))
+    boxed = pinned(components.runs_in_boxes(runs, candidates))
     if transforms is not None and {"heat_w", "heat_h"} <= set(transforms.columns):
         sizes = transforms.select("doc_id", F.col("heat_w").alias("across"), F.col("heat_h").alias("down"))
         extents = candidates.select(*BY).join(sizes, "doc_id")
@@ -81,15 +80,15 @@ def recover_tables(pixels: DataFrame, transforms: DataFrame | None = None, limit
         extent = F.max(F.greatest(F.col("l") + F.col("w"), F.col("t") + F.col("h"))).over(Window.partitionBy("doc_id"))
         extents = candidates.select(*BY, extent.alias("across"), extent.alias("down"))
     if limits.turn:
-        angles = pinned(rotation.table_angles(boxed, candidates, BY, votes=limits.votes))
-        spun = boxed.join(angles, BY).join(extents, BY)
+        pixels = raster.pixels_of(boxed, [*BY, "w", "h"])
+        angles = pinned(rotation.table_angles(pixels, candidates, BY, votes=limits.votes))
+        spun = pixels.join(angles, BY).join(extents, BY)
         turned = rotation.rotate(spun, [*BY, "w", "h", "across", "down"], F.col("across"), F.col("down"))
-        boxed = pinned(turned.select("doc_id", "channel", "y", "x", "comp", "w", "h"))
+        boxed = pinned(raster.runs(turned, [*BY, "w", "h"]))
     else:
         angles = candidates.select(*BY, F.lit(0.0).alias("angle"))
-    wide = raster.dilate_x(raster.channel(boxed, IMPLICIT_VERTICAL), [*BY, "w", "h"]).withColumn("channel", F.lit(IMPLICIT_VERTICAL))
-    rects = pinned(raster.table_rect(raster.channel(boxed, HORIZONTAL, VERTICAL, IMPLICIT_HORIZONTAL).select(*BY, "channel", "y", "x").unionByName(wide.select(*BY, "channel", "y", "x")), BY))
-    corners = lines.corner_peaks(raster.projection(raster.channel(boxed, CORNER), "y", BY), BY, limits.corner)
+    rects = pinned(raster.run_rect(boxed, BY))
+    corners = lines.corner_peaks(raster.run_profile(raster.channel(boxed, CORNER), BY), BY, limits.corner)
     ruled = pinned(_lines(boxed, rects, corners, limits))
     vertical, horizontal = ruled.where("down"), ruled.where("NOT down")
     merged = C.merge_cells(C.grid(vertical, horizontal, BY), BY)

@@ -27,3 +27,39 @@ def test_scanned_annotations_join_nothing(spark):
 def test_a_grid_is_shuffled_once_as_narrow_rows(spark, name):
     found = QUERIES[name](spark, SMALL)
     assert steps(found, "Exchange") == 1 and "Join" not in plan(found)
+
+
+def test_packed_files_are_few(spark):
+    from pathlib import Path
+
+    from docgrid.functions.lineage import scratch
+
+    for name, kind in (("result_files", "results-*"), ("workbook_files", "workbooks-*")):
+        found = QUERIES[name](spark, SMALL)
+        documents = found.select("stem").distinct().count()
+        folder = max(Path(scratch(spark).removeprefix("file:")).glob(kind), key=lambda p: p.stat().st_mtime)
+        assert documents > 100 and len(list(folder.glob("*.parquet"))) < 20
+
+
+def test_corner_heat_shuffles_corners_once(spark):
+    assert steps(QUERIES["corner_heat"](spark, SMALL), "Exchange") == 1
+
+
+def test_votes_of_an_angle_are_not_rows(spark):
+    found = plan(QUERIES["hough_lines"](spark, SMALL))
+    assert "MapInArrow" in found and "sequence" not in found
+
+
+def test_runs_and_their_pixels(spark):
+    from docgrid.operators import components, raster
+
+    places = {(c, y, x) for c in (1, 2, 3) for y in range(12) for x in range(15) if (y * x + c) % 3 or y == x}
+    pixels = spark.createDataFrame([(7, *p) for p in places] * 2, "doc_id long, channel int, y int, x int")
+    runs = raster.runs(pixels)
+    assert sorted((r.channel, r.y, r.x) for r in raster.pixels_of(runs).collect()) == sorted(places)
+    slow = components.component_stats(components.label_pixels(pixels.select("doc_id", "y", "x").distinct()))
+    assert sorted(map(tuple, components.run_components(runs).select(slow.columns).collect())) == sorted(map(tuple, slow.collect()))
+    boxes = spark.createDataFrame([(7, 1, 2, 3, 6, 5), (7, 2, 5, 0, 9, 12)], "doc_id long, comp int, l int, t int, w int, h int")
+    cut = raster.pixels_of(components.runs_in_boxes(runs, boxes), ["doc_id", "comp"])
+    whole = components.pixels_in_boxes(pixels.distinct(), boxes).select(cut.columns)
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))
