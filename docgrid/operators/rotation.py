@@ -1,7 +1,7 @@
 """Rotation of a table: Hough votes on edges, the median angle, and the maps turned upright.
 
-The vote is a relation, too: edge pixels are exploded to (rho, theta) cells, coarse ones first, and counted; a cell
-whose pixels are too few to make a line is never refined.
+A map's votes are counted in one task, some angles at a time; only cells with enough come out. vote_levels has the votes
+as a relation: edge pixels are exploded to (rho, theta) cells, coarse ones first.
 """
 
 import math
