@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrid.functions.lineage import pinned
-from docgrid.operators.groups import map_groups
+from docgrid.operators.groups import map_groups, met
 from docgrid.operators.stars import connected_components
 from docgrid.schemas import IMPLICIT_VERTICAL, VERTICAL
 
@@ -85,7 +85,7 @@ def runs_in_boxes(runs: DataFrame, boxes: DataFrame, by: Sequence[str] = ("doc_i
     b = boxes.select(*by, "comp", "w", "h", ways.alias("k")).select(*by, "comp", "w", "h", "k.*")
     b = b.withColumn("_band", F.explode(F.sequence(F.floor(F.col("low") / SIDE), F.floor((F.col("low") + F.greatest("size", F.lit(1)) - 1) / SIDE))))
     dealt = runs.withColumn("_down", down).withColumn("_band", F.floor(F.col("at") / SIDE))
-    cut = dealt.join(b, [*by, "_down", "_band"]).where((F.col("at") >= F.col("low")) & (F.col("at") < F.col("low") + F.col("size")))
+    cut = met(dealt, b, [*by, "_down", "_band"]).where((F.col("at") >= F.col("low")) & (F.col("at") < F.col("low") + F.col("size")))
     new = {"a": F.greatest("a", "_a"), "b": F.least("b", "_b")}
     return cut.select(*[new[c].cast("int").alias(c) if c in new else c for c in runs.columns], "comp", "w", "h").where("a < b")
 

@@ -62,6 +62,14 @@ def map_groups(df: DataFrame, by: Sequence[str], order: Sequence[str], work: Cal
     return df.repartition(tasks, *[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
+def met(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi-join of relations that both grow with the documents: sorted and merged, never broadcast.
+
+    Files of narrow rows compress so well that Spark takes them for small; broadcast, all their rows pass through the driver.
+    """
+    return left.join(right.hint("merge"), list(on), how)
+
+
 def _split(columns: str) -> list[str]:
     """Column definitions at the commas outside angle brackets."""
     out, depth = [""], 0

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgrid.operators.raster import joined
+from docgrid.operators.groups import met
 
 #: Columns of a line besides its table's.
 COLUMNS = ["s", "e", "center", "rs", "re", "region_list", "implicit"]
@@ -47,12 +47,29 @@ def regions(found: DataFrame, pixels: DataFrame, axis: str, by: Sequence[str]) -
     return _extents(found, runs, keys)
 
 
-def run_regions(found: DataFrame, runs: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The same from runs (by, at, a, b) along the other axis."""
-    keys = [*by, "s"]
-    places = found.select(*keys, F.explode(F.sequence(F.col("s"), F.col("e") - 1)).alias("at"))
-    band = joined(runs.join(places, [*by, "at"]).select(*keys, "a", "b"), keys)
-    return _extents(found, band.withColumnRenamed("b", "z"), keys)
+#: Intervals [a, b) in order, those that overlap or touch as one.
+_UNION = """
+    aggregate(spans, cast(array() as array<struct<a: int, b: int>>), (u, x) -> CASE WHEN size(u) > 0 AND x.a <= get(u, size(u) - 1).b
+      THEN concat(slice(u, 1, size(u) - 1), array(named_struct('a', get(u, size(u) - 1).a, 'b', greatest(get(u, size(u) - 1).b, x.b)))) ELSE concat(u, array(x)) END)
+"""
+
+
+def run_lines(runs: DataFrame, by: Sequence[str], least: Column | float = 10) -> DataFrame:
+    """(by, s, e, center, rs, re, region_list): the islands of the profile across runs (by, at, a, b), with their regions.
+
+    As `islands` of the runs' profile and `regions` of their pixels; runs of a place don't overlap. A run's island follows
+    from its place among the places of its table, so nothing is joined: one shuffle on the table.
+    """
+    size = (F.col("b") - F.col("a")).cast("long")
+    placed = runs.withColumn("v", F.sum(size).over(Window.partitionBy(*by, "at"))).withColumn("island", F.col("at") - F.dense_rank().over(Window.partitionBy(*by).orderBy("at")))
+    grouped = placed.groupBy(*by, "island").agg(
+        F.min("at").cast("int").alias("s"), (F.max("at") + 1).cast("int").alias("e"), F.bround(F.sum(size * (F.col("at") + 1)) / F.sum(size)).cast("int").alias("center"), F.max("v").alias("peak"),
+        F.sort_array(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b")))).alias("spans"),
+    )
+    found = grouped.where(F.col("peak") > (least if isinstance(least, Column) else F.lit(least))).withColumn("whole", F.expr(_UNION))
+    last = F.element_at("whole", -1)["b"] - 1
+    inner = F.filter(F.transform("whole", lambda r: F.struct(r["a"].alias("a"), F.least(r["b"], last).alias("b"))), lambda r: r["a"] < r["b"])
+    return found.select(*by, "s", "e", "center", F.get("whole", F.lit(0))["a"].alias("rs"), last.alias("re"), inner.alias("region_list"))
 
 
 def _extents(found: DataFrame, runs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -60,7 +77,7 @@ def _extents(found: DataFrame, runs: DataFrame, keys: Sequence[str]) -> DataFram
     extent = runs.groupBy(*keys).agg(
         F.min("a").alias("rs"), F.first("re").alias("re"), F.sort_array(F.collect_list(F.when(F.col("a") < F.col("b"), F.struct("a", "b")))).alias("region_list")
     )
-    return found.join(extent, list(keys))
+    return met(found, extent, keys)
 
 
 def corner_peaks(profile: DataFrame, by: Sequence[str], least: int = CORNER_MIN) -> DataFrame:
@@ -92,11 +109,11 @@ def split_at_corners(lines: DataFrame, corners: DataFrame, by: Sequence[str], ga
     A corner counts if it is `gap` or more after the corner before it, kept or not. Others stay as they are.
     """
     key = [*by, "s", "e"]
-    inner = lines.select(*key).join(corners, list(by)).where("s < corner AND corner < e")
+    inner = met(lines.select(*key), corners, by).where("s < corner AND corner < e")
     order = Window.partitionBy(*key).orderBy("corner")
     ranked = inner.withColumn("before", F.lag("corner").over(order)).withColumn("n", F.count("*").over(Window.partitionBy(*key))).where("n > 1")
     kept = ranked.where(F.col("before").isNull() | (F.col("corner") - F.col("before") >= gap)).select(*key, "corner")
-    out = lines.join(kept, key, "left")
+    out = met(lines, kept, key, "left")
     one = F.col("corner").isNotNull()
     changed = {"s": F.when(one, F.col("corner") - 1).otherwise(F.col("s")), "e": F.when(one, F.col("corner") + 1).otherwise(F.col("e")), "center": F.coalesce("corner", "center")}
     return out.select(*[changed[c].cast("int").alias(c) if c in changed else c for c in lines.columns])
@@ -153,15 +170,18 @@ def with_edges(lines: DataFrame, ends: DataFrame, by: Sequence[str]) -> DataFram
 
     Too far is more than EDGE pixels, twice that if the outermost line is implicit.
     """
-    keys = list(by)
-    whole = Window.partitionBy(*keys)
-    held = lines.join(ends, keys).withColumn("lo", F.min("nth").over(whole)).withColumn("hi", F.max("nth").over(whole))
+    whole = Window.partitionBy(*by)
+    held = met(lines.withColumn("lo", F.min("nth").over(whole)).withColumn("hi", F.max("nth").over(whole)), ends, by, "left")
     room = F.when(F.col("implicit"), 2 * EDGE).otherwise(EDGE)
-    ends_of = [
-        held.where((F.col("nth") == F.col("lo")) & (F.col("s") > F.col("start") + room)).select(*keys, F.col("start").alias("at"), (F.col("lo") - 1).alias("nth")),
-        held.where((F.col("nth") == F.col("hi")) & (F.col("e") < F.col("end") - room)).select(*keys, F.col("end").alias("at"), (F.col("hi") + 1).alias("nth")),
-    ]
-    added = ends_of[0].unionByName(ends_of[1])
-    at, region = F.col("at").cast("int"), F.struct(F.lit(0).alias("a"), F.lit(FAR).alias("b"))
-    made = added.select(*keys, at.alias("s"), at.alias("e"), at.alias("center"), F.lit(0).alias("rs"), F.lit(FAR).alias("re"), F.array(region).alias("region_list"), F.lit(True).alias("implicit"), F.col("nth").cast("int").alias("nth"))
-    return lines.unionByName(made)
+    names = [c for c in lines.columns if c not in by]
+
+    def edge(place: Column, nth: Column) -> Column:
+        region = F.array(F.struct(F.lit(0).alias("a"), F.lit(FAR).alias("b")))
+        new = {"s": place, "e": place, "center": place, "rs": F.lit(0), "re": F.lit(FAR), "region_list": region, "implicit": F.lit(True), "nth": nth}
+        return F.struct(*[new[c].cast(lines.schema[c].dataType).alias(c) for c in names])
+
+    # a line at the end of its table makes two rows: itself and the edge
+    first = F.when((F.col("nth") == F.col("lo")) & (F.col("s") > F.col("start") + room), edge(F.col("start").cast("int"), F.col("lo") - 1))
+    last = F.when((F.col("nth") == F.col("hi")) & (F.col("e") < F.col("end") - room), edge(F.col("end").cast("int"), F.col("hi") + 1))
+    rows = F.filter(F.array(F.struct(*names), first, last), lambda line: line.isNotNull())
+    return held.select(*by, F.explode(rows).alias("line")).select(*by, "line.*").select(*lines.columns)

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docgrid.operators.groups import met
 from docgrid.schemas import HORIZONTAL, IMPLICIT_HORIZONTAL, IMPLICIT_VERTICAL, VERTICAL
 
 EDGES = (HORIZONTAL, VERTICAL, IMPLICIT_HORIZONTAL, IMPLICIT_VERTICAL)
@@ -45,8 +46,23 @@ def runs(pixels: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
     down = F.col("channel").isin(VERTICAL, IMPLICIT_VERTICAL)
     laid = pixels.select(*by, "channel", F.when(down, F.col("x")).otherwise(F.col("y")).alias("at"), F.when(down, F.col("y")).otherwise(F.col("x")).alias("p"))
     keys = [*by, "channel", "at"]
-    run = F.col("p") - F.dense_rank().over(Window.partitionBy(*keys).orderBy("p"))
-    return laid.withColumn("run", run).groupBy(*keys, "run").agg(F.min("p").cast("int").alias("a"), (F.max("p") + 1).cast("int").alias("b")).drop("run")
+    order = Window.partitionBy(*keys).orderBy("p")
+    # only the ends of runs pass the filter; a run of one place is both its ends, and of repeats the first begins and the last ends
+    near = laid.withColumn("_before", F.lag("p").over(order)).withColumn("_after", F.lead("p").over(order))
+    ends = near.withColumn("_first", F.col("_before").isNull() | (F.col("_before") < F.col("p") - 1)).withColumn("_last", F.col("_after").isNull() | (F.col("_after") > F.col("p") + 1)).where("_first OR _last")
+    end = F.when(F.col("_last"), F.col("p")).otherwise(F.lead("p").over(order))
+    return ends.withColumn("_end", end).where("_first").select(*keys, F.col("p").cast("int").alias("a"), (F.col("_end") + 1).cast("int").alias("b"))
+
+
+def runs_inside(found: DataFrame, areas: DataFrame) -> DataFrame:
+    """What of runs lies in their document's region of interest (doc_id, x1, y1, x2, y2), as `inside` has it of pixels."""
+    down = F.col("channel").isin(VERTICAL, IMPLICIT_VERTICAL)
+    bounds = [F.ceil(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")]
+    held = met(found, areas.dropna(subset=["x1", "y1", "x2", "y2"]).select("doc_id", *bounds), ["doc_id"])
+    way = lambda across, along: F.when(down, F.col(across)).otherwise(F.col(along))
+    new = {"a": F.greatest(F.col("a"), way("_y1", "_x1")), "b": F.least(F.col("b"), way("_y2", "_x2"))}
+    kept = held.where((F.col("at") >= way("_x1", "_y1")) & (F.col("at") < way("_x2", "_y2")))
+    return kept.select(*[new[c].cast("int").alias(c) if c in new else c for c in found.columns]).where("a < b")
 
 
 def pixels_of(found: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrid.functions.lineage import pinned
-from docgrid.operators.groups import map_groups
+from docgrid.operators.groups import map_groups, met
 from docgrid.operators.raster import channel, sobel
 from docgrid.schemas import HORIZONTAL, IMPLICIT_HORIZONTAL, IMPLICIT_VERTICAL, VERTICAL
 
@@ -124,7 +124,7 @@ def table_angles(pixels: DataFrame, tables: DataFrame, by: Sequence[str], step:
     tilt = F.when(F.col("across"), line_angle(F.col("k") * step, True)).otherwise(line_angle(F.col("k") * step, False))
     found = hough_lines(edges[0].unionByName(edges[1]), [*by, "across"], step, votes)
     median = found.groupBy(*by).agg(F.median(tilt).alias("angle"))
-    return tables.select(*by).distinct().join(median, list(by), "left").select(*by, F.coalesce("angle", F.lit(0.0)).alias("angle"))
+    return met(tables.select(*by).distinct(), median, by, "left").select(*by, F.coalesce("angle", F.lit(0.0)).alias("angle"))
 
 
 def turned(x: Column, y: Column, angle: Column, cx: Column, cy: Column) -> tuple[Column, Column]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docgrid.functions.coords import huber
 from docgrid.functions.lineage import pinned
+from docgrid.operators.raster import joined, pixels_of
 from docgrid.schemas import CORNER, HORIZONTAL, IMPLICIT_HORIZONTAL, IMPLICIT_VERTICAL, VERTICAL
 
 #: Reach of a corner's heat in pixels, its width, the least heat that counts, negatives for each positive, negatives without any.
@@ -39,18 +40,31 @@ def corner_heat(cells: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def edge_lines(cells: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, channel, y, x, score): the quads' edges, three pixels thick, in the explicit or implicit channel as the flags say."""
+    """(by, channel, y, x, score): the quads' edges, three pixels thick, in the explicit or implicit channel as the flags say.
+
+    An edge is spans along the lines of its channel, an upright one three whole spans; the spans of a line are united
+    before they become pixels, so a pixel that several edges share comes out once without being sought.
+    """
     q = lambda k: (F.col("quad")[2 * k].cast("int"), F.col("quad")[2 * k + 1].cast("int"))
-    sides = [("top", 0, 1, HORIZONTAL, IMPLICIT_HORIZONTAL), ("bottom", 2, 3, HORIZONTAL, IMPLICIT_HORIZONTAL), ("right", 1, 2, VERTICAL, IMPLICIT_VERTICAL), ("left", 3, 0, VERTICAL, IMPLICIT_VERTICAL)]
-    edge = F.array(*[F.struct(q(a)[0].alias("x1"), q(a)[1].alias("y1"), q(b)[0].alias("x2"), q(b)[1].alias("y2"), F.when(F.col(side), seen).otherwise(unseen).alias("channel")) for side, a, b, seen, unseen in sides])
-    edges = cells.select(*by, F.explode(edge).alias("e")).select(*by, "e.*").distinct()
-    n = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
-    steps = edges.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    sides = [("top", 0, 1, HORIZONTAL, IMPLICIT_HORIZONTAL, False), ("bottom", 2, 3, HORIZONTAL, IMPLICIT_HORIZONTAL, False), ("right", 1, 2, VERTICAL, IMPLICIT_VERTICAL, True), ("left", 3, 0, VERTICAL, IMPLICIT_VERTICAL, True)]
+    # p is the place along the channel's lines, q the one across them
+    edge = F.array(*[
+        F.struct(F.when(F.col(side), seen).otherwise(unseen).alias("channel"), *[q(c)[down ^ o].alias(f"{n}{k}") for k, c in ((1, a), (2, b)) for o, n in enumerate("pq")], F.lit(down).alias("down"))
+        for side, a, b, seen, unseen, down in sides
+    ])
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = cells.repartition(parts, *by).select(*by, F.explode(edge).alias("e")).select(*by, "e.*").dropna(subset=["p1", "q1", "p2", "q2"])
+    dp, dq = F.abs(F.col("p2") - F.col("p1")), F.abs(F.col("q2") - F.col("q1"))
+    # thick across its longer way, which for equal ones is x
+    along = F.when(F.col("down"), dp > dq).otherwise(dp >= dq)
+    level, n = along & (dq == 0), F.greatest(dp, dq)
+    steps = edges.withColumn("along", along).withColumn("level", level).withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.when(level, 0).otherwise(n))))
     at = lambda a, b: F.round(F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / F.greatest("n", F.lit(1))).cast("int")
-    flat = F.abs(F.col("x2") - F.col("x1")) >= F.abs(F.col("y2") - F.col("y1"))
-    drawn = steps.withColumn("off", F.explode(F.array(*[F.lit(o) for o in (-1, 0, 1)])))
-    drawn = drawn.select(*by, "channel", (at("y1", "y2") + F.when(flat, F.col("off")).otherwise(0)).alias("y"), (at("x1", "x2") + F.when(flat, 0).otherwise(F.col("off"))).alias("x"))
-    return drawn.where("x >= 0 AND y >= 0").distinct().withColumn("score", F.lit(1.0).cast("float"))
+    laid = steps.withColumn("off", F.explode(F.when(F.col("along"), F.array(*map(F.lit, (-1, 0, 1)))).otherwise(F.array(F.lit(0)))))
+    wide = F.when(F.col("along"), 0).otherwise(1)
+    a, b = F.when(F.col("level"), F.least("p1", "p2")).otherwise(at("p1", "p2") - wide), F.when(F.col("level"), F.greatest("p1", "p2")).otherwise(at("p1", "p2") + wide) + 1
+    spans = laid.select(*by, "channel", (at("q1", "q2") + F.col("off")).alias("at"), F.greatest(a, F.lit(0)).alias("a"), b.alias("b")).where("at >= 0 AND b > 0")
+    return pixels_of(joined(spans, [*by, "channel", "at"]), by).withColumn("score", F.lit(1.0).cast("float"))
 
 
 def rasterised(cells: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:

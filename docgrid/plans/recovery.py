@@ -9,7 +9,8 @@ from docgrid.functions.coords import adjusted, angle_text
 from docgrid.functions.lineage import pinned
 from docgrid.operators import cells as C
 from docgrid.operators import components, lines, raster, rotation
-from docgrid.schemas import CORNER, HORIZONTAL, IMPLICIT_HORIZONTAL, IMPLICIT_VERTICAL, VERTICAL
+from docgrid.operators.groups import met
+from docgrid.schemas import CORNER, HORIZONTAL, IMPLICIT_HORIZONTAL, IMPLICIT_VERTICAL, SIDES, VERTICAL
 
 BY = ["doc_id", "comp"]
 
@@ -45,8 +46,7 @@ def _lines(boxed: DataFrame, rects: DataFrame, corners: DataFrame, limits: Limit
     laid = drawn.select(*BY, down.alias("down"), F.col("channel").isin(IMPLICIT_HORIZONTAL, IMPLICIT_VERTICAL).alias("implicit"), F.when(down, F.col("h")).otherwise(F.col("w")).alias("side"), "at", "a", "b")
     kind = [*WAY, "implicit"]
     need = F.when(F.col("implicit"), F.greatest(F.col("side") * limits.implicit_share, F.lit(limits.least_implicit))).otherwise(F.lit(limits.least_line))
-    found = lines.islands(raster.run_profile(laid, [*kind, "side"]), [*kind, "side"], need).drop("side", "peak")
-    found = lines.run_regions(found, laid, kind)
+    found = lines.run_lines(laid, [*kind, "side"], need).drop("side")
     weak = found.where("implicit")
     weak = lines.split_at_corners(weak, corners.withColumn("down", F.lit(False)), WAY)
     weak = lines.aligned(weak, WAY)
@@ -65,45 +65,53 @@ def recover_tables(pixels: DataFrame, transforms: DataFrame | None = None, limit
     several branches read are written to the application's folder while the plan is built.
     """
     limits = limits or Limits()
-    binary = raster.above_threshold(pixels, limits.explicit, limits.low)
-    if transforms is not None:
-        area = transforms.select("doc_id", "x1", "y1", "x2", "y2")
-        binary = raster.inside(binary.join(area, "doc_id"), *[F.col(c) for c in ("x1", "y1", "x2", "y2")]).drop("x1", "y1", "x2", "y2")
-    runs = pinned(raster.runs(binary))
+    runs = raster.runs(raster.above_threshold(pixels, limits.explicit, limits.low))
+    runs = pinned(runs if transforms is None else raster.runs_inside(runs, transforms.select("doc_id", "x1", "y1", "x2", "y2")))
     stats = components.run_components(raster.channel(runs, *raster.EDGES))
     candidates = pinned(components.table_candidates(stats, least=limits.least_side))
     boxed = pinned(components.runs_in_boxes(runs, candidates))
     if transforms is not None and {"heat_w", "heat_h"} <= set(transforms.columns):
         sizes = transforms.select("doc_id", F.col("heat_w").alias("across"), F.col("heat_h").alias("down"))
-        extents = candidates.select(*BY).join(sizes, "doc_id")
+        extents = met(candidates.select(*BY, "rank"), sizes, ["doc_id"])
     else:
         extent = F.max(F.greatest(F.col("l") + F.col("w"), F.col("t") + F.col("h"))).over(Window.partitionBy("doc_id"))
-        extents = candidates.select(*BY, extent.alias("across"), extent.alias("down"))
+        extents = candidates.select(*BY, "rank", extent.alias("across"), extent.alias("down"))
+    angle = F.lit(0.0)
     if limits.turn:
         pixels = raster.pixels_of(boxed, [*BY, "w", "h"])
-        angles = pinned(rotation.table_angles(pixels, candidates, BY, votes=limits.votes))
-        spun = pixels.join(angles, BY).join(extents, BY)
+        angles = rotation.table_angles(pixels, candidates, BY, votes=limits.votes)
+        extents, angle = pinned(met(extents, angles, BY)), F.col("angle")
+        spun = met(pixels, extents.drop("rank"), BY)
         turned = rotation.rotate(spun, [*BY, "w", "h", "across", "down"], F.col("across"), F.col("down"))
         boxed = pinned(raster.runs(turned, [*BY, "w", "h"]))
-    else:
-        angles = candidates.select(*BY, F.lit(0.0).alias("angle"))
-    rects = pinned(raster.run_rect(boxed, BY))
     corners = lines.corner_peaks(raster.run_profile(raster.channel(boxed, CORNER), BY), BY, limits.corner)
-    ruled = pinned(_lines(boxed, rects, corners, limits))
-    vertical, horizontal = ruled.where("down"), ruled.where("NOT down")
-    merged = C.merge_cells(C.grid(vertical, horizontal, BY), BY)
-    found = C.tables(C.with_sides(merged, vertical, horizontal, BY) if sides else merged, candidates)
-    out = found.join(angles, BY).join(extents, BY)
+    ruled = _lines(boxed, raster.run_rect(boxed, BY), corners, limits)
+    out = met(_tables(ruled, sides), extents, BY).withColumn("id", F.row_number().over(Window.partitionBy("doc_id").orderBy("rank"))).withColumn("angle", angle)
     back = lambda quad: _unturned(quad, F.col("angle"), F.col("across") / 2, F.col("down") / 2)
     out = out.withColumn("quad", back(F.col("quad"))).withColumn("cells", F.transform("cells", lambda c: c.withField("quad", back(c["quad"]))))
     if transforms is not None:
         ratio = transforms.select("doc_id", (1 / F.col("ratio_w")).alias("rw"), (1 / F.col("ratio_h")).alias("rh"), "pad_x", "pad_y")
         move = lambda v, n=-1: adjusted(v, F.col("rw"), F.col("rh"), F.col("pad_x"), F.col("pad_y"), n)
-        out = out.join(ratio, "doc_id").withColumn("rect", move(F.col("rect"), 2)).withColumn("quad", move(F.col("quad")))
+        out = met(out, ratio, ["doc_id"]).withColumn("rect", move(F.col("rect"), 2)).withColumn("quad", move(F.col("quad")))
         out = out.withColumn("cells", F.transform("cells", lambda c: c.withField("quad", move(c["quad"]))))
     return out.select("doc_id", "id", angle_text(F.col("angle")).alias("angle"), F.col("angle").alias("angle_degrees"), "rect", "quad", "cells")
 
 
+def _tables(ruled: DataFrame, sides: bool) -> DataFrame:
+    """(by, rect, quad, cells): the record of each table from its lines, as arrays of one row; tables of a single cell are none."""
+    of = lambda down: F.sort_array(F.collect_list(F.when(F.col("down") == down, F.struct("nth", "center", "region_list", "implicit"))))
+    ruling = ruled.groupBy(*BY).agg(of(True).alias("v"), of(False).alias("h"))
+    grids = ruling.where("size(v) > 1 AND size(h) > 1 AND size(v) + size(h) > 4")
+    flags = [F.transform(lines, lambda line: ~line["implicit"]).alias(name) for lines, name in (("v", "_across"), ("h", "_down"))] if sides else []
+    names, held = ["_across", "_down"][: len(flags)], grids.select(*BY, C.grid_of(F.col("v"), F.col("h")).alias("cells"), *flags)
+    merged = C.merged_of(held, *BY, *names)
+    if not sides:
+        return C.tables_of(merged, "doc_id", keys=["comp"])
+    at = {"top": ("_down", "sj", 0), "bottom": ("_down", "ej", 1), "left": ("_across", "si", 0), "right": ("_across", "ei", 1)}
+    flagged = F.transform("merged", lambda c: F.struct(*[c[m].alias(m) for m in C.MERGED], *[F.get(F.col(name), c[m] + more).alias(side) for side, (name, m, more) in at.items()]))
+    return C.tables_of(merged.withColumn("merged", flagged), "doc_id", keys=["comp"], flags=SIDES)
+
+
 def _unturned(quad, angle, cx, cy):
     """A quad's corners turned back, cut to integers; as they are where the table wasn't turned."""
     pairs = [rotation.turned(quad[2 * k], quad[2 * k + 1], -angle, cx, cy) for k in range(4)]

@@ -63,3 +63,46 @@ def test_runs_and_their_pixels(spark):
     cut = raster.pixels_of(components.runs_in_boxes(runs, boxes), ["doc_id", "comp"])
     whole = components.pixels_in_boxes(pixels.distinct(), boxes).select(cut.columns)
     assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))
+
+
+@pytest.mark.parametrize("turn", [False, True])
+def test_a_recovery_broadcasts_nothing(spark, monkeypatch, turn):
+    """What grows with the documents isn't broadcast, however few bytes it has in files: neither in the result's plan nor in what is written on its way."""
+    from docgrid.plans import recovery
+
+    plans, pinned = [], recovery.pinned
+    monkeypatch.setattr(recovery, "pinned", lambda df: plans.append(plan(df)) or pinned(df))
+    lines = [(doc, c, 10 + 25 * k + o, 10 + p) if c == 1 else (doc, c, 10 + p, 10 + 25 * k + o) for doc in (1, 2) for c in (1, 2) for k in range(3) for o in (-1, 0, 1) for p in range(51)]
+    pixels = spark.createDataFrame([(*p, 1.0) for p in lines], "doc_id long, channel int, y int, x int, score double")
+    moves = spark.createDataFrame([(k, 1.0, 1.0, 0.0, 0.0, 0, 0, 90, 90, 90, 90) for k in (1, 2)], "doc_id long, ratio_w double, ratio_h double, pad_x double, pad_y double, x1 int, y1 int, x2 int, y2 int, heat_w int, heat_h int")
+    found = recovery.recover_tables(pixels, moves, recovery.Limits(turn=turn), sides=True)
+    assert sorted((r.doc_id, len(r.cells)) for r in found.collect()) == [(1, 4), (2, 4)]
+    assert len(plans) >= 3 and not [p for p in [*plans, plan(found)] if "Broadcast" in p]
+
+
+def test_edges_are_drawn_once(spark):
+    """Pixels of edges that share places, lie askew, reach out of the map or lack a corner, held against plain loops."""
+    import random
+
+    from docgrid.operators import training
+    from docgrid.schemas import HORIZONTAL, IMPLICIT_HORIZONTAL, IMPLICIT_VERTICAL, VERTICAL
+
+    draw = random.Random(4)
+    rows = [(1, [0, 0, 9, 0, 9, 6, 0, 6], True, None, True, False), (1, [9, 0, 18, 0, 18, 6, 9, 6], True, True, False, False), (1, [4, 4, 4, 4, 4, 4, 4, 4], True, True, True, True), (2, [None, 2, 9, 2, 9, 8, 3, 8], True, True, True, True), (2, [0, 0, 0, 7, 5, 7, 5, 0], True, False, True, False), (2, None, True, True, True, True)]
+    rows += [(3 + k % 2, [draw.randrange(-3, 14) for _ in range(8)], *[draw.random() < 0.5 for _ in range(4)]) for k in range(40)]
+    away = lambda v: int(abs(v) + 0.5) * (1 if v >= 0 else -1)
+    places = set()
+    for doc, quad, top, bottom, left, right in rows:
+        for seen, a, b, channels in ((top, 0, 1, (HORIZONTAL, IMPLICIT_HORIZONTAL)), (bottom, 2, 3, (HORIZONTAL, IMPLICIT_HORIZONTAL)), (right, 1, 2, (VERTICAL, IMPLICIT_VERTICAL)), (left, 3, 0, (VERTICAL, IMPLICIT_VERTICAL))):
+            x1, y1, x2, y2 = (*quad[2 * a : 2 * a + 2], *quad[2 * b : 2 * b + 2]) if quad else [None] * 4
+            if None in (x1, y1, x2, y2):
+                continue
+            n = max(abs(x2 - x1), abs(y2 - y1))
+            flat = abs(x2 - x1) >= abs(y2 - y1)
+            for k in range(n + 1):
+                x, y = away(x1 + (x2 - x1) * k / max(n, 1)), away(y1 + (y2 - y1) * k / max(n, 1))
+                places |= {(doc, channels[not seen], y + o * flat, x + o * (not flat)) for o in (-1, 0, 1)}
+    cells = spark.createDataFrame(rows, "doc_id long, quad array<int>, top boolean, bottom boolean, left boolean, right boolean")
+    drawn = training.edge_lines(cells, ["doc_id"])
+    assert sorted((r.doc_id, r.channel, r.y, r.x) for r in drawn.collect()) == sorted(p for p in places if p[2] >= 0 and p[3] >= 0)
+    assert steps(drawn, "Exchange") == 1
