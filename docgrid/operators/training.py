@@ -1,5 +1,6 @@
 """Training data: score maps from annotations, hard-negative selection and loss, dataset mixtures, box transforms."""
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,12 +30,16 @@ def corner_heat(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     tiled = corners.repartition(parts, *by).withColumn("_tx", tiles("cx")).withColumn("_ty", tiles("cy")).groupBy(*by, "_ty", "_tx").agg(F.collect_set(F.struct("cx", "cy")).alias("all"))
     near = lambda c, o: (F.abs(c["cx"] - o["cx"]) <= 2 * REACH) & (F.abs(c["cy"] - o["cy"]) <= 2 * REACH) & (c != o)
     each = tiled.select(*by, "_ty", "_tx", "all", F.explode("all").alias("c")).select(*by, "_ty", "_tx", "c", F.filter("all", lambda o: near(F.col("c"), o)).alias("others"))
-    reach = lambda c, tile: F.explode(F.sequence(F.greatest(F.ceil(F.col(c) - REACH), F.col(tile) * HEAT_TILE, F.lit(0)).cast("int"), F.least(F.floor(F.col(c) + REACH), (F.col(tile) + 1) * HEAT_TILE - 1).cast("int")))
-    within = lambda c, tile: (F.least(F.floor(F.col(c) + REACH), (F.col(tile) + 1) * HEAT_TILE - 1) >= F.greatest(F.ceil(F.col(c) - REACH), F.col(tile) * HEAT_TILE, F.lit(0)))
-    spread = each.where(within("c.cx", "_tx") & within("c.cy", "_ty")).withColumn("x", reach("c.cx", "_tx")).withColumn("y", reach("c.cy", "_ty"))
+    # places along y are those of the disc that is warm enough, a little wider; a score is made once for each, so it is a row's value, not an expression that filters repeat
+    reach = F.lit(float(REACH))
+    half = F.least(reach, F.sqrt(F.greatest(F.lit(1e-3 - 2 * SPREAD * SPREAD * math.log(LEAST_HEAT)) - (F.col("x") - F.col("c.cx")) * (F.col("x") - F.col("c.cx")), F.lit(0.0))))
+    low = lambda c, tile, r: F.greatest(F.ceil(F.col(c) - r), F.col(tile) * HEAT_TILE, F.lit(0)).cast("int")
+    high = lambda c, tile, r: F.least(F.floor(F.col(c) + r), (F.col(tile) + 1) * HEAT_TILE - 1).cast("int")
+    places = lambda *of: F.explode(F.when(low(*of) <= high(*of), F.sequence(low(*of), high(*of))))
+    spread = each.withColumn("x", places("c.cx", "_tx", reach)).withColumn("y", places("c.cy", "_ty", half))
     squared = lambda c: (F.col("x") - c["cx"]) * (F.col("x") - c["cx"]) + (F.col("y") - c["cy"]) * (F.col("y") - c["cy"])
     heat = F.exp(-squared(F.col("c")) / (2 * SPREAD * SPREAD)).cast("float")
-    warm = spread.withColumn("score", heat).where(F.col("score") >= F.lit(LEAST_HEAT).cast("float"))
+    warm = spread.withColumn("score", F.explode(F.array(heat))).where(F.col("score") >= F.lit(LEAST_HEAT).cast("float"))
     first = lambda o: (squared(o) < squared(F.col("c"))) | ((squared(o) == squared(F.col("c"))) & (o < F.col("c")))
     return warm.where(~F.exists("others", first)).select(*by, F.lit(CORNER).alias("channel"), "y", "x", "score")
 
