@@ -46,12 +46,20 @@ def runs(pixels: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
     down = F.col("channel").isin(VERTICAL, IMPLICIT_VERTICAL)
     laid = pixels.select(*by, "channel", F.when(down, F.col("x")).otherwise(F.col("y")).alias("at"), F.when(down, F.col("y")).otherwise(F.col("x")).alias("p"))
     keys = [*by, "channel", "at"]
-    order = Window.partitionBy(*keys).orderBy("p")
-    # only the ends of runs pass the filter; a run of one place is both its ends, and of repeats the first begins and the last ends
-    near = laid.withColumn("_before", F.lag("p").over(order)).withColumn("_after", F.lead("p").over(order))
-    ends = near.withColumn("_first", F.col("_before").isNull() | (F.col("_before") < F.col("p") - 1)).withColumn("_last", F.col("_after").isNull() | (F.col("_after") > F.col("p") + 1)).where("_first OR _last")
-    end = F.when(F.col("_last"), F.col("p")).otherwise(F.lead("p").over(order))
-    return ends.withColumn("_end", end).where("_first").select(*keys, F.col("p").cast("int").alias("a"), (F.col("_end") + 1).cast("int").alias("b"))
+    # 64 places of a line are the bits of one number: pixels are summed up, not sorted
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(63).cast("int"))
+    words = laid.groupBy(*keys, F.shiftright("p", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    order = Window.partitionBy(*keys).orderBy("word")
+    near = lambda f, step: F.coalesce(F.when(f("word").over(order) == F.col("word") + step, f("bits").over(order)), F.lit(0).cast("long"))
+    begins = F.col("bits").bitwiseAND(F.bitwise_not(F.shiftleft("bits", 1).bitwiseOR(F.shiftrightunsigned("_before", 63))))
+    ends = F.col("bits").bitwiseAND(F.bitwise_not(F.shiftrightunsigned("bits", 1).bitwiseOR(F.shiftleft("_after", 63))))
+    marked = words.withColumn("_before", near(F.lag, -1)).withColumn("_after", near(F.lead, 1)).select(*keys, "word", begins.alias("_begins"), ends.alias("_ends"))
+    at = lambda bits: F.call_function("shiftright", bits, F.col("_k")).bitwiseAND(1) == 1
+    both = marked.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(63)))).where(at(F.col("_begins").bitwiseOR(F.col("_ends"))))
+    # a run of one place is both its ends
+    places = both.select(*keys, (F.col("word") * 64 + F.col("_k")).alias("p"), at(F.col("_begins")).alias("_first"), at(F.col("_ends")).alias("_last"))
+    end = F.when(F.col("_last"), F.col("p")).otherwise(F.lead("p").over(Window.partitionBy(*keys).orderBy("p")))
+    return places.withColumn("_end", end).where("_first").select(*keys, F.col("p").cast("int").alias("a"), (F.col("_end") + 1).cast("int").alias("b"))
 
 
 def runs_inside(found: DataFrame, areas: DataFrame) -> DataFrame:

@@ -168,3 +168,20 @@ def test_archives_are_those_of_zipfile():
     for broken in (b"", made[:-1], made[:200]):
         with pytest.raises(zipfile.BadZipFile):
             list(document_files.ranges_of(broken))
+
+
+def test_runs_are_those_of_plain_loops(spark):
+    """Runs over, up to and beside the ends of 64 places, repeated and single pixels, and places before 0; pixels aren't sorted."""
+    import random
+
+    from docgrid.operators import raster
+
+    draw = random.Random(7)
+    lines = {(d, c, at): {p for a in [draw.randrange(-70, 260) for _ in range(4)] for p in range(a, a + draw.choice([1, 2, 40, 64, 65, 130]))} for d in (1, 2) for c in range(5) for at in range(-1, 3)}
+    lines |= {(3, 1, 0): set(range(0, 64)), (3, 1, 1): {63, 64}, (3, 1, 2): {0, 127, 128, 191}, (3, 2, 0): set(range(-64, 128)), (3, 2, 1): {62, 63, 65}}
+    down = lambda c: c in (2, 4)
+    pixels = spark.createDataFrame([(d, c, p, at) if down(c) else (d, c, at, p) for (d, c, at), places in lines.items() for p in places for _ in range(1 + p % 2)], "doc_id long, channel int, y int, x int")
+    expected = [(d, c, at, a, min(b for b in range(a + 1, a + 999) if b not in places)) for (d, c, at), places in lines.items() for a in places if a - 1 not in places]
+    found = raster.runs(pixels)
+    assert sorted(map(tuple, found.select("doc_id", "channel", "at", "a", "b").collect())) == sorted(expected)
+    assert "bit_or" in plan(found).split("Scan")[0]
